@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from frameloom.llm.exact import OP6_SQL, op6_exact_dedup
+from frameloom.llm.packing import op7_packing
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup}
+QUERIES = {"op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing}
 SQL = {"op6_exact_dedup": OP6_SQL}
