@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from frameloom.llm.exact import OP6_SQL, op6_exact_dedup
 from frameloom.llm.fingerprints import op2_fingerprints
+from frameloom.llm.licenses import op1_license_scan
 from frameloom.llm.neardup import OP4_SQL, op4_near_dedup
 from frameloom.llm.packing import op7_packing
 from frameloom.llm.secret_scan import op5_secret_scan
 from frameloom.llm.warc import OP8_SQL, op8_warc
 
-QUERIES = {"op5_secret_scan": op5_secret_scan, "op2_fingerprints": op2_fingerprints, "op8_warc": op8_warc, "op4_near_dedup": op4_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing}
+QUERIES = {"op1_license_scan": op1_license_scan, "op5_secret_scan": op5_secret_scan, "op2_fingerprints": op2_fingerprints, "op8_warc": op8_warc, "op4_near_dedup": op4_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing}
 SQL = {"op8_warc": OP8_SQL, "op4_near_dedup": OP4_SQL, "op6_exact_dedup": OP6_SQL}
