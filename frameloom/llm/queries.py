@@ -8,9 +8,10 @@ from frameloom.llm.licenses import op1_license_scan
 from frameloom.llm.mixing import op10_mixing
 from frameloom.llm.neardup import OP4_SQL, op4_near_dedup
 from frameloom.llm.packing import op7_packing
+from frameloom.llm.quality import op3_quality
 from frameloom.llm.secret_scan import op5_secret_scan
 from frameloom.llm.sharding import op9_sharding
 from frameloom.llm.warc import OP8_SQL, op8_warc
 
-QUERIES = {"op9_sharding": op9_sharding, "op10_mixing": op10_mixing, "op1_license_scan": op1_license_scan, "op5_secret_scan": op5_secret_scan, "op2_fingerprints": op2_fingerprints, "op8_warc": op8_warc, "op4_near_dedup": op4_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing}
+QUERIES = {"op3_quality": op3_quality, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing, "op1_license_scan": op1_license_scan, "op5_secret_scan": op5_secret_scan, "op2_fingerprints": op2_fingerprints, "op8_warc": op8_warc, "op4_near_dedup": op4_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing}
 SQL = {"op8_warc": OP8_SQL, "op4_near_dedup": OP4_SQL, "op6_exact_dedup": OP6_SQL}
