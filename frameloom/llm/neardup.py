@@ -4,8 +4,9 @@ Each document becomes 128 minima of its shingles' hashes. Bands of four whole mi
 the low four bits are kept and packed, eight 64-bit words for a document. Buckets link their members to one pivot; what the
 packed signatures say about a pair (share of equal low bits, corrected for chance collisions) drops pairs that are far below
 the threshold; the others are confirmed on their full sets. Members of one component need no further comparison, so a large
-group of copies costs a pair for each member. Only pairs of a bucket that still lie in different components are then compared
-with each other, so no link between buckets' members is lost.
+group of copies costs a pair for each member. Members of a bucket that still lie in different components are then compared with
+each other, so no link between them is lost: in small buckets by a join, in larger ones in blocks of members, in which the
+signatures and then the full sets are compared without making a row for each pair.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from frameloom.llm._common import checkpointed, fresh, table
 from frameloom.workers import ship
 
 MINIMA, ROWS, BITS, SEED = 128, 4, 4, 20240613
-#: A pair whose estimate lies this far below the threshold is dropped: over six standard errors of 128 minima.
-SLACK = 0.25
+#: A pair whose estimate lies this far below the threshold is dropped: six standard errors of 128 minima.
+SLACK = 0.2
+#: Buckets with more members are compared in blocks of about so many members.
+SMALL, BLOCK = 32, 256
 REMEMBERED = 500_000
 _MASK = (1 << 64) - 1
 
@@ -127,9 +130,8 @@ def estimate(x: Column, y: Column) -> Column:
     return (equal - chance) / (1.0 - chance)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, words: int, hundredths: int, text: str = "text") -> DataFrame:
-    """Of pairs (a, b) of ids those whose full sets reach the threshold."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, text: str = "text") -> DataFrame:
+    """(doc_id, items) for the named ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,8 +140,13 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int, hundredths: int, te
                 sets = [shingle_hashes(t, words).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "items"])
 
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text).join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = checkpointed(chosen.mapInArrow(run, "doc_id bigint, items array<bigint>"))
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return checkpointed(chosen.mapInArrow(run, "doc_id bigint, items array<bigint>"))
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, words: int, hundredths: int, text: str = "text") -> DataFrame:
+    """Of pairs (a, b) of ids those whose full sets reach the threshold."""
+    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words, text)
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("bigint")
@@ -147,6 +154,105 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int, hundredths: int, te
     return checkpointed(joined.where(F.col("both") * 100 >= hundredths * (F.col("sum") - F.col("both"))).select("a", "b"))
 
 
+def block_links(docs: DataFrame, members: DataFrame, reps: DataFrame, words: int, hundredths: int, text: str = "text") -> DataFrame:
+    """Links (a, b) between members (id, root, key, n) of large buckets that lie in different components.
+
+    A bucket's members fall into blocks; each pair of blocks is one group of rows. A first pass over the packed signatures
+    names the members that may have a partner; only these bring their full sets to the second, which confirms the pairs and
+    returns links that join different components, at most one for each member.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+    placed = members.select("key", "id", "root", own.alias("own"), F.explode(pairs).alias("pair")).select("key", "pair.i", "pair.j", "own", "id", "root")
+    signed = placed.join(reps.select("id", "packed"), "id")
+    names = ["key", "i", "j", "own", "id", "root"]
+    least = hundredths / 100 - SLACK
+
+    def columns(group: pa.Table) -> tuple[np.ndarray, ...]:
+        return tuple(group.column(c).to_numpy() for c in ("own", "id", "root"))
+
+    def split(own_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = own_ == own_.min() if len(own_) else own_ == 0
+        return np.flatnonzero(first), np.flatnonzero(~first) if not first.all() else np.flatnonzero(first)
+
+    def hopeful(group: pa.Table) -> pa.Table:
+        own_, _, root = columns(group)
+        packed = np.array(group.column("packed").to_pylist(), np.int64).view(np.uint64).reshape(len(own_), -1)
+        diagonal = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        left, right = split(own_) if not diagonal else (np.arange(len(own_)),) * 2
+        hit = np.zeros(len(own_), bool)
+        if diagonal or own_.min() != own_.max():
+            for lo in range(0, len(left), 64):
+                rows = left[lo : lo + 64]
+                near = (_estimates(packed[rows], packed[right]) >= least) & (root[rows][:, None] != root[right][None, :])
+                hit[rows] |= near.any(axis=1)
+                hit[right] |= near.any(axis=0)
+        return group.select(names).filter(pa.array(hit))
+
+    hopes = checkpointed(signed.groupBy("key", "i", "j").applyInArrow(hopeful, "key bigint, i int, j int, own int, id bigint, root bigint"))
+    sets = shingle_sets(docs, hopes.select(F.col("id").alias("doc_id")).distinct(), words, text)
+    joined = hopes.join(sets.withColumnRenamed("doc_id", "id"), "id")
+
+    def confirm(group: pa.Table) -> pa.Table:
+        own_, ids, root = columns(group)
+        both = _intersections(group.column("items"))
+        sizes = both.diagonal()
+        good = both * 100 >= hundredths * (sizes[:, None] + sizes[None, :] - both)
+        if group.column("i")[0].as_py() != group.column("j")[0].as_py():
+            good &= own_[:, None] != own_[None, :]
+        at = {r: r for r in root.tolist()}
+
+        def find(r: int) -> int:
+            while at[r] != r:
+                at[r] = r = at[at[r]]
+            return r
+
+        a, b = [], []
+        for x, y in zip(*np.nonzero(np.triu(good, 1)), strict=True):
+            p, q = find(int(root[x])), find(int(root[y]))
+            if p != q:
+                at[p] = q
+                a.append(int(ids[x]))
+                b.append(int(ids[y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return checkpointed(joined.groupBy("key", "i", "j").applyInArrow(confirm, "a bigint, b bigint"))
+
+
+def _estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """estimate() for each row of x against each row of y."""
+    v = x[:, None, :] ^ y[None, :, :]
+    for s in (BITS >> 1, BITS >> 2):
+        v |= v >> np.uint64(s)
+    v &= np.uint64(sum(1 << s for s in range(0, 64, BITS)))
+    equal = 1.0 - np.bitwise_count(v).sum(axis=2, dtype=np.int64) / MINIMA
+    return (equal - 2.0**-BITS) / (1.0 - 2.0**-BITS)
+
+
+def _intersections(items: pa.ChunkedArray) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, those of the sets on the diagonal."""
+    array = items.combine_chunks()
+    sizes = np.diff(array.offsets.to_numpy())
+    values, owner = array.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+    _, place, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count[place] > 1
+    _, place = np.unique(place[shared], return_inverse=True)
+    owner = owner[shared]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    out = np.zeros((len(sizes), len(sizes)), np.float32)
+    width = 4096
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        a, b = np.searchsorted(place, (lo, lo + width))
+        has = np.zeros((len(sizes), width), np.float32)
+        has[owner[a:b], place[a:b] - lo] = 1
+        out += has @ has.T
+    out = np.rint(out).astype(np.int64)
+    np.fill_diagonal(out, sizes)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every id that has a link, root being the smallest id reachable.
 
@@ -191,13 +297,15 @@ def near_groups(docs: DataFrame, words: int = 5, hundredths: int = 80, text: str
     roots = components(links)
     placed = reps.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "bands")
     spread = placed.select("id", "root", F.explode("bands").alias("key"))
-    mixed = checkpointed(spread.join(pivots.select("key"), "key", "left_semi").groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main"))
+    counted = spread.join(pivots.select("key"), "key", "left_semi").groupBy("key", "root").count()
+    mixed = checkpointed(counted.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main", "n"))
     open_ = checkpointed(spread.join(mixed, "key"))
-    x, y = open_.where("root <> main").alias("x"), open_.alias("y")
+    small = open_.where(F.col("n") <= SMALL)
+    x, y = small.where("root <> main").alias("x"), small.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
     rest = x.join(y, across).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     rest = checkpointed(_likely(rest, reps, hundredths).join(likely, ["a", "b"], "left_anti"))
-    more = confirmed(docs, rest, words, hundredths, text)
+    more = confirmed(docs, rest, words, hundredths, text).unionByName(block_links(docs, open_.where(F.col("n") > SMALL), reps, words, hundredths, text))
     roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     of_class = checkpointed(classes.join(roots, classes.rep == roots.id, "left").select("set_a", "set_b", F.coalesce("root", "rep").alias("class_root")))
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_root")).otherwise(F.col("doc_id"))
