@@ -62,8 +62,12 @@ def shard_batches(task: str, generator: str, config: dict, steps: int, base_seed
             begun += t
 
 
-def generate(spark: SparkSession, generator: str, config: dict | None = None, count: int = 1, seq_length: int = 16, seed: int = 0, task: str = "task", shard_size: int | None = None, partitions: int | None = None) -> DataFrame:
-    """Frames of `count` samples of a generator. sample_id restarts at 0 in every shard; KEY tells samples apart."""
+def generate(spark: SparkSession, generator: str, config: dict | None = None, count: int = 1, seq_length: int = 16, seed: int = 0, task: str = "task", shard_size: int | None = None, partitions: int | None = None, isolate: bool = False) -> DataFrame:
+    """Frames of `count` samples of a generator. sample_id restarts at 0 in every shard; KEY tells samples apart.
+
+    With isolate there is a further column, error: a shard that fails adds a row without state that says why, and the others
+    go on.
+    """
     ship(spark)
     config = config or {}
     kernel = GENERATORS.get(generator)(config)  # rejects wrong parameters here rather than in a task
@@ -77,9 +81,19 @@ def generate(spark: SparkSession, generator: str, config: dict | None = None, co
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for shard in np.unique(ids // size):
-                yield from shard_batches(task, generator, config, seq_length, seed, int(shard), ids[ids // size == shard] - shard * size)
+                own = ids[ids // size == shard] - shard * size
+                if not isolate:
+                    yield from shard_batches(task, generator, config, seq_length, seed, int(shard), own)
+                    continue
+                try:
+                    for made in shard_batches(task, generator, config, seq_length, seed, int(shard), own):
+                        yield pa.RecordBatch.from_arrays([*made.columns, pa.nulls(made.num_rows, pa.string())], names=[*made.schema.names, "error"])
+                except Exception as e:  # whatever a generator raises is the shard's result
+                    row = [pa.array([task]), pa.array([shard], pa.int32()), *[pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(ARROW[kernel.kind]), pa.string())], pa.array([f"{type(e).__name__}: {e}"])]
+                    yield pa.RecordBatch.from_arrays(row, names=["task", "shard_id", "sample_id", "pos", "step_index", "state", "label", "error"])
 
-    return spark.range(0, count, 1, partitions or spark.sparkContext.defaultParallelism).mapInArrow(run, schema(kernel.kind))
+    columns = schema(kernel.kind) + (", error string" if isolate else "")
+    return spark.range(0, count, 1, partitions or spark.sparkContext.defaultParallelism).mapInArrow(run, columns)
 
 
 class FrameSource(DataSource):
@@ -131,6 +145,9 @@ class EndlessReader(SimpleDataSourceStreamReader):
         return {"step": 0}
 
     def _rows(self, start: int, end: int) -> Iterator[tuple]:
+        return iter(list(self._made(start, end)))  # what Spark ships must be a list's iterator
+
+    def _made(self, start: int, end: int) -> Iterator[tuple]:
         p = self.plan
         kernel = GENERATORS.get(p["generator"])(p["config"])
         stop = min(end, p["steps"]) if p["steps"] else end
