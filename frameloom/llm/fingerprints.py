@@ -31,7 +31,10 @@ def term_hashes(text: Column) -> Column:
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys and simhash (bigint) of each text; keys must tell the rows apart. Null, empty and blank texts have 0."""
+    """keys and simhash (bigint) of each text. Null, empty and blank texts have 0.
+
+    Texts with the same keys must be the same: they vote alike, which changes nothing.
+    """
     lanes = [sum(1 << s for s in (0, SPACING, 2 * SPACING) if s + j < BITS) for j in range(SPACING)]
     votes = texts.select(*keys, F.posexplode_outer(term_hashes(whole(text))).alias("at", "vote")).withColumn("chunk", F.floor(F.col("at") / CHUNK))
     sums = [F.coalesce(F.sum(F.shiftrightunsigned("vote", j).bitwiseAND(F.lit(m))), F.lit(0)).alias(f"s{j}") for j, m in enumerate(lanes)]
@@ -80,34 +83,34 @@ def hamming_search(queries: DataFrame, prints: DataFrame, radius: int = RADIUS,
 
 
 def with_next(rows: DataFrame) -> DataFrame:
-    """rows of (doc_id, h, ...) with next_id and next_h of the row that follows by (doc_id, h); the first follows the last.
+    """rows of (doc_id, k, h, ...) with next_k and next_h of the row that follows by (doc_id, h); the first follows the last.
 
-    Nulls come first. (doc_id, h) must be distinct. Rows are sorted in ranges; one row a range meets the next range's first.
+    Nulls come first. (k, h) must be distinct. Rows are sorted in ranges; one row a range meets the next range's first.
     """
     ranged = checkpointed(rows.repartitionByRange("doc_id", "h").withColumn("range", F.spark_partition_id()))
-    me = F.struct("doc_id", "h")
+    me = F.struct("doc_id", "h", "k")
     firsts = ranged.groupBy("range").agg(F.min(me).alias("first"))
     order = Window.orderBy("range")  # a row for each range
     heads = firsts.select("range", F.coalesce(F.lead("first").over(order), F.first("first").over(order)).alias("head"))
     inside = F.lead(me).over(Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "h"))
     joined = ranged.withColumn("inside", inside).join(F.broadcast(heads), "range").withColumn("following", F.coalesce("inside", "head"))
-    return joined.select(*rows.columns, F.col("following.doc_id").alias("next_id"), F.col("following.h").alias("next_h"))
+    return joined.select(*rows.columns, F.col("following.k").alias("next_k"), F.col("following.h").alias("next_h"))
 
 
 def edited_texts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h, n_chars, next_id, next_h) and (doc_id, h, body, edited): the last quarter of a text gives way to the next one's beginning."""
-    body = docs.select("doc_id", F.xxhash64(whole(text)).alias("h"), whole(text).alias("body"))
-    rows = body.select("doc_id", "h", F.length("body").cast("bigint").alias("n_chars")).distinct()
+    """(doc_id, k, h, n_chars, next_k, next_h) and (k, h, body, edited): a text's last quarter gives way to the next one's start.
+
+    (k, h), an id without null and a hash of the text, tells documents apart. Both joins use one shuffle of the texts.
+    """
+    key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64(F.col("doc_id").isNull(), whole(text)).alias("h")]
+    body = docs.select(*key, whole(text).alias("body")).dropDuplicates(["k", "h"])
+    rows = docs.select("doc_id", *key, F.length(whole(text)).cast("bigint").alias("n_chars")).distinct()
     chain = checkpointed(with_next(rows))
     taken = F.floor(F.col("n_chars") / 4).cast("int")
-    same = F.expr("t.doc_id <=> w.doc_id and t.h = w.h")
-    wanted = chain.select(F.col("next_id").alias("doc_id"), F.col("next_h").alias("h"), F.col("doc_id").alias("for_id"), F.col("h").alias("for_h"), taken.alias("taken"))
-    heads = body.alias("t").join(wanted.alias("w"), same).select(F.col("for_id").alias("doc_id"), F.col("for_h").alias("h"), F.substring("body", F.lit(1), F.col("taken")).alias("head"))
-    once = body.dropDuplicates(["doc_id", "h"])
-    ends = chain.alias("t").join(heads.dropDuplicates(["doc_id", "h"]).alias("w"), same).select("t.*", "head")
-    left = F.substring("body", F.lit(1), F.col("n_chars").cast("int") - taken)
-    both = once.alias("t").join(ends.alias("w"), same).select("w.doc_id", "w.h", "body", F.concat(left, F.col("head")).alias("edited"))
-    return chain, both
+    wanted = chain.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("for_k"), F.col("h").alias("for_h"), taken.alias("taken"))
+    heads = body.join(wanted, ["k", "h"]).select(F.col("for_k").alias("k"), F.col("for_h").alias("h"), F.substring("body", F.lit(1), F.col("taken")).alias("head"))
+    kept = F.substring("body", F.lit(1), F.length("body") - F.floor(F.length("body") / 4).cast("int"))
+    return chain, body.join(heads, ["k", "h"]).select("k", "h", "body", F.concat(kept, F.col("head")).alias("edited"))
 
 
 def edit_fingerprints(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -118,15 +121,14 @@ def edit_fingerprints(docs: DataFrame, text: str = "text", radius: int = RADIUS)
     document. A null id comes first in the order. An empty table gives no rows; a single document follows itself.
     """
     chain, texts = edited_texts(docs, text)
-    sides = texts.select("doc_id", "h", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("digest"), F.posexplode(F.array("body", "edited")).alias("side", "text"))
-    found = checkpointed(fingerprints(sides, ["doc_id", "h", "digest", "side"]))
+    sides = texts.select("k", "h", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("digest"), F.posexplode(F.array("body", "edited")).alias("side", "text"))
+    found = checkpointed(fingerprints(sides, ["k", "h", "digest", "side"]))
     of_side = lambda side: F.max(F.when(F.col("side") == side, F.col("simhash")))
-    pair = found.groupBy("doc_id", "h", "digest").agg(of_side(0).alias("own"), of_side(1).alias("after_edit"))
-    pair = pair.alias("p").join(chain.alias("c"), F.expr("p.doc_id <=> c.doc_id and p.h = c.h")).select("p.*", "n_chars", "next_id", "next_h")
-    own = found.where("side = 0").select(F.col("doc_id").alias("n_id"), F.col("h").alias("n_h"), F.col("simhash").alias("next_print"))
-    joined = pair.join(own, F.col("next_id").eqNullSafe(F.col("n_id")) & (F.col("next_h") == F.col("n_h")), "left")
+    pair = found.groupBy("k", "h", "digest").agg(of_side(0).alias("own"), of_side(1).alias("after_edit")).join(chain, ["k", "h"])
+    own = found.where("side = 0").select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("simhash").alias("next_print"))
+    joined = pair.join(own, ["next_k", "next_h"])
     prints = checkpointed(found.where("side = 0").groupBy("simhash").count())
-    asked = found.where("side = 0 and doc_id % 20 = 0").select("simhash")
+    asked = pair.where("doc_id % 20 = 0").select(F.col("own").alias("simhash"))
     near = hamming_search(asked, prints, radius).join(prints, "simhash").groupBy("query").agg(F.sum("count").alias("hits"))
     near = checkpointed(near)
     out = joined.join(near, (F.col("own") == F.col("query")) & (F.col("doc_id") % 20 == 0), "left")
