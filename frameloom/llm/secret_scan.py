@@ -69,7 +69,7 @@ def labelled_samples(docs: DataFrame, text: str = "text", documents: int = SAMPL
     named = sample.select("t", F.concat(*base_spans(F.col("t"))).alias("base"))
     values = named.select(F.explode("base.value").alias("v")).select(F.explode(F.regexp_extract_all("v", F.lit("[A-Za-z0-9+/_=-]{12,}$"), F.lit(0))).alias("word"))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    ordinary = named.select(F.explode(F.regexp_extract_all(plain, F.lit(f"[A-Za-z0-9+/_=-]{{{ORDINARY},}}"), F.lit(0))).alias("word"))
+    ordinary = named.select(F.explode(F.regexp_extract_all(plain, F.lit(f"[A-Za-z0-9+/_=-]{{{ORDINARY},}}"), F.lit(0))).alias("word")).where(F.rlike("word", F.lit("[A-Za-z]")))  # numbers are no identifiers
     digest = F.sha2(F.col("id").cast("string"), 256)
     made = docs.sparkSession.range(seeded).select(F.when(F.col("id") % 3 == 0, digest).when(F.col("id") % 3 == 1, F.substring(F.base64(F.unhex(digest)), 1, 40)).otherwise(F.substring(F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)), 1, 20)).alias("word"))
     return values.unionByName(made).withColumn("random", F.lit(1)).unionByName(ordinary.withColumn("random", F.lit(0)))
@@ -119,7 +119,7 @@ def scan_secrets(docs: DataFrame, models: Models | None = None, text: str = "tex
     rows = rows.select("*", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), kind_spans(t, "markov", CANDIDATE).alias("candidates"))
     free = lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     ratios = models.table()
-    random = lambda c: models.score(c["value"], ratios) > models.threshold
+    random = lambda c: F.rlike(c["value"], F.lit("[A-Za-z]")) & (models.score(c["value"], ratios) > models.threshold)
     rows = rows.withColumn("markov", F.filter(F.filter("candidates", free), random))
     said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda c: F.size(c).cast("bigint").alias(f"n_{c}")
