@@ -51,3 +51,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: Rows of a few short columns that a broadcast may hold: some tens of MB.
+FEW = 200_000
+
+
+def broadcast_if_few(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """df, which must be materialised and narrow, marked for a broadcast where its counted rows are few; else it is shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from frameloom.llm._common import checkpointed, ensure_checkpoint_dir, table, whole
+from frameloom.llm._common import broadcast_if_few, checkpointed, ensure_checkpoint_dir, table, whole
 from frameloom.workers import ship
 
 #: Characters of payload in a segment at most.
@@ -59,7 +59,7 @@ def write_archives(pages: DataFrame, path: str, payload: str = "html", uri: str
     text = whole(payload)
     keyed = pages.select("page_id", F.col(uri).cast("string").alias("uri"), text.alias("body"), F.sha1(text.cast("binary")).alias("sha1"), F.octet_length(text).cast("bigint").alias("payload_bytes"))
     roles = record_roles(pages, payload, least)
-    joined = keyed.join(roles, ["sha1", "payload_bytes"], "left").withColumn("again", F.coalesce(F.col("first_id") < F.col("page_id"), F.lit(False)))
+    joined = keyed.join(broadcast_if_few(roles), ["sha1", "payload_bytes"], "left").withColumn("again", F.coalesce(F.col("first_id") < F.col("page_id"), F.lit(False)))
     parts = F.when(F.col("again"), F.array(F.lit(""))).otherwise(segments(F.col("body"), size))
     rows = joined.select("page_id", "uri", "sha1", "payload_bytes", "first_id", "again", parts.alias("parts")).select("*", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "part")).drop("parts")
     urn = lambda page, i: F.concat(F.lit("<urn:page:"), page.cast("string"), F.when(i > 0, F.concat(F.lit(":"), (i + 1).cast("string"))).otherwise(F.lit("")), F.lit(">"))
