@@ -24,7 +24,7 @@ VALUE = 6
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
 #: Documents whose long words are ordinary samples, the seeded random samples, and the share of ordinary samples let through.
-SAMPLE_DOCS, SEEDED, LET_THROUGH = 4000, 2000, 0.0005
+SAMPLE_DOCS, SEEDED, LET_THROUGH = 4000, 2000, 0.005
 #: Words of the ordinary samples have this length at least.
 ORDINARY = 8
 
