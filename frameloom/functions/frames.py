@@ -10,6 +10,11 @@ from frameloom.errors import InvalidParams
 LAST_CODEPOINT, REPLACEMENT = 0x10FFFF, 0xFFFD
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once for a row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def finite_or_zero(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x)
 
@@ -24,20 +29,28 @@ def all_zero(state: Column) -> Column:
     return F.forall(state, lambda v: v.cast("double") == 0)
 
 
+def _entropy(values: Column) -> Column:
+    """Shannon entropy in bits of an array's values: runs of the sorted array, one pass."""
+    n = F.size(values).cast("double")
+    start = F.struct(F.lit(0.0).alias("bits"), F.lit(0).alias("run"), F.lit(None).cast("bigint").alias("last"))
+    term = lambda run: F.when(run > 0, -(run / n) * F.log2(run / n)).otherwise(0.0)
+
+    def step(acc, v):
+        same = v == acc["last"]
+        bits = F.when(same, acc["bits"]).otherwise(acc["bits"] + term(acc["run"]))
+        return F.struct(bits.alias("bits"), F.when(same, acc["run"] + 1).otherwise(F.lit(1)).alias("run"), v.cast("bigint").alias("last"))
+
+    return F.aggregate(F.array_sort(values), start, step, lambda acc: acc["bits"] + term(acc["run"]))
+
+
 def histogram_entropy(state: Column, kind: str = "int") -> Column:
     """Shannon entropy of |cell| mod 256 in bits, over 8; 0 without cells."""
-    bins = F.transform(cells_as_int(state, kind), lambda v: F.abs(v % 256))
-    n = F.size(state).cast("double")
-    share = lambda b: F.size(F.filter(bins, lambda x: x == b)) / n
-    bits = F.aggregate(F.array_distinct(bins), F.lit(0.0), lambda acc, b: acc - share(b) * F.log2(share(b)))
-    return F.when(F.size(state) == 0, F.lit(0.0)).otherwise(bits / 8)
+    return let(F.transform(cells_as_int(state, kind), lambda v: F.abs(v % 256)), lambda bins: _entropy(bins) / 8)
 
 
 def bin_entropy(state: Column, bins: int) -> Column:
     """Shannon entropy in bits of the cells 0 .. bins-1, others left out."""
-    kept = F.filter(state, lambda v: (v >= 0) & (v < bins))
-    share = lambda b: F.size(F.filter(kept, lambda x: x == b)) / F.size(kept).cast("double")
-    return F.aggregate(F.array_distinct(kept), F.lit(0.0), lambda acc, b: acc - share(b) * F.log2(share(b)))
+    return let(F.filter(state, lambda v: (v >= 0) & (v < bins)), _entropy)
 
 
 def scaled(v: Column, low: Column, high: Column, most: float, method: str = "Linear") -> Column:
@@ -116,11 +129,16 @@ def first_largest(values: Column) -> Column:
 
 def softmax_pick(logits: Column, u: Column) -> Column:
     """The first place at which the cumulated softmax exceeds u, the last one if none does."""
-    shifted = F.transform(logits, lambda v: F.exp(v - F.array_max(logits)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, v: a + v)
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(False).alias("done"))
-    step = lambda a, v: F.struct((a["sum"] + v / total).alias("sum"), F.when(a["done"] | (u < a["sum"] + v / total), a["at"]).otherwise(a["at"] + 1).alias("at"), (a["done"] | (u < a["sum"] + v / total)).alias("done"))
-    return F.aggregate(shifted, start, step, lambda a: F.least(a["at"], F.size(logits) - 1))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"))
+
+    def picked(e: Column) -> Column:
+        def count(total: Column) -> Column:
+            step = lambda a, v: F.struct((a["sum"] + v / total).alias("sum"), F.when(u < a["sum"] + v / total, a["at"]).otherwise(a["at"] + 1).alias("at"))  # noqa: E731  sums only grow
+            return F.aggregate(e, start, step, lambda a: F.least(a["at"], F.size(e) - 1))
+
+        return let(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), count)
+
+    return let(let(F.array_max(logits), lambda most: F.transform(logits, lambda v: F.exp(v - most))), picked)
 
 
 def layer(state: Column, index: int, size: int) -> Column:

@@ -104,6 +104,16 @@ def curve_stats(points: DataFrame, curve: str, step: str, value: str, edge: int
     return out.withColumn("drop_percent", F.when(F.col("first_value") != 0, (F.col("first_value") - F.col("last_value")) / F.col("first_value") * 100))
 
 
+def subsampled(frames: DataFrame, start: int, stride: int) -> DataFrame:
+    """Every stride-th frame from start on."""
+    return frames.where((F.col("pos") >= start) & ((F.col("pos") - start) % stride == 0))
+
+
+def masked_sum(rows: DataFrame, by: list[str], value: Column, counted: Column, name: str) -> DataFrame:
+    """The sum of a value over the rows that a mask leaves in, such as a sequence's log-probability."""
+    return rows.groupBy(*by).agg(F.sum(F.when(counted, value)).alias(name))
+
+
 def progress(done: Column, total: Column, seconds: Column) -> dict[str, Column]:
     """Per cent, rate and time left."""
     rate = F.when(seconds > 0, done / seconds)

@@ -301,12 +301,39 @@ def argmax_embeddings(spark, d):
     return read(spark, d, "embeddings").select("vec_id", X.first_largest(F.col("embedding")).alias("at"))
 
 
+@query(f"WITH {EV} SELECT sample_id, pos, value FROM ev WHERE pos >= 2 AND (pos - 2) % 3 = 0")
+def frame_subsample_events(spark, d):
+    return S.subsampled(event_values(spark, d), 2, 3).select("sample_id", "pos", F.element_at("state", 1).alias("value"))
+
+
+@query(f"WITH {GRID} SELECT vec_id AS sample_id, array_to_string(s[17:32], ',') AS layer, array_to_string(list_transform(range(0, 16), lambda i: s[4 * i + 3]), ',') AS channel, array_to_string(list_transform(range(0, 4), lambda c: CAST(c = s[1] AS INT)), ',') AS hot FROM g")
+def projections_embeddings(spark, d):
+    return grids(spark, d).select("sample_id", joined(X.layer(F.col("state"), 1, 16)).alias("layer"), joined(X.channel(F.col("state"), 2, 4)).alias("channel"), joined(X.one_hot(F.element_at("state", 1), 4)).alias("hot"))
+
+
+@query("SELECT user_id, round(sum(ln(1 + value)) FILTER (event_type <> 'error'), 6) AS logprob FROM events GROUP BY user_id")
+def masked_logprob_events(spark, d):
+    return S.masked_sum(read(spark, d, "events"), ["user_id"], F.log1p("value"), F.col("event_type") != "error", "logprob").withColumn("logprob", r6("logprob"))
+
+
+@query("""WITH e AS (SELECT vec_id, (vec_id % 100) / 100 AS u, list_transform(embedding, lambda x: exp(x::DOUBLE)) AS e FROM embeddings), c AS (SELECT vec_id, u, list_transform(range(1, 65), lambda i: list_sum(e[1:i]) / list_sum(e)) AS c FROM e)
+SELECT vec_id, CAST(len(list_filter(c, lambda x: x <= u)) AS INT) AS place FROM c""")
+def softmax_pick_embeddings(spark, d):
+    logits = F.transform("embedding", lambda x: x.cast("double"))
+    return read(spark, d, "embeddings").select("vec_id", X.softmax_pick(logits, (F.col("vec_id") % 100) / 100).alias("place"))
+
+
+@query(f"WITH {SIGN} SELECT vec_id, string_agg(CASE WHEN x = 1 THEN 'ffffff' ELSE '000000' END, ',' ORDER BY i) AS colours FROM (SELECT vec_id, unnest(s) AS x, unnest(range(0, 64)) AS i FROM g) GROUP BY vec_id")
+def state_colours(spark, d):
+    return signs(spark, d).select("vec_id", F.array_join(F.transform("s", lambda v: X.hue(v, 2)), ",").alias("colours"))
+
+
 # ---- joins, windows, sorts, sets ---------------------------------------------------------------------------------------------
 @query("""WITH c AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding) > 0 AS x FROM embeddings), p AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, x FROM c),
 o AS (SELECT * FROM (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(dr, dc))
-SELECT p.vec_id, p.r, p.c, count(*) FILTER (q.x) AS alive FROM p CROSS JOIN o JOIN p q ON q.vec_id = p.vec_id AND q.r = p.r + dr AND q.c = p.c + dc WHERE p.vec_id < 100 GROUP BY ALL""")
+SELECT p.vec_id, p.r, p.c, count(*) FILTER (q.x) AS alive FROM p CROSS JOIN o JOIN p q ON q.vec_id = p.vec_id AND q.r = p.r + dr AND q.c = p.c + dc GROUP BY ALL""")
 def neighbour_join_grid(spark, d):
-    cells = read(spark, d, "embeddings").where("vec_id < 100").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    cells = read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
     cells = cells.select("vec_id", F.floor(F.col("i") / 8).alias("r"), (F.col("i") % 8).cast("bigint").alias("c"), (F.col("v") > 0).alias("x"))
     offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in rules.CROSS]))
     asked = cells.select("vec_id", "r", "c", offsets.alias("o")).select("vec_id", "r", "c", (F.col("r") + F.col("o.dr")).alias("nr"), (F.col("c") + F.col("o.dc")).alias("nc"))
