@@ -25,7 +25,7 @@ MINIMA, ROWS, BITS, SEED = 128, 4, 4, 20240613
 #: A pair whose estimate lies this far below the threshold is dropped: six standard errors of 128 minima.
 SLACK = 0.2
 #: Buckets with more members are compared in blocks of about so many members.
-SMALL, BLOCK = 32, 256
+SMALL, BLOCK = 32, 512
 REMEMBERED = 500_000
 _MASK = (1 << 64) - 1
 
