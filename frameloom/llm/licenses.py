@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from frameloom.llm._common import lower_ascii, table, whole
+from frameloom.llm._common import checkpointed, lower_ascii, table, whole
 
 #: Words of a text, and the base phrases with their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -92,7 +92,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: d
     without a base phrase first_word and last_word are null and base_labels is empty. Rows that repeat an id and a text each
     get the same result. An empty table gives no rows.
     """
-    spans = verified_spans(template_hits(docs, phrases, notices, text))
+    spans = verified_spans(checkpointed(template_hits(docs, phrases, notices, text)))  # read twice there
     labels = lambda on: F.array_join(F.array_sort(F.collect_set(F.when(on, F.col("label")))), ",")
     found = spans.groupBy("doc_id", "h").agg(
         F.count_if("base").alias("n_base"), F.min(F.when(F.col("base"), F.col("first_word"))).alias("first_word"), F.max(F.when(F.col("base"), F.col("first_word"))).alias("last_word"),
