@@ -146,10 +146,28 @@ def _pattern(x: np.ndarray) -> str:
     return "".join("-0+"[v + 1] for v in votes(x))
 
 
+def smallest_hashes(texts: DataFrame, sizes: dict[str, int], take: int) -> list[int]:
+    """The `take` smallest h of each pattern, or all where it has fewer; texts has distinct (pattern, h), sizes their count by pattern.
+
+    They nearly always lie below a quantile of the hash range, so one small aggregate replaces sorting each pattern. A pattern
+    with too few below it is asked again with a higher limit.
+    """
+    chosen, expected = [], take + 8 * math.isqrt(take) + 32
+    while sizes:
+        limits = texts.sparkSession.createDataFrame([(p, min(2**63 - 1, 2**63 * expected // n)) for p, n in sizes.items()], "p string, most bigint")
+        near = texts.join(F.broadcast(limits), F.col("pattern") == F.col("p")).where("h <= most")
+        found = {r["pattern"]: r["hs"] for r in near.groupBy("pattern").agg(F.slice(F.array_sort(F.collect_list("h")), 1, take).alias("hs")).collect()}
+        enough = {p for p, n in sizes.items() if len(found.get(p, ())) >= min(take, n)}
+        chosen += [h for p in enough for h in found[p]]
+        sizes, expected = {p: n for p, n in sizes.items() if p not in enough}, expected * 4
+    return chosen
+
+
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, per_pattern: int = PER_PATTERN, features: int = FEATURES) -> QualityModel:
-    """Count patterns over all documents, then train on at most `sample` documents, at most `per_pattern` of each pattern.
+    """Count patterns over all documents, then train on at most `sample` texts, at most `per_pattern` of each pattern.
 
-    The sample has the smallest hashes of text, so repeated texts and the order of rows do not matter.
+    The sample has the smallest hashes of each pattern's distinct texts, so copies and the order of rows do not matter, and a
+    pattern with few texts has them all in it.
     """
     ship(docs.sparkSession)
 
@@ -157,35 +175,33 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, per_pattern
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) >> 1 for t in batch.column(0).to_pylist()], pa.int64()), pa.array([_pattern(shape(t)) for t in batch.column(0).to_pylist()], pa.string())], names=["h", "pattern"])
 
-    seen = checkpointed(docs.select(text).mapInArrow(voted, "h bigint, pattern string"))
-    # The smallest hashes of a pattern all lie below a quantile of its hashes: one small aggregate instead of sorting each pattern.
-    tally = seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    counted = tally.collect()  # at most 3 ** len(LABELLERS) rows
+    seen = docs.select(text).mapInArrow(voted, "h bigint, pattern string")
+    texts = checkpointed(seen.groupBy("pattern", "h").agg(F.count(F.lit(1)).alias("copies")))
+    counted = texts.groupBy("pattern").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("texts")).collect()  # at most 3 ** len(LABELLERS) rows
     if not counted:
         return QualityModel({}, {}, np.zeros(features), 4.0, features)
     patterns = np.array([["-0+".index(c) - 1 for c in r["pattern"]] for r in counted])
     share, chance, post = estimate_accuracies(patterns, np.array([float(r["n"]) for r in counted]))
     posteriors = {r["pattern"]: float(p) for r, p in zip(counted, post, strict=True)}
     take = max(1, min(per_pattern, sample // len(counted)))
-    below = {r["pattern"]: min(2**63 - 1, 2**63 * 2 * take // r["n"]) for r in counted}
-    limits = docs.sparkSession.createDataFrame(list(below.items()), "p string, most bigint")
-    near = seen.join(F.broadcast(limits), F.col("pattern") == F.col("p")).where("h <= most").select("h", "pattern").distinct()
-    chosen = [r["h"] for r in near.groupBy("pattern").agg(F.slice(F.array_sort(F.collect_list("h")), 1, take).alias("hs")).select(F.explode("hs").alias("h")).collect()]
+    chosen = smallest_hashes(texts, {r["pattern"]: r["texts"] for r in counted}, take)
     wanted = frozenset(chosen)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()  # of the wanted, so that a task makes the features of copies once
         for batch in batches:
             rows = []
             for t in batch.column(0).to_pylist():
                 h = xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) >> 1
-                if h in wanted:
+                if h in wanted and h not in done:
+                    done.add(h)
                     x = shape(t)
                     rows.append((h, _pattern(x), feature_counts(t, x, features).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], names=["h", "pattern", "x"])
 
     got = docs.select(text).mapInArrow(featured, "h bigint, pattern string, x binary").groupBy("h").agg(F.first("pattern").alias("pattern"), F.first("x").alias("x")).collect()
     got.sort(key=lambda r: r["h"])
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in got])
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in got]).reshape(len(got), features)
     target = np.array([posteriors[r["pattern"]] for r in got])
     weight = np.where(target >= 0.5, 0.5 / max(1e-9, (target >= 0.5).sum()), 0.5 / max(1e-9, (target < 0.5).sum()))
     w, b = fit_linear(x, target, weight)

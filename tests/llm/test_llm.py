@@ -322,6 +322,25 @@ def test_quality_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.kept)
 
 
+def test_quality_trains_on_copied_texts(spark, monkeypatch):
+    trained, fit = [], quality.fit_linear
+    monkeypatch.setattr(quality, "fit_linear", lambda x, *rest: trained.append(len(x)) or fit(x, *rest))
+    words = ["green", "river", "stone", "window", "garden", "letter", "morning", "silver"]
+    texts = [" ".join(words[i:] + words[:i]) + "." for i in range(8)]  # one pattern
+    quality.train(docs(spark, [(i, texts[i % 8]) for i in range(4000)]), per_pattern=20)
+    rare = [" ".join(words[i:j]) + " road." for i in range(8) for j in range(i + 3, 8)]
+    quality.train(docs(spark, [(i, t) for i, t in enumerate(texts + rare)] + [(100 + i, texts[0]) for i in range(4000)]), per_pattern=100)
+    assert trained == [len(texts), len(texts + rare)]
+
+
+def test_quality_smallest_hashes(spark, monkeypatch):
+    # One pattern lies high in the hash range and has to be asked again.
+    hashes = {"a": [i << 40 for i in range(1, 200)], "b": [2**63 - 1 - i for i in range(300)], "c": [5]}
+    texts = spark.createDataFrame([(p, h) for p, hs in hashes.items() for h in hs], "pattern string, h long")
+    got = quality.smallest_hashes(texts, {p: len(hs) for p, hs in hashes.items()}, 2)
+    assert sorted(got) == sorted(h for hs in hashes.values() for h in sorted(hs)[:2])
+
+
 # ---- 9 -----------------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("limit", [500, 20_000, 1 << 40])
 def test_shards_fit(spark, texts, limit):
