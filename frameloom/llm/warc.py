@@ -44,39 +44,49 @@ def segments(payload: Column, size: int = SEGMENT) -> Column:
     return F.when(F.length(payload) <= size, F.when(F.contains(payload, F.lit(RISKY)), mark(payload)).otherwise(F.array(payload))).otherwise(cut)
 
 
-def record_roles(pages: DataFrame, payload: str = "html", least: int = 0) -> DataFrame:
-    """Rows (sha1, payload_bytes, first_id): of equal payloads of at least `least` bytes the smallest page_id."""
+def row_tag(text: Column, uri: str) -> Column:
+    """What tells the rows of one page_id apart in record identifiers: a digest of payload and address."""
+    address = F.col(uri).cast("string")
+    return F.sha1(F.concat(F.sha1(text.cast("binary")), F.coalesce(F.concat(F.lit(" "), address), F.lit(""))).cast("binary"))
+
+
+def record_roles(pages: DataFrame, payload: str = "html", least: int = 0, uri: str = "url") -> DataFrame:
+    """Rows (sha1, payload_bytes, first_id, first_tag): of equal payloads of at least `least` bytes the smallest page_id."""
     text = whole(payload)
-    sized = pages.select("page_id", F.sha1(text.cast("binary")).alias("sha1"), F.octet_length(text).cast("bigint").alias("payload_bytes"))
-    return checkpointed(sized.where(F.col("payload_bytes") >= least).groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    sized = pages.select("page_id", row_tag(text, uri).alias("tag"), F.sha1(text.cast("binary")).alias("sha1"), F.octet_length(text).cast("bigint").alias("payload_bytes"))
+    return checkpointed(sized.where(F.col("payload_bytes") >= least).groupBy("sha1", "payload_bytes").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "tag"))).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sha1", "payload_bytes", F.col("first.page_id").alias("first_id"), F.col("first.tag").alias("first_tag")))
 
 
 def write_archives(pages: DataFrame, path: str, payload: str = "html", uri: str = "url", least: int = 0, size: int = SEGMENT, date: str = "2024-01-01T00:00:00Z", compression: str = "none") -> None:
     """Write a record for each page below `path`; null payloads are empty, null addresses leave their header out.
 
-    Pages that repeat an id and a payload give equal records; page_id must not be null.
+    A record's identifier names page_id, a digest of payload and address, and for rows equal in all of these a number, so each row
+    has records of its own. A revisit names such equal rows without the number. A null page_id is written as `null`, with its payload.
     """
     text = whole(payload)
-    keyed = pages.select("page_id", F.col(uri).cast("string").alias("uri"), text.alias("body"), F.sha1(text.cast("binary")).alias("sha1"), F.octet_length(text).cast("bigint").alias("payload_bytes"))
-    roles = record_roles(pages, payload, least)
+    keyed = pages.select("page_id", row_tag(text, uri).alias("tag"), F.monotonically_increasing_id().alias("row"), F.col(uri).cast("string").alias("uri"), text.alias("body"), F.sha1(text.cast("binary")).alias("sha1"), F.octet_length(text).cast("bigint").alias("payload_bytes"))
+    roles = record_roles(pages, payload, least, uri)
+    equal = checkpointed(pages.select(F.col("page_id").alias("page2"), row_tag(text, uri).alias("tag2")).groupBy("page2", "tag2").count().where("count > 1").select("page2", "tag2"))
+    keyed = keyed.join(broadcast_if_few(equal), F.col("page_id").eqNullSafe(F.col("page2")) & (F.col("tag") == F.col("tag2")), "left")
+    keyed = keyed.withColumn("tag", F.when(F.col("tag2").isNotNull(), F.concat_ws("-", "tag", "row")).otherwise(F.col("tag"))).drop("page2", "tag2", "row")
     joined = keyed.join(broadcast_if_few(roles), ["sha1", "payload_bytes"], "left").withColumn("again", F.coalesce(F.col("first_id") < F.col("page_id"), F.lit(False)))
     parts = F.when(F.col("again"), F.array(F.lit(""))).otherwise(segments(F.col("body"), size))
-    rows = joined.select("page_id", "uri", "sha1", "payload_bytes", "first_id", "again", parts.alias("parts")).select("*", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "part")).drop("parts")
-    urn = lambda page, i: F.concat(F.lit("<urn:page:"), page.cast("string"), F.when(i > 0, F.concat(F.lit(":"), (i + 1).cast("string"))).otherwise(F.lit("")), F.lit(">"))
+    rows = joined.select("page_id", "tag", "uri", "sha1", "payload_bytes", "first_id", "first_tag", "again", parts.alias("parts")).select("*", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "part")).drop("parts")
+    urn = lambda page, tag, i: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("null")), F.lit(":"), F.col(tag), F.when(i > 0, F.concat(F.lit(":"), (i + 1).cast("string"))).otherwise(F.lit("")), F.lit(">"))
     first, several, again = F.col("i") == 0, F.col("n") > 1, F.col("again")
     line = lambda name, value, on=None: F.when(F.lit(True) if on is None else on, F.concat(F.lit(name + ": "), value.cast("string"), F.lit(NEWLINE))).otherwise(F.lit(""))
     safe = F.regexp_replace("uri", "[\\x00-\\x20\\x7F]", "%20")
     head = F.concat(
         F.lit(VERSION + NEWLINE),
         line("WARC-Type", F.when(again, F.lit("revisit")).when(first, F.lit("response")).otherwise(F.lit("continuation"))),
-        line("WARC-Record-ID", urn(F.col("page_id"), F.col("i"))),
+        line("WARC-Record-ID", urn("page_id", "tag", F.col("i"))),
         line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", safe, F.col("uri").isNotNull()), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1"))), first),
         line("WARC-Profile", F.lit(PROFILE), again),
-        F.coalesce(line("WARC-Refers-To", urn(F.col("first_id"), F.lit(0)), again), F.lit("")),
+        F.coalesce(line("WARC-Refers-To", urn("first_id", "first_tag", F.lit(0)), again), F.lit("")),
         line("WARC-Segment-Number", F.col("i") + 1, several),
-        line("WARC-Segment-Origin-ID", urn(F.col("page_id"), F.lit(0)), several & ~first),
+        line("WARC-Segment-Origin-ID", urn("page_id", "tag", F.lit(0)), several & ~first),
         line("WARC-Segment-Total-Length", F.col("payload_bytes"), several & (F.col("i") == F.col("n") - 1)),
         line("Content-Type", F.lit("text/html; charset=utf-8"), ~again),
         line("Content-Length", F.octet_length("part")),
@@ -86,20 +96,21 @@ def write_archives(pages: DataFrame, path: str, payload: str = "html", uri: str
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: page_id, segment (from 1), record_type, refers_to, stated_digest, total, length, payload (binary)."""
+    """One row per record: page_id, origin (the first record's identifier), segment (from 1), record_type, refers_to, stated_digest, total, length, payload (binary)."""
     rows = spark.read.option("lineSep", SEPARATOR).text(path)
     split = F.instr("value", END)
     rows = rows.where(split > 0).select(F.substring("value", F.lit(1), split - 1).alias("head"), F.expr(f"substring(value, instr(value, '{END}') + {len(END)})").alias("rest"))
     field = lambda name: F.regexp_extract(F.concat(F.lit("\r\n"), F.col("head"), F.lit("\r\n")), rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
-    number = lambda name: F.regexp_extract(field(name), r"<urn:page:(-?\d+)", 1)
-    rid = F.when(field("WARC-Type") == "continuation", number("WARC-Segment-Origin-ID")).otherwise(number("WARC-Record-ID"))
+    number = lambda urn: F.regexp_extract(urn, r"<urn:page:(-?\d+)", 1)  # noqa: E731  empty for null
+    origin = F.when(field("WARC-Type") == "continuation", field("WARC-Segment-Origin-ID")).otherwise(field("WARC-Record-ID"))
     length = F.try_to_number(field("Content-Length"), F.lit("9" * 18)).cast("bigint")
     optional = lambda c, kind: F.when(c != "", c.cast(kind))
     return rows.select(
-        rid.cast("bigint").alias("page_id"),
+        optional(number(origin), "bigint").alias("page_id"),
+        origin.alias("origin"),
         F.coalesce(optional(field("WARC-Segment-Number"), "int"), F.lit(1)).alias("segment"),
         field("WARC-Type").alias("record_type"),
-        optional(number("WARC-Refers-To"), "bigint").alias("refers_to"),
+        optional(number(field("WARC-Refers-To")), "bigint").alias("refers_to"),
         F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("stated_digest"),
         (field("WARC-Segment-Number") != "").alias("segmented"),
         optional(field("WARC-Segment-Total-Length"), "bigint").alias("total"),
@@ -109,7 +120,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def payload_digests(records: DataFrame) -> DataFrame:
-    """(page_id, sha1, payload_bytes) of the responses, from their payloads.
+    """(page_id, sha1, payload_bytes) of each response, from its payload.
 
     Payloads of one segment are hashed where they are read. Segments of longer ones meet in order in one task, which carries
     the digest on and never holds more than a batch of segments.
@@ -118,28 +129,27 @@ def payload_digests(records: DataFrame) -> DataFrame:
     alone = records.where("record_type = 'response' and not segmented").select("page_id", F.sha1("payload").alias("sha1"), F.col("length").alias("payload_bytes"))
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, last, digest, size = None, 0, None, 0
+        page, record, digest, size = None, None, None, 0
         names = ["page_id", "sha1", "payload_bytes"]
         row = lambda: pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([digest.hexdigest()]), pa.array([size], pa.int64())], names=names)
         for batch in batches:
-            for p, s, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if digest is None or p != page:
+            for p, origin, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if digest is None or origin != record:
                     if digest is not None:
                         yield row()
-                    page, last, digest, size = p, 0, hashlib.sha1(), 0
-                if s != last:  # a repeated row of a repeated page
-                    digest.update(data)
-                    size, last = size + len(data), s
+                    page, record, digest, size = p, origin, hashlib.sha1(), 0
+                digest.update(data)
+                size += len(data)
         if digest is not None:
             yield row()
 
-    long = records.where("segmented and record_type in ('response', 'continuation')").select("page_id", "segment", "payload")
-    long = long.repartition("page_id").sortWithinPartitions("page_id", "segment").mapInArrow(carry, "page_id bigint, sha1 string, payload_bytes bigint")
+    long = records.where("segmented and record_type in ('response', 'continuation')").select("page_id", "origin", "segment", "payload")
+    long = long.repartition("origin").sortWithinPartitions("origin", "segment").select("page_id", "origin", "payload").mapInArrow(carry, "page_id bigint, sha1 string, payload_bytes bigint")
     return alone.unionByName(long)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per page: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """One row per row written: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     What a revisit says of its payload comes from the response that it names. No archive holds no rows.
     """
@@ -147,7 +157,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     found = checkpointed(payload_digests(records).select("page_id", base32(F.col("sha1")).alias("payload_digest"), "payload_bytes"))
     full = found.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to"))
     again = checkpointed(records.where("record_type = 'revisit'").select("page_id", "refers_to", "stated_digest"))
-    named = again.join(found.dropDuplicates(["page_id"]).withColumnRenamed("page_id", "origin"), F.col("refers_to") == F.col("origin"), "left")
+    origins = found.select(F.col("page_id").alias("origin"), "payload_digest", "payload_bytes").dropDuplicates(["origin", "payload_digest"])
+    named = again.join(origins, (F.col("refers_to") == F.col("origin")) & (F.col("stated_digest") == F.col("payload_digest")), "left")
     again = named.select("page_id", "payload_bytes", F.coalesce("payload_digest", "stated_digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to")
     return full.unionByName(again)
 

@@ -195,6 +195,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_keeps_each_row(spark, tmp_path):
+    long, other = "a" * 1000, "b" * 999
+    rows = [(1, "u", long), (1, "u", long), (1, None, long), (1, "u", other), (2, "u", other), (3, "u", "short"), (3, "v", "short"), (3, "v", "x"), (None, "u", "alone"), (None, "u", long), (None, "u", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"), size=64)
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()]
+    digest = lambda b: base64.b32encode(hashlib.sha1(b.encode()).digest()).decode()
+    expected = [(i, len(b), digest(b), *(("revisit", 1) if i == 2 else ("response", None))) for i, _, b in rows]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
 # ---- 2 -----------------------------------------------------------------------------------------------------------------------
 def test_edited_texts_and_search(spark, texts):
     df, by_id = texts
