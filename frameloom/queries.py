@@ -423,10 +423,23 @@ def min_size_filter(spark, d):
 @query("""WITH o AS (SELECT lang, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1000000 WHEN 'es' THEN 2000000 ELSE 3000000 END AS o FROM (SELECT DISTINCT lang FROM documents))
 SELECT doc_id, '1:' || CAST(ord(substr(text, 1, 1)) + o AS VARCHAR) AS head FROM documents JOIN o USING (lang)""")
 def union_typed_vocab(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "lang", F.array(F.ascii("text").cast("bigint")).alias("s"))
-    parts = [docs.where(F.col("lang") == lang).select("doc_id", X.offset_tokens(F.col("s"), i * 1_000_000, 0, 1).alias("t")) for i, lang in enumerate(("de", "en", "es", "fr"))]
-    made = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return made.select("doc_id", F.concat(F.lit("1:"), F.element_at("t", 2).cast("string")).alias("head"))
+    """The head alone, as its SQL has it; union_typed_vocab_whole moves whole texts."""
+    place = F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).when(F.col("lang") == "es", 2).otherwise(3)
+    docs = read(spark, d, "documents").where(F.col("lang").isNotNull())
+    first = F.when(F.col("text") == "", -1).otherwise(F.ascii("text"))  # ord('') in SQL
+    return docs.select("doc_id", F.concat(F.lit("1:"), (first + place * 1_000_000).cast("string")).alias("head"))
+
+
+@query("""WITH l AS (SELECT lang, 1114112 * (row_number() OVER (ORDER BY lang NULLS FIRST) - 1) AS o FROM (SELECT DISTINCT lang FROM documents)),
+d AS (SELECT doc_id, o, coalesce(text, '') AS text FROM documents JOIN l ON documents.lang IS NOT DISTINCT FROM l.lang),
+t AS (SELECT doc_id, [0] || CASE WHEN text = '' THEN [] ELSE list_transform(string_split(text, ''), lambda c: ord(c)::BIGINT + o) END || [1] AS t FROM d)
+SELECT doc_id, len(t) AS tokens, md5(array_to_string(t, ',')) AS digest FROM t""")
+def union_typed_vocab_whole(spark, d):
+    """Every code point of every text, moved by the offset of its language, between start and end."""
+    docs = read(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    sets = C.vocabulary_offsets(docs.select("lang").distinct().withColumn("size", F.lit(X.LAST_CODEPOINT + 1)), "lang", "size").select(F.col("lang").alias("of"), "offset")
+    moved = docs.join(F.broadcast(sets), F.col("lang").eqNullSafe(F.col("of"))).select("doc_id", X.offset_tokens(X.points_of(F.col("text")), F.col("offset"), 0, 1).alias("t"))
+    return moved.select("doc_id", F.size("t").cast("bigint").alias("tokens"), F.md5(F.array_join("t", ",").cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, CASE WHEN b < 8 THEN 'train' WHEN b < 9 THEN 'valid' ELSE 'test' END AS part FROM (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 AS b FROM documents)")
