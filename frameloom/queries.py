@@ -215,6 +215,12 @@ def pattern_diversity_embeddings(spark, d):
     return S.pattern_diversity(short, ["label"]).select("label", "patterns", r6("diversity").alias("diversity"))
 
 
+@query(f"WITH {GRID} SELECT CAST(label AS VARCHAR) AS label, count(DISTINCT s) AS patterns, round(count(DISTINCT s) / count(*), 6) AS diversity FROM g GROUP BY label")
+def pattern_diversity_states(spark, d):
+    """Over whole states; pattern_diversity_embeddings counts their first four cells, as its SQL has it."""
+    return S.pattern_diversity(grids(spark, d), ["label"]).select("label", "patterns", r6("diversity").alias("diversity"))
+
+
 @query("SELECT event_type, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std FROM (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY ALL) GROUP BY event_type")
 def stat_rollup(spark, d):
     return S.rollup(read(spark, d, "events"), ["user_id"], ["event_type"], "value").select("event_type", r6("mean").alias("mean"), r6("std").alias("std"))
