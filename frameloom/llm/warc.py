@@ -4,7 +4,8 @@ A page becomes rows (page_id, segment, ...) of bounded payload: the first segmen
 further ones are continuation records that name the first, as the format's segmentation defines. Spark's text writer puts the
 rows into archives of any size on any store, and its reader splits them again at the line that starts a record. Segments never
 contain that separator, since a payload that does is cut inside it, so reading is exact and splittable. Digests of payloads in
-several segments are carried from segment to segment; no record is put together in memory.
+several segments are carried from segment to segment when read, where no page is put together in memory. Writing hashes whole payloads
+and makes the segments of a page in one row, so it holds the longest page about twice.
 """
 
 from __future__ import annotations
