@@ -1,12 +1,15 @@
 """Near duplicates by b-bit MinHash.
 
 Each document becomes 128 minima of its shingles' hashes. Bands of four whole minima give bucket keys; of each minimum only
-the low four bits are kept and packed, eight 64-bit words for a document. Buckets link their members to one pivot; what the
+the low four bits are kept and packed, eight 64-bit words for a document. Buckets link their members to two pivots; what the
 packed signatures say about a pair (share of equal low bits, corrected for chance collisions) drops pairs that are far below
 the threshold; the others are confirmed on their full sets. Members of one component need no further comparison, so a large
-group of copies costs a pair for each member. Members of a bucket that still lie in different components are then compared with
-each other, so no link between them is lost: in small buckets by a join, in larger ones in blocks of members, in which the
-signatures and then the full sets are compared without making a row for each pair.
+group of copies costs a few pairs for each member.
+
+Buckets whose members still lie in different components are open. Their members meet once more in an exact join on prefixes of
+their sets: shingles are ordered by how often open members have them, and two sets that reach the threshold share one of their
+first few shingles, at places and sizes that leave room for the overlap. What members of a group have in common stands behind
+what each has of its own, so a large group makes few rows, linked or not; no bucket has a cap and no link is lost.
 """
 
 from __future__ import annotations
@@ -18,14 +21,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from frameloom.llm._common import checkpointed, fresh, table
+from frameloom.llm._common import broadcast_if_few, checkpointed, fresh, table
 from frameloom.workers import ship
 
 MINIMA, ROWS, BITS, SEED = 128, 4, 4, 20240613
 #: A pair whose estimate lies this far below the threshold is dropped: six standard errors of 128 minima at 0.85, 5.4 at 0.8.
 SLACK = 0.2
-#: Buckets with more members are compared in blocks of about so many members.
-SMALL, BLOCK = 32, 512
+#: Counters of the table that orders shingles by frequency: 2 MB, whatever the input. Their number changes the cost, not the result.
+COUNTERS = 1 << 18
+#: Sizes of sets are classed by steps of about one in CLASSES.
+CLASSES = 50
 REMEMBERED = 500_000
 _MASK = (1 << 64) - 1
 
@@ -60,6 +65,12 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
+def set_ids(hashes: np.ndarray) -> tuple[int, int]:
+    """Two halves of a digest of the whole set."""
+    digest = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return digest & _MASK, digest >> 64
+
+
 def _family(minima: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     return rng.integers(0, 2**63, minima, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, minima, np.uint64)
@@ -94,9 +105,9 @@ def signatures(docs: DataFrame, words: int, text: str = "text", seed: int = SEED
                     for text_ in part.column(1).to_pylist():
                         h = shingle_hashes(text_, words)
                         sizes.append(len(h))
-                        digest = xxhash.xxh3_128_intdigest(h.tobytes())
-                        ids_a.append(digest & _MASK)
-                        ids_b.append(digest >> 64)
+                        one, two = set_ids(h)
+                        ids_a.append(one)
+                        ids_b.append(two)
                         if len(h):
                             m = minima_of(h, a, b)
                             key = ((m + np.uint64(1)) * mix).reshape(-1, ROWS)
@@ -131,126 +142,81 @@ def estimate(x: Column, y: Column) -> Column:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """(doc_id, items) for the named ids."""
+    """(doc_id, set_a, items) of the sets that ids, which must be materialised, names by doc_id and set_a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sets = [shingle_hashes(t, words).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "items"])
+                sets = [shingle_hashes(t, words) for t in part.column(2).to_pylist()]
+                meant = [set_ids(h)[0] == a & _MASK for h, a in zip(sets, part.column(1).to_pylist(), strict=True)]  # not another text of a repeated id
+                made = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["doc_id", "set_a", "items"])
+                yield made.filter(pa.array(meant, pa.bool_()))
+
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")).join(broadcast_if_few(ids), "doc_id").select("doc_id", "set_a", "text")
+    return checkpointed(chosen.mapInArrow(run, "doc_id bigint, set_a bigint, items array<bigint>"))
 
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return checkpointed(chosen.mapInArrow(run, "doc_id bigint, items array<bigint>"))
 
+def confirmed(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
+    """Of pairs (a, b) of ids those whose full sets reach the threshold.
 
-def confirmed(docs: DataFrame, pairs: DataFrame, words: int, hundredths: int, text: str = "text") -> DataFrame:
-    """Of pairs (a, b) of ids those whose full sets reach the threshold."""
-    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words, text)
+    b's set travels to a's, so the set of a pivot, which has many pairs, is not copied into a shuffle.
+    """
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("bigint")
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
     return checkpointed(joined.where(F.col("both") * 100 >= hundredths * (F.col("sum") - F.col("both"))).select("a", "b"))
 
 
-def block_links(docs: DataFrame, members: DataFrame, reps: DataFrame, words: int, hundredths: int, text: str = "text") -> DataFrame:
-    """Links (a, b) between members (id, root, key, n) of large buckets that lie in different components.
+def shingle_counts(sets: DataFrame, counters: int = COUNTERS) -> np.ndarray:
+    """How often shingles fall on each counter, over all sets; as many rows as counters reach the driver at most."""
+    rows = sets.select(F.explode("items").alias("item")).groupBy(F.pmod("item", F.lit(counters)).alias("at")).count().toPandas()
+    out = np.zeros(counters, np.int64)
+    out[rows["at"].to_numpy(np.int64)] = rows["count"]
+    return out
+
+
+def prefix_pairs(members: DataFrame, counts: np.ndarray, hundredths: int) -> DataFrame:
+    """Pairs (a, b) of members (id, root, asked, items) of different roots, one of them asked, whose sets may reach the threshold.
 
-    A bucket's members fall into blocks; each pair of blocks is one group of rows. A first pass over the packed signatures
-    names the members that may have a partner; only these bring their full sets to the second, which confirms the pairs and
-    returns links that join different components, at most one for each member.
+    All that reach it are among them. With t the threshold, sets of n <= m items must share o = t (n + m) / (1 + t) at least, so
+    n >= t m, and in a common order of all items the first one that they share stands at places (from 0) with o items from there
+    to either end. Each set offers the items that can be such a first one: as the smaller set of a pair under its own size class,
+    as the larger under the classes of the sizes that its place leaves possible. The order is rarest first by `counts`; items
+    whose counter says that no other set has them are left out.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    placed = members.select("key", "id", "root", own.alias("own"), F.explode(pairs).alias("pair")).select("key", "pair.i", "pair.j", "own", "id", "root")
-    signed = placed.join(reps.select("id", "packed"), "id")
-    names = ["key", "i", "j", "own", "id", "root"]
-    least = hundredths / 100 - SLACK
-
-    def columns(group: pa.Table) -> tuple[np.ndarray, ...]:
-        return tuple(group.column(c).to_numpy() for c in ("own", "id", "root"))
-
-    def split(own_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = own_ == own_.min() if len(own_) else own_ == 0
-        return np.flatnonzero(first), np.flatnonzero(~first) if not first.all() else np.flatnonzero(first)
-
-    def hopeful(group: pa.Table) -> pa.Table:
-        own_, _, root = columns(group)
-        packed = np.array(group.column("packed").to_pylist(), np.int64).view(np.uint64).reshape(len(own_), -1)
-        diagonal = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        left, right = split(own_) if not diagonal else (np.arange(len(own_)),) * 2
-        hit = np.zeros(len(own_), bool)
-        if diagonal or own_.min() != own_.max():
-            for lo in range(0, len(left), 64):
-                rows = left[lo : lo + 64]
-                near = (_estimates(packed[rows], packed[right]) >= least) & (root[rows][:, None] != root[right][None, :])
-                hit[rows] |= near.any(axis=1)
-                hit[right] |= near.any(axis=0)
-        return group.select(names).filter(pa.array(hit))
-
-    hopes = checkpointed(signed.groupBy("key", "i", "j").applyInArrow(hopeful, "key bigint, i int, j int, own int, id bigint, root bigint"))
-    sets = shingle_sets(docs, hopes.select(F.col("id").alias("doc_id")).distinct(), words, text)
-    joined = hopes.join(sets.withColumnRenamed("doc_id", "id"), "id")
-
-    def confirm(group: pa.Table) -> pa.Table:
-        own_, ids, root = columns(group)
-        both = _intersections(group.column("items"))
-        sizes = both.diagonal()
-        good = both * 100 >= hundredths * (sizes[:, None] + sizes[None, :] - both)
-        if group.column("i")[0].as_py() != group.column("j")[0].as_py():
-            good &= own_[:, None] != own_[None, :]
-        at = {r: r for r in root.tolist()}
-
-        def find(r: int) -> int:
-            while at[r] != r:
-                at[r] = r = at[at[r]]
-            return r
-
-        a, b = [], []
-        for x, y in zip(*np.nonzero(np.triu(good, 1)), strict=True):
-            p, q = find(int(root[x])), find(int(root[y]))
-            if p != q:
-                at[p] = q
-                a.append(int(ids[x]))
-                b.append(int(ids[y]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return checkpointed(joined.groupBy("key", "i", "j").applyInArrow(confirm, "a bigint, b bigint"))
-
-
-def _estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """estimate() for each row of x against each row of y."""
-    v = x[:, None, :] ^ y[None, :, :]
-    for s in (BITS >> 1, BITS >> 2):
-        v |= v >> np.uint64(s)
-    v &= np.uint64(sum(1 << s for s in range(0, 64, BITS)))
-    equal = 1.0 - np.bitwise_count(v).sum(axis=2, dtype=np.int64) / MINIMA
-    return (equal - 2.0**-BITS) / (1.0 - 2.0**-BITS)
-
-
-def _intersections(items: pa.ChunkedArray) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets, those of the sets on the diagonal."""
-    array = items.combine_chunks()
-    sizes = np.diff(array.offsets.to_numpy())
-    values, owner = array.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
-    _, place, count = np.unique(values, return_inverse=True, return_counts=True)
-    shared = count[place] > 1
-    _, place = np.unique(place[shared], return_inverse=True)
-    owner = owner[shared]
-    order = np.argsort(place, kind="stable")
-    place, owner = place[order], owner[order]
-    out = np.zeros((len(sizes), len(sizes)), np.float32)
-    width = 4096
-    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, width):
-        a, b = np.searchsorted(place, (lo, lo + width))
-        has = np.zeros((len(sizes), width), np.float32)
-        has[owner[a:b], place[a:b] - lo] = 1
-        out += has @ has.T
-    out = np.rint(out).astype(np.int64)
-    np.fill_diagonal(out, sizes)
-    return out
+    t, size = hundredths, len(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            head = batch.select(["id", "root", "asked"])
+            rows, items, ns, places = [], [], [], []
+            for row, array in enumerate(batch.column("items")):
+                x = array.values.to_numpy()
+                often = counts[x % size]
+                n = len(x)
+                first = np.lexsort((x, often))[: n + (-t * n // 100) + 1]
+                at = np.flatnonzero(often[first] > 1)
+                rows.append(np.full(len(at), row))
+                items.append(x[first[at]])
+                ns.append(np.full(len(at), n))
+                places.append(at)
+            if rows:
+                taken = head.take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(np.concatenate(c).astype(np.int64)) for c in (items, ns, places))], names=["id", "root", "asked", "item", "n", "at"])
+
+    offers = checkpointed(members.select("id", "root", "asked", "items").mapInArrow(run, "id bigint, root bigint, asked boolean, item bigint, n bigint, at bigint"))
+    step = lambda n: F.floor(F.log(n) * CLASSES).cast("int")
+    left = F.col("n") - F.col("at")  # items from there to the end
+    small = offers.where((100 + t) * left >= 2 * t * F.col("n")).withColumn("class", step(F.col("n")))
+    least, most = F.ceil(t * F.col("n") / 100), F.least(F.col("n"), F.floor((100 + t) * left / t) - F.col("n"))
+    large = offers.withColumn("class", F.explode(F.sequence(step(least), step(most))))
+    met = F.expr(
+        "s.item = l.item and s.class = l.class and s.root <> l.root and (s.asked or l.asked) and (s.n < l.n or s.n = l.n and s.id < l.id) "
+        f"and 100 * s.n >= {t} * l.n and {100 + t} * (s.n - s.at) >= {t} * (s.n + l.n) and {100 + t} * (l.n - l.at) >= {t} * (s.n + l.n)"
+    )
+    return checkpointed(small.alias("s").join(large.alias("l"), met).select(F.least("s.id", "l.id").alias("a"), F.greatest("s.id", "l.id").alias("b")).distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -281,32 +247,33 @@ def near_groups(docs: DataFrame, words: int = 5, hundredths: int = 80, text: str
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A and B| >= hundredths * |A or B|; component_id is the smallest doc_id reachable, and kept
-    says that it is the document's own. Documents without words (null, empty or blank text) stand alone. Rows that repeat an id
-    are taken as one document if their texts agree; a null doc_id stands alone, with null as component_id, and is kept. The
-    share of links that no band catches is below 1e-9 at 0.85 and 1e-7 at 0.8, and of links at the threshold that the signatures'
-    estimate drops 1.9e-8 and 2.0e-7. An empty table gives no rows.
+    says that it is the document's own. Documents without words (null, empty or blank text) stand alone; long texts count whole.
+    Rows that repeat an id belong where their own texts do, and texts whose smallest id is the same are linked; a null doc_id
+    stands alone, with null as component_id, and is kept. The share of links that no band catches is below 1e-9 at 0.85 and 1e-7
+    at 0.8, and of links at the threshold that the signatures' estimate drops 1.9e-8 and 2.0e-7. An empty table gives no rows.
     """
     signed = checkpointed(signatures(docs, words, text, seed))
     some = signed.where("doc_id is not null and n_shingles > 0")
     classes = checkpointed(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
-    reps = checkpointed(some.dropDuplicates(["doc_id", "set_a", "set_b"]).join(classes.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["doc_id", "set_a", "set_b"], "left_semi").select(F.col("doc_id").alias("id"), "bands", "packed"))
+    reps = checkpointed(some.dropDuplicates(["doc_id", "set_a", "set_b"]).join(classes.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["doc_id", "set_a", "set_b"], "left_semi").select(F.col("doc_id").alias("id"), "set_a", "bands", "packed"))
     rows = reps.select("id", F.explode("bands").alias("key"))
-    pivots = checkpointed(rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot"))
-    stars = rows.join(pivots, "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    least = rows.groupBy("key").agg(F.min("id").alias("p"), F.min_by("id", F.xxhash64("id")).alias("q"), F.count(F.lit(1)).alias("n"))
+    pivots = checkpointed(least.where("n > 1").select("key", F.array_distinct(F.array("p", "q")).alias("pivots")))
+    met = rows.join(pivots, "key").select("id", F.explode("pivots").alias("pivot")).where("id <> pivot")
+    stars = met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     likely = _likely(stars, reps, hundredths)
-    links = confirmed(docs, likely, words, hundredths, text)
-    roots = components(links)
-    placed = reps.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "bands")
-    spread = placed.select("id", "root", F.explode("bands").alias("key"))
-    counted = spread.join(pivots.select("key"), "key", "left_semi").groupBy("key", "root").count()
-    mixed = checkpointed(counted.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main", "n"))
-    open_ = checkpointed(spread.join(mixed, "key"))
-    small = open_.where(F.col("n") <= SMALL)
-    x, y = small.where("root <> main").alias("x"), small.alias("y")
-    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
-    rest = x.join(y, across).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    rest = checkpointed(_likely(rest, reps, hundredths).join(likely, ["a", "b"], "left_anti"))
-    more = confirmed(docs, rest, words, hundredths, text).unionByName(block_links(docs, open_.where(F.col("n") > SMALL), reps, words, hundredths, text))
+    ends = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    named = checkpointed(reps.select(F.col("id").alias("doc_id"), "set_a").join(ends.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"))
+    roots = components(confirmed(likely, shingle_sets(docs, named, words, text), hundredths))
+    placed = reps.join(roots, "id", "left").select("id", "set_a", F.coalesce("root", "id").alias("root"), "bands")
+    spread = placed.select("id", "set_a", "root", F.explode("bands").alias("key")).join(pivots.select("key"), "key", "left_semi")
+    counted = spread.groupBy("key", "root").count()
+    mixed = counted.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    asked = F.max(F.col("root") != F.col("main")).alias("asked")  # pairs outside the largest component of each open bucket
+    open_ = checkpointed(spread.join(mixed.select("key", "main"), "key").groupBy("id", "set_a", "root").agg(asked))
+    sets = shingle_sets(docs, open_.select(F.col("id").alias("doc_id"), "set_a"), words, text)
+    pairs = prefix_pairs(sets.withColumnRenamed("doc_id", "id").join(open_, ["id", "set_a"]), shingle_counts(sets), hundredths)
+    more = confirmed(pairs, sets, hundredths)
     roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     of_class = checkpointed(classes.join(roots, classes.rep == roots.id, "left").select("set_a", "set_b", F.coalesce("root", "rep").alias("class_root")))
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_root")).otherwise(F.col("doc_id"))
@@ -321,10 +288,13 @@ def _likely(pairs: DataFrame, reps: DataFrame, hundredths: int) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, words: int = 5, hundredths: int = 80, text: str = "text") -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id. Only ids to drop are shuffled against docs."""
+    """docs without the rows whose component has a smaller doc_id; rows that repeat an id go together. A null doc_id stays.
+
+    Texts are shuffled only where many ids go.
+    """
     gone, = fresh(docs, "gone")
-    dropped = near_groups(docs, words, hundredths, text).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped[gone], "left_anti")
+    dropped = checkpointed(near_groups(docs, words, hundredths, text).where("not kept").select(F.col("doc_id").alias(gone)).distinct())
+    return docs.join(broadcast_if_few(dropped), docs["doc_id"] == dropped[gone], "left_anti")
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
