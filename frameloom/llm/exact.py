@@ -8,9 +8,9 @@ sketch's guarantee keeps small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from frameloom.llm._common import checkpointed, fresh, table, whole
+from frameloom.llm._common import broadcast_if_few, checkpointed, fresh, table, whole
 
 #: Digests reported by the sketch at most, and counters it keeps: its error is below 4 rows in CAPACITY.
 TRACKED, CAPACITY = 1000, 8192
@@ -24,13 +24,14 @@ def heavy_digests(digests: DataFrame, digest: str = "digest", least: int = 64, t
     return checkpointed(exact.where(F.col("group_size") >= least))
 
 
-def group_digests(digests: DataFrame, least: int = 64) -> DataFrame:
-    """Rows (doc_id, digest) with keep_id and group_size. digests should be materialised: it is read three times."""
+def split_groups(digests: DataFrame, least: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The frequent digests, and rows (doc_id, digest, keep_id, group_size) of these and of all others. digests should be
+    materialised: it is read three times."""
     heavy = heavy_digests(digests, least=least)
     hot = digests.join(F.broadcast(heavy), "digest").select("doc_id", "digest", "keep_id", "group_size")
     group = Window.partitionBy("digest")
     rest = digests.join(F.broadcast(heavy), "digest", "left_anti").select("doc_id", "digest", F.max("doc_id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size"))
-    return hot.unionByName(rest)
+    return heavy, hot, rest
 
 
 def exact_groups(docs: DataFrame, text: str = "text", normalise=lambda c: c, least: int = 64) -> DataFrame:
@@ -41,24 +42,32 @@ def exact_groups(docs: DataFrame, text: str = "text", normalise=lambda c: c, lea
     document and all count as kept. An empty table gives no rows.
     """
     digests = checkpointed(docs.select(F.col("doc_id"), F.sha2(normalise(whole(text)), 256).alias("digest")))
-    return group_digests(digests, least).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    _, hot, rest = split_groups(digests, least)
+    return hot.unionByName(rest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_exact(docs: DataFrame, text: str = "text", normalise=lambda c: c, least: int = 64) -> DataFrame:
     """The documents that stay, one row for each distinct text, with docs' columns.
 
-    Of rows that repeat both the id and the text one stays, any of them where other columns differ.
+    Rows of frequent digests go where they are read, by the broadcast winners; of the other digests only ids and digests are
+    shuffled, and texts move only where more ids go than a broadcast may hold. Of rows that repeat both the id and the text one
+    stays, any of them where other columns differ. Null ids, long texts, ties and empty tables are as in exact_groups.
     """
-    digest, keep = fresh(docs, "digest", "keep_id")
+    digest, doc, of, keep = fresh(docs, "digest", "gone_doc", "gone_digest", "keep_id")
     keyed = docs.withColumn(digest, F.sha2(normalise(whole(text)), 256))
-    groups = group_digests(checkpointed(keyed.select("doc_id", F.col(digest).alias("digest"))), least)
-    stays = groups.where("group_size > 1").groupBy("digest").agg(F.max("keep_id").alias(keep)).withColumnRenamed("digest", digest)
-    alone: Column = F.col(f"s.{digest}").isNull()
-    joined = keyed.alias("d").join(stays.alias("s"), F.col(f"d.{digest}") == F.col(f"s.{digest}"), "left")
-    won = joined.where(alone | F.col("doc_id").eqNullSafe(F.col(keep)))
-    one, many = won.where(alone), won.where(~alone)
-    shared = many.select("d.*").dropDuplicates(["doc_id", digest])
-    return one.select("d.*").unionByName(shared).select(*docs.columns)
+    heavy, hot, rest = split_groups(checkpointed(keyed.select("doc_id", F.col(digest).alias("digest"))), least)
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    named = [F.col("doc_id").alias(doc), F.col("digest").alias(of)]
+    lost = checkpointed(rest.where(~stays).select(*named).distinct())
+    again = checkpointed(hot.unionByName(rest.where("group_size > 1")).where(stays).groupBy(*named).count().where("count > 1").drop("count"))
+    winners = F.broadcast(heavy.select(F.col("digest").alias(of), F.col("keep_id").alias(keep)))  # at most TRACKED rows
+    won = keyed.join(winners, F.col(digest) == F.col(of), "left").where(F.col(of).isNull() | F.col("doc_id").eqNullSafe(F.col(keep))).drop(of, keep)
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(digest) == F.col(of))
+    won = won.join(broadcast_if_few(lost), same, "left_anti")
+    if again.isEmpty():
+        return won.select(*docs.columns)
+    one = won.join(broadcast_if_few(again), same, "left_semi").dropDuplicates(["doc_id", digest])
+    return won.join(broadcast_if_few(again), same, "left_anti").unionByName(one).select(*docs.columns)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
