@@ -13,7 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from frameloom.llm._common import checkpointed, fresh, table, whole
+from frameloom.llm._common import broadcast_if_few, checkpointed, fresh, table, whole
 
 #: No source is read more often than this, the seed of the permutations, and sources that the driver can hold.
 REPEAT, SEED, SOURCES = 1.5, 17, 100_000
@@ -122,12 +122,20 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
-    """docs with each row as often as its source's budget reads it, with docs' columns."""
-    h, times, doc, of, hash_ = fresh(docs, "h", "copies", "mix_doc", "mix_source", "mix_hash")
-    told = copies(docs, text=text, source=source, **options).where("copies > 0").select(F.col("doc_id").alias(doc), F.col("source").alias(of), F.col("h").alias(hash_), F.col("copies").alias(times))
+    """docs with each row as often as its source's budget reads it, with docs' columns, in the order of mix_order.
+
+    Rows are range-partitioned and sorted by it, so what is written has the target weights in every stretch. Texts are joined
+    without a shuffle where few rows say how often, and move once for the order.
+    """
+    h, doc, of, hash_, copy, order = fresh(docs, "h", "mix_doc", "mix_source", "mix_hash", "copy", "mix_order")
+    told = copies(docs, text=text, source=source, **options).where("copies > 0")
+    told = told.select(F.col("doc_id").alias(doc), F.col("source").alias(of), F.col("h").alias(hash_), F.sequence(F.lit(1), "copies").alias(copy), "start", "epoch_tokens", "budget_tokens")
+    ahead = lambda c: (F.col("start") + (c - 1) * F.col("epoch_tokens")) / F.col("budget_tokens")
+    told = told.select(doc, of, hash_, F.when(F.col("budget_tokens") > 0, F.transform(copy, ahead)).otherwise(F.array(F.lit(0.0))).alias(order))
     wide = docs.withColumn(h, F.xxhash64(whole(text)))
-    met = wide.join(checkpointed(told), wide["doc_id"].eqNullSafe(F.col(doc)) & (wide[h] == F.col(hash_)) & wide[source].eqNullSafe(F.col(of)))
-    return met.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    met = wide.join(broadcast_if_few(checkpointed(told)), wide["doc_id"].eqNullSafe(F.col(doc)) & (wide[h] == F.col(hash_)) & wide[source].eqNullSafe(F.col(of)))
+    placed = met.withColumn(order, F.explode(order))
+    return placed.repartitionByRange(order, h).sortWithinPartitions(order, h).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
