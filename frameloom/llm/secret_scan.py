@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from frameloom.llm._common import table, whole
+from frameloom.llm._common import checkpointed, table, whole
 
 #: The patterns of the base kinds, in the order in which kinds are listed, and the least length of what counts.
 KINDS = ("assign", "access", "hex", "markov")
@@ -29,16 +29,52 @@ SAMPLE_DOCS, SEEDED, LET_THROUGH = 4000, 2000, 0.005
 ORDINARY = 8
 
 
+def running_sums(numbers: Column, most: int = 1024) -> Column:
+    """For each element of an array the sum of those ahead of it.
+
+    A fold that appends copies its array at every step, so it runs over blocks of elements and then over the blocks' sums: time
+    grows with the 1.5th power of the array's size at most, and up to `most` squared elements copies stay short.
+    """
+    zero = F.lit(0).cast("bigint")
+    total = lambda c: F.aggregate(c, zero, lambda acc, x: acc + x)
+    size = F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(F.sqrt(F.size(numbers).cast("double"))))).cast("int")
+    start = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    ahead = lambda c: F.aggregate(c, start, step, lambda acc: acc["out"])
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(numbers) / size).cast("int") - 1), lambda i: F.slice(numbers, i * size + 1, size))
+    placed = F.zip_with(blocks, ahead(F.transform(blocks, total)), lambda block, before: F.transform(ahead(block), lambda x: x + before))
+    return F.when(F.size(numbers) > 0, F.flatten(placed)).otherwise(F.array().cast("array<bigint>"))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, value>>: all leftmost matches that do not overlap; starts in code points.
 
     What a split leaves between the matches gives their places.
     """
+    none = F.array().cast("array<struct<start:int,value:string>>")
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
-    lengths = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"), m.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["value"].alias("value")))).alias("out"))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(lengths, start, step, lambda acc: acc["out"])).otherwise(start["out"])
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"), m.alias("value")))
+
+    def placed(x: Column) -> Column:
+        ahead = running_sums(F.transform(x, lambda m: (m["gap"] + m["size"]).cast("bigint")))
+        return F.zip_with(x, ahead, lambda m, at: F.struct((at + m["gap"]).cast("int").alias("start"), m["value"].alias("value")))
+
+    # One element, so that what placed() names several times is made once.
+    return F.when(F.rlike(text, F.lit(pattern)), F.flatten(F.transform(F.array(pairs), placed))).otherwise(none)
+
+
+def overlaps(span: Column, others: Column) -> Column:
+    """Whether a span meets one of others, which are sorted and do not overlap: the last one that begins before its end decides."""
+    n = F.size(others)
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(n + F.lit(1))).cast("int"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        ahead = (acc["low"] < acc["high"]) & (F.get(others, middle)["start"] < span["end"])
+        return F.struct(F.when(ahead, middle + 1).otherwise(acc["low"]).alias("low"), F.when(ahead, acc["high"]).otherwise(F.least(middle, acc["high"])).alias("high"))
+
+    count = F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.alias("high")), halve, lambda acc: acc["low"])
+    return (n > 0) & F.coalesce(F.get(others, count - 1)["end"] > span["start"], F.lit(False))
 
 
 def kind_spans(text: Column, kind: str, pattern: str) -> Column:
@@ -60,12 +96,29 @@ def transitions(samples: DataFrame, label: str, text: str) -> DataFrame:
     return samples.where(F.length(word) > 1).select(label, F.explode(pairs).alias("pair")).groupBy(label, "pair").agg(F.count(F.lit(1)).alias("n"))
 
 
+def smallest_keys(keys: DataFrame, take: int) -> list[int]:
+    """The `take` smallest distinct k (at least 0), or all where there are fewer.
+
+    Keys are spread evenly, so a limit that follows from their count lets little more than `take` through to the driver; where
+    repeated keys leave too few, the limit rises.
+    """
+    n, expected = keys.count(), take + 8 * math.isqrt(take) + 32
+    while True:
+        limit = min(2**63 - 1, 2**63 * expected // max(n, 1))
+        got = sorted(r["k"] for r in keys.where(F.col("k") <= limit).distinct().collect())
+        if len(got) >= take or limit == 2**63 - 1:
+            return got[:take]
+        expected *= 4
+
+
 def labelled_samples(docs: DataFrame, text: str = "text", documents: int = SAMPLE_DOCS, seeded: int = SEEDED) -> DataFrame:
     """(random, word): values of the fixed patterns in the sampled documents and seeded strings; long ordinary words.
 
-    The sample is the `documents` rows with the smallest hashes of their ids.
+    The sample is the `documents` distinct rows with the smallest hashes of id and text.
     """
-    sample = docs.select("doc_id", whole(text).alias("t")).orderBy(F.xxhash64("doc_id", F.xxhash64("t"))).limit(documents)
+    key, t = F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64(whole(text))), 1), whole(text).alias("t")
+    chosen = docs.sparkSession.createDataFrame([(k,) for k in smallest_keys(docs.select(key.alias("k")), documents)], "k bigint")
+    sample = checkpointed(docs.select(key.alias("k"), t).join(F.broadcast(chosen), "k", "left_semi").dropDuplicates(["k"]).select("t"))
     named = sample.select("t", F.concat(*base_spans(F.col("t"))).alias("base"))
     values = named.select(F.explode("base.value").alias("v")).select(F.explode(F.regexp_extract_all("v", F.lit("[A-Za-z0-9+/_=-]{12,}$"), F.lit(0))).alias("word"))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
@@ -89,10 +142,14 @@ class Models:
         return F.from_json(F.lit("[" + ",".join(str(self.ratios[a + b]) for a in ALPHABET for b in ALPHABET) + "]"), "array<double>")
 
     def score(self, word: Column, ratios: Column) -> Column:
-        """Mean log-likelihood ratio of a word's transitions."""
-        place = lambda i: F.instr(F.lit(ALPHABET), F.substring(word, i, F.lit(1))) - 1
-        total = F.aggregate(F.sequence(F.lit(2), F.length(word)), F.lit(0.0), lambda acc, i: acc + F.get(ratios, place(i - 1) * self.size + place(i)))
-        return total / (F.length(word) - 1)
+        """Mean log-likelihood ratio of a word's transitions, in one walk over its characters."""
+        start = F.struct(F.lit(None).cast("int").alias("place"), F.lit(0.0).alias("sum"))
+
+        def step(acc: Column, c: Column) -> Column:
+            place = F.instr(F.lit(ALPHABET), c) - 1
+            return F.struct(place.alias("place"), (acc["sum"] + F.coalesce(F.get(ratios, acc["place"] * self.size + place), F.lit(0.0))).alias("sum"))
+
+        return F.aggregate(F.split(word, ""), start, step, lambda acc: acc["sum"]) / (F.length(word) - 1)
 
 
 def train(docs: DataFrame, text: str = "text", documents: int = SAMPLE_DOCS, seeded: int = SEEDED, let_through: float = LET_THROUGH) -> Models:
@@ -110,14 +167,15 @@ def scan_secrets(docs: DataFrame, models: Models | None = None, text: str = "tex
 
     Spans read kind:start:end in code points with the end exclusive, by start and then kind. Spans of the models (markov)
     never overlap one of the fixed patterns. Null texts count as empty: no spans, and the digest of nothing. Rows that repeat
-    each give a row. Words are never shortened, however long the text.
+    each give a row, null ids too. Words are never shortened, however long the text: time grows with the length of words, and with
+    the 1.5th power of the matches of a text at most. Other columns are not read. An empty table gives no rows.
     """
     models = models or train(docs, text)
     t = F.col("t")
-    assign, access, hexes = base_spans(t)
-    rows = docs.select("doc_id", whole(text).alias("t")).select("doc_id", "t", assign.alias("assign"), access.alias("access"), hexes.alias("hex"))
-    rows = rows.select("*", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), kind_spans(t, "markov", CANDIDATE).alias("candidates"))
-    free = lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    kinds = ("assign", "access", "hex")
+    rows = docs.select("doc_id", whole(text).alias("t")).select("doc_id", "t", *[c.alias(k) for c, k in zip(base_spans(t), kinds, strict=True)])
+    rows = rows.select("*", F.array_sort(F.concat(*kinds)).alias("base"), kind_spans(t, "markov", CANDIDATE).alias("candidates"))
+    free = lambda c: ~(overlaps(c, F.col("assign")) | overlaps(c, F.col("access")) | overlaps(c, F.col("hex")))
     ratios = models.table()
     random = lambda c: F.rlike(c["value"], F.lit("[A-Za-z]")) & (models.score(c["value"], ratios) > models.threshold)
     rows = rows.withColumn("markov", F.filter(F.filter("candidates", free), random))
