@@ -48,10 +48,11 @@ def _letters() -> dict[str, int]:
 class Encoder:
     """Ids of whole texts as little-endian 32-bit integers, remembered by the string between two single blanks.
 
-    The byte-level splitter never joins what stands before a blank with the blank, so such strings can be encoded alone. Texts
-    with runs of blanks, which it does join, and with the spelling of a special token are encoded whole by the tokenizer. New
-    strings go through the faster tiktoken over the same vocabulary, for which the ids must rise with the merges; for files
-    of another kind everything is encoded whole.
+    The byte-level splitter never joins what stands before a blank with the blank, so such strings can be encoded alone. It does
+    join a blank with other white space beside it: texts that have any (next to a blank, an empty string or one that begins or
+    ends with white space), and texts with the spelling of an added token, are encoded whole by the tokenizer. New strings go
+    through the faster tiktoken over the same vocabulary, for which the ids must rise with the merges; for files of another
+    kind everything is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -62,9 +63,10 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         pre, vocab = spec.get("pre_tokenizer") or {}, spec["model"].get("vocab")
-        self.alone = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.first: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        odd = ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")
+        self.alone = spec["model"]["type"] == "BPE" and not any(spec["model"].get(k) for k in odd) and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.first: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes | None] = {}  # None: next to a blank only the whole text will do
         if self.alone:
             letter = _letters()
             merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
@@ -80,23 +82,29 @@ class Encoder:
         ids = self.fast.encode_ordinary(text)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _after_blank(self, text: str) -> bytes | None:
+        return self._word(" " + text) if text and text.strip() == text else None
+
     def __call__(self, text: str) -> bytes:
-        if not self.alone or "  " in text or any(s in text for s in self.special):
+        if not self.alone or any(s in text for s in self.special):
             return self._whole(text)
         head, *rest = text.split(" ")
-        known = self.known
+        if not rest:
+            return self._whole(text)
         if head not in self.first:
             if len(self.first) >= REMEMBERED:
                 self.first.clear()
-            self.first[head] = self._word(head)
+            self.first[head] = self._word(head) if head.rstrip() == head else None
+        known = self.known
         try:
-            return self.first[head] + b"".join(map(known.__getitem__, rest))
+            parts = [self.first[head], *map(known.__getitem__, rest)]
         except KeyError:
             if len(known) + len(rest) > REMEMBERED:
                 known.clear()
             for x in set(rest).difference(known):
-                known[x] = self._word(" " + x)
-        return self.first[head] + b"".join(map(known.__getitem__, rest))
+                known[x] = self._after_blank(x)
+            parts = [self.first[head], *map(known.__getitem__, rest)]
+        return self._whole(text) if None in parts else b"".join(parts)
 
 
 def cuts(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[tuple[int, int, int]]:
@@ -164,7 +172,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     sequence_id counts from 0 without gaps within each class; classes follow each other, the left-over bins come last. A null or
-    empty text is its end id alone. Rows that repeat an id are documents of their own. An empty table gives no rows.
+    empty text is its end id alone; a long one is cut into as many pieces as it needs, and its ids are held once in a worker.
+    Rows that repeat an id are documents of their own, in an order that their ids, lengths and checksums settle; a null id is kept
+    as null. Other columns are not read. An empty table gives no rows.
     """
     cut = checkpointed(pieces(docs, tokenizer, capacity, smallest, end_id, text).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(2048)).cast("int")))
     counts = checkpointed(cut.groupBy("class", "shard").count())  # classes x 2048 rows at most, whatever the input
