@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from frameloom.llm._common import checkpointed, table, whole
+from frameloom.llm._common import broadcast_if_few, checkpointed, fresh, table, whole
 
 #: Bytes of a shard at most, and bits that a round looks ahead.
 LIMIT, STEP = 32 << 20, 8
@@ -35,17 +35,16 @@ def split_round(rows: DataFrame, depth: int, limit: int, step: int = STEP) -> Da
     return fine.withColumn("shut", shut).select("fine", "parent", F.col("shut.depth").alias("depth"), F.col("shut.bytes").alias("bytes"), F.col("shut.docs").alias("docs"))
 
 
-def assign_shards(docs: DataFrame, limit: int = LIMIT, text: str = "text") -> DataFrame:
-    """One row per document: doc_id, bytes, shard, depth, shard_bytes, shard_docs, fits.
+def row_hash(text: Column) -> Column:
+    return F.xxhash64("doc_id", text)
 
-    bytes are those of the text in UTF-8 (null: 0); shard spells the depth bits, and is empty where one shard holds all. Rows
-    that repeat an id and a text have one hash and stay together; where these alone, or one text, exceed the limit, fits is
-    false. An empty table gives no rows.
-    """
+
+def hashed_shards(docs: DataFrame, limit: int, text: str) -> DataFrame:
+    """Rows of assign_shards with their hash h, of which shard is a prefix."""
     if limit <= 0:
         raise ValueError("limit must be positive")
     body = whole(text)
-    rows = checkpointed(docs.select("doc_id", F.xxhash64("doc_id", body).alias("h"), F.octet_length(body).cast("bigint").alias("bytes")))
+    rows = checkpointed(docs.select("doc_id", row_hash(body).alias("h"), F.octet_length(body).cast("bigint").alias("bytes")))
     left, done, depth = rows, [], 0
     while depth < 64:
         found = checkpointed(split_round(left.select("h", "bytes"), depth, limit))
@@ -61,14 +60,31 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, text: str = "text") -> Da
         here = part.join(shut, prefix(F.col("h"), at) == F.col("fine"))
         out = here if out is None else out.unionByName(here)
     bits = F.substring(F.lpad(F.bin("h"), 64, "0"), F.lit(1), F.col("depth"))
-    return out.select("doc_id", "bytes", bits.alias("shard"), "depth", "shard_bytes", "shard_docs", (F.col("shard_bytes") <= limit).alias("fits"))
+    return out.select("h", "doc_id", "bytes", bits.alias("shard"), "depth", "shard_bytes", "shard_docs", (F.col("shard_bytes") <= limit).alias("fits"))
+
+
+def assign_shards(docs: DataFrame, limit: int = LIMIT, text: str = "text") -> DataFrame:
+    """One row per document: doc_id, bytes, shard, depth, shard_bytes, shard_docs, fits.
+
+    bytes are those of the text in UTF-8 (null: 0); shard spells the depth bits, and is empty where one shard holds all. Rows
+    that repeat an id and a text have one hash and stay together; where these alone, or one text, however long, exceed the limit,
+    fits is false. Ids that repeat with other texts, and null ids, have rows of their own. Only doc_id and the text are read,
+    whatever other columns are called. An empty table gives no rows.
+    """
+    return hashed_shards(docs, limit, text).drop("h")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "text") -> None:
-    """Write docs as Parquet with a folder for each shard; a shard's rows meet in one task, which its limit bounds."""
-    where = assign_shards(docs, limit, text).select(F.col("doc_id").alias("shard_doc"), "shard").distinct()
-    joined = docs.join(where, docs["doc_id"].eqNullSafe(where["shard_doc"])).drop("shard_doc")
-    joined.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write docs, every row once and with all columns, as Parquet with a folder for each shard.
+
+    Folders are named shard=..., with underscores behind `shard` where docs has such a column. A row finds its shard by its hash
+    of id and text, so rows that repeat an id are neither lost nor multiplied. A shard's rows meet in one task, which its limit
+    bounds but for what no split can part.
+    """
+    shard, h, of = fresh(docs, "shard", "h", "of")
+    where = checkpointed(hashed_shards(docs, limit, text).select(F.col("h").alias(of), F.col("shard").alias(shard)).distinct())
+    joined = docs.withColumn(h, row_hash(whole(text))).join(broadcast_if_few(where), F.col(h) == F.col(of)).drop(h, of)
+    joined.repartition(shard).write.partitionBy(shard).parquet(path)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
