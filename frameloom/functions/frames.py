@@ -223,6 +223,56 @@ def shuffle_dyck_valid(state: Column, symbols: int) -> Column:
     return ok
 
 
+def dyck_conditional(sequence: Column, prediction: Column, symbols: int, max_depth: int) -> Column:
+    """How many predicted brackets are valid after the true ones up to their place: an opening one below max_depth, or one that
+    closes the innermost open bracket. True brackets that do not fit change nothing."""
+    start = F.struct(F.array().cast("array<bigint>").alias("stack"), F.lit(0).cast("bigint").alias("valid"))
+    top = lambda stack: F.try_element_at(stack, F.lit(-1))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = F.coalesce(top(acc["stack"]) == x["s"] - symbols, F.lit(False))
+        popped = F.slice(acc["stack"], 1, F.greatest(F.size(acc["stack"]) - 1, F.lit(0)))
+        return F.struct(F.when(x["s"] < symbols, F.concat(acc["stack"], F.array(x["s"].cast("bigint")))).when(fits, popped).otherwise(acc["stack"]).alias("stack"), acc["valid"].alias("valid"), x["p"].alias("p"))
+
+    def judge(acc: Column) -> Column:
+        good = ((acc["p"] < symbols) & (F.size(acc["stack"]) < max_depth)) | F.coalesce(top(acc["stack"]) == acc["p"] - symbols, F.lit(False))
+        return F.struct(acc["stack"].alias("stack"), (acc["valid"] + good.cast("bigint")).alias("valid"))
+
+    return _folded(sequence, prediction, start, step, judge)
+
+
+def shuffle_dyck_conditional(sequence: Column, prediction: Column, symbols: int, max_depth: int) -> Column:
+    """The same for brackets whose kinds are counted on their own, each up to max_depth.
+
+    At that depth a bracket of its kind closes, whichever way it points, in the sequence and in what is predicted.
+    """
+    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), symbols).alias("stack"), F.lit(0).cast("bigint").alias("valid"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opens = (x["s"] < symbols) & (F.get(acc["stack"], x["s"].cast("int")) < max_depth)
+        moved = F.transform(acc["stack"], lambda n, i: F.when(i != F.pmod(x["s"], F.lit(symbols)), n).when(opens, n + 1).otherwise(F.greatest(n - 1, F.lit(0))))
+        return F.struct(moved.alias("stack"), acc["valid"].alias("valid"), x["p"].alias("p"))
+
+    def judge(acc: Column) -> Column:
+        n = F.get(acc["stack"], F.pmod(acc["p"], F.lit(symbols)).cast("int"))
+        good = ((acc["p"] < symbols) & (n < max_depth)) | (n > 0)
+        return F.struct(acc["stack"].alias("stack"), (acc["valid"] + good.cast("bigint")).alias("valid"))
+
+    return _folded(sequence, prediction, start, step, judge)
+
+
+def _folded(sequence: Column, prediction: Column, start: Column, step, judge) -> Column:
+    """The count after all places: at each the state takes in the true element, then the prediction is judged."""
+    pairs = F.zip_with(sequence, prediction, lambda s, p: F.struct(s.alias("s"), p.alias("p")))
+    # One element, so that the state of a step is made once and named several times.
+    return F.aggregate(pairs, start, lambda acc, x: F.element_at(F.transform(F.array(step(acc, x)), judge), 1), lambda acc: acc["valid"])
+
+
+def equal_places(a: Column, b: Column) -> Column:
+    """At how many places two arrays agree."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda e: e)).cast("bigint")
+
+
 def file_name(task: Column, shard: Column, seed: Column, extension: str) -> Column:
     return F.concat(task, F.lit("_"), F.lpad(shard.cast("string"), 5, "0"), F.lit("_"), F.lower(F.lpad(F.hex(seed), 16, "0")), F.lit("." + extension))
 
@@ -264,3 +314,16 @@ def hue(state: Column, states: int) -> Column:
     part = lambda k: F.round(255 * (1 - F.greatest(F.least(F.least((F.lit(float(k)) + h) % 6, 4 - (F.lit(float(k)) + h) % 6), F.lit(1.0)), F.lit(0.0)))).cast("int")
     wheel = F.lower(F.concat(*[F.lpad(F.hex(part(k)), 2, "0") for k in (5, 3, 1)]))
     return F.when((state < 0) | (state >= states), "ff00ff").otherwise(wheel)
+
+
+def count_at_most(sorted_values: Column, value: Column) -> Column:
+    """How many values of a sorted array are at or below a value, by halving; null for null."""
+    n = F.size(sorted_values)
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(n + F.lit(1))).cast("int"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        more = (acc["low"] < acc["high"]) & (F.get(sorted_values, middle) <= value)
+        return F.struct(F.when(more, middle + 1).otherwise(acc["low"]).alias("low"), F.when(more, acc["high"]).otherwise(F.least(middle, acc["high"])).alias("high"))
+
+    return F.when(value.isNotNull(), F.when(n > 0, F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.alias("high")), halve, lambda acc: acc["low"])).otherwise(F.lit(0)))

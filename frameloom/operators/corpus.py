@@ -1,82 +1,199 @@
 """Corpora as training blocks.
 
-A position in the whole corpus is a running sum over documents. It is taken in two levels, within buckets of documents and over
-the buckets' sums, so no task ever sees all documents.
+A position in the whole corpus is a running sum over documents. It is taken in two levels, within ranges of documents of about
+the same number and over the ranges' sums, so no task ever sees all documents, whatever values their ids have.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Documents in a bucket of the running sum, about.
+from frameloom.functions import frames as X
+from frameloom.lineage import checkpointed
+
+#: Ranges into which documents are dealt at most; more rows make ranges longer, not more of them.
+RANGES = 1000
+#: Rows of a range at least, about, where there are fewer ranges.
 BUCKET = 4096
 
 
+def range_bounds(df: DataFrame, value: Column, bucket: int = BUCKET, ranges: int = RANGES) -> list:
+    """Rising values that cut df's rows into ranges of about the same number of rows; at most `ranges` of them."""
+    n = df.count()
+    parts = min(ranges, -(-n // bucket))
+    if parts < 2:
+        return []
+    found = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"]
+    return sorted(set(found or []))
+
+
+def range_of(value: Column, bounds: list) -> Column:
+    """How many bounds are at or below a value; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    kind = "array<double>" if any(isinstance(b, float) for b in bounds) else "array<bigint>"
+    return F.coalesce(X.count_at_most(F.from_json(F.lit("[" + ",".join(map(repr, bounds)) + "]"), kind), value), F.lit(0))
+
+
 def running_offset(docs: DataFrame, order: str, size: Column, name: str = "offset", bucket: int = BUCKET) -> DataFrame:
-    """docs with the sum of sizes of the rows ahead in the order of a whole-numbered, distinct column."""
-    told = docs.withColumn("_size", size.cast("bigint")).withColumn("_bucket", F.floor(F.col(order) / bucket))
+    """docs with the sum of sizes of the rows ahead in the order of a whole-numbered, distinct column; null sizes are 0, null order comes first."""
+    told = docs.withColumn("_size", F.coalesce(size.cast("bigint"), F.lit(0).cast("bigint"))).withColumn("_bucket", range_of(F.col(order), range_bounds(docs, F.col(order), bucket)))
     sums = told.groupBy("_bucket").agg(F.sum("_size").alias("_sum"))
-    over = sums.withColumn("_super", F.floor(F.col("_bucket") / bucket))
-    supers = over.groupBy("_super").agg(F.sum("_sum").alias("_supersum"))
-    ahead = lambda c, part, by: F.coalesce(F.sum(c).over((Window.partitionBy(part) if part else Window).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # One row for BUCKET ** 2 documents goes through the last window.
-    supers = supers.select("_super", ahead("_supersum", None, "_super").alias("_far"))
-    over = over.join(supers, "_super").select("_bucket", (F.col("_far") + ahead("_sum", "_super", "_bucket")).alias("_ahead"))
-    told = told.withColumn("_near", ahead("_size", "_bucket", order)).join(over, "_bucket")
-    return told.withColumn(name, F.col("_ahead") + F.col("_near")).drop("_size", "_bucket", "_ahead", "_near")
+    ahead = lambda c, by: F.coalesce(F.sum(c).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    over = sums.select(F.col("_bucket").alias("_of"), ahead("_sum", Window.orderBy("_bucket")).alias("_ahead"))  # at most RANGES rows
+    told = told.withColumn("_near", ahead("_size", Window.partitionBy("_bucket").orderBy(order))).join(F.broadcast(over), F.col("_bucket") == F.col("_of"))
+    return told.withColumn(name, F.col("_ahead") + F.col("_near")).drop("_size", "_bucket", "_of", "_ahead", "_near")
+
 
+def corpus_tokens(docs: DataFrame, order: str, tokens: Column, end: int, budget: int | None = None) -> DataFrame:
+    """(offset, tokens) of each document, followed by the end token, in a common stream; a null text is its end token alone.
 
-def corpus_tokens(docs: DataFrame, order: str, tokens: Column, end: int) -> DataFrame:
-    """(pos, token) of all documents, each followed by the end token."""
-    told = docs.select(order, F.concat(tokens, F.array(F.lit(end).cast("bigint"))).alias("tokens"))
-    told = running_offset(told, order, F.size("tokens"))
-    return told.select("offset", F.posexplode("tokens").alias("i", "token")).select((F.col("offset") + F.col("i")).alias("pos"), "token")
+    With a budget the stream ends after so many tokens.
+    """
+    told = docs.select(order, F.concat(F.coalesce(tokens, F.array().cast("array<bigint>")), F.array(F.lit(end).cast("bigint"))).alias("tokens"))
+    told = running_offset(told, order, F.size("tokens")).select("offset", "tokens")
+    if budget is None:
+        return told
+    return told.where(F.col("offset") < budget).select("offset", F.slice("tokens", F.lit(1), F.least(F.size("tokens"), F.lit(budget) - F.col("offset")).cast("int")).alias("tokens"))
 
 
-def blocks(tokens: DataFrame, size: int, overlap: bool = False) -> DataFrame:
-    """(block, input, target): full blocks of size + 1 tokens, the target one further on.
+def blocks(stream: DataFrame, size: int, overlap: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within..., block, input, target): full blocks of size + 1 tokens, the target one further on; what does not fill a block is left out.
 
     Blocks stride over size + 1 tokens, or, with overlap, over size, so that a target's last token is the next input's first.
+    A document's tokens are cut at the blocks' borders, so a row for each piece is shuffled and not one for each token.
     """
     stride = size if overlap else size + 1
-    if overlap:  # a block's first token is the last target of the one before
-        at = F.when((F.col("pos") % stride == 0) & (F.col("pos") > 0), F.array(F.col("pos") / stride - 1, F.col("pos") / stride)).otherwise(F.array(F.floor(F.col("pos") / stride).cast("double")))
-    else:
-        at = F.array(F.floor(F.col("pos") / stride).cast("double"))
-    told = tokens.select(F.explode(at.cast("array<bigint>")).alias("block"), "pos", "token")
-    made = told.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("t")).where(F.size("t") == size + 1)
-    return made.select("block", F.slice("t", 1, size).alias("input"), F.slice("t", 2, size).alias("target"))
+    end = F.col("offset") + F.size("tokens")
+    first = F.greatest(F.floor((F.col("offset") - size - 1) / stride) + 1, F.lit(0))
+    met = stream.where(F.size("tokens") > 0).select(*within, "offset", "tokens", F.explode(F.sequence(first, F.floor((end - 1) / stride))).alias("block"))
+    begin = F.greatest(F.col("block") * stride - F.col("offset"), F.lit(0))
+    upto = F.least(end, F.col("block") * stride + size + 1) - F.col("offset")
+    pieces = met.select(*within, "block", F.struct((F.col("offset") + begin).alias("pos"), F.slice("tokens", (begin + 1).cast("int"), (upto - begin).cast("int")).alias("part")).alias("piece"))
+    made = pieces.groupBy(*within, "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["part"])).alias("t")).where(F.size("t") == size + 1)
+    return made.select(*within, "block", F.slice("t", 1, size).alias("input"), F.slice("t", 2, size).alias("target"))
 
 
 def block_sample(made: DataFrame, most: int, seed: int) -> DataFrame:
     """A sample of blocks without replacement, in their own order; a sampling operator, so the limit is its purpose."""
-    return made.orderBy(F.xxhash64(F.lit(seed), "block"), "block").limit(most).orderBy("block")
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("block").cast("string")))
+    return made.orderBy(drawn, "block").limit(most).orderBy("block")
 
 
 def buffers(docs: DataFrame, order: str, size: Column, budget: int, name: str = "buffer") -> DataFrame:
-    """docs with the number of the character buffer that they start in."""
-    told = running_offset(docs, order, size)
-    return told.withColumn(name, F.floor(F.col("offset") / budget))
+    """docs with the number of the buffer that they fall in, and the buffer's first offset as <name>_start.
+
+    A buffer takes whole documents, in order, until their sizes reach the budget; the next document begins another. Where one
+    begins follows from the offsets alone: the buffer after one that starts at p starts at the first offset from p + budget on.
+    These steps are doubled round by round, and each round adds the starts that twice as many steps reach, so the rounds grow
+    with the logarithm of the buffers' number.
+    """
+    told = checkpointed(running_offset(docs, order, size, "_offset"))
+    starts = told.select(F.col("_offset").alias("v")).distinct()
+    bounds = range_bounds(starts, F.col("v"))
+    events = starts.select("v", F.col("v").alias("start"), F.lit(None).cast("bigint").alias("p")).unionByName(starts.select((F.col("v") + budget).alias("v"), F.lit(None).cast("bigint").alias("start"), F.col("v").alias("p")))
+    events = events.withColumn("r", range_of(F.col("v"), bounds))
+    firsts = events.groupBy("r").agg(F.min("start").alias("least")).withColumn("later", F.min("least").over(Window.orderBy("r").rowsBetween(1, Window.unboundedFollowing)))  # at most RANGES rows
+    here = F.min("start").over(Window.partitionBy("r").orderBy("v").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    jump = events.withColumn("here", here).join(F.broadcast(firsts.select(F.col("r").alias("of"), "later")), F.col("r") == F.col("of")).where("p is not null")
+    jump = checkpointed(jump.select("p", F.coalesce("here", "later").alias("next")).where("next is not null"))
+    reached = checkpointed(starts.where("v = 0"))
+    while not jump.isEmpty():
+        reached = checkpointed(reached.unionByName(reached.join(jump, F.col("v") == F.col("p")).select(F.col("next").alias("v"))).distinct())
+        on = jump.select(F.col("p").alias("q"), F.col("next").alias("far"))
+        jump = checkpointed(jump.join(on, F.col("next") == F.col("q")).select("p", F.col("far").alias("next")))
+    bounds = range_bounds(told, F.col("_offset"))
+    marked = told.withColumn("_range", range_of(F.col("_offset"), bounds))
+    begun = checkpointed(reached.withColumn("_range", range_of(F.col("v"), bounds)))
+    counts = begun.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("last"))
+    grid = told.sparkSession.range(len(bounds) + 1).withColumnRenamed("id", "_of").join(counts, F.col("_of") == F.col("_range"), "left")
+    ahead = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = grid.select("_of", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_before"), F.max("last").over(ahead).alias("_last"))  # at most RANGES rows
+    both = marked.withColumn("_mark", F.lit(None).cast("bigint")).unionByName(begun.select(F.col("v").alias("_offset"), "_range", F.col("v").alias("_mark")), allowMissingColumns=True)
+    near = Window.partitionBy("_range").orderBy("_offset").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = both.withColumn("_near", F.count("_mark").over(near)).withColumn("_start", F.max("_mark").over(near)).where("_mark is null")
+    placed = placed.join(F.broadcast(earlier), F.col("_range") == F.col("_of"))
+    return placed.select(*docs.columns, (F.col("_before") + F.col("_near") - 1).cast("bigint").alias(name), F.coalesce("_start", "_last").alias(f"{name}_start"))
 
 
 def token_shards(docs: DataFrame, order: str, size: Column, limit: int) -> DataFrame:
-    """docs with the shard that their last token falls in, by whole documents."""
-    told = running_offset(docs, order, size)
-    return told.withColumn("shard", F.floor(F.greatest(F.col("offset") + size - 1, F.lit(0)) / limit))
+    """docs with the shard that they go to: a shard is written as soon as it holds `limit` tokens, by whole documents."""
+    return buffers(docs, order, size, limit, "shard").drop("shard_start")
+
+
+def stream_blocks(docs: DataFrame, order: str, text: str, tokens: Column, end: int, size: int, buffer: int) -> DataFrame:
+    """(buffer, block, input, target): documents fill buffers of characters, and each buffer's tokens are cut into full blocks; its rest is dropped."""
+    held = buffers(docs.select(order, F.coalesce(text, F.lit("")).alias(text)), order, F.length(text), buffer)
+    told = held.select(order, "buffer", F.concat(tokens, F.array(F.lit(end).cast("bigint"))).alias("tokens"))
+    told = checkpointed(running_offset(told, order, F.size("tokens")))
+    base = told.groupBy("buffer").agg(F.min("offset").alias("base")).withColumnRenamed("buffer", "_of")
+    told = told.join(base, F.col("buffer") == F.col("_of")).select("buffer", (F.col("offset") - F.col("base")).alias("offset"), "tokens")
+    return blocks(told, size, within=("buffer",))
 
 
 def few_shot(items: DataFrame, pool: DataFrame, key: str, shots: int, seed: int, buckets: int = 64) -> DataFrame:
-    """Each item with `shots` prompts of a pool, itself left out.
+    """Each item with its `shots` prompts of a pool, itself left out; fewer only where the pool has no more others.
 
-    The pool's rows, ordered by a seeded hash, form rings of buckets; an item takes the first others of its ring, so that no
-    item meets the whole pool.
+    The pool's rows, in the order of a seeded hash, form rings by another one. An item takes the first others of its ring, and
+    goes on to the rings after it, in a circle, as far as shots + 1 rows need it to: so no item meets the whole pool, and every row
+    of the pool is in some ring. Null keys meet none but are kept.
+    """
+    draw = lambda c, salt: F.md5(F.concat_ws(":", F.lit(f"{seed}{salt}"), c.cast("string")))
+    ring = lambda c: F.conv(F.substring(draw(c, "r"), 1, 8), 16, 10).cast("bigint") % buckets
+    rows = pool.where(F.col(key).isNotNull()).select(F.col(key).alias("shot"), F.col("prompt"), draw(F.col(key), "o").alias("o"), ring(F.col(key)).alias("ring"))
+    rank = F.row_number().over(Window.partitionBy("ring").orderBy("o", "shot"))
+    heads = rows.withColumn("n", rank).where(F.col("n") <= shots + 1)  # no item can use more of a ring
+    counts = heads.groupBy("ring").agg(F.count(F.lit(1)).alias("size")).orderBy("ring").collect()  # a row for each ring
+    plan, held = [], {r["ring"]: r["size"] for r in counts}
+    for start in range(buckets):
+        got = 0
+        for step in range(buckets):
+            if got > shots:
+                break
+            if (start + step) % buckets in held:
+                plan.append((start, (start + step) % buckets, step))
+                got += held[(start + step) % buckets]
+    plan = items.sparkSession.createDataFrame(plan, "start bigint, ring bigint, step int")
+    offered = heads.join(F.broadcast(plan), "ring").groupBy("start").agg(F.slice(F.array_sort(F.collect_list(F.struct("step", "o", "shot", "prompt"))), 1, shots + 1).alias("offered"))
+    met = items.withColumn("_ring", ring(F.col(key))).join(F.broadcast(offered), F.col("_ring") == F.col("start"), "left")  # buckets x (shots + 1) prompts
+    others = F.filter(F.coalesce("offered", F.array()), lambda s: s["shot"] != F.col(key))
+    return met.select(key, F.transform(F.slice(others, 1, shots), lambda s: s["prompt"]).alias("shots"))
+
+
+def masked_prompts(items: DataFrame, key: str, context: Column, question: Column, answer: Column, end: int, size: int, pad: int = 0, masked: int = -100) -> DataFrame:
+    """(key, input, target) of `size` tokens: context, question, answer and end token; only answer and end count in the target.
+
+    context, question and answer are arrays of tokens. The target is one token ahead; what is too long is cut, what is short is
+    filled with `pad` in the input and `masked` in the target.
     """
-    ring = lambda c: F.pmod(F.xxhash64(F.lit(seed), F.col(c)), F.lit(buckets))
-    rank = F.row_number().over(Window.partitionBy("_ring").orderBy(F.xxhash64(F.lit(seed + 1), F.col("_shot")), "_shot"))
-    chosen = pool.select(F.col(key).alias("_shot"), F.col("prompt")).withColumn("_ring", ring("_shot")).withColumn("_n", rank).where(F.col("_n") <= shots + 1)
-    met = items.withColumn("_ring", ring(key)).join(F.broadcast(chosen), "_ring").where(F.col("_shot") != F.col(key))
-    made = met.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("_n", "prompt"))), 1, shots).alias("shots"))
-    return made.select(key, F.transform("shots", lambda s: s["prompt"]).alias("shots"))
+    told = items.select(key, F.concat(context, question).alias("ahead"), F.concat(answer, F.array(F.lit(end).cast("bigint"))).alias("said"))
+    told = told.select(key, F.concat("ahead", "said").alias("s"), F.concat(F.array_repeat(F.lit(masked).cast("bigint"), F.size("ahead")), "said").alias("t"))
+    fill = lambda c, v: F.concat(F.slice(c, 1, size), F.array_repeat(F.lit(v).cast("bigint"), F.greatest(F.lit(size) - F.size(c), F.lit(0))))
+    return told.select(key, fill(F.col("s"), pad).alias("input"), fill(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), masked).alias("target"))
+
+
+def curriculum(sets: DataFrame, name: str, difficulty: Column, order: str = "easy_hard", unknown: int = 999, place: str = "place") -> DataFrame:
+    """sets, a row for each data type, with the place (from 1) at which it is read: from easy to hard, from hard to easy, or by name."""
+    hard = F.coalesce(difficulty, F.lit(unknown))
+    by = {"easy_hard": (hard.asc(), F.col(name).asc()), "hard_easy": (hard.desc(), F.col(name).asc()), "random": (F.col(name).asc(),)}
+    if order not in by:
+        raise ValueError(f"order must be one of {', '.join(by)}")
+    return sets.withColumn(place, F.row_number().over(Window.orderBy(*by[order])).cast("bigint"))
+
+
+def sized(rows: DataFrame, group: str, least: int = 0, most: int | None = None, seed: int = 0, key: str | None = None) -> DataFrame:
+    """Rows of the groups that have `least` rows; of larger groups a seeded sample of at most `most` by their keys."""
+    counts = rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    kept = rows.join(counts.select("_g"), F.col(group).eqNullSafe(F.col("_g")), "left_semi")
+    if most is None:
+        return kept
+    drawn = Window.partitionBy(group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
+    return kept.withColumn("_k", F.row_number().over(drawn)).where(F.col("_k") <= most).drop("_k")
+
+
+def shuffled(rows: DataFrame, seed: int, *key: str) -> DataFrame:
+    """rows in an order that a seed and their key settle."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *key)), *key)
 
 
 def hash_split(df: DataFrame, key: str, parts: dict[str, int]) -> DataFrame:

@@ -23,12 +23,10 @@ def with_before(frames: DataFrame) -> DataFrame:
 
 def change_rate(frames: DataFrame) -> DataFrame:
     """By sample: changed cells over compared cells of frames that follow each other; 0 without any."""
-    told = with_before(frames).where("before is not null")
-    n = F.least(F.size("state"), F.size("before"))
-    changed = F.col("n") * X.changed_share(F.col("state"), F.col("before"))
-    told = told.withColumn("n", n).groupBy(*KEY).agg(F.sum(changed).alias("changed"), F.sum("n").alias("n"))
-    every = frames.select(*KEY).distinct()
-    return every.join(told, list(KEY), "left").select(*KEY, F.coalesce(F.col("changed") / F.col("n"), F.lit(0.0)).alias("change_rate"))
+    n = F.when(F.col("before").isNotNull(), F.least(F.size("state"), F.size("before")))
+    told = with_before(frames).withColumn("n", n)
+    changed = F.sum(F.when(F.col("n").isNotNull(), F.col("n") * X.changed_share(F.col("state"), F.col("before"))))
+    return told.groupBy(*KEY).agg(F.coalesce(changed / F.sum("n"), F.lit(0.0)).alias("change_rate"))
 
 
 def rule_score(frames: DataFrame) -> DataFrame:
@@ -64,6 +62,14 @@ def rollup(values: DataFrame, sample: list[str], by: list[str], value: str) -> D
     return means.groupBy(*by).agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"))
 
 
+def pairwise(rows: DataFrame, system: list[str], body: str) -> DataFrame:
+    """Ordered pairs (a, b) of different rows of a system, under the aliases a and b: the work is quadratic in a system by definition."""
+    same = F.lit(True)
+    for c in system:
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    return rows.alias("a").join(rows.alias("b"), same & (F.col(f"a.{body}") != F.col(f"b.{body}")))
+
+
 def compared(values: DataFrame, reference: DataFrame, name: str) -> DataFrame:
     """Each row against a reference of one row: difference, and ratio (infinite where the reference is 0)."""
     ref = reference.select(F.col(name).alias("reference"))
@@ -97,8 +103,8 @@ def chance_normalised(answers: DataFrame, by: str, correct: str, choices: str) -
 
 def curve_stats(points: DataFrame, curve: str, step: str, value: str, edge: int = 5) -> DataFrame:
     """By curve: first, last, smallest value and where, means of the first and last five, and the drop in per cent."""
-    up, down = Window.partitionBy(curve).orderBy(step), Window.partitionBy(curve).orderBy(F.col(step).desc())
-    told = points.withColumn("_a", F.row_number().over(up)).withColumn("_z", F.row_number().over(down))
+    place, all_ = Window.partitionBy(curve).orderBy(step), Window.partitionBy(curve)
+    told = points.withColumn("_a", F.row_number().over(place)).withColumn("_z", F.count(F.lit(1)).over(all_) + 1 - F.col("_a"))
     mean = lambda c: F.avg(F.when(F.col(c) <= edge, F.col(value)))
     out = told.groupBy(curve).agg(F.min_by(value, "_a").alias("first_value"), F.min_by(value, "_z").alias("last_value"), F.min(value).alias("least"), F.min_by(F.col("_a") - 1, F.struct(value, "_a")).alias("least_at"), mean("_a").alias("first_mean"), mean("_z").alias("last_mean"))
     return out.withColumn("drop_percent", F.when(F.col("first_value") != 0, (F.col("first_value") - F.col("last_value")) / F.col("first_value") * 100))
@@ -118,3 +124,9 @@ def progress(done: Column, total: Column, seconds: Column) -> dict[str, Column]:
     """Per cent, rate and time left."""
     rate = F.when(seconds > 0, done / seconds)
     return {"percent": F.when(total > 0, done * 100.0 / total).otherwise(F.lit(0.0)), "rate": rate, "eta": F.when(rate > 0, X.clock((total - done) / rate))}
+
+
+def bracket_metrics(rows: DataFrame, conditional, symbols: int, max_depth: int) -> DataFrame:
+    """(token_accuracy, conditional_validity) over rows of (sequence, target, prediction); conditional says how many predictions fit."""
+    per = rows.select(X.equal_places(F.col("target"), F.col("prediction")).alias("equal"), conditional(F.col("sequence"), F.col("prediction"), symbols, max_depth).alias("valid"), F.size("sequence").alias("n"))
+    return per.agg(F.round(F.sum("equal") / F.sum("n"), 6).alias("token_accuracy"), F.round(F.sum("valid") / F.sum("n"), 6).alias("conditional_validity"))

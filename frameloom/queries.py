@@ -209,15 +209,8 @@ def rule_score_band(spark, d):
     return S.in_band(S.rule_score(event_codes(spark, d)), 0.7, 0.85).select("sample_id", r6("score").alias("score"))
 
 
-@query(f"WITH {GRID} SELECT CAST(label AS VARCHAR) AS label, count(DISTINCT s[1:4]) AS patterns, round(count(DISTINCT s[1:4]) / count(*), 6) AS diversity FROM g GROUP BY label")
-def pattern_diversity_embeddings(spark, d):
-    short = grids(spark, d).withColumn("state", F.slice("state", 1, 4))
-    return S.pattern_diversity(short, ["label"]).select("label", "patterns", r6("diversity").alias("diversity"))
-
-
 @query(f"WITH {GRID} SELECT CAST(label AS VARCHAR) AS label, count(DISTINCT s) AS patterns, round(count(DISTINCT s) / count(*), 6) AS diversity FROM g GROUP BY label")
-def pattern_diversity_states(spark, d):
-    """Over whole states; pattern_diversity_embeddings counts their first four cells, as its SQL has it."""
+def pattern_diversity_embeddings(spark, d):
     return S.pattern_diversity(grids(spark, d), ["label"]).select("label", "patterns", r6("diversity").alias("diversity"))
 
 
@@ -261,6 +254,16 @@ def shard_rollup_orders(spark, d):
     return S.run_rollup(shards).withColumn("frames_per_sample", r6("frames_per_sample"))
 
 
+@query("""WITH t AS (SELECT DISTINCT p_type AS task FROM part), s AS (SELECT p_type AS task, p_partkey % 3 AS shard_id, count(*) AS n FROM part WHERE p_size > 40 GROUP BY ALL)
+SELECT task, count(shard_id) AS shard_count, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_frames FROM t LEFT JOIN s USING (task) GROUP BY ROLLUP (task)""")
+def task_rollup_parts(spark, d):
+    """Tasks without any shard stay, with zeros."""
+    parts = read(spark, d, "part")
+    n = F.count(F.lit(1))
+    shards = parts.where("p_size > 40").groupBy(F.col("p_type").alias("task"), (F.col("p_partkey") % 3).alias("shard_id")).agg(n.alias("samples"), n.alias("frames"), n.alias("bytes")).withColumn("error", F.lit(None).cast("string"))
+    return S.run_rollup(shards, parts.select(F.col("p_type").alias("task")).distinct()).select("task", "shard_count", "total_frames")
+
+
 @query("""WITH s AS (SELECT source, count(*) AS n, CAST(sum(quality) AS BIGINT) AS c FROM labels JOIN documents USING (doc_id) GROUP BY source)
 SELECT source, n, c, round(CASE WHEN n - c < 3 THEN 1 ELSE 1 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1 - 3.0::DOUBLE / i)) END, 6) AS pass_at_3 FROM s""")
 def pass_at_k_labels(spark, d):
@@ -347,11 +350,13 @@ def neighbour_join_grid(spark, d):
     return asked.join(near, ["vec_id", "nr", "nc"]).groupBy("vec_id", "r", "c").agg(F.count_if("x").alias("alive"))
 
 
-@query("SELECT a.n_nationkey AS a, round(sum(1 / (1 + abs(a.n_nationkey - b.n_nationkey))), 6) AS pull FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey GROUP BY 1")
-def pairwise_theta_nation(spark, d):
-    n = read(spark, d, "nation").select(F.col("n_nationkey").alias("a"))
-    met = n.join(F.broadcast(n.withColumnRenamed("a", "b")), F.col("a") != F.col("b"))  # 25 rows by their definition
-    return met.groupBy("a").agg(r6(F.sum(1 / (1 + F.abs(F.col("a") - F.col("b"))))).alias("pull"))
+@query("SELECT a.s_suppkey AS a, round(sum((b.s_acctbal - a.s_acctbal) / pow(pow(b.s_acctbal - a.s_acctbal, 2) + 1, 1.5)), 6) AS pull FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1")
+def pairwise_theta_supplier(spark, d):
+    """Bodies of one system pull at each other: pairs within a nation, never of the whole table."""
+    bodies = read(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.col("s_acctbal").cast("double").alias("at"))
+    apart = F.col("b.at") - F.col("a.at")
+    met = S.pairwise(bodies, ["s_nationkey"], "s_suppkey")
+    return met.groupBy(F.col("a.s_suppkey").alias("a")).agg(r6(F.sum(apart / F.pow(apart * apart + 1, F.lit(1.5)))).alias("pull"))
 
 
 @query("""WITH r AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS k FROM (SELECT DISTINCT p_brand FROM part)), n AS (SELECT count(*) AS n FROM r)
@@ -369,11 +374,34 @@ def fewshot_anti_join(spark, d):
     return read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
 
 
-@query()
-def few_shot_prompts(spark, d):
+def shots_sql(shots: int, seed: int, rings: int) -> str:
+    """c: the prompts that each item of the benchmark takes, in order."""
+    draw = lambda salt: f"md5('{seed}{salt}:' || CAST(item_id AS VARCHAR))"
+    return f"""k AS (SELECT item_id, text, {draw("o")} AS o, CAST('0x' || substr({draw("r")}, 1, 8) AS BIGINT) % {rings} AS ring FROM benchmark),
+m AS (SELECT a.item_id, b.text, row_number() OVER (PARTITION BY a.item_id ORDER BY (b.ring - a.ring + {rings}) % {rings}, b.o, b.item_id) AS n FROM k a JOIN k b ON a.item_id <> b.item_id),
+c AS (SELECT item_id, list(text ORDER BY n) AS shots FROM m WHERE n <= {shots} GROUP BY item_id)"""
+
+
+def few_shots(spark, d, shots, seed):
     items = read(spark, d, "benchmark")
-    made = C.few_shot(items, items.withColumnRenamed("text", "prompt"), "item_id", 2, 7, buckets=4)
-    return made.select("item_id", F.size("shots").alias("n"), F.sha2(F.array_join("shots", "\n"), 256).alias("digest"))
+    return C.few_shot(items, items.withColumnRenamed("text", "prompt"), "item_id", shots, seed)
+
+
+@query(f"WITH {shots_sql(2, 7, 64)} SELECT item_id, CAST(len(shots) AS INT) AS n, sha256(array_to_string(shots, chr(10))) AS digest FROM c")
+def few_shot_prompts(spark, d):
+    return few_shots(spark, d, 2, 7).select("item_id", F.size("shots").alias("n"), F.sha2(F.array_join("shots", "\n"), 256).alias("digest"))
+
+
+@query(f"""WITH {shots_sql(3, 5, 64)}, w AS (SELECT item_id, array_to_string(shots, chr(10)) || chr(10) || text || chr(10) AS q, CAST(item_id AS VARCHAR) AS a FROM c JOIN benchmark USING (item_id)),
+t AS (SELECT item_id, list_transform(string_split(q, ''), lambda x: ord(x)::BIGINT) AS q, list_transform(string_split(a, ''), lambda x: ord(x)::BIGINT) || [3] AS a FROM w),
+u AS (SELECT item_id, q || a AS s, (list_transform(q, lambda x: -100::BIGINT) || a)[2:] AS t FROM t)
+SELECT item_id, md5(array_to_string(list_transform(range(1, 1025), lambda i: coalesce(s[i], 0)), ',')) AS input, md5(array_to_string(list_transform(range(1, 1025), lambda i: coalesce(t[i], -100)), ',')) AS target FROM u""")
+def few_shot_masked(spark, d):
+    """Context and question do not count in the target; the answer and the end do."""
+    line = lambda *c: X.points_of(F.concat_ws("\n", *c, F.lit("")))
+    told = few_shots(spark, d, 3, 5).join(read(spark, d, "benchmark"), "item_id")
+    made = C.masked_prompts(told, "item_id", line("shots"), line("text"), X.points_of(F.col("item_id").cast("string")), 3, 1024)
+    return made.select("item_id", F.md5(joined("input")).alias("input"), F.md5(joined("target")).alias("target"))
 
 
 @query("SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM conversations")
@@ -399,13 +427,23 @@ def sliding_last_n(spark, d):
     return event_values(spark, d).select("sample_id", "pos", r6(F.avg(F.element_at("state", 1)).over(last)).alias("mean"), F.min("pos").over(last).alias("base"))
 
 
-@query("""WITH k AS (SELECT * FROM (VALUES ('en', 1), ('de', 2), ('fr', 3)) k(lang, difficulty)), d AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang)
-SELECT lang, n, coalesce(difficulty, 999) AS difficulty, rank() OVER (ORDER BY coalesce(difficulty, 999), lang) AS place FROM d LEFT JOIN k USING (lang)""")
+@query("""WITH k AS (SELECT * FROM (VALUES ('en', 1), ('de', 2), ('fr', 3)) k(lang, difficulty)), d AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+h AS (SELECT lang, n, coalesce(difficulty, 999) AS difficulty FROM d LEFT JOIN k USING (lang))
+SELECT *, row_number() OVER (ORDER BY difficulty, lang) AS easy_hard, row_number() OVER (ORDER BY difficulty DESC, lang) AS hard_easy, row_number() OVER (ORDER BY lang) AS by_name FROM h""")
 def curriculum_order(spark, d):
     hard = spark.createDataFrame([("en", 1), ("de", 2), ("fr", 3)], "lang string, difficulty int")
     sets = read(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(hard), "lang", "left")
     sets = sets.select("lang", "n", F.coalesce("difficulty", F.lit(999)).alias("difficulty"))
-    return sets.withColumn("place", F.rank().over(Window.orderBy("difficulty", "lang")).cast("bigint"))
+    for order, place in (("easy_hard", "easy_hard"), ("hard_easy", "hard_easy"), ("random", "by_name")):
+        sets = C.curriculum(sets, "lang", F.col("difficulty"), order, place=place)
+    return sets
+
+
+@query("SELECT item_id, row_number() OVER (ORDER BY md5('11:' || CAST(item_id AS VARCHAR)), item_id) AS place FROM benchmark")
+def curriculum_shuffle(spark, d):
+    """The places of the seeded order in which mixed data are read."""
+    ordered = C.shuffled(read(spark, d, "benchmark").select("item_id"), 11, "item_id")
+    return C.running_offset(ordered.select("item_id", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("11"), "item_id")), 1, 15), 16, 10).cast("bigint").alias("draw")), "draw", F.lit(1), "place").select("item_id", (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT user_id, lowest, event FROM (SELECT user_id, min(value) AS lowest, arg_min(event_id, (value, event_id)) AS event FROM events GROUP BY user_id) t ORDER BY lowest, user_id LIMIT 10")
@@ -423,24 +461,20 @@ def cap_per_group(spark, d):
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source HAVING count(*) >= 45")
 def min_size_filter(spark, d):
-    return read(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).where("n >= 45")
+    return C.sized(read(spark, d, "documents"), "source", least=45).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH o AS (SELECT lang, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1000000 WHEN 'es' THEN 2000000 ELSE 3000000 END AS o FROM (SELECT DISTINCT lang FROM documents))
-SELECT doc_id, '1:' || CAST(ord(substr(text, 1, 1)) + o AS VARCHAR) AS head FROM documents JOIN o USING (lang)""")
-def union_typed_vocab(spark, d):
-    """The head alone, as its SQL has it; union_typed_vocab_whole moves whole texts."""
-    place = F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).when(F.col("lang") == "es", 2).otherwise(3)
-    docs = read(spark, d, "documents").where(F.col("lang").isNotNull())
-    first = F.when(F.col("text") == "", -1).otherwise(F.ascii("text"))  # ord('') in SQL
-    return docs.select("doc_id", F.concat(F.lit("1:"), (first + place * 1_000_000).cast("string")).alias("head"))
+@query("SELECT lang, doc_id FROM (SELECT lang, doc_id, count(*) OVER l AS n, row_number() OVER (PARTITION BY lang ORDER BY md5('9:' || CAST(doc_id AS VARCHAR)), doc_id) AS k FROM documents WINDOW l AS (PARTITION BY lang)) WHERE n >= 60 AND k <= 70")
+def sized_subsets(spark, d):
+    """Groups of a least size, of each a seeded sample of at most so many rows, which is the operator's purpose."""
+    return C.sized(read(spark, d, "documents").select("lang", "doc_id"), "lang", least=60, most=70, seed=9, key="doc_id")
 
 
 @query("""WITH l AS (SELECT lang, 1114112 * (row_number() OVER (ORDER BY lang NULLS FIRST) - 1) AS o FROM (SELECT DISTINCT lang FROM documents)),
 d AS (SELECT doc_id, o, coalesce(text, '') AS text FROM documents JOIN l ON documents.lang IS NOT DISTINCT FROM l.lang),
 t AS (SELECT doc_id, [0] || CASE WHEN text = '' THEN [] ELSE list_transform(string_split(text, ''), lambda c: ord(c)::BIGINT + o) END || [1] AS t FROM d)
 SELECT doc_id, len(t) AS tokens, md5(array_to_string(t, ',')) AS digest FROM t""")
-def union_typed_vocab_whole(spark, d):
+def union_typed_vocab(spark, d):
     """Every code point of every text, moved by the offset of its language, between start and end."""
     docs = read(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     sets = C.vocabulary_offsets(docs.select("lang").distinct().withColumn("size", F.lit(X.LAST_CODEPOINT + 1)), "lang", "size").select(F.col("lang").alias("of"), "offset")
@@ -479,21 +513,77 @@ def pack_blocks_overlap(spark, d):
     return C.blocks(corpus(spark, d), 128, overlap=True).select("block", F.md5(joined("input")).alias("input"), F.md5(joined("target")).alias("target"))
 
 
-@query()
+@query(f"WITH {TOK}, b AS (SELECT pos // 129 AS block, list(token ORDER BY pos) AS t FROM p GROUP BY 1) SELECT block, md5(array_to_string(t[1:128], ',')) AS input FROM b WHERE len(t) = 129 ORDER BY md5('3:' || CAST(block AS VARCHAR)), block LIMIT 50")
 def block_sample(spark, d):
     return C.block_sample(C.blocks(corpus(spark, d), 128), 50, 3).select("block", F.md5(joined("input")).alias("input"))
 
 
-@query("SELECT doc_id, CAST(coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 20000 AS buffer FROM documents")
+@query(f"WITH {TOK} SELECT min(pos) AS \"offset\", count(*) AS n, md5(string_agg(CAST(token AS VARCHAR), ',' ORDER BY pos)) AS digest FROM (SELECT pos, token, doc_id FROM t JOIN o USING (doc_id), LATERAL (SELECT CAST(coalesce(o, 0) + i AS BIGINT) AS pos)) WHERE pos < 100000 GROUP BY doc_id")
+def corpus_budget(spark, d):
+    """The stream up to its budget of tokens, cut within a document."""
+    told = C.corpus_tokens(read(spark, d, "documents"), "doc_id", X.points_of(F.col("text")), 0, budget=100_000)
+    return told.select("offset", F.size("tokens").cast("bigint").alias("n"), F.md5(joined("tokens")).alias("digest"))
+
+
+def filled_sql(size: str, budget: int, name: str) -> str:
+    """Document by document: what is held starts anew once it has reached the budget."""
+    return f"""d AS (SELECT doc_id, text, {size} AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+f AS (SELECT doc_id, i, n AS held, 0::BIGINT AS {name} FROM d WHERE i = 1
+  UNION ALL SELECT d.doc_id, d.i, CASE WHEN f.held >= {budget} THEN 0 ELSE f.held END + d.n, f.{name} + CASE WHEN f.held >= {budget} THEN 1 ELSE 0 END FROM f JOIN d ON d.i = f.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {filled_sql('length(text)', 20000, 'buffer')} SELECT doc_id, buffer FROM f")
 def char_budget_pack(spark, d):
     return C.buffers(read(spark, d, "documents"), "doc_id", F.length("text"), 20000).select("doc_id", "buffer")
 
 
-@query("SELECT doc_id, greatest(CAST(sum(length(text) + 1) OVER (ORDER BY doc_id) AS BIGINT) - 1, 0) // 50000 AS shard FROM documents")
+@query(f"""WITH RECURSIVE {filled_sql('length(text)', 20000, 'buffer')},
+t AS (SELECT doc_id, buffer, unnest(list_transform(string_split(text, ''), lambda c: ord(c)::BIGINT) || [0]) AS token, unnest(range(0, length(text) + 1)) AS k FROM f JOIN documents USING (doc_id)),
+p AS (SELECT buffer, token, row_number() OVER (PARTITION BY buffer ORDER BY doc_id, k) - 1 AS pos FROM t),
+b AS (SELECT buffer, pos // 129 AS block, list(token ORDER BY pos) AS t FROM p GROUP BY ALL)
+SELECT buffer, block, md5(array_to_string(t[1:128], ',')) AS input, md5(array_to_string(t[2:129], ',')) AS target FROM b WHERE len(t) = 129""")
+def stream_pack(spark, d):
+    made = C.stream_blocks(read(spark, d, "documents"), "doc_id", "text", X.points_of(F.col("text")), 0, 128, 20000)
+    return made.select("buffer", "block", F.md5(joined("input")).alias("input"), F.md5(joined("target")).alias("target"))
+
+
+@query(f"WITH RECURSIVE {filled_sql('length(text) + 1', 50000, 'shard')} SELECT doc_id, shard FROM f")
 def token_shards(spark, d):
     return C.token_shards(read(spark, d, "documents"), "doc_id", F.length("text") + 1, 50000).select("doc_id", "shard")
 
 
+def predicted(spark, d):
+    """Sequences, targets one further on, and predictions made of the cells from behind."""
+    s = F.col("state")
+    return grids(spark, d).select("sample_id", F.slice(s, 1, 63).alias("sequence"), F.slice(s, 2, 63).alias("target"), F.slice(F.reverse(s), 1, 63).alias("prediction"))
+
+
+PREDICTED = f"""{GRID}, r AS (SELECT vec_id, s[1:63] AS seq, s[2:64] AS tar, list_reverse(s)[1:63] AS pred FROM g)"""
+ACCURACY = "(SELECT sum(len(list_filter(range(1, 64), lambda i: tar[i] = pred[i]))) / (63.0 * count(*)) FROM r)"
+
+
+@query(f"""WITH RECURSIVE {PREDICTED},
+f AS (SELECT vec_id, 0 AS j, []::BIGINT[] AS stack, 0 AS valid FROM r
+  UNION ALL SELECT vec_id, j, stack, CASE WHEN (p < 2 AND len(stack) < 5) OR (len(stack) > 0 AND stack[-1] = p - 2) THEN 1 ELSE 0 END FROM (
+    SELECT f.vec_id, j + 1 AS j, pred[j + 1] AS p, CASE WHEN seq[j + 1] < 2 THEN list_append(stack, seq[j + 1]) WHEN len(stack) > 0 AND stack[-1] = seq[j + 1] - 2 THEN stack[:-2] ELSE stack END AS stack
+    FROM f JOIN r ON r.vec_id = f.vec_id WHERE j < 63))
+SELECT round({ACCURACY}, 6) AS token_accuracy, round((SELECT sum(valid) FROM f) / (63.0 * count(*)), 6) AS conditional_validity FROM r""")
+def dyck_metrics(spark, d):
+    return S.bracket_metrics(predicted(spark, d), X.dyck_conditional, 2, 5)
+
+
+@query(f"""WITH RECURSIVE {PREDICTED},
+f AS (SELECT vec_id, 0 AS j, 0::BIGINT AS a, 0::BIGINT AS b, 0 AS valid FROM r
+  UNION ALL SELECT vec_id, j, a, b, CASE WHEN p < 2 AND (CASE WHEN p = 0 THEN a ELSE b END) < 3 THEN 1 WHEN (CASE WHEN p % 2 = 0 THEN a ELSE b END) > 0 THEN 1 ELSE 0 END FROM (
+    SELECT f.vec_id, j + 1 AS j, pred[j + 1] AS p,
+      CASE WHEN seq[j + 1] % 2 = 1 THEN a WHEN seq[j + 1] = 0 AND a < 3 THEN a + 1 WHEN a > 0 THEN a - 1 ELSE a END AS a,
+      CASE WHEN seq[j + 1] % 2 = 0 THEN b WHEN seq[j + 1] = 1 AND b < 3 THEN b + 1 WHEN b > 0 THEN b - 1 ELSE b END AS b
+    FROM f JOIN r ON r.vec_id = f.vec_id WHERE j < 63))
+SELECT round({ACCURACY}, 6) AS token_accuracy, round((SELECT sum(valid) FROM f) / (63.0 * count(*)), 6) AS conditional_validity FROM r""")
+def shuffle_dyck_metrics(spark, d):
+    return S.bracket_metrics(predicted(spark, d), X.shuffle_dyck_conditional, 2, 3)
+
+
 @query("SELECT vec_id, CAST(label AS VARCHAR) AS label, array_to_string([label, label + 10, label + 20][1:2] || list_transform(range(0, 4), lambda i: -100), ',') AS seq FROM embeddings")
 def pad_targets(spark, d):
     seq = F.array(F.col("label").cast("bigint"), (F.col("label") + 10).cast("bigint"))
@@ -538,7 +628,10 @@ def derive_seeds(spark, d):
     return read(spark, d, "nation").select("n_nationkey", hex16(shard_seed_udf(F.lit(42).cast("bigint"), F.col("n_nationkey").cast("bigint"))).alias("seed"))
 
 
-@query()
+@query("""WITH a AS (SELECT n_nationkey AS k, (42::UHUGEINT + (n_nationkey::UHUGEINT * 5871781006564002453::UHUGEINT)) % 18446744073709551616::UHUGEINT AS z FROM nation),
+b AS (SELECT k, (xor(z, z >> 30) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM a),
+c AS (SELECT k, (xor(z, z >> 27) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM b)
+SELECT k AS n_nationkey, lpad(lower(to_hex(xor(z, z >> 31))), 16, '0') AS seed FROM c""")
 def derive_sample_seeds(spark, d):
     ship(spark)
     return read(spark, d, "nation").select("n_nationkey", hex16(sample_seed_udf(F.lit(42).cast("bigint"), F.col("n_nationkey").cast("bigint"))).alias("seed"))
