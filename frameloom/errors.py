@@ -23,3 +23,23 @@ class DuplicateName(FrameloomError, ValueError):
 
 class SinkError(FrameloomError, OSError):
     """Frames that a sink cannot hold."""
+
+
+class GeneratorNotFound(UnknownName):
+    """A generator that no registry has."""
+
+
+class GenerationError(FrameloomError, RuntimeError):
+    """A generator that failed while it ran."""
+
+
+class SerializationError(FrameloomError, ValueError):
+    """Bytes or text that do not hold what they should."""
+
+
+class PipelineError(FrameloomError, RuntimeError):
+    """A processor that cannot take the frames it is given."""
+
+
+class ConfigError(FrameloomError, ValueError):
+    """A setting of a run, such as its log level, that cannot be used."""

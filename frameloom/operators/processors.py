@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from frameloom.errors import InvalidParams
+from frameloom.errors import InvalidParams, PipelineError
 from frameloom.functions import frames as X
 from frameloom.model import KEY, kind_of, renumbered, sample_window
 from frameloom.registry import Registry
@@ -150,6 +150,9 @@ def rewritten(steps: list[tuple[str, dict]]) -> list[tuple[str, dict]]:
 
 def chain(frames: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:
     """The processors one after another; pos is counted anew at the end only if rows went."""
+    missing = [c for c in (*KEY, "pos", "step_index", "state", "label") if c not in frames.columns]
+    if missing:
+        raise PipelineError(f"frames lack {', '.join(missing)}")
     steps = rewritten([(name, config or {}) for name, config in steps])
     out = reduce(lambda df, step: PROCESSORS.get(step[0])(df, step[1]), steps, frames)
     return renumbered(out) if any(name in DROPPING for name, _ in steps) else out

@@ -13,8 +13,9 @@ from pathlib import Path
 import pyspark
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frameloom.errors import FrameloomError
+from frameloom.errors import ConfigError, FrameloomError
 from frameloom.functions.seeds import shard_seed
+from frameloom.lineage import checkpointed
 from frameloom.operators.processors import chain
 from frameloom.plans.manifest import Manifest, Task, load
 from frameloom.sinks import files
@@ -23,13 +24,14 @@ from frameloom.sources.generate import generate
 LOG = logging.getLogger("frameloom")
 #: Exit codes: all went well, some shards failed, all failed or nothing could run.
 ALL, SOME, NONE = 0, 1, 2
+LEVELS = {"trace": 5, "debug": logging.DEBUG, "info": logging.INFO, "warn": logging.WARNING, "error": logging.ERROR}
 
 
 def task_frames(spark: SparkSession, task: Task, threads: int) -> tuple[DataFrame, DataFrame]:
-    """The processed frames of the shards that went well, and (task, shard_id, error) of the others."""
-    made = generate(spark, task.generator, task.generator_config(), task.count, task.seq_length, task.seed, task.name, task.shards(threads), isolate=True)
-    failed = made.where("error is not null").select("task", "shard_id", "error").dropDuplicates(["task", "shard_id"])
-    good = made.where("error is null").drop("error").join(F.broadcast(failed.select("task", "shard_id")), ["task", "shard_id"], "left_anti")
+    """The processed frames of the shards that went well, and (task, shard_id, error) of the others. Generation runs once."""
+    made = checkpointed(generate(spark, task.generator, task.generator_config(), task.count, task.seq_length, task.seed, task.name, task.shards(threads), isolate=True))
+    failed = made.where("error is not null").groupBy("task", "shard_id").agg(F.min("error").alias("error"))
+    good = made.where("error is null").drop("error").join(failed, ["task", "shard_id"], "left_anti")
     return chain(good, task.steps()), failed
 
 
@@ -50,6 +52,8 @@ def run_task(spark: SparkSession, manifest: Manifest, task: Task, threads: int)
     for shard in range(shards):
         row = results.get(shard, {"samples": min(size, task.count - shard * size), "frames": 0, "bytes": 0, "filename": None, "sha256": None, "error": None})
         rows.append(row | {"task": task.name, "shard_id": shard, "seed": int(shard_seed(task.seed, shard)), "format": fmt, "error": errors.get(shard, row["error"])})
+        LOG.debug("task %s shard %s: %s frames", task.name, shard, rows[-1]["frames"])
+    LOG.info("task %s: %s of %s shards", task.name, sum(r["error"] is None for r in rows), shards)
     return rows
 
 
@@ -100,6 +104,39 @@ def exit_code(report: dict) -> int:
     return ALL if not failed else NONE if failed == shards else SOME
 
 
+class JsonLines(logging.Formatter):
+    """A record as one line of JSON."""
+
+    def format(self, record: logging.LogRecord) -> str:
+        line = {"timestamp": datetime.fromtimestamp(record.created, UTC).isoformat(), "level": record.levelname, "target": record.name, "message": record.getMessage()}
+        return json.dumps(line | ({"exception": self.formatException(record.exc_info)} if record.exc_info else {}), ensure_ascii=False)
+
+
+def init_logging(level: str, file: str | None = None) -> list[logging.Handler]:
+    """Log to the console and, where a file is named, as lines of JSON to it. A file that cannot be made is a warning. Handlers of
+    an earlier call go."""
+    if level.lower() not in LEVELS:
+        raise ConfigError(f"no log level {level!r}; there are {', '.join(LEVELS)}")
+    for handler in list(LOG.handlers):
+        LOG.removeHandler(handler)
+        handler.close()
+    console = logging.StreamHandler()
+    console.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s %(message)s"))
+    handlers: list[logging.Handler] = [console]
+    if file:
+        try:
+            Path(file).parent.mkdir(parents=True, exist_ok=True)
+            handlers.append(logging.FileHandler(file, "w", encoding="utf-8"))
+            handlers[-1].setFormatter(JsonLines())
+        except OSError as e:
+            print(f"warning: no log file {file}: {e}", file=sys.stderr)
+    for handler in handlers:
+        LOG.addHandler(handler)
+    LOG.setLevel(LEVELS[level.lower()])
+    LOG.propagate = False
+    return handlers
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="frameloom")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -109,6 +146,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     r.add_argument("-f", "--format", choices=sorted(files.FORMATS))
     r.add_argument("-t", "--threads", type=int)
     r.add_argument("-l", "--log-level", default=None)
+    r.add_argument("--log-file")
+    r.add_argument("--stream-write", nargs="?", const=True, type=lambda x: {"true": True, "false": False}[x.lower()])
     r.add_argument("--no-progress", action="store_true")
     v = commands.add_parser("view", help="print frames of a generator")
     v.add_argument("-g", "--generator", required=True)
@@ -123,8 +162,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             for state in sample_frames(GENERATORS.get(given.generator)(json.loads(given.config)), given.seed, given.steps):
                 print(" ".join(str(int(x) if isinstance(x, bool) else x) for x in state))
             return ALL
-        manifest = load(Path(given.manifest).read_text(encoding="utf-8")).with_overrides(output_dir=given.output_dir, default_format=given.format, num_threads=given.threads, log_level=given.log_level)
-        logging.basicConfig(level=manifest.log_level.upper(), format="%(asctime)s %(levelname)s %(message)s")
+        manifest = load(Path(given.manifest).read_text(encoding="utf-8")).with_overrides(output_dir=given.output_dir, default_format=given.format, num_threads=given.threads, log_level=given.log_level, stream_write=given.stream_write)
+        init_logging(manifest.log_level, given.log_file)
         manifest.validate()
         report = run(spark or SparkSession.builder.appName("frameloom").getOrCreate(), manifest)
     except (FrameloomError, OSError, json.JSONDecodeError) as e:

@@ -11,8 +11,8 @@ T = TypeVar("T")
 
 
 class Registry(Generic[T]):
-    def __init__(self, kind: str):
-        self.kind, self._made = kind, {}
+    def __init__(self, kind: str, missing: type[UnknownName] = UnknownName):
+        self.kind, self.missing, self._made = kind, missing, {}
 
     def register(self, name: str, factory: T) -> T:
         if name in self._made:
@@ -30,7 +30,7 @@ class Registry(Generic[T]):
 
     def get(self, name: str) -> T:
         if name not in self._made:
-            raise UnknownName(f"no {self.kind} {name!r}; there are {', '.join(self.names())}")
+            raise self.missing(f"no {self.kind} {name!r}; there are {', '.join(self.names())}")
         return self._made[name]
 
     def names(self) -> list[str]:

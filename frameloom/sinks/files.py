@@ -1,7 +1,9 @@
-"""File sinks: one file for each shard, written where Spark's tasks can write, published by a rename.
+"""File sinks: one file for each shard, on any store that all executors reach.
 
-Parquet and text go through Spark's own writers and work on any store. The binary and array formats are byte layouts of their
-own; a task writes one shard, and frames stream through it in order. Their folder must be one that all executors share.
+Parquet and text go through Spark's own writers. The binary and array formats are byte layouts of their own; a task writes one
+shard, and frames stream through it in order, with the header first. Each attempt of a task writes a file of its own in a folder of the
+job's; only files that the job's rows name, those of the attempts that counted, are moved to their names, by the driver. So a
+lost executor or a second attempt leaves nothing half written under a shard's name.
 """
 
 from __future__ import annotations
@@ -10,24 +12,52 @@ import hashlib
 import os
 import struct
 from collections.abc import Iterator
-from pathlib import Path
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frameloom.errors import InvalidParams, SinkError
+from frameloom.errors import InvalidParams, SerializationError, SinkError
 from frameloom.functions import frames as X
 from frameloom.functions.seeds import shard_seed
 from frameloom.model import kind_of
+from frameloom.registry import Registry
 from frameloom.workers import ship
 
-FORMATS = {"Parquet": "parquet", "Text": "txt", "Binary": "bin", "Npy": "npy", "NpyBatch": "npy"}
+FORMATS = {"Parquet": "parquet", "Text": "txt"}
 #: The binary format's magic and version, and the tags of its cells.
 MAGIC, VERSION = b"SGEN", 2
 TAGS = {"int": 1, "float": 2, "bool": 3}
 CELL = np.dtype([("tag", "u1"), ("value", "<i8")])
 RESULT = "task string, shard_id int, seed bigint, filename string, format string, samples bigint, frames bigint, bytes bigint, sha256 string, error string"
+#: Formats that write_shards knows; register_sink adds more.
+SHARDS: Registry[type] = Registry("sink")
+
+
+def register_sink(name: str, extension: str):
+    """Make a class of shards known by a name: made with (write, kind, options, frames), then write() for each frame, then close()."""
+
+    def wrap(made: type) -> type:
+        SHARDS.register(name, made)
+        FORMATS[name] = extension
+        return made
+
+    return wrap
+
+
+def rooted(folder: str) -> str:
+    """A folder as every process finds it: an address, or an absolute path."""
+    return folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder)
+
+
+def store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the folder's path there."""
+    try:
+        return fs.FileSystem.from_uri(rooted(folder))
+    except (pa.ArrowInvalid, OSError) as e:
+        raise SinkError(f"no store for {folder!r}: {e}") from e
 
 
 def file_name(task: str, shard: int, seed: int, extension: str) -> str:
@@ -42,143 +72,189 @@ def encode_cells(values: np.ndarray, kind: str) -> bytes:
     return out.tobytes()
 
 
-def decode_cells(data: bytes) -> list:
-    """The cells of encode_cells, mixed tags too."""
+def cells_as(data: bytes, kind: str) -> pa.Array:
+    """The cells of encode_cells, mixed tags too, all as one kind."""
     cells = np.frombuffer(data, CELL)
-    if not np.isin(cells["tag"], list(TAGS.values())).all():
-        raise SinkError("a cell has an unknown tag")
+    tag, whole = cells["tag"], cells["value"].copy()
+    if not np.isin(tag, list(TAGS.values())).all():
+        raise SerializationError("a cell has an unknown tag")
+    whole = np.where(tag == TAGS["bool"], whole & 0xFF, whole)
     floats = cells["value"].copy().view(np.float64)
-    return [float(f) if t == 2 else bool(v & 0xFF) if t == 3 else int(v) for t, v, f in zip(cells["tag"].tolist(), cells["value"].tolist(), floats.tolist(), strict=True)]
+    if kind == "float":
+        return pa.array(np.where(tag == TAGS["float"], floats, whole.astype(np.float64)))
+    if kind == "bool":
+        return pa.array(np.where(tag == TAGS["float"], floats != 0, whole != 0))
+    if (tag == TAGS["float"]).any() and not (floats[tag == TAGS["float"]] == np.trunc(floats[tag == TAGS["float"]])).all():
+        raise SerializationError("a cell is no whole number")
+    return pa.array(np.where(tag == TAGS["float"], np.where(tag == TAGS["float"], floats, 0).astype(np.int64), whole))
+
 
+class Shard:
+    """Frames of one width, behind a header that tells their number, which is known before the first."""
 
-class BinaryShard:
-    """Header, then frames of one width; the header's count is set at the end."""
+    def __init__(self, write, kind: str, options: dict, frames: int):
+        self.out, self.kind, self.options, self.frames, self.width, self.done = write, kind, options, frames, None, 0
 
-    def __init__(self, file, kind: str, options: dict):
-        self.file, self.kind, self.frames, self.width = file, kind, 0, None
-        file.write(struct.pack("<4sIQI", MAGIC, VERSION, 0, 0))
+    def header(self) -> bytes:
+        raise NotImplementedError
+
+    def frame(self, sample, step, cells, label) -> bytes:
+        raise NotImplementedError
 
     def write(self, sample, step, cells, label) -> None:
         if self.width is None:
             self.width = len(cells)
+            self.out(self.header())
         if len(cells) != self.width:
             raise SinkError(f"frames of {len(cells)} and of {self.width} cells cannot share a file")
-        head = b"\0" if sample is None else struct.pack("<BQ", 1, sample % (1 << 64))
-        name = (label or "").encode()
-        self.file.write(head + struct.pack("<Q", step) + encode_cells(np.asarray(cells), self.kind) + struct.pack("<I", len(name)) + name)
-        self.frames += 1
+        self.out(self.frame(sample, step, cells, label))
+        self.done += 1
 
     def close(self) -> None:
-        self.file.seek(8)
-        self.file.write(struct.pack("<QI", self.frames, self.width or 0))
+        if self.done != self.frames:
+            raise SinkError(f"{self.done} frames came and {self.frames} were announced")
 
 
-class ArrayShard:
-    """An array of (frames, cells); rows are appended and the shape is filled in at the end, in a header of fixed size."""
+@register_sink("Binary", "bin")
+class BinaryShard(Shard):
+    """Magic, version, frames and width, then the frames."""
 
-    HEADER = 128
-    TYPES = {"int": "<i8", "float": "<f8", "bool": "|b1"}
+    def header(self) -> bytes:
+        return struct.pack("<4sIQI", MAGIC, VERSION, self.frames, self.width)
 
-    def __init__(self, file, kind: str, options: dict):
-        self.file, self.type, self.frames, self.width, self.options = file, np.dtype(self.TYPES[kind]), 0, None, options
-        file.write(b" " * self.HEADER)
+    def frame(self, sample, step, cells, label) -> bytes:
+        head = b"\0" if sample is None else struct.pack("<BQ", 1, sample % (1 << 64))
+        name = (label or "").encode()
+        return head + struct.pack("<Q", step) + encode_cells(np.asarray(cells), self.kind) + struct.pack("<I", len(name)) + name
 
-    def write(self, sample, step, cells, label) -> None:
-        if self.width is None:
-            self.width = len(cells)
-        if len(cells) != self.width:
-            raise SinkError(f"frames of {len(cells)} and of {self.width} cells cannot share an array")
-        self.file.write(np.asarray(cells).astype(self.type).tobytes())
-        self.frames += 1
+
+@register_sink("Npy", "npy")
+class ArrayShard(Shard):
+    """An array of (frames, cells)."""
+
+    HEADER = 128
+    TYPES = {"int": "<i8", "float": "<f8", "bool": "|b1"}
 
     def shape(self) -> tuple[int, ...]:
-        return self.frames, self.width or 0
+        return self.frames, self.width
 
-    def close(self) -> None:
-        text = repr({"descr": self.type.str, "fortran_order": False, "shape": self.shape()})
+    def header(self) -> bytes:
+        text = repr({"descr": np.dtype(self.TYPES[self.kind]).str, "fortran_order": False, "shape": self.shape()})
         room = self.HEADER - 10
         if len(text) >= room:
             raise SinkError("the array's shape does not fit its header")
-        self.file.seek(0)
-        self.file.write(b"\x93NUMPY\x01\x00" + struct.pack("<H", room) + text.ljust(room - 1).encode() + b"\n")
+        return b"\x93NUMPY\x01\x00" + struct.pack("<H", room) + text.ljust(room - 1).encode() + b"\n"
+
+    def frame(self, sample, step, cells, label) -> bytes:
+        return np.asarray(cells).astype(self.TYPES[self.kind]).tobytes()
 
 
+@register_sink("NpyBatch", "npy")
 class BatchArrayShard(ArrayShard):
     """An array of (samples, frames, ...): cells as rows x cols x channels where these are given, else flat."""
 
     TYPES = {"int": "<i4", "float": "<f8", "bool": "<i4"}
 
     def shape(self) -> tuple[int, ...]:
-        per = int(self.options.get("num_frames") or self.frames or 1)
+        per = int(self.options.get("num_frames") or self.frames)
         if self.frames % per:
             raise SinkError(f"{self.frames} frames are no whole number of samples of {per}")
         grid = [self.options.get(n) for n in ("rows", "cols", "channels")]
-        cells = tuple(int(g) for g in grid) if all(grid) else (self.width or 0,)
-        if int(np.prod(cells)) != (self.width or 0):
+        cells = tuple(int(g) for g in grid) if all(grid) else (self.width,)
+        if int(np.prod(cells)) != self.width:
             raise SinkError(f"{self.width} cells do not make a grid of {cells}")
         return (self.frames // per, per, *cells)
 
 
-SHARDS = {"Binary": BinaryShard, "Npy": ArrayShard, "NpyBatch": BatchArrayShard}
+class Attempt:
+    """A file of one attempt of a task, in the job's folder, with its size and digest."""
+
+    def __init__(self, folder: str, job: str, name: str):
+        self.fs, root = store(folder)
+        self.fs.create_dir(f"{root}/{job}", recursive=True)
+        self.name = f"{job}/{name}.{uuid4().hex}"
+        self.path = f"{root}/{self.name}"
+        self.stream, self.size, self.digest = self.fs.open_output_stream(self.path), 0, hashlib.sha256()
+
+    def write(self, data: bytes) -> None:
+        self.stream.write(data)
+        self.digest.update(data)
+        self.size += len(data)
+
+    def drop(self) -> None:
+        self.stream.close()
+        self.fs.delete_file(self.path)
+
+
+def committed(folder: str, job: str, made: DataFrame, name: str, final: str) -> list[dict]:
+    """Run a job, a row for each file, and move the files that its rows name; what other attempts wrote goes with the job's folder."""
+    where, root = store(folder)
+    try:
+        rows = [r.asDict() for r in made.collect()]  # a row for each file
+        for row in rows:
+            if row[name] is not None:
+                where.move(f"{root}/{row[name]}", f"{root}/{row[final]}")
+        return rows
+    finally:
+        if where.get_file_info(f"{root}/{job}").type == fs.FileType.Directory:
+            where.delete_dir(f"{root}/{job}")
 
 
 def write_shards(frames: DataFrame, folder: str, fmt: str, base_seed: int = 0, options: dict | None = None) -> DataFrame:
-    """Write a file for each (task, shard) in a format of SHARDS; a row of RESULT for each, with its error if it failed."""
+    """Write a file for each (task, shard) in a format of SHARDS; a row of RESULT for each, with its error if it failed.
+
+    frames are read twice, once to count each shard's: materialise what is costly to make.
+    """
     if fmt not in SHARDS:
         raise InvalidParams(f"no sink {fmt!r} here")
-    ship(frames.sparkSession)
-    kind, options, made = kind_of(frames), options or {}, SHARDS[fmt]
+    spark, folder = frames.sparkSession, rooted(folder)
+    ship(spark)
+    kind, options, made, extension, job = kind_of(frames), options or {}, SHARDS.get(fmt), FORMATS[fmt], f"_job-{uuid4().hex}"
 
     def finish(task, shard, state) -> tuple:
-        shard_, file, temporary, n, samples, error = state
-        final = temporary.with_suffix("")
+        shard_, file, name, samples, error = state
         if error is None:
             try:
                 shard_.close()
             except (SinkError, ValueError, OSError) as e:
                 error = f"{type(e).__name__}: {e}"
-        file.close()
         seed = int(np.uint64(shard_seed(base_seed, shard)).view(np.int64))
         if error is not None:
-            temporary.unlink(missing_ok=True)
-            return task, shard, seed, None, fmt, samples, 0, 0, None, error
-        digest = hashlib.sha256()
-        with temporary.open("rb") as f:
-            while part := f.read(1 << 20):
-                digest.update(part)
-        size = temporary.stat().st_size
-        os.replace(temporary, final)
-        return task, shard, seed, final.name, fmt, samples, n, size, digest.hexdigest(), None
+            file.drop()
+            return task, shard, seed, None, fmt, samples, 0, 0, None, error, None
+        file.stream.close()
+        return task, shard, seed, name, fmt, samples, shard_.done, file.size, file.digest.hexdigest(), None, file.name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state, last = None, None, None
         out = []
         for batch in batches:
-            for task, shard, sample, step, cells, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for task, shard, sample, step, cells, label, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (task, shard) != key:
                     if key is not None:
                         out.append(finish(*key, state))
                     key, last = (task, shard), None
-                    Path(folder).mkdir(parents=True, exist_ok=True)
-                    temporary = Path(folder) / (file_name(task, shard, int(shard_seed(base_seed, shard)), FORMATS[fmt]) + ".tmp")
-                    file = temporary.open("wb")
-                    state = [made(file, kind, options), file, temporary, 0, 0, None]
-                if state[5] is None:
+                    name = file_name(task, shard, int(shard_seed(base_seed, shard)), extension)
+                    file = Attempt(folder, job, name)
+                    state = [made(file.write, kind, options, n), file, name, 0, None]
+                if state[4] is None:
                     try:
                         state[0].write(sample, step, cells, label)
-                        state[3] += 1
                     except (SinkError, ValueError, OSError) as e:
-                        state[5] = f"{type(e).__name__}: {e}"
-                state[4] += sample != last
+                        state[4] = f"{type(e).__name__}: {e}"
+                state[3] += sample != last
                 last = sample
         if key is not None:
             out.append(finish(*key, state))
         if out:
-            types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[f.split()[0] for f in RESULT.split(", ")])
+            types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[*(f.split()[0] for f in RESULT.split(", ")), "attempt"])
 
-    ordered = frames.repartition("task", "shard_id").sortWithinPartitions("task", "shard_id", "sample_id", "pos")
-    return ordered.select("task", "shard_id", "sample_id", "step_index", "state", "label").mapInArrow(run, RESULT)
+    counts = frames.groupBy(F.col("task").alias("_task"), F.col("shard_id").alias("_shard")).agg(F.count(F.lit(1)).alias("_n"))
+    ordered = frames.join(counts, F.col("task").eqNullSafe(F.col("_task")) & (F.col("shard_id") == F.col("_shard"))).repartition("task", "shard_id").sortWithinPartitions("task", "shard_id", "sample_id", "pos")
+    told = ordered.select("task", "shard_id", "sample_id", "step_index", "state", "label", "_n").mapInArrow(run, RESULT + ", attempt string")
+    rows = committed(folder, job, told, "attempt", "filename")
+    return spark.createDataFrame([tuple(r[f.split()[0]] for f in RESULT.split(", ")) for r in rows], RESULT)
 
 
 def write_parquet(frames: DataFrame, folder: str, compression: str = "snappy") -> None:
@@ -213,12 +289,17 @@ def write_text(frames: DataFrame, folder: str, with_sample: bool = False) -> Non
     lines.select("task", "value").write.mode("append").partitionBy("task").text(folder)
 
 
-def write_token_words(tokens: DataFrame, folder: str, per_file: int = 1 << 24) -> None:
-    """(pos, token) as files of little-endian 16-bit tokens, each holding a stretch of positions in order."""
-    ship(tokens.sparkSession)
+def write_token_words(tokens: DataFrame, folder: str, per_file: int = 1 << 24, shard: str | None = None) -> int:
+    """(pos, token) as files of little-endian 16-bit tokens, each holding a stretch of positions in order; the number of files.
+
+    With `shard` a column names the file that a token goes to. The files of one call appear together or not at all.
+    """
+    spark, folder = tokens.sparkSession, rooted(folder)
+    ship(spark)
+    job = f"_job-{uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, now = None, None
+        file, now, out = None, None, []
         for batch in batches:
             stretch, token = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if len(token) and (token.min() < 0 or token.max() > 0xFFFF):
@@ -226,19 +307,19 @@ def write_token_words(tokens: DataFrame, folder: str, per_file: int = 1 << 24) -
             for s in np.unique(stretch):
                 if s != now:
                     if file:
-                        file.close()
-                        os.replace(file.name, file.name.removesuffix(".tmp"))
-                    Path(folder).mkdir(parents=True, exist_ok=True)
-                    file, now = (Path(folder) / f"tokens_{s:05d}.bin.tmp").open("wb"), s
+                        file.stream.close()
+                    now, name = s, f"tokens_{s:05d}.bin"
+                    file = Attempt(folder, job, name)
+                    out.append((name, file.name))
                 file.write(token[stretch == s].astype("<u2").tobytes())
         if file:
-            file.close()
-            os.replace(file.name, file.name.removesuffix(".tmp"))
-        yield from ()
+            file.stream.close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["filename", "attempt"])
 
-    placed = tokens.select(F.floor(F.col("pos") / per_file).alias("stretch"), "token", "pos")
+    stretch = F.floor(F.col("pos") / per_file) if shard is None else F.col(shard)
+    placed = tokens.select(stretch.cast("bigint").alias("stretch"), "token", "pos")
     ordered = placed.repartition("stretch").sortWithinPartitions("stretch", "pos").select("stretch", "token")
-    ordered.mapInArrow(run, "stretch bigint, token bigint").write.format("noop").mode("overwrite").save()
+    return len(committed(folder, job, ordered.mapInArrow(run, "filename string, attempt string"), "attempt", "filename"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from frameloom.errors import InvalidParams
+from frameloom.errors import GenerationError, InvalidParams
 from frameloom.functions.seeds import sample_seed, shard_seed
 from frameloom.model import schema
 from frameloom.sources.kernels import GENERATORS, sample_frames
@@ -83,7 +83,10 @@ def generate(spark: SparkSession, generator: str, config: dict | None = None, co
             for shard in np.unique(ids // size):
                 own = ids[ids // size == shard] - shard * size
                 if not isolate:
-                    yield from shard_batches(task, generator, config, seq_length, seed, int(shard), own)
+                    try:
+                        yield from shard_batches(task, generator, config, seq_length, seed, int(shard), own)
+                    except Exception as e:
+                        raise GenerationError(f"shard {shard} of {task}: {type(e).__name__}: {e}") from e
                     continue
                 try:
                     for made in shard_batches(task, generator, config, seq_length, seed, int(shard), own):
@@ -136,25 +139,41 @@ class ShardReader(DataSourceReader):
 
 
 class EndlessReader(SimpleDataSourceStreamReader):
-    """Frames of endless samples, so many steps a batch; the offset is the next step, so a replay gives the same frames."""
+    """Frames of endless samples, so many steps a batch; the offset is the next step, so a replay gives the same frames.
+
+    The samples' generators live on between batches, so a batch costs its own steps alone. Only after a restart, or where a batch
+    is read again, are they run anew up to where it begins.
+    """
 
     def __init__(self, plan: dict, per_batch: int):
         self.plan, self.per_batch = plan, per_batch
+        self.live, self.at = None, 0
 
     def initialOffset(self) -> dict:
         return {"step": 0}
 
-    def _rows(self, start: int, end: int) -> Iterator[tuple]:
-        return iter(list(self._made(start, end)))  # what Spark ships must be a list's iterator
-
-    def _made(self, start: int, end: int) -> Iterator[tuple]:
+    def _samples(self, start: int) -> list:
         p = self.plan
         kernel = GENERATORS.get(p["generator"])(p["config"])
+        made = [sample_frames(kernel, int(sample_seed(shard_seed(p["seed"], 0), i)), 0) for i in range(p["count"])]
+        for frames in made:
+            next(islice(frames, start, start), None)
+        return made
+
+    def _rows(self, start: int, end: int) -> Iterator[tuple]:
+        p = self.plan
         stop = min(end, p["steps"]) if p["steps"] else end
-        for i in range(p["count"]):
-            seed = int(sample_seed(shard_seed(p["seed"], 0), i))
-            for t, state in enumerate(islice(sample_frames(kernel, seed, 0), start, stop), start):
-                yield (p["task"], 0, i, t, t, [x.item() if isinstance(x, np.generic) else x for x in state], None)
+        if self.live is None or self.at != start:
+            self.live = self._samples(start)
+        rows = []
+        for i, frames in enumerate(self.live):
+            for t, state in enumerate(islice(frames, max(0, stop - start)), start):
+                rows.append((p["task"], 0, i, t, t, [x.item() if isinstance(x, np.generic) else x for x in state], None))
+        self.at = max(start, stop)
+        return iter(rows)  # what Spark ships must be a list's iterator
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"live": None, "at": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         end = start["step"] + self.per_batch

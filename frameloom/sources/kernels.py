@@ -13,7 +13,7 @@ from itertools import count, islice
 
 import numpy as np
 
-from frameloom.errors import InvalidParams
+from frameloom.errors import GeneratorNotFound, InvalidParams
 from frameloom.functions.seeds import Draws
 from frameloom.registry import Registry
 from frameloom.sources import rules
@@ -29,7 +29,7 @@ class Kernel:
     endless: bool = True
 
 
-GENERATORS: Registry[Callable[[dict], Kernel]] = Registry("generator")
+GENERATORS: Registry[Callable[[dict], Kernel]] = Registry("generator", GeneratorNotFound)
 
 
 def option(config: dict, name: str, default, kind=None, check: Callable = lambda x: True):

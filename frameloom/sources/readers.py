@@ -8,10 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frameloom.errors import SinkError
-from frameloom.sinks.files import MAGIC, VERSION, decode_cells
+from frameloom.errors import InvalidParams, SerializationError
+from frameloom.model import KINDS
+from frameloom.sinks.files import CELL, MAGIC, VERSION, cells_as
 from frameloom.workers import ship
 
 
@@ -21,18 +23,32 @@ def read_frames(spark: SparkSession, folder: str, tasks: list[str] | None = None
     return frames if tasks is None else frames.where(F.col("task").isin(tasks))
 
 
-def read_tagged_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """The compatible layout with its cells as doubles, and shard_id from the file's name: sample ids restart in every shard."""
+def named(prefix: str = "", suffix: str = "") -> str:
+    """A path filter (pathGlobFilter) for files whose names begin and end so; signs with a meaning in patterns are taken as they are."""
+    plain = lambda t: "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in t)
+    return f"{plain(prefix)}*{plain(suffix)}"
+
+
+def read_tagged_parquet(spark: SparkSession, path: str, kind: str = "float", files: str = "*") -> DataFrame:
+    """The compatible layout, its cells as the kind says: doubles, whole numbers with all their digits, or truth values.
+
+    shard_id comes from the file's name, since sample ids restart in every shard. `files` filters names, as named() makes it.
+    """
     ship(spark)
     shard = F.regexp_extract(F.col("_metadata.file_name"), r"_(\d{5})_[0-9a-f]{16}\.", 1)
-    rows = spark.read.parquet(path).select("sample_id", "step_index", "state_dim", "state_values", "label", F.coalesce(F.try_to_number(F.when(shard != "", shard), F.lit("99999")), F.lit(0)).cast("int").alias("shard_id"))
+    rows = spark.read.option("pathGlobFilter", files).parquet(path).select("sample_id", "step_index", "state_dim", "state_values", "label", F.coalesce(F.try_to_number(F.when(shard != "", shard), F.lit("99999")), F.lit(0)).cast("int").alias("shard_id"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            part["state"] = [[float(v) for v in decode_cells(b)] for b in part.pop("state_values")]
-            yield part[["shard_id", "sample_id", "step_index", "state", "label"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, sizes = batch.column("state_values").to_pylist(), batch.column("state_dim").to_numpy()
+            if [len(b) // CELL.itemsize for b in cells] != sizes.tolist():
+                raise SerializationError("a frame's cells are not as many as its state_dim")
+            flat = cells_as(b"".join(cells), kind)
+            states = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
+            columns = {"shard_id": batch.column("shard_id"), "sample_id": batch.column("sample_id"), "step_index": batch.column("step_index"), "state": states, "label": batch.column("label")}
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return rows.mapInPandas(run, "shard_id int, sample_id bigint, step_index bigint, state array<double>, label string")
+    return rows.mapInArrow(run, f"shard_id int, sample_id bigint, step_index bigint, state array<{KINDS[kind]}>, label string")
 
 
 def _binary_files(spark: SparkSession, path: str) -> DataFrame:
@@ -40,15 +56,15 @@ def _binary_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of binary shards, cells as doubles; a shard is one file and is parsed by one task."""
+def read_binary(spark: SparkSession, path: str, kind: str = "float") -> DataFrame:
+    """Frames of binary shards, cells as the kind says; a shard is one file and is parsed by one task."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, data in zip(part["path"], part["content"], strict=True):
                 magic, version, frames, width = struct.unpack_from("<4sIQI", data)
                 if magic != MAGIC or version != VERSION:
-                    raise SinkError(f"{name} is no binary shard")
+                    raise SerializationError(f"{name} is no binary shard")
                 at, rows = 20, []
                 for _ in range(frames):
                     sample = None
@@ -57,14 +73,14 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
                         at += 8
                     step = struct.unpack_from("<q", data, at + 1)[0]
                     at += 9
-                    cells = [float(v) for v in decode_cells(data[at : at + 9 * width])]
+                    cells = cells_as(data[at : at + 9 * width], kind).to_pylist()
                     at += 9 * width
                     size = struct.unpack_from("<I", data, at)[0]
                     rows.append((name.rsplit("/", 1)[-1], sample, step, cells, data[at + 4 : at + 4 + size].decode() or None))
                     at += 4 + size
                 yield pd.DataFrame(rows, columns=["filename", "sample_id", "step_index", "state", "label"])
 
-    return _binary_files(spark, path).mapInPandas(run, "filename string, sample_id bigint, step_index bigint, state array<double>, label string")
+    return _binary_files(spark, path).mapInPandas(run, f"filename string, sample_id bigint, step_index bigint, state array<{KINDS[kind]}>, label string")
 
 
 def read_npy(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
@@ -115,11 +131,18 @@ def champernowne(spark: SparkSession, count: int, start: int, numbers: int) -> D
     return spark.range(count).select(F.col("id").alias("sample_id"), decimal_digits(F.sequence(first, first + numbers - 1)).alias("state"))
 
 
-def brackets(spark: SparkSession, count: int, symbols: int, length: int, seed: int, shuffled: bool = False, p_open: float = 0.5) -> DataFrame:
-    """(sample_id, state): balanced sequences of an even length; shuffled ones balance each symbol on its own."""
+def brackets(spark: SparkSession, count: int, symbols: int, length: int, seed: int, shuffled: bool = False, p_open: float = 0.5, min_depth: int = 1, max_depth: int | None = None, early_end: bool = False) -> DataFrame:
+    """(sample_id, state): balanced sequences of an even length; shuffled ones balance each symbol on its own.
+
+    A sequence begins with min_depth opening brackets and is never deeper than max_depth. With early_end it is over as soon as
+    nothing is open, so it may be shorter.
+    """
     ship(spark)
+    deepest = length // 2 if max_depth is None else max_depth
     if length % 2 or symbols < 1:
-        raise ValueError("length must be even and there must be a symbol")
+        raise InvalidParams("length must be even and there must be a symbol")
+    if not 0 < min_depth <= deepest or 2 * min_depth > length:
+        raise InvalidParams("min_depth must be positive, at most max_depth, and at most half the length")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -129,14 +152,22 @@ def brackets(spark: SparkSession, count: int, symbols: int, length: int, seed: i
                 open_, out = [], []
                 while len(out) < length:
                     left = length - len(out)
-                    if not open_ or (len(open_) < left and rng.random() < p_open):
+                    begins = len(out) < min_depth or not open_
+                    if begins or (len(open_) < min(left, deepest) and rng.random() < p_open):
                         s = int(rng.integers(symbols))
                         open_.append(s)
                         out.append(s)
                     else:
                         at = int(rng.integers(len(open_))) if shuffled else -1
                         out.append(open_.pop(at) + symbols)
+                        if early_end and not open_:
+                            break
                 made.append(out)
             yield pd.DataFrame({"sample_id": part["id"], "state": made})
 
     return spark.range(count).mapInPandas(run, "sample_id bigint, state array<bigint>")
+
+
+def write_brackets(sequences: DataFrame, path: str) -> None:
+    """Sequences as lines of blank-separated numbers, which read_brackets reads."""
+    sequences.select(F.array_join(F.transform("state", lambda x: x.cast("string")), " ").alias("value")).write.mode("append").text(path)

@@ -5,10 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.errors import ManifestError, SinkError
+from frameloom.errors import ConfigError, DuplicateName, ManifestError, PipelineError, SerializationError, SinkError
 from frameloom.model import schema
 from frameloom.plans.manifest import load
-from frameloom.plans.runner import ALL, NONE, main
+from frameloom.operators.processors import chain
+from frameloom.plans.runner import ALL, NONE, init_logging, main
 from frameloom.sinks import files
 from frameloom.sources import readers
 from frameloom.sources.generate import generate
@@ -107,9 +108,88 @@ def test_names_digests_and_words(spark, tmp_path):
     back = readers.read_token_words(spark, f"{tmp_path}/w/*.bin").orderBy("filename", "pos").collect()
     assert [r.token for r in back] == [7 * i for i in range(10)]
     assert files.file_digests(spark, f"{tmp_path}/w/*.bin").where(F.length("sha256") == 64).count() == 3
-    with pytest.raises(SinkError):
-        files.decode_cells(b"\x09" + b"\0" * 8)
+    with pytest.raises(SerializationError):
+        files.cells_as(b"\x09" + b"\0" * 8, "int")
     readers.write_jsonl(spark.createDataFrame([(1, "a")], "idx int, s string"), str(tmp_path / "j"))
     assert readers.read_jsonl(spark, str(tmp_path / "j")).first().s == "a"
     (tmp_path / "d.txt").write_text("0 1 3 2\n\n")
     assert list(readers.read_brackets(spark, str(tmp_path / "d.txt")).first().state) == [0, 1, 3, 2]
+
+
+def test_cells_keep_their_digits(spark, tmp_path):
+    big = [2**53 + 1, -(2**63), 2**63 - 1, 0]
+    data = files.encode_cells(np.array(big), "int") + files.encode_cells(np.array([2.0]), "float") + files.encode_cells(np.array([True]), "bool")
+    assert files.cells_as(data, "int").to_pylist() == [*big, 2, 1]
+    assert files.cells_as(data, "float").to_pylist() == [*map(float, big), 2.0, 1.0] and files.cells_as(data, "bool").to_pylist() == [True, True, True, False, True, True]
+    with pytest.raises(SerializationError):
+        files.cells_as(files.encode_cells(np.array([0.5]), "float"), "int")
+    made = spark.createDataFrame([("t", 0, 1, i, i, big[: i + 1], None) for i in range(4)], schema("int"))
+    files.write_compatible_parquet(made, str(tmp_path / "p"))
+    back = readers.read_tagged_parquet(spark, str(tmp_path / "p"), "int").orderBy("step_index").collect()
+    assert [list(r.state) for r in back] == [big[: i + 1] for i in range(4)]
+    assert readers.read_tagged_parquet(spark, str(tmp_path / "p"), "int", readers.named("part-", ".parquet")).count() == 4
+
+
+def test_failed_attempts_leave_nothing(spark, tmp_path):
+    made = spark.createDataFrame([("t", s, 0, i, i, [i], None) for s in (0, 1) for i in range(3)], schema("int"))
+
+    @files.register_sink("Once", "once")
+    class Once(files.BinaryShard):
+        def frame(self, sample, step, cells, label):
+            import os
+
+            flag = self.options["flag"]
+            if step == 2 and not os.path.exists(flag):
+                open(flag, "w").close()
+                raise RuntimeError("the executor goes")  # the task fails, and a local session does not try again
+            return super().frame(sample, step, cells, label)
+
+    options = {"flag": str(tmp_path / "flag")}
+    with pytest.raises(Exception, match="the executor goes"):
+        files.write_shards(made, str(tmp_path / "out"), "Once", 3, options)
+    assert not list((tmp_path / "out").iterdir())
+    out = files.write_shards(made, str(tmp_path / "out"), "Once", 3, options).collect()
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(r.filename for r in out) and {r.frames for r in out} == {3}
+    with pytest.raises(DuplicateName):
+        files.register_sink("Once", "x")(Once)
+
+
+def test_token_words_by_shard(spark, tmp_path):
+    tokens = spark.range(10).select(F.col("id").alias("pos"), F.col("id").alias("token"), F.when(F.col("id") < 7, 0).otherwise(1).alias("shard"))
+    assert files.write_token_words(tokens, str(tmp_path / "w"), shard="shard") == 2
+    back = readers.read_token_words(spark, f"{tmp_path}/w/*.bin").groupBy("filename").count().orderBy("filename").collect()
+    assert [r["count"] for r in back] == [7, 3] and len(list((tmp_path / "w").iterdir())) == 2
+    with pytest.raises(Exception, match="16 bits"):
+        files.write_token_words(tokens.withColumn("token", F.lit(70_000)), str(tmp_path / "x"))
+    assert not (tmp_path / "x").exists() or not list((tmp_path / "x").iterdir())
+
+
+def test_logging_and_errors(spark, tmp_path):
+    path = tmp_path / "m.json"
+    path.write_text(json.dumps({"global": {"output_dir": str(tmp_path / "out")}, "tasks": [{"name": "a", "generator": "ca", "count": 2, "seed": 0, "params": {"seq_length": 2}}]}))
+    log = tmp_path / "logs/run.jsonl"
+    assert main(["run", "-m", str(path), "--log-file", str(log), "--stream-write=false", "--no-progress"], spark) == ALL
+    lines = [json.loads(line) for line in log.read_text().splitlines()]
+    assert lines and {"timestamp", "level", "target", "message"} <= set(lines[0]) and any("task a" in x["message"] for x in lines)
+    with pytest.raises(ConfigError):
+        init_logging("loud")
+    with pytest.raises(PipelineError):
+        chain(spark.range(1), [])
+
+
+def test_bracket_sequences(spark, tmp_path):
+    for shuffled in (False, True):
+        made = readers.brackets(spark, 30, 3, 20, 1, shuffled, min_depth=2, max_depth=4, early_end=True)
+        seen = []
+        for r in made.collect():
+            s, depth = list(r.state), np.cumsum([1 if v < 3 else -1 for v in r.state])
+            assert all(v < 3 for v in s[:2]) and depth.max() <= 4 and depth[-1] == 0 and (depth[:-1] > 0).all()
+            seen.append(len(s))
+        assert max(seen) <= 20 and min(seen) < 20
+        from frameloom.functions import frames as X
+
+        assert made.where(~(X.shuffle_dyck_valid(F.col("state"), 3) if shuffled else X.dyck_valid(F.col("state"), 3))).count() == 0
+    readers.write_brackets(made, str(tmp_path / "d"))
+    assert sorted(map(str, readers.read_brackets(spark, str(tmp_path / "d")).collect())) == sorted(map(str, made.select("state").collect()))
+    with pytest.raises(ValueError, match="min_depth"):
+        readers.brackets(spark, 1, 2, 4, 0, min_depth=3)

@@ -53,3 +53,18 @@ def test_last_frames_and_windows(spark):
     assert [(r.pos, r.place) for r in kept.orderBy("pos").collect()] == [(6, 0), (7, 1), (8, 2)]
     events = spark.createDataFrame([(1, "a", 2.0), (2, "a", 3.0)], "s int, event_type string, value double").withColumn("ts", F.timestamp_seconds("s"))
     assert stateful.windowed_counts(events).first().n == 2
+
+
+def test_endless_batches_go_on_where_they_were():
+    from frameloom.sources import generate as G
+
+    plan = {"generator": "ca", "config": {"width": 6}, "steps": 0, "seed": 3, "task": "t", "count": 2, "size": 0}
+    reader, at, got = G.EndlessReader(plan, 4), {"step": 0}, []
+    for _ in range(3):
+        rows, at = reader.read(at)
+        live = reader.live
+        got += list(rows)
+    assert reader.live is live and reader.at == 12  # no sample was run anew
+    anew = list(G.EndlessReader(plan, 4).readBetweenOffsets({"step": 0}, {"step": 12}))
+    assert sorted(got, key=lambda r: r[2:4]) == sorted(anew, key=lambda r: r[2:4])
+    assert list(reader.readBetweenOffsets({"step": 4}, {"step": 8})) == [r for r in got if 4 <= r[3] < 8]
