@@ -120,12 +120,16 @@ def estimate_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int =
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression on soft targets by gradient steps (Adagrad), from zero: the same rows give the same model."""
+    """Weighted logistic regression on soft targets by gradient steps (Adagrad), from zero: the same rows give the same model.
+
+    Products run in single precision, as the features are; sums and the model are kept in double.
+    """
     w, b = np.zeros(x.shape[1]), 0.0
     seen, seen_b = np.full(x.shape[1], 1e-8), 1e-8
+    x = np.ascontiguousarray(x, np.float32)
     for _ in range(steps if len(x) else 0):
-        error = (1 / (1 + np.exp(-np.clip(x @ w + b, -50, 50))) - target) * weight
-        slope, slope_b = x.T @ error + decay * w, error.sum()
+        error = (1 / (1 + np.exp(-np.clip((x @ w.astype(np.float32)).astype(float) + b, -50, 50))) - target) * weight
+        slope, slope_b = (error.astype(np.float32) @ x).astype(float) + decay * w, error.sum()
         seen, seen_b = seen + slope**2, seen_b + slope_b**2
         w, b = w - rate * 0.1 * slope / np.sqrt(seen), b - rate * 0.1 * slope_b / math.sqrt(seen_b)
     return w, float(b)
@@ -170,12 +174,14 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, per_pattern
     pattern with few texts has them all in it.
     """
     ship(docs.sparkSession)
+    body = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.select(F.shiftrightunsigned(F.xxhash64(body), 1).alias("h"), body.alias("t"))
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) >> 1 for t in batch.column(0).to_pylist()], pa.int64()), pa.array([_pattern(shape(t)) for t in batch.column(0).to_pylist()], pa.string())], names=["h", "pattern"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pattern(shape(t)) for t in batch.column(1).to_pylist()], pa.string())], names=["h", "pattern"])
 
-    seen = docs.select(text).mapInArrow(voted, "h bigint, pattern string")
+    seen = keyed.mapInArrow(voted, "h bigint, pattern string")
     texts = checkpointed(seen.groupBy("pattern", "h").agg(F.count(F.lit(1)).alias("copies")))
     counted = texts.groupBy("pattern").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("texts")).collect()  # at most 3 ** len(LABELLERS) rows
     if not counted:
@@ -185,21 +191,15 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, per_pattern
     posteriors = {r["pattern"]: float(p) for r, p in zip(counted, post, strict=True)}
     take = max(1, min(per_pattern, sample // len(counted)))
     chosen = smallest_hashes(texts, {r["pattern"]: r["texts"] for r in counted}, take)
-    wanted = frozenset(chosen)
+    wanted = docs.sparkSession.createDataFrame([(h,) for h in chosen], "h bigint")  # at most `sample` rows
+    sample_texts = keyed.join(F.broadcast(wanted), "h", "left_semi").dropDuplicates(["h"])  # only these go to Python again
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = set()  # of the wanted, so that a task makes the features of copies once
         for batch in batches:
-            rows = []
-            for t in batch.column(0).to_pylist():
-                h = xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) >> 1
-                if h in wanted and h not in done:
-                    done.add(h)
-                    x = shape(t)
-                    rows.append((h, _pattern(x), feature_counts(t, x, features).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], names=["h", "pattern", "x"])
-
-    got = docs.select(text).mapInArrow(featured, "h bigint, pattern string, x binary").groupBy("h").agg(F.first("pattern").alias("pattern"), F.first("x").alias("x")).collect()
+            shapes = [(t, shape(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pattern(x) for _, x in shapes], pa.string()), pa.array([feature_counts(t, x, features).tobytes() for t, x in shapes], pa.binary())], names=["h", "pattern", "x"])
+
+    got = sample_texts.mapInArrow(featured, "h bigint, pattern string, x binary").collect()
     got.sort(key=lambda r: r["h"])
     x = np.array([np.frombuffer(r["x"], np.float32) for r in got]).reshape(len(got), features)
     target = np.array([posteriors[r["pattern"]] for r in got])
@@ -213,8 +213,9 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, per_pattern
 def score_documents(docs: DataFrame, model: QualityModel | None = None, text: str = "text", cut: float = CUT) -> DataFrame:
     """One row per document: doc_id, votes (a sign for each labeller), posterior, score, kept.
 
-    Null and empty texts are scored like any other, by what the labellers say of a text without words. Rows that repeat a text
-    get the same score. An empty table gives no rows.
+    Null and empty texts are scored like any other, by what the labellers say of a text without words; long texts count whole.
+    Rows that repeat a text get the same score, whatever their ids; a null id is kept as null. Other columns are not read. An
+    empty table gives no rows.
     """
     model = model or train(docs, text)
     ship(docs.sparkSession)
