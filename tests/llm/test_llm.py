@@ -439,6 +439,65 @@ def test_quality_held_out(spark):
     assert (good.score.to_numpy()[:, None] > bad.score.to_numpy()[None]).mean() > 0.98
 
 
+def test_quality_by_hand(spark, texts):
+    import math
+
+    import xxhash
+
+    df, by_id = texts
+    model = quality.train(df)
+    patterns = {i: tuple(say(quality.shape(t)) for say in quality.LABELLERS.values()) for i, t in by_id.items()}
+    counts = {}
+    for p in patterns.values():
+        counts[p] = counts.get(p, 0) + 1
+    n, share = len(quality.LABELLERS), 0.8
+    chance = {(j, c, v): (0.6 if v == (1 if c else -1) else 0.3 if v == 0 else 0.1) for j in range(n) for c in (0, 1) for v in (-1, 0, 1)}
+    for _ in range(quality.ROUNDS):
+        post = {}
+        for p in counts:
+            good, bad = share, 1 - share
+            for j, v in enumerate(p):
+                good, bad = good * chance[j, 1, v], bad * chance[j, 0, v]
+            post[p] = good / (good + bad)
+        for j in range(n):
+            for c in (0, 1):
+                weight = {v: sum((post[p] if c else 1 - post[p]) * k for p, k in counts.items() if p[j] == v) + (6.0 if v == (1 if c else -1) else 1.0) for v in (-1, 0, 1)}
+                chance |= {(j, c, v): w / sum(weight.values()) for v, w in weight.items()}
+        share = sum(post[p] * k for p, k in counts.items()) / sum(counts.values())
+    named = {"".join("-0+"[v + 1] for v in p): x for p, x in post.items()}
+    assert {p: pytest.approx(x, abs=1e-6) for p, x in named.items()} == model.posteriors
+
+    got = {r.doc_id: r for r in quality.score_documents(df, model).collect()}
+    half = quality.FEATURES // 2
+    for i in list(by_id)[::7]:
+        data, x = by_id[i].encode().lower(), quality.shape(by_id[i])
+        words = by_id[i].split()
+        assert x[0] == len(words) and x[1] == pytest.approx(len(set(words)) / max(1, len(words)))
+        pairs = {}
+        for a, b in zip(data, data[1:], strict=False):
+            k = ((a * 0x9E3779B1 & 0xFFFFFFFF) ^ (b * 0x85EBCA77 & 0xFFFFFFFF)) >> 21
+            pairs[k] = pairs.get(k, 0) + 1
+        length = math.sqrt(sum(pairs.values()))  # of the roots of the counts
+        z = model.bias + sum(math.sqrt(c) / length * float(model.weights[k]) for k, c in pairs.items())
+        steps = [min(12, int(math.log2(x[0] + 1))), *[min(15, int(v * 16)) for v in x[1:10]], min(15, int(x[10]))]
+        z += sum(float(model.weights[half + xxhash.xxh32_intdigest(f"{f}={k}") % half]) for f, k in zip(quality.FIELDS, steps, strict=True))
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4) and got[i].kept == (got[i].score >= quality.CUT)
+        assert got[i].votes == "".join("-0+"[v + 1] for v in patterns[i]) and got[i].posterior == model.posteriors[got[i].votes]
+
+
+def test_linear_fit_by_hand():
+    rng = np.random.default_rng(2)
+    x, target, weight = rng.normal(size=(40, 5)).astype(np.float32), rng.random(40), np.full(40, 1 / 40)
+    w, b, seen, seen_b = [0.0] * 5, 0.0, [1e-8] * 5, 1e-8
+    for _ in range(30):
+        error = [(1 / (1 + np.exp(-(sum(a * c for a, c in zip(w, row, strict=True)) + b))) - t) * k for row, t, k in zip(x, target, weight, strict=True)]
+        slope = [sum(e * row[j] for e, row in zip(error, x, strict=True)) + quality.DECAY * w[j] for j in range(5)]
+        seen, seen_b = [s + g * g for s, g in zip(seen, slope, strict=True)], seen_b + sum(error) ** 2
+        w, b = [a - 0.1 * g / np.sqrt(s) for a, g, s in zip(w, slope, seen, strict=True)], b - 0.1 * sum(error) / np.sqrt(seen_b)
+    got, bias = quality.fit_linear(x, target, weight, steps=30)
+    assert got == pytest.approx(w, abs=1e-3) and bias == pytest.approx(b, abs=1e-3)
+
+
 def test_accuracies_are_recovered():
     rng = np.random.default_rng(0)
     truth = rng.random(20_000) < 0.7
@@ -546,6 +605,41 @@ def test_mixture_meets_its_budget(spark):
     assert wide.columns == df.columns and wide.count() == len(got)
 
 
+def test_mixture_by_hand(spark, texts):
+    import math
+
+    df, by_id = texts
+    limit = 1.5
+    key = lambda seed: F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
+    rows = df.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "source", "text", F.xxhash64("text").alias("h"), key(mixing.SEED).alias("order"), key(mixing.SEED + 1).alias("spread")).collect()
+    streams = {}
+    for r in rows:
+        streams.setdefault(r.source, []).append((r.spread, r.order, r.doc_id, r.h, len(re.findall("[^\x20\x09-\x0D]+", r.text))))
+    epoch = {s: sum(x[4] for x in xs) for s, xs in streams.items()}
+    share = {s: e / sum(epoch.values()) for s, e in epoch.items()}
+    often = lambda e: {s: (share[s] ** e / share[s]) / min(share[t] ** e / share[t] for t in share) for s in share}
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if max(often(middle).values()) <= limit * (1 + 1e-12) else (middle, high)
+    expected = {}
+    for s, xs in streams.items():
+        blocks, budget, at = math.isqrt(len(xs) - 1) + 1, round(often(high)[s] * epoch[s]), 0
+        for x in sorted(xs, key=lambda x: (x[0] % blocks, *x[1:4])):
+            copies = math.ceil((budget - at) / epoch[s]) if x[4] and at < budget else 0 if x[4] else 1
+            expected |= {(x[2], k + 1): at + k * epoch[s] for k in range(copies)}
+            at += x[4]
+    got = {(r.doc_id, r["copy"]): r.position for r in mixing.mixed_rows(df, max_repeat=limit).collect()}
+    assert got == expected
+    mixed = [r.doc_id for r in mixing.mix(df, max_repeat=limit).select("doc_id").collect()]
+    order = {(r.doc_id, r["copy"]): r.mix_order for r in mixing.mixed_rows(df, max_repeat=limit).collect()}
+    seen, places = {}, []
+    for i in mixed:
+        seen[i] = seen.get(i, 0) + 1
+        places.append(order[i, seen[i]])
+    assert places == sorted(places)
+
+
 def test_mixing_odd_rows(spark):
     rows = docs(spark, ODD).withColumn("source", F.when(F.col("doc_id") > 3, "b"))
     mixed = mixing.mix(rows, max_repeat=3.0)
