@@ -25,7 +25,7 @@ from frameloom.workers import ship
 
 CAPACITY, SMALLEST, END_ID = 2048, 32, 1
 #: Tokens' ids are kept for so many strings between blanks in each Python worker; then the memory is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, class int"
 #: How byte-level vocabularies of this kind split a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
