@@ -31,7 +31,8 @@ SLACK = 0.2
 COUNTERS = 1 << 18
 #: Sizes of sets are classed by steps of about one in CLASSES.
 CLASSES = 50
-REMEMBERED = 500_000
+#: Hashes of words that a Python worker keeps, some tens of MB; then the memory is emptied.
+REMEMBERED = 150_000
 _MASK = (1 << 64) - 1
 
 
@@ -141,20 +142,33 @@ def estimate(x: Column, y: Column) -> Column:
     return (equal - chance) / (1.0 - chance)
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """(doc_id, set_a, items) of the sets that ids, which must be materialised, names by doc_id and set_a."""
+def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, set) of a batch's rows whose text, the last column, has the set that set_a, the second, names: not another text of a repeated id."""
+    for lo in range(0, batch.num_rows, 256):
+        part = batch.slice(lo, 256)
+        for i, (a, t) in enumerate(zip(part.column(1).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True), lo):
+            h = shingle_hashes(t, words)
+            if set_ids(h)[0] == a & _MASK:
+                yield i, h
+
+
+def texts_of(docs: DataFrame, named: DataFrame, text: str = "text") -> DataFrame:
+    """named, materialised rows (id, set_a, ...), with the texts of their ids in the last column."""
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).alias("text"))
+    return chosen.join(broadcast_if_few(named), "id").select(*named.columns, "text")
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(id, items) of texts (id, set_a, ..., text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sets = [shingle_hashes(t, words) for t in part.column(2).to_pylist()]
-                meant = [set_ids(h)[0] == a & _MASK for h, a in zip(sets, part.column(1).to_pylist(), strict=True)]  # not another text of a repeated id
-                made = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["doc_id", "set_a", "items"])
-                yield made.filter(pa.array(meant, pa.bool_()))
+                sets = list(_sets(part, words))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([i for i, _ in sets], pa.int64())), pa.array([h.view(np.int64) for _, h in sets], pa.list_(pa.int64()))], names=["id", "items"])
 
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")).join(broadcast_if_few(ids), "doc_id").select("doc_id", "set_a", "text")
-    return checkpointed(chosen.mapInArrow(run, "doc_id bigint, set_a bigint, items array<bigint>"))
+    return checkpointed(texts.mapInArrow(run, "id bigint, items array<bigint>"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
@@ -162,23 +176,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
 
     b's set travels to a's, so the set of a pivot, which has many pairs, is not copied into a shuffle.
     """
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("bigint")
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
     return checkpointed(joined.where(F.col("both") * 100 >= hundredths * (F.col("sum") - F.col("both"))).select("a", "b"))
 
 
-def shingle_counts(sets: DataFrame, counters: int = COUNTERS) -> np.ndarray:
-    """How often shingles fall on each counter, over all sets; as many rows as counters reach the driver at most."""
-    rows = sets.select(F.explode("items").alias("item")).groupBy(F.pmod("item", F.lit(counters)).alias("at")).count().toPandas()
+def shingle_counts(texts: DataFrame, words: int, counters: int = COUNTERS) -> np.ndarray:
+    """How often shingles of texts (id, set_a, ..., text) fall on each counter; as many rows as counters reach the driver at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(counters, np.int64)
+        for batch in batches:
+            for _, h in _sets(batch, words):
+                np.add.at(counts, h.view(np.int64) % counters, 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
+
+    rows = texts.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(counters, np.int64)
-    out[rows["at"].to_numpy(np.int64)] = rows["count"]
+    out[rows["at"].to_numpy(np.int64)] = rows["n"]
     return out
 
 
-def prefix_pairs(members: DataFrame, counts: np.ndarray, hundredths: int) -> DataFrame:
-    """Pairs (a, b) of members (id, root, asked, items) of different roots, one of them asked, whose sets may reach the threshold.
+def prefix_pairs(texts: DataFrame, counts: np.ndarray, words: int, hundredths: int) -> DataFrame:
+    """Pairs (a, b) of texts (id, set_a, root, asked, text) of different roots, one of them asked, whose sets may reach the threshold.
 
     All that reach it are among them. With t the threshold, sets of n <= m items must share o = t (n + m) / (1 + t) at least, so
     n >= t m, and in a common order of all items the first one that they share stands at places (from 0) with o items from there
@@ -188,25 +211,28 @@ def prefix_pairs(members: DataFrame, counts: np.ndarray, hundredths: int) -> Dat
     """
     t, size = hundredths, len(counts)
 
+    def offered(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows, items, ns, places = [], [], [], []
+        for row, h in _sets(batch, words):
+            x = h.view(np.int64)
+            often = counts[x % size]
+            n = len(x)
+            first = np.lexsort((x, often))[: n + (-t * n // 100) + 1]
+            at = np.flatnonzero(often[first] > 1)
+            rows.append(np.full(len(at), row))
+            items.append(x[first[at]])
+            ns.append(np.full(len(at), n))
+            places.append(at)
+        if rows:
+            taken = batch.select(["id", "root", "asked"]).take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(np.concatenate(c).astype(np.int64)) for c in (items, ns, places))], names=["id", "root", "asked", "item", "n", "at"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            head = batch.select(["id", "root", "asked"])
-            rows, items, ns, places = [], [], [], []
-            for row, array in enumerate(batch.column("items")):
-                x = array.values.to_numpy()
-                often = counts[x % size]
-                n = len(x)
-                first = np.lexsort((x, often))[: n + (-t * n // 100) + 1]
-                at = np.flatnonzero(often[first] > 1)
-                rows.append(np.full(len(at), row))
-                items.append(x[first[at]])
-                ns.append(np.full(len(at), n))
-                places.append(at)
-            if rows:
-                taken = head.take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(np.concatenate(c).astype(np.int64)) for c in (items, ns, places))], names=["id", "root", "asked", "item", "n", "at"])
-
-    offers = checkpointed(members.select("id", "root", "asked", "items").mapInArrow(run, "id bigint, root bigint, asked boolean, item bigint, n bigint, at bigint"))
+            for lo in range(0, batch.num_rows, 256):
+                yield from offered(batch.slice(lo, 256))
+
+    offers = checkpointed(texts.mapInArrow(run, "id bigint, root bigint, asked boolean, item bigint, n bigint, at bigint"))
     step = lambda n: F.floor(F.log(n) * CLASSES).cast("int")
     left = F.col("n") - F.col("at")  # items from there to the end
     small = offers.where((100 + t) * left >= 2 * t * F.col("n")).withColumn("class", step(F.col("n")))
@@ -262,18 +288,18 @@ def near_groups(docs: DataFrame, words: int = 5, hundredths: int = 80, text: str
     met = rows.join(pivots, "key").select("id", F.explode("pivots").alias("pivot")).where("id <> pivot")
     stars = met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     likely = _likely(stars, reps, hundredths)
-    ends = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    named = checkpointed(reps.select(F.col("id").alias("doc_id"), "set_a").join(ends.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"))
-    roots = components(confirmed(likely, shingle_sets(docs, named, words, text), hundredths))
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets_of = lambda ids: shingle_sets(texts_of(docs, checkpointed(reps.select("id", "set_a").join(ids, "id", "left_semi")), text), words)
+    roots = components(confirmed(likely, sets_of(ends(likely)), hundredths))
     placed = reps.join(roots, "id", "left").select("id", "set_a", F.coalesce("root", "id").alias("root"), "bands")
     spread = placed.select("id", "set_a", "root", F.explode("bands").alias("key")).join(pivots.select("key"), "key", "left_semi")
     counted = spread.groupBy("key", "root").count()
     mixed = counted.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     asked = F.max(F.col("root") != F.col("main")).alias("asked")  # pairs outside the largest component of each open bucket
     open_ = checkpointed(spread.join(mixed.select("key", "main"), "key").groupBy("id", "set_a", "root").agg(asked))
-    sets = shingle_sets(docs, open_.select(F.col("id").alias("doc_id"), "set_a"), words, text)
-    pairs = prefix_pairs(sets.withColumnRenamed("doc_id", "id").join(open_, ["id", "set_a"]), shingle_counts(sets), hundredths)
-    more = confirmed(pairs, sets, hundredths)
+    texts = texts_of(docs, open_.select("id", "set_a", "root", "asked"), text)
+    pairs = prefix_pairs(texts, shingle_counts(texts, words), words, hundredths)
+    more = confirmed(pairs, sets_of(ends(pairs)), hundredths)
     roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     of_class = checkpointed(classes.join(roots, classes.rep == roots.id, "left").select("set_a", "set_b", F.coalesce("root", "rep").alias("class_root")))
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_root")).otherwise(F.col("doc_id"))

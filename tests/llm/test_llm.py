@@ -127,10 +127,12 @@ def test_prefix_pairs_lose_none(spark, hundredths):
         for change in rng.integers(0, n // 2 + 1, 30):
             own = np.concatenate([base[change:], rng.integers(0, 2**40, rng.integers(0, change + 1))])
             sets.append(np.unique(own))
-    rows = [(i, i if i % 3 else 0, bool(i % 4), s.tolist()) for i, s in enumerate(sets)]
-    members = spark.createDataFrame(rows, "id long, root long, asked boolean, items array<long>")
+    rows = [(i, i if i % 3 else 0, bool(i % 4), " ".join(map(str, s))) for i, s in enumerate(sets)]
+    set_a = {i: np.uint64(neardup.set_ids(neardup.shingle_hashes(t, 1))[0]).view(np.int64).item() for i, _, _, t in rows}
+    told = [(i, set_a[i], *rest) for i, *rest in rows] + [(3, set_a[3], 9, True, "another text of a repeated id")]
+    members = spark.createDataFrame(told, "id long, set_a long, root long, asked boolean, text string")
     for counters in (1, 1 << 18):
-        got = {(r.a, r.b) for r in neardup.prefix_pairs(members, neardup.shingle_counts(members, counters), hundredths).collect()}
+        got = {(r.a, r.b) for r in neardup.prefix_pairs(members, neardup.shingle_counts(members, 1, counters), 1, hundredths).collect()}
         for i, x in enumerate(sets):
             for j, y in enumerate(sets[:i]):
                 both = len(np.intersect1d(x, y))
