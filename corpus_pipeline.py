@@ -2,13 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; `run` writes each result as Parquet below
 the shared checkpoint folder and reads it again, so every stage starts from a table. All but the last return documents' columns.
+
+Null texts count as empty; empty and blank texts go with the first stage where the scorer rejects them. Long texts count whole in
+every stage. Rows that repeat an id and a text become one in the second stage; rows that repeat an id with other texts stay apart
+there, and go together in the third. Rows with a null id are documents like others. Columns beside doc_id, text and source are
+carried along under any name. An empty table gives no rows and no error.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm._common import ensure_checkpoint_dir
+from frameloom.llm._common import ensure_checkpoint_dir, remove
 from frameloom.llm.exact import drop_exact
 from frameloom.llm.mixing import REPEAT, mix
 from frameloom.llm.neardup import drop_near
@@ -47,11 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; the last stage's table. What a stage has read goes once its own result is written."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{spark.sql('select uuid()').first()[0]}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
     return docs

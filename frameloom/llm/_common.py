@@ -60,3 +60,9 @@ FEW = 200_000
 def broadcast_if_few(df: DataFrame, rows: int = FEW) -> DataFrame:
     """df, which must be materialised and narrow, marked for a broadcast where its counted rows are few; else it is shuffled."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on any store that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

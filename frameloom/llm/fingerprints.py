@@ -12,7 +12,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from frameloom.llm._common import checkpointed, lower_ascii, table, whole
+from frameloom.llm._common import broadcast_if_few, checkpointed, lower_ascii, table, whole
 
 BITS, SPACING = 64, 22
 #: Terms of a text that are summed in one group: a lane of a packed sum holds fewer than 2 ** 19 votes.
@@ -117,8 +117,10 @@ def edit_fingerprints(docs: DataFrame, text: str = "text", radius: int = RADIUS)
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_docs.
 
     near_docs is, for ids divisible by 20, how many other documents have a fingerprint within the radius; null for others.
-    Null texts count as empty. Rows that repeat an id are ordered by their texts' hashes; rows that repeat id and text are one
-    document. A null id comes first in the order. An empty table gives no rows; a single document follows itself.
+    Null texts count as empty; long ones count whole, their votes summed in chunks of CHUNK terms. Rows that repeat an id are
+    ordered by their texts' hashes; rows that repeat id and text are one document. A null id comes first in the order. Columns
+    other than doc_id and the text are not read, whatever their names. An empty table gives no rows; a single document follows
+    itself. Bits on which votes are tied stay 0.
     """
     chain, texts = edited_texts(docs, text)
     sides = texts.select("k", "h", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("digest"), F.posexplode(F.array("body", "edited")).alias("side", "text"))
@@ -131,7 +133,7 @@ def edit_fingerprints(docs: DataFrame, text: str = "text", radius: int = RADIUS)
     asked = pair.where("doc_id % 20 = 0").select(F.col("own").alias("simhash"))
     near = hamming_search(asked, prints, radius).join(prints, "simhash").groupBy("query").agg(F.sum("count").alias("hits"))
     near = checkpointed(near)
-    out = joined.join(near, (F.col("own") == F.col("query")) & (F.col("doc_id") % 20 == 0), "left")
+    out = joined.join(broadcast_if_few(near), (F.col("own") == F.col("query")) & (F.col("doc_id") % 20 == 0), "left")
     text_of = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return out.select(
         "doc_id", "n_chars", F.lower(F.hex("digest")).alias("edited_sha256"), text_of("own").alias("fingerprint"), text_of("after_edit").alias("edited_fingerprint"),

@@ -79,7 +79,9 @@ def copies(docs: DataFrame, target_entropy: float | None = None, max_repeat: flo
     """(doc_id, source, h, tokens, copies, start, epoch_tokens, budget_tokens, weight, exponent) for each distinct (doc_id, source, text).
 
     start counts the tokens ahead in the source's permuted stream. copies is how often the stream, read for budget_tokens, has
-    the document. Documents without tokens cost nothing and are kept once. A null source is a source of its own.
+    the document. Documents without tokens (null, empty or blank texts) cost nothing and are kept once. A null source is a source
+    of its own; null ids are documents like others; ties of the permutation's hash fall by id and text. Long texts are counted
+    whole. Only the id, the source and the text are read, whatever other columns are called. An empty table gives no rows.
     """
     rows = docs.select("doc_id", F.col(source).alias("source"), F.xxhash64(whole(text)).alias("h"), tokens(whole(text)).alias("t"))
     rows = checkpointed(rows.groupBy("doc_id", "source", "h").agg(F.max("t").alias("tokens"), F.sum("t").alias("cost")))

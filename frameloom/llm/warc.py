@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from frameloom.llm._common import broadcast_if_few, checkpointed, ensure_checkpoint_dir, table, whole
+from frameloom.llm._common import broadcast_if_few, checkpointed, ensure_checkpoint_dir, remove, table, whole
 from frameloom.workers import ship
 
 #: Characters of payload in a segment at most.
@@ -61,6 +61,8 @@ def record_roles(pages: DataFrame, payload: str = "html", least: int = 0, uri: s
 def write_archives(pages: DataFrame, path: str, payload: str = "html", uri: str = "url", least: int = 0, size: int = SEGMENT, date: str = "2024-01-01T00:00:00Z", compression: str = "none") -> None:
     """Write a record for each page below `path`; null payloads are empty, null addresses leave their header out.
 
+    Long payloads are segmented (several records of one row); other columns than page_id, payload and address are not read,
+    whatever their names; an empty table writes no records. Of equal payloads of one smallest page_id all rows are responses.
     A record's identifier names page_id, a digest of payload and address, and for rows equal in all of these a number, so each row
     has records of its own. A revisit names such equal rows without the number. A null page_id is written as `null`, with its payload.
     """
@@ -169,8 +171,7 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
     folder = f"{spark.sparkContext.getCheckpointDir()}/warc-{spark.sql('select uuid()').first()[0]}"
     write_archives(table(spark, sf_dir, "pages"), folder)
     out = checkpointed(read_archives(spark, folder))
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    remove(spark, folder)
     return out
 
 

@@ -285,6 +285,9 @@ def test_simhash_votes(spark, monkeypatch):
 def test_fingerprints_odd_rows(spark):
     got = fingerprints.edit_fingerprints(docs(spark, [*ODD, (0, "no id")])).collect()
     assert len(got) == 9 and fingerprints.edit_fingerprints(docs(spark, [])).count() == 0
+    long = "some words and others " * 60_000  # 1.3 MB
+    clash = docs(spark, [(1, long), (2, long)]).withColumns({c: F.lit(1) for c in ("k", "body", "simhash", "side", "next_k", "own")})
+    assert all(r.n_chars == len(long) and r.near_next == 1.0 for r in fingerprints.edit_fingerprints(clash).collect())
     one = fingerprints.edit_fingerprints(docs(spark, [(1, "abcd efgh")])).first()
     assert one.edited_sha256 == hashlib.sha256(b"abcd efab").hexdigest()
 
@@ -674,3 +677,14 @@ def test_pipeline_stages(spark, tmp_path):
         copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
     assert {r.doc_id: r.n for r in packed} == {r.doc_id: r.t * copies[r.doc_id] for r in packed} and len(packed) == len(copies)
     assert corpus_pipeline.run(spark, SF).count() == seen["packing"].count()
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    prose = [" ".join(["The", f"river{i}", "flows", "past", "the", f"old{i}", "mill,", "and", "the", "road", f"goes{i}", "on."]) for i in range(30)]
+    rows = [(i, t) for i, t in enumerate(prose)] + [(3, prose[3]), (3, prose[4] + " Again."), (None, "A line without an id, in plain words."), (900, None), (901, ""), (902, " ".join(f"word{i % 977} more{i}" for i in range(60_000)))]
+    for name, some in (("rows", rows), ("none", [])):
+        docs(spark, some).withColumn("n_chars", F.lit(1)).withColumns({c: F.lit("x") for c in ("shard", "mix_order", "items", "root")}).write.parquet(str(tmp_path / name / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "rows"))
+    seen = {r.doc_id for r in got.select("doc_id").collect()}
+    assert {*range(30)} - seen <= {3, 4} and None in seen and 902 in seen
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
