@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from frameloom.functions import automata as A, frames as X
 from frameloom.functions.seeds import hex16, sample_seed_udf, shard_seed_udf
+from frameloom.lineage import through_files
 from frameloom.model import as_frames
 from frameloom.operators import corpus as C, stats as S
 from frameloom.operators.processors import chain
-from frameloom.sources import rules
+from frameloom.sinks import files
+from frameloom.sources import readers, rules
 from frameloom.sources.generate import generate
 from frameloom.workers import ship
 
@@ -158,6 +160,20 @@ def patch_tokens_embeddings(spark, d):
     return flat(chain(grids(spark, d), [("patch_tokenizer", {"patch": 2, "rows": 8, "cols": 8, "num_colors": 4})])).select("sample_id", "state")
 
 
+@query(f"""WITH {GRID}, p AS (SELECT vec_id, list_transform(range(0, 16), lambda n: list_sum(list_transform(range(0, 4), lambda c: coalesce(s[1 + ((n % 8 // 4 + c // 2) * 8 + (n % 4 + c % 2)) * 2 + n // 8], 0) * CAST(pow(4, c) AS BIGINT)))) AS t FROM g)
+SELECT vec_id AS sample_id, array_to_string([256] || list_transform(t, lambda x: CAST(x AS BIGINT)) || [257], ',') AS tokens FROM p""")
+def patch_tokens_groups(spark, d):
+    """Two groups of 4 x 8 cells, patches that overlap by one."""
+    made = chain(grids(spark, d), [("patch_tokenizer", {"patch": 2, "rows": 4, "cols": 8, "num_colors": 4, "n_groups": 2, "stride": 1})])
+    return made.select("sample_id", joined("state").alias("tokens"))
+
+
+@query(f"WITH {EV} SELECT sample_id, pos, round(value - coalesce(lag(value) OVER (PARTITION BY sample_id ORDER BY pos), 0), 6) AS value FROM ev")
+def diff_events_zero_frame(spark, d):
+    made = chain(event_values(spark, d), [("diff_encoder", {"prepend_zero_frame": True})])
+    return made.select("sample_id", "pos", r6(F.element_at("state", 1)).alias("value"))
+
+
 @query(f"WITH {GRID} SELECT vec_id AS sample_id, array_to_string(s, ',') AS state FROM g")
 def patch_decode_roundtrip(spark, d):
     tokens = chain(grids(spark, d), [("patch_tokenizer", {"patch": 2, "rows": 8, "cols": 8, "num_colors": 4})])
@@ -590,6 +606,81 @@ def pad_targets(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), joined(X.padded(seq, 6, -100)).alias("seq"))
 
 
+# ---- sinks and readers: what is written is read again -------------------------------------------------------------------------
+def sharded(spark, d):
+    return grids(spark, d).withColumn("shard_id", (F.col("sample_id") % 4).cast("int"))
+
+
+def shard_of(name):
+    return F.split_part(F.col(name), F.lit("_"), F.lit(2)).cast("int").alias("shard_id")
+
+
+def whole_cells(name):
+    return joined(F.transform(name, lambda x: x.cast("bigint"))).alias("state")
+
+
+FRAME_ROWS = f"WITH {GRID} SELECT vec_id AS sample_id, 0::BIGINT AS step_index, array_to_string(s, ',') AS state, CAST(label AS VARCHAR) AS label FROM g"
+ARRAY_ROWS = f"WITH {GRID} SELECT CAST(vec_id % 4 AS INT) AS shard_id, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) - 1 AS row, '{{}}' AS shape, array_to_string(s, ',') AS state FROM g"
+
+
+@query(FRAME_ROWS)
+def files_binary(spark, d):
+    back = through_files(spark, lambda f: files.write_shards(sharded(spark, d), f, "Binary", 7), lambda f: readers.read_binary(spark, f"{f}/*.bin", "int"))
+    return back.select("sample_id", "step_index", joined("state").alias("state"), "label")
+
+
+@query(ARRAY_ROWS.format("64"))
+def files_npy(spark, d):
+    back = through_files(spark, lambda f: files.write_shards(sharded(spark, d), f, "Npy", 7), lambda f: readers.read_npy(spark, f"{f}/*.npy"))
+    return back.select(shard_of("filename"), "row", joined("shape").alias("shape"), whole_cells("values"))
+
+
+@query(ARRAY_ROWS.format("1,8,8,1"))
+def files_npy_batch(spark, d):
+    options = {"num_frames": 1, "rows": 8, "cols": 8, "channels": 1}
+    back = through_files(spark, lambda f: files.write_shards(sharded(spark, d), f, "NpyBatch", 7, options), lambda f: readers.read_npy(spark, f"{f}/*.npy"))
+    return back.select(shard_of("filename"), "row", joined("shape").alias("shape"), whole_cells("values"))
+
+
+@query(FRAME_ROWS)
+def files_tagged_parquet(spark, d):
+    back = through_files(spark, lambda f: files.write_compatible_parquet(grids(spark, d), f), lambda f: readers.read_tagged_parquet(spark, f, "int"))
+    return back.select("sample_id", "step_index", joined("state").alias("state"), "label")
+
+
+@query(FRAME_ROWS)
+def files_parquet(spark, d):
+    back = through_files(spark, lambda f: files.write_parquet(grids(spark, d), f), lambda f: readers.read_frames(spark, f, ["table"]))
+    return back.select("sample_id", "step_index", joined("state").alias("state"), "label")
+
+
+@query(f"WITH {GRID} SELECT CAST(vec_id AS VARCHAR) || ':' || array_to_string(list_transform(s, lambda x: chr(CAST(65 + x AS INT))), '') || ' ' || CAST(label AS VARCHAR) AS value FROM g")
+def files_text(spark, d):
+    letters = chain(grids(spark, d), [("token_mapper", {"start_codepoint": 65})])
+    return through_files(spark, lambda f: files.write_text(letters, f, with_sample=True), lambda f: spark.read.text(f).select("value"))
+
+
+@query(f"WITH {GRID} SELECT array_to_string(s, ',') AS state FROM g")
+def files_brackets(spark, d):
+    return through_files(spark, lambda f: readers.write_brackets(grids(spark, d), f), lambda f: readers.read_brackets(spark, f)).select(joined("state").alias("state"))
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) || '_' || l_linenumber AS k, CAST(l_quantity AS BIGINT) AS q, l_returnflag AS flag FROM lineitem")
+def files_jsonl(spark, d):
+    rows = read(spark, d, "lineitem").select(F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("k"), F.col("l_quantity").cast("bigint").alias("q"), F.col("l_returnflag").alias("flag"))
+    return through_files(spark, lambda f: readers.write_jsonl(rows, f), lambda f: readers.read_jsonl(spark, f, "k string, q bigint, flag string"))
+
+
+@query("""WITH k AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, user_id * 7919 % 65536 AS token FROM events)
+SELECT 'tokens_' || lpad(CAST(pos // 1000 AS VARCHAR), 5, '0') || '.bin' AS filename, count(*) AS n, md5(string_agg(CAST(token AS VARCHAR), ',' ORDER BY pos)) AS digest FROM k GROUP BY ALL""")
+def files_token_words(spark, d):
+    rows = read(spark, d, "events").select("event_id", (F.col("user_id") * 7919 % 65536).alias("token"))
+    placed = C.running_offset(rows, "event_id", F.lit(1), "pos")
+    back = through_files(spark, lambda f: files.write_token_words(placed.select("pos", "token"), f, 1000), lambda f: readers.read_token_words(spark, f"{f}/*.bin"))
+    told = F.array_sort(F.collect_list(F.struct("pos", "token")))  # a file's tokens
+    return back.groupBy("filename").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.transform(told, lambda x: x["token"].cast("string")), ",")).alias("digest"))
+
+
 # ---- strings and formats -----------------------------------------------------------------------------------------------------
 @query("SELECT conv_id, turn, nullif(trim(replace(string_split(text || '#### 1,234', '####')[-1], ',', '')), '') AS answer FROM conversations")
 def extract_answer(spark, d):
@@ -762,25 +853,122 @@ def shuffle_dyck_validity(spark, d):
     return read(spark, d, "part").select("p_partkey", X.shuffle_dyck_valid(word, 2).alias("valid"))
 
 
-#: Generators whose frames come from seeded draws: (generator, its parameters).
+def mixed_sql(made: str, keys: str) -> str:
+    """z of the finaliser over rows of `made` (keys, z), as a query."""
+    two = "18446744073709551616::UHUGEINT"
+    one = f"SELECT {keys}, (xor(z, z // 1073741824) * 13787848793156543929::UHUGEINT) % {two} AS z FROM ({made})"
+    return f"SELECT {keys}, xor(z, z // 2147483648) AS z FROM (SELECT {keys}, (xor(z, z // 134217728) * 10723151780598845931::UHUGEINT) % {two} AS z FROM ({one}))"
+
+
+def draws_sql(n: int, count: int = 64, size: int = 16, seed: int = 42) -> str:
+    """u(k, u): the first n draws of each sample's generator as a list; k numbers the samples over all shards."""
+    two = "18446744073709551616::UHUGEINT"
+    shards = mixed_sql(f"SELECT k, xor({seed}::UHUGEINT, ((k // {size})::UHUGEINT * 11400714819323198485::UHUGEINT) % {two}) AS z FROM (SELECT unnest(range({count})) AS k)", "k")
+    samples = mixed_sql(f"SELECT k, (z + (k % {size})::UHUGEINT * 5871781006564002453::UHUGEINT) % {two} AS z FROM ({shards})", "k")
+    step = f"SELECT k, i + 1 AS i, xor(b, (b * 131072) % {two}) AS z FROM (SELECT k, i, xor(a, a // 128) AS b FROM (SELECT k, i, xor(z, (z * 8192) % {two}) AS a FROM w WHERE i < {n}))"
+    return f"w AS (SELECT k, 0 AS i, CASE WHEN z = 0 THEN 16045690984503098046::UHUGEINT ELSE z END AS z FROM ({samples}) UNION ALL {step}), u AS (SELECT k, list(z ORDER BY i) AS u FROM w WHERE i > 0 GROUP BY k)"
+
+
+#: A draw as a number from 0 to 1, and the shard and the sample of k.
+F64 = "((x // 2048)::DOUBLE / 9007199254740992)"
+OF = "CAST(k // 16 AS INT) AS shard_id, k % 16 AS sample_id"
+UNIT = lambda i: F64.replace("x", f"u[{i}]")
+
+_CA = "(110 >> CAST(4 * s[1 + (i + 63) % 64] + 2 * s[i + 1] + s[1 + (i + 1) % 64] AS INT)) & 1"
+_SOLID = [f"s[1 + ((i // 16 + {4 + z}) % 4) * 16 + ((i // 4 % 4 + {4 + r}) % 4) * 4 + (i % 4 + {4 + c}) % 4]" for z, r, c in rules.MOORE3]
+
+
+def walked(first: str, step: str, columns: str = "s", steps: int = 12) -> str:
+    """x(k, t, u, columns): the states 0 .. steps - 1 from `first` over u, each from the one before by `step`."""
+    return f"x AS (SELECT k, 0 AS t, u, {first} FROM u UNION ALL SELECT k, t + 1, u, {step} FROM x WHERE t < {steps - 1})"
+
+
+#: 31 instructions of one draw, or two where they have a value, and a halt; numbers wrap at 64 bits.
+MACHINE = f"""WITH RECURSIVE {draws_sql(62)},
+p AS (SELECT k, u, 0 AS i, 0 AS used, []::BIGINT[] AS op, []::BIGINT[] AS val FROM u UNION ALL
+  SELECT k, u, i + 1, used + CASE WHEN o IN (0, 8, 9) THEN 2 ELSE 1 END, op || [o], val || [CASE WHEN o = 0 THEN CASE WHEN v >= 9223372036854775808 THEN -CAST((18446744073709551616::UHUGEINT - v) % 100 AS BIGINT) ELSE CAST(v % 100 AS BIGINT) END WHEN o IN (8, 9) THEN CAST(v % 32 AS BIGINT) ELSE 0 END]
+  FROM (SELECT *, CAST(u[used + 1] % 11 AS BIGINT) AS o, u[least(used + 2, 62)] AS v FROM p WHERE i < 31)),
+x AS (SELECT k, 0 AS t, 0::BIGINT AS pc, []::BIGINT[] AS st, op || [10] AS op, val || [0] AS val FROM p WHERE i = 31 UNION ALL
+  SELECT k, t + 1, CASE WHEN o = 8 OR (o = 9 AND (n = 0 OR a = 0)) THEN v ELSE pc + 1 END,
+    CASE WHEN o = 0 THEN st || [v] WHEN o IN (1, 9) AND n >= 1 THEN st[1:n - 1] WHEN o = 6 AND n >= 1 THEN st || [a] WHEN o = 7 AND n >= 2 THEN st[1:n - 2] || [a, b]
+      WHEN n >= 2 AND (o IN (2, 3, 4) OR (o = 5 AND a <> 0)) THEN st[1:n - 2] || [CAST((((CASE o WHEN 2 THEN b::HUGEINT + a WHEN 3 THEN b::HUGEINT - a WHEN 4 THEN b::HUGEINT * a
+        ELSE abs(b::HUGEINT) // abs(greatest(1, abs(a::HUGEINT))) * CASE WHEN (a < 0) = (b < 0) THEN 1 ELSE -1 END END) % 18446744073709551616::HUGEINT) + 27670116110564327424::HUGEINT) % 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT AS BIGINT)] ELSE st END, op, val
+  FROM (SELECT *, op[pc + 1] AS o, val[pc + 1] AS v, len(st) AS n, st[len(st)] AS a, st[len(st) - 1] AS b FROM x WHERE t < 11 AND pc < 32 AND op[pc + 1] <> 10))
+SELECT {OF}, CAST(t AS BIGINT) AS step_index, CAST(pc AS VARCHAR) || ',' || CAST(coalesce(st[len(st)], 0) AS VARCHAR) AS state FROM x"""
+TRUTH = "array_to_string(list_transform(s, lambda c: CASE WHEN c = 1 THEN 'true' ELSE 'false' END), ',')"
+#: Generators whose frames come from seeded draws: (generator, its parameters, SQL of the same frames).
 SEEDED = {
-    "gen_nca2d": ("nca2d", {"rows": 6, "cols": 6}),
-    "gen_nca2d_sampled": ("nca2d", {"rows": 6, "cols": 6, "temperature": 0.7}),
-    "gen_nbody": ("nbody", {}),
-    "gen_vm": ("vm", {}),
-    "gen_boolean_network": ("boolean_network", {}),
-    "gen_ifs": ("ifs", {}),
-    "gen_grammar": ("formal_grammar", {"productions": {"S": ["aSb", "SS", "c"]}}),
-    "gen_ca_seeded": ("ca", {"rule": 110, "width": 64}),
-    "gen_ca2d_seeded": ("ca2d", {"preset": "ameyalli", "rows": 16, "cols": 16}),
-    "gen_ca3d_seeded": ("ca3d", {"preset": "cyclic_3d", "depth": 4, "rows": 4, "cols": 4}),
+    "gen_nca2d": ("nca2d", {"rows": 6, "cols": 6}, None),
+    "gen_nca2d_sampled": ("nca2d", {"rows": 6, "cols": 6, "temperature": 0.7}, None),
+    "gen_vm": ("vm", {}, MACHINE),
+    "gen_boolean_network": (
+        "boolean_network", {},
+        f"WITH RECURSIVE {draws_sql(384)}, n AS (SELECT k, list_transform(u, lambda x: CAST(x // 9223372036854775808 AS BIGINT)) AS c, list_transform(u[257:352], lambda x: CAST(x % 32 AS BIGINT)) AS p FROM u), "
+        "x AS (SELECT k, 0 AS t, c, p, c[353:384] AS s FROM n UNION ALL SELECT k, t + 1, c, p, list_transform(range(0, 32), lambda i: c[1 + 8 * i + 4 * s[1 + p[1 + 3 * i]] + 2 * s[1 + p[2 + 3 * i]] + s[1 + p[3 + 3 * i]]]) FROM x WHERE t < 11) "
+        f"SELECT {OF}, CAST(t AS BIGINT) AS step_index, {TRUTH} AS state FROM x",
+    ),
+    "gen_grammar": (
+        "formal_grammar", {"productions": {"S": ["aSb", "SS", "c"]}},
+        f"""WITH RECURSIVE {draws_sql(12)}, {walked("'S' AS s", "CASE WHEN instr(s, 'S') > 0 THEN substr(s, 1, instr(s, 'S') - 1) || ['aSb', 'SS', 'c'][1 + CAST(u[t + 1] % 3 AS INT)] || substr(s, instr(s, 'S') + 1) ELSE s END")}
+SELECT {OF}, CAST(t AS BIGINT) AS step_index, array_to_string(list_transform(string_split(s, ''), lambda c: ord(c)), ',') AS state FROM x""",
+    ),
+    "gen_ca_seeded": (
+        "ca", {"rule": 110, "width": 64},
+        f"WITH RECURSIVE {draws_sql(64)}, {walked('list_transform(u, lambda x: CAST(x // 9223372036854775808 AS BIGINT)) AS s', f'list_transform(range(0, 64), lambda i: CAST({_CA} AS BIGINT))')} SELECT {OF}, CAST(t AS BIGINT) AS step_index, {TRUTH} AS state FROM x",
+    ),
+    "gen_ca2d_seeded": ("ca2d", {"preset": "ameyalli", "rows": 16, "cols": 16}, None),
+    "gen_ca3d_seeded": (
+        "ca3d", {"rule_type": "cyclic", "d_state": 5, "n_states": 5, "threshold": 4, "depth": 4, "rows": 4, "cols": 4},
+        f"""WITH RECURSIVE {draws_sql(64)}, {walked("list_transform(u, lambda x: CAST(x % 5 AS BIGINT)) AS s", "list_transform(range(0, 64), lambda i: CAST(CASE WHEN " + " + ".join(f"CASE WHEN {c} = (s[i + 1] + 1) % 5 THEN 1 ELSE 0 END" for c in _SOLID) + " >= 4 THEN (s[i + 1] + 1) % 5 ELSE s[i + 1] END AS BIGINT))")}
+SELECT {OF}, CAST(t AS BIGINT) AS step_index, array_to_string(s, ',') AS state FROM x""",
+    ),
 }
-for _name, (_generator, _config) in SEEDED.items():
+_SLOPE = "10 * ({1} - {0}) AS {3}x, {0} * (28 - {2}) - {1} AS {3}y, {0} * {1} - 8 / 3 * {2} AS {3}z".format
+_RK = "SELECT *, " + _SLOPE("(px + 0.01::DOUBLE * kcx)", "(py + 0.01::DOUBLE * kcy)", "(pz + 0.01::DOUBLE * kcz)", "kd")
+_RK += " FROM (SELECT *, " + _SLOPE("(px + 0.005::DOUBLE * kbx)", "(py + 0.005::DOUBLE * kby)", "(pz + 0.005::DOUBLE * kbz)", "kc")
+_RK += " FROM (SELECT *, " + _SLOPE("(px + 0.005::DOUBLE * kax)", "(py + 0.005::DOUBLE * kay)", "(pz + 0.005::DOUBLE * kaz)", "kb")
+_RK += " FROM (SELECT *, " + _SLOPE("px", "py", "pz", "ka") + " FROM x WHERE t < 11)))"
+_IFS = ", ".join("[" + ", ".join(f"{low} + {UNIT(7 * m + j + 1)} * {high - low}" for j, (low, high) in enumerate([(0.1, 1.0), *[(-1.0, 1.0)] * 4, *[(-0.5, 0.5)] * 2])) + "]" for m in range(4))
+#: The same for cells that are no whole numbers: a row for each cell, rounded.
+REALS = {
+    "gen_logistic_seeded": (
+        "logistic", {},
+        f"WITH RECURSIVE {draws_sql(1)}, {walked(f'0.01 + {UNIT(1)} * 0.98 AS v', '3.9::DOUBLE * v * (1 - v)')} SELECT {OF}, CAST(t AS BIGINT) AS step_index, 0 AS cell, round(v, 6) AS value FROM x",
+    ),
+    "gen_lorenz_seeded": (
+        "lorenz", {},
+        f"""WITH RECURSIVE {draws_sql(3)}, x AS (SELECT k, 0 AS t, -15 + {UNIT(1)} * 30 AS px, -15 + {UNIT(2)} * 30 AS py, -15 + {UNIT(3)} * 30 AS pz FROM u
+UNION ALL SELECT k, t + 1, {", ".join(f"p{a} + 0.01::DOUBLE / 6 * (ka{a} + 2 * kb{a} + 2 * kc{a} + kd{a})" for a in "xyz")} FROM ({_RK}))
+SELECT {OF}, CAST(t AS BIGINT) AS step_index, cell, round(value, 6) AS value FROM (SELECT k, t, unnest([px, py, pz]) AS value, unnest([0, 1, 2]) AS cell FROM x)""",
+    ),
+    "gen_ifs": (
+        "ifs", {},
+        f"""WITH RECURSIVE {draws_sql(40)}, m AS (SELECT k, u, [{_IFS}] AS m FROM u), c AS (SELECT *, m[1][1] + m[2][1] + m[3][1] + m[4][1] AS total FROM m),
+x AS (SELECT k, 0 AS t, u, m, total, 0::DOUBLE AS px, 0::DOUBLE AS py FROM c UNION ALL
+SELECT k, t + 1, u, m, total, f[2] * px + f[3] * py + f[6], f[4] * px + f[5] * py + f[7] FROM (SELECT *, m[CASE WHEN r <= m[1][1] / total THEN 1 WHEN r <= m[1][1] / total + m[2][1] / total THEN 2 WHEN r <= m[1][1] / total + m[2][1] / total + m[3][1] / total THEN 3 ELSE 4 END] AS f
+FROM (SELECT *, {F64.replace("x", "u[29 + t]")} AS r FROM x WHERE t < 11)))
+SELECT {OF}, CAST(t AS BIGINT) AS step_index, cell, round(value, 6) AS value FROM (SELECT k, t, unnest([px, py]) AS value, unnest([0, 1]) AS cell FROM x)""",
+    ),
+    "gen_nbody": ("nbody", {}, None),
+}
+
+
+def seeded(spark, generator, config):
+    return generate(spark, generator, config, count=64, seq_length=12, seed=42, shard_size=16)
 
-    @query(name=_name)
+
+for _name, (_generator, _config, _sql) in SEEDED.items():
+
+    @query(_sql, _name)
     def _seeded(spark, d, generator=_generator, config=_config):
-        made = generate(spark, generator, config, count=64, seq_length=12, seed=42, shard_size=16)
-        return made.select("shard_id", "sample_id", "step_index", joined("state").alias("state"))
+        return seeded(spark, generator, config).select("shard_id", "sample_id", "step_index", joined("state").alias("state"))
+
+
+for _name, (_generator, _config, _sql) in REALS.items():
+
+    @query(_sql, _name)
+    def _reals(spark, d, generator=_generator, config=_config):
+        return seeded(spark, generator, config).select("shard_id", "sample_id", "step_index", F.posexplode("state").alias("cell", "value")).withColumn("value", r6("value"))
 
 
 @query()
