@@ -103,7 +103,7 @@ def patch_tokens(state: Column, patch: int, rows: int, cols: int, colours: int =
 def patch_cells(tokens: Column, patch: int, rows: int, cols: int, colours: int = 10) -> Column:
     """The grid that patch_tokens (one group, stride = patch) came from."""
     across = cols // patch
-    cell = lambda r, c: F.floor(F.get(tokens, 1 + (r // patch) * across + c // patch) / F.lit(colours ** ((r % patch) * patch + c % patch))) % colours
+    cell = lambda r, c: F.call_function("div", F.get(tokens, 1 + (r // patch) * across + c // patch), F.lit(colours ** ((r % patch) * patch + c % patch))) % colours
     return F.array(*[cell(r, c).cast("bigint") for r in range(rows) for c in range(cols)])
 
 

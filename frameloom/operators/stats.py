@@ -7,6 +7,7 @@ import gzip
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from frameloom.errors import InvalidParams
 from frameloom.functions import frames as X
 from frameloom.model import KEY, sample_window
 
@@ -115,6 +116,15 @@ def subsampled(frames: DataFrame, start: int, stride: int) -> DataFrame:
     return frames.where((F.col("pos") >= start) & ((F.col("pos") - start) % stride == 0))
 
 
+def rollout(frames: DataFrame, steps: int, sampling: str = "video", start: int = 0, stride: int = 1, with_first: bool = False) -> DataFrame:
+    """What a simulation shows: every stride-th of `steps` frames from start on, or the one after `steps` steps, with the first if wanted."""
+    if sampling == "video":
+        return subsampled(frames, start, stride).where(F.col("pos") < start + steps)
+    if sampling != "final":
+        raise InvalidParams(f"sampling is video or final, not {sampling!r}")
+    return frames.where(F.col("pos").isin([0, steps] if with_first else [steps]))
+
+
 def masked_sum(rows: DataFrame, by: list[str], value: Column, counted: Column, name: str) -> DataFrame:
     """The sum of a value over the rows that a mask leaves in, such as a sequence's log-probability."""
     return rows.groupBy(*by).agg(F.sum(F.when(counted, value)).alias(name))

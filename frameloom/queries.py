@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from frameloom.functions import automata as A, frames as X
 from frameloom.functions.seeds import hex16, sample_seed_udf, shard_seed_udf
+from frameloom.functions.tokenizers import FlatTokenizer
 from frameloom.lineage import through_files
 from frameloom.model import as_frames
 from frameloom.operators import corpus as C, stats as S
@@ -336,6 +337,21 @@ def projections_embeddings(spark, d):
     return grids(spark, d).select("sample_id", joined(X.layer(F.col("state"), 1, 16)).alias("layer"), joined(X.channel(F.col("state"), 2, 4)).alias("channel"), joined(X.one_hot(F.element_at("state", 1), 4)).alias("hot"))
 
 
+@query(f"WITH {EV} SELECT 'final' AS sampling, sample_id, pos, round(value, 6) AS value FROM ev WHERE pos IN (0, 9) UNION ALL SELECT 'video', sample_id, pos, round(value, 6) FROM ev WHERE pos IN (3, 5, 7)")
+def rollout_events(spark, d):
+    frames = event_values(spark, d)
+    both = [S.rollout(frames, 9, "final", with_first=True).withColumn("sampling", F.lit("final")), S.rollout(frames, 6, start=3, stride=2).withColumn("sampling", F.lit("video"))]
+    return both[0].unionByName(both[1]).select("sampling", "sample_id", "pos", r6(F.element_at("state", 1)).alias("value"))
+
+
+@query(f"WITH {GRID}, p AS (SELECT vec_id, s, list_transform(s, lambda x: x + 100) AS m FROM g) SELECT vec_id AS sample_id, array_to_string([104] || m || [105, 104] || m || [105], ',') AS input, array_to_string(list_transform(range(0, 67), lambda i: -100) || m || [-100], ',') AS target, array_to_string(s, ',') AS cells FROM p")
+def tokenizer_pairs(spark, d):
+    """Two frames through the flat tokenizer: the first is given, start and end do not count; decoded, the cells come back."""
+    kind = FlatTokenizer(4, offset=100)
+    both, target = kind.pair(F.array("state", "state"))
+    return grids(spark, d).select("sample_id", joined(both).alias("input"), joined(target).alias("target"), joined(kind.decode(kind.encode(F.col("state")))).alias("cells"))
+
+
 @query("SELECT user_id, round(sum(ln(1 + value)) FILTER (event_type <> 'error'), 6) AS logprob FROM events GROUP BY user_id")
 def masked_logprob_events(spark, d):
     return S.masked_sum(read(spark, d, "events"), ["user_id"], F.log1p("value"), F.col("event_type") != "error", "logprob").withColumn("logprob", r6("logprob"))

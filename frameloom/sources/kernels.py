@@ -204,12 +204,16 @@ def pick(logits: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 @GENERATORS.named("nca2d", "neural_cellular_automaton_2d")
 def neural(config: dict) -> Kernel:
-    """Each seed has its own random network: 3 x 3 and two 1 x 1 convolutions over one-hot cells, with wrapped edges."""
+    """Each seed has its own random network: 3 x 3 and two 1 x 1 convolutions over one-hot cells, with wrapped edges.
+
+    Each cell of the first frame is drawn by logits of its own or, with init_mode `tiled`, by those that its group has for all cells.
+    """
     states, groups = option(config, "d_state", 10, int, lambda d: 2 <= d <= 255), option(config, "n_groups", 1, int, positive)
     rows, cols = (option(config, n, 12, int, positive) for n in ("rows", "cols"))
     bias, heat = option(config, "identity_bias", 0.0, float), option(config, "temperature", 0.0, float, lambda t: t >= 0)
     hidden, features = option(config, "hidden_dim", 16, int, positive), option(config, "conv_features", 4, int, positive)
     channels = states * groups
+    tiled = option(config, "init_mode", "cells", str, lambda m: m in ("cells", "tiled")) == "tiled"
 
     def run(seeds):
         draws = Draws(seeds)
@@ -219,8 +223,10 @@ def neural(config: dict) -> Kernel:
         second, third = layer(features, hidden, fan=features), layer(hidden, channels, fan=hidden)
         cells = np.empty((n, rows * cols * groups), np.int64)
         for i in range(cells.shape[1]):
-            logits = np.stack([draws.normal() for _ in range(states)], axis=1)
-            cells[:, i] = pick(logits, draws.f64())
+            if not tiled or i < groups:
+                logits = np.stack([draws.normal() for _ in range(states)], axis=1)
+                shared = [logits] if i == 0 or not tiled else [*shared, logits]
+            cells[:, i] = pick(shared[i % groups] if tiled and i >= groups else logits, draws.f64())
         while True:
             yield cells.copy()
             hot = (cells.reshape(n, rows, cols, groups, 1) == np.arange(states)).astype(np.float64)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,24 @@ def test_pass_at_k(spark):
 def test_brackets(spark):
     df = spark.createDataFrame([([0, 1, 3, 2],), ([0, 1, 2, 3],), ([2],), ([],)], "s array<bigint>")
     assert [tuple(r) for r in df.select(X.dyck_valid(F.col("s"), 2), X.shuffle_dyck_valid(F.col("s"), 2)).collect()] == [(True, True), (False, True), (False, False), (True, True)]
+
+
+def test_patches_of_many_colours_come_back(spark):
+    from frameloom.functions.tokenizers import PatchTokenizer
+
+    kind = PatchTokenizer(4, 4, 8, 14)  # tokens beyond 2 ** 53
+    rng = np.random.default_rng(0)
+    rows = [(rng.integers(0, 14, 32).tolist(),) for _ in range(20)] + [([13] * 32,)]
+    told = spark.createDataFrame(rows, "s array<long>").select("s", kind.decode(kind.encode(F.col("s"))).alias("back")).collect()
+    assert all(list(r.s) == list(r.back) for r in told)
+
+
+def test_rollouts(spark):
+    from frameloom.errors import InvalidParams
+    from frameloom.operators import stats
+
+    frames = spark.createDataFrame([("t", 0, 0, i, i, [i], None) for i in range(12)], schema("int"))
+    at = lambda df: sorted(r.pos for r in df.collect())
+    assert at(stats.rollout(frames, 10, "final")) == [10] and at(stats.rollout(frames, 6, start=2, stride=3)) == [2, 5]
+    with pytest.raises(InvalidParams):
+        stats.rollout(frames, 1, "none")

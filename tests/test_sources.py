@@ -137,3 +137,12 @@ def test_synthetic_languages(spark):
         check = X.shuffle_dyck_valid if shuffled else X.dyck_valid
         assert out.where(check(F.col("state"), 3) & (F.size("state") == 12)).count() == 20
     assert [list(r.state) for r in champernowne(spark, 2, 9, 2).orderBy("sample_id").collect()] == [[9, 1, 0], [1, 0, 1, 1]]
+
+
+def test_tiled_start_shares_its_chances():
+    from frameloom.sources.kernels import GENERATORS
+
+    seeds = np.arange(1, 60, dtype=np.uint64)
+    first = {m: next(GENERATORS.get("nca2d")({"rows": 10, "cols": 10, "n_groups": 2, "d_state": 5, "init_mode": m}).run(seeds)) for m in ("cells", "tiled")}
+    top = lambda cells: np.array([[np.bincount(row[g::2], minlength=5).max() for g in (0, 1)] for row in cells])
+    assert top(first["tiled"]).mean() > top(first["cells"]).mean() + 10  # one colour leads in each group
