@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from frameloom.llm._common import broadcast_if_few, checkpointed, fresh, table, whole
 
-#: No source is read more often than this, the seed of the permutations, and sources that the driver can hold.
+#: No source is read more often than this, the seed of the permutations, and sources whose shares the driver holds; the sums over
+#: more are taken by Spark.
 REPEAT, SEED, SOURCES = 1.5, 17, 100_000
 
 
@@ -40,14 +41,33 @@ def repeats(shares: list[float], weights: list[float], budget: float | None) ->
     return [t * scale for t in times]
 
 
+def bisected(enough, max_repeat: float | None, rounds: int = 60) -> float:
+    """The smallest exponent in 0..1 that is enough, which 1 is unless the budget alone repeats a source too often."""
+    if enough(0.0):
+        return 0.0
+    if not enough(1.0):
+        if max_repeat is not None:
+            raise ValueError("the budget repeats a source too often even without mixing")
+        return 1.0
+    low, high = 0.0, 1.0
+    for _ in range(rounds):
+        middle = (low + high) / 2
+        low, high = (low, middle) if enough(middle) else (middle, high)
+    return high
+
+
+def _one_goal(target_entropy: float | None, max_repeat: float | None) -> None:
+    if (target_entropy is None) == (max_repeat is None):
+        raise ValueError("give either a target entropy or a repetition limit")
+
+
 def solve(shares: list[float], target_entropy: float | None = None, max_repeat: float | None = None, budget: float | None = None, rounds: int = 60) -> float:
     """The exponent in 0..1: nearest to the target entropy, or the smallest that keeps every source within max_repeat.
 
     Entropy falls and repetition falls as the exponent rises from 0 (all sources alike) to 1 (as they are). If 1 still repeats
     too often, the budget alone is too large and a ValueError says so.
     """
-    if (target_entropy is None) == (max_repeat is None):
-        raise ValueError("give either a target entropy or a repetition limit")
+    _one_goal(target_entropy, max_repeat)
 
     def enough(x: float) -> bool:
         w = weights_at(shares, x)
@@ -55,19 +75,35 @@ def solve(shares: list[float], target_entropy: float | None = None, max_repeat:
             return entropy(w) <= target_entropy
         return max(repeats(shares, w, budget), default=0.0) <= max_repeat * (1 + 1e-12)
 
-    if not any(shares):
-        return 1.0
-    if enough(0.0):
-        return 0.0
-    if not enough(1.0):
-        if max_repeat is not None:
-            raise ValueError("the budget repeats a source too often even without mixing")
-        return 1.0
-    low, high = 0.0, 1.0
-    for _ in range(rounds):
-        middle = (low + high) / 2
-        low, high = (low, middle) if enough(middle) else (middle, high)
-    return high
+    return bisected(enough, max_repeat, rounds) if any(shares) else 1.0
+
+
+def solve_sums(shares: DataFrame, target_entropy: float | None = None, max_repeat: float | None = None, budget: float | None = None, rounds: int = 60) -> tuple[float, float, float]:
+    """The same exponent for shares (column share, materialised) of any number of sources, the sum of their powers, and how often
+    weight / share counts. Each evaluation is one aggregate; the driver sees its sums alone.
+    """
+    _one_goal(target_entropy, max_repeat)
+    logs = shares.where("share > 0").select(F.log("share").alias("x"))
+    ends = logs.agg(F.min("x").alias("least"), F.max("x").alias("most")).first()
+    if ends["least"] is None:
+        return 1.0, 1.0, 0.0
+
+    def sums(e: float) -> tuple[float, float]:
+        power = F.exp(F.col("x") * F.lit(e))
+        return tuple(logs.agg(F.sum(power), F.sum(power * F.col("x"))).first())
+
+    def scale(e: float, total: float) -> float:  # the largest source is the least repeated
+        return budget if budget is not None else total / math.exp((e - 1) * ends["most"])
+
+    def enough(e: float) -> bool:
+        total, weighted = sums(e)
+        if target_entropy is not None:
+            return math.log2(total) - e * weighted / (total * math.log(2)) <= target_entropy
+        return math.exp((e - 1) * ends["least"]) / total * scale(e, total) <= max_repeat * (1 + 1e-12)
+
+    exponent = bisected(enough, max_repeat, rounds)
+    total = sums(exponent)[0]
+    return exponent, total, scale(exponent, total)
 
 
 def default_tokens(text: Column) -> Column:
@@ -75,6 +111,29 @@ def default_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("bigint")
 
 
+PLAN = "of string, epoch_tokens bigint, budget_tokens bigint, weight double, exponent double, blocks bigint"
+
+
+def source_plan(per: DataFrame, target_entropy: float | None, max_repeat: float | None, budget: float | None) -> DataFrame:
+    """Rows of PLAN for sources (source, epoch, n), materialised: their budgets and weights. Broadcast up to SOURCES rows."""
+    if per.count() <= SOURCES:
+        held = per.orderBy("source").collect()
+        total = sum(r["epoch"] for r in held)
+        shares = [r["epoch"] / total if total else 0.0 for r in held]
+        exponent = solve(shares, target_entropy, max_repeat, budget)
+        weights = weights_at(shares, exponent)
+        often = repeats(shares, weights, budget)
+        plan = [(r["source"], r["epoch"], int(round(o * r["epoch"])), w, float(exponent), math.isqrt(r["n"] - 1) + 1) for r, o, w in zip(held, often, weights, strict=True)]
+        return F.broadcast(per.sparkSession.createDataFrame(plan, PLAN))
+    total = per.agg(F.sum("epoch")).first()[0]
+    shared = checkpointed(per.withColumn("share", F.col("epoch") / F.lit(max(total, 1))))
+    exponent, powers, scale = solve_sums(shared, target_entropy, max_repeat, budget)
+    weight = F.when(F.col("share") > 0, F.exp(F.log("share") * exponent) / powers).otherwise(F.lit(0.0))
+    reads = F.when(F.col("share") > 0, F.rint(weight / F.col("share") * scale * F.col("epoch"))).otherwise(F.lit(0.0)).cast("bigint")
+    blocks = F.floor(F.sqrt((F.col("n") - 1).cast("double"))).cast("bigint") + 1
+    return checkpointed(shared.select(F.col("source").cast("string").alias("of"), F.col("epoch").alias("epoch_tokens"), reads.alias("budget_tokens"), weight.alias("weight"), F.lit(float(exponent)).alias("exponent"), blocks.alias("blocks")))
+
+
 def copies(docs: DataFrame, target_entropy: float | None = None, max_repeat: float | None = None, budget: float | None = None, seed: int = SEED, text: str = "text", source: str = "source", tokens=default_tokens) -> DataFrame:
     """(doc_id, source, h, tokens, copies, start, epoch_tokens, budget_tokens, weight, exponent) for each distinct (doc_id, source, text).
 
@@ -85,17 +144,8 @@ def copies(docs: DataFrame, target_entropy: float | None = None, max_repeat: flo
     """
     rows = docs.select("doc_id", F.col(source).alias("source"), F.xxhash64(whole(text)).alias("h"), tokens(whole(text)).alias("t"))
     rows = checkpointed(rows.groupBy("doc_id", "source", "h").agg(F.max("t").alias("tokens"), F.sum("t").alias("cost")))
-    per = rows.groupBy("source").agg(F.sum("cost").alias("epoch"), F.count(F.lit(1)).alias("n")).orderBy("source").limit(SOURCES + 1).collect()
-    if len(per) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    total = sum(r["epoch"] for r in per)
-    shares = [r["epoch"] / total if total else 0.0 for r in per]
-    exponent = solve(shares, target_entropy, max_repeat, None if budget is None else budget)
-    weights = weights_at(shares, exponent)
-    often = repeats(shares, weights, budget)
-    plan = [(r["source"], r["epoch"], int(round(o * r["epoch"])), w, float(exponent), math.isqrt(r["n"] - 1) + 1) for r, o, w in zip(per, often, weights, strict=True)]
-    spec = docs.sparkSession.createDataFrame(plan, "of string, epoch_tokens bigint, budget_tokens bigint, weight double, exponent double, blocks bigint")
-    spec = F.broadcast(spec)  # at most SOURCES rows
+    per = checkpointed(rows.groupBy("source").agg(F.sum("cost").alias("epoch"), F.count(F.lit(1)).alias("n")))
+    spec = source_plan(per, target_entropy, max_repeat, budget)
     key = F.xxhash64(F.lit(seed), "doc_id", "h")
     placed = rows.withColumn("order", key).join(spec, F.col("source").cast("string").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "h"), "blocks"))
     sums = checkpointed(placed.groupBy("of", "block").agg(F.sum("cost").alias("sum")))

@@ -645,6 +645,16 @@ def test_mixture_by_hand(spark, texts):
     assert places == sorted(places)
 
 
+@pytest.mark.parametrize("goal", [{"max_repeat": 1.5}, {"max_repeat": 3.0, "budget": 2.0}, {"target_entropy": 4.0}])
+def test_mixing_of_many_sources(spark, monkeypatch, texts, goal):
+    df, _ = texts
+    df = df.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("source")))
+    key = lambda r: (r.doc_id, str(r.source), r["copy"], r.position, round(r.weight, 9), round(r.exponent, 6))
+    few = sorted(map(key, mixing.mixed_rows(df, **goal).collect()))
+    monkeypatch.setattr(mixing, "SOURCES", 3)
+    assert sorted(map(key, mixing.mixed_rows(df, **goal).collect())) == few
+
+
 def test_mixing_odd_rows(spark):
     rows = docs(spark, ODD).withColumn("source", F.when(F.col("doc_id") > 3, "b"))
     mixed = mixing.mix(rows, max_repeat=3.0)
