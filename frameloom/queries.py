@@ -687,6 +687,13 @@ def files_jsonl(spark, d):
     return through_files(spark, lambda f: readers.write_jsonl(rows, f), lambda f: readers.read_jsonl(spark, f, "k string, q bigint, flag string"))
 
 
+@query("SELECT event_type, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std FROM (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY ALL) GROUP BY event_type")
+def files_report(spark, d):
+    told = S.rollup(read(spark, d, "events"), ["user_id"], ["event_type"], "value")
+    back = through_files(spark, lambda f: files.write_report(told, f), lambda f: readers.read_jsonl(spark, f, "event_type string, mean double, std double"))
+    return back.select("event_type", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
 @query("""WITH k AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, user_id * 7919 % 65536 AS token FROM events)
 SELECT 'tokens_' || lpad(CAST(pos // 1000 AS VARCHAR), 5, '0') || '.bin' AS filename, count(*) AS n, md5(string_agg(CAST(token AS VARCHAR), ',' ORDER BY pos)) AS digest FROM k GROUP BY ALL""")
 def files_token_words(spark, d):

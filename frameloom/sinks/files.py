@@ -322,6 +322,11 @@ def write_token_words(tokens: DataFrame, folder: str, per_file: int = 1 << 24, s
     return len(committed(folder, job, ordered.mapInArrow(run, "filename string, attempt string"), "attempt", "filename"))
 
 
+def write_report(rows: DataFrame, path: str) -> None:
+    """The few rows of a report as one file of JSON lines."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(filename, size, sha256) of files, on any store."""
     files = spark.read.format("binaryFile").load(path)
