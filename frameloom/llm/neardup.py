@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from frameloom.llm._common import broadcast_if_few, checkpointed, fresh, table
 from frameloom.workers import ship
@@ -27,8 +27,9 @@ from frameloom.workers import ship
 MINIMA, ROWS, BITS, SEED = 128, 4, 4, 20240613
 #: A pair whose estimate lies this far below the threshold is dropped: six standard errors of 128 minima at 0.85, 5.4 at 0.8.
 SLACK = 0.2
-#: Counters of the table that orders shingles by frequency: 2 MB, whatever the input. Their number changes the cost, not the result.
-COUNTERS = 1 << 18
+#: Counters of the table that finds very frequent shingles: 2 MB, whatever the input. Shingles that may occur more often than EXACT
+#: times, beside what a counter has by chance, are ordered by their counters, the others by how often they occur.
+COUNTERS, EXACT = 1 << 18, 1000
 #: Sizes of sets are classed by steps of about one in CLASSES.
 CLASSES = 50
 #: Hashes of words that a Python worker keeps, some tens of MB; then the memory is emptied.
@@ -200,39 +201,44 @@ def shingle_counts(texts: DataFrame, words: int, counters: int = COUNTERS) -> np
     return out
 
 
-def prefix_pairs(texts: DataFrame, counts: np.ndarray, words: int, hundredths: int) -> DataFrame:
+def prefix_pairs(texts: DataFrame, counts: np.ndarray, words: int, hundredths: int, exact: int = EXACT) -> DataFrame:
     """Pairs (a, b) of texts (id, set_a, root, asked, text) of different roots, one of them asked, whose sets may reach the threshold.
 
     All that reach it are among them. With t the threshold, sets of n <= m items must share o = t (n + m) / (1 + t) at least, so
     n >= t m, and in a common order of all items the first one that they share stands at places (from 0) with o items from there
     to either end. Each set offers the items that can be such a first one: as the smaller set of a pair under its own size class,
-    as the larger under the classes of the sizes that its place leaves possible. The order is rarest first by `counts`; items
-    whose counter says that no other set has them are left out.
+    as the larger under the classes of the sizes that its place leaves possible. The order is rarest first: items that no other
+    set has come first and are not offered. How often an item occurs is counted, in groups that the counters bound; where they
+    do not, the counter itself, which is never less, takes its place.
     """
     t, size = hundredths, len(counts)
-
-    def offered(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows, items, ns, places = [], [], [], []
-        for row, h in _sets(batch, words):
-            x = h.view(np.int64)
-            often = counts[x % size]
-            n = len(x)
-            first = np.lexsort((x, often))[: n + (-t * n // 100) + 1]
-            at = np.flatnonzero(often[first] > 1)
-            rows.append(np.full(len(at), row))
-            items.append(x[first[at]])
-            ns.append(np.full(len(at), n))
-            places.append(at)
-        if rows:
-            taken = batch.select(["id", "root", "asked"]).take(pa.array(np.concatenate(rows)))
-            yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(np.concatenate(c).astype(np.int64)) for c in (items, ns, places))], names=["id", "root", "asked", "item", "n", "at"])
+    bound = exact + 4 * -(-int(counts.sum()) // size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                yield from offered(batch.slice(lo, 256))
-
-    offers = checkpointed(texts.mapInArrow(run, "id bigint, root bigint, asked boolean, item bigint, n bigint, at bigint"))
+                part = batch.slice(lo, 256)
+                rows, ns, items, often = [], [], [], []
+                for row, h in _sets(part, words):
+                    x = h.view(np.int64)
+                    c = counts[x % size]
+                    rows.append(row)
+                    ns.append(len(x))
+                    items.append(x[c > 1])
+                    often.append(np.where(c > bound, c, 0)[c > 1])
+                taken = part.select(["id", "set_a", "root", "asked"]).take(pa.array(rows, pa.int64()))
+                lists = (pa.array(c, pa.list_(pa.int64())) for c in (items, often))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(ns, pa.int64()), *lists], names=["id", "set_a", "root", "asked", "n", "item", "often"])
+
+    made = texts.mapInArrow(run, "id bigint, set_a bigint, root bigint, asked boolean, n bigint, item array<bigint>, often array<bigint>")
+    rows = made.select("id", "set_a", "root", "asked", "n", F.inline(F.arrays_zip("item", "often")))
+    same = F.when(F.col("often") == 0, F.col("item")).otherwise(F.xxhash64("item", "id", "set_a"))  # rows of very frequent items stay apart
+    counted = rows.withColumn("often", F.when(F.col("often") > 0, F.col("often")).otherwise(F.count(F.lit(1)).over(Window.partitionBy(same))))
+    shared = counted.where("often > 1").groupBy("id", "set_a", "root", "asked", "n").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("shared"))
+    before = F.col("n") - F.size("shared")
+    first = F.slice("shared", F.lit(1), F.greatest(F.col("n") - F.ceil(t * F.col("n") / 100) + 1 - before, F.lit(0)).cast("int"))
+    offers = shared.select("id", "root", "asked", "n", before.alias("before"), F.posexplode(first).alias("i", "x"))
+    offers = checkpointed(offers.select("id", "root", "asked", "n", F.col("x.item").alias("item"), (F.col("before") + F.col("i")).alias("at")))
     step = lambda n: F.floor(F.log(n) * CLASSES).cast("int")
     left = F.col("n") - F.col("at")  # items from there to the end
     small = offers.where((100 + t) * left >= 2 * t * F.col("n")).withColumn("class", step(F.col("n")))

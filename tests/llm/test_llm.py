@@ -131,8 +131,8 @@ def test_prefix_pairs_lose_none(spark, hundredths):
     set_a = {i: np.uint64(neardup.set_ids(neardup.shingle_hashes(t, 1))[0]).view(np.int64).item() for i, _, _, t in rows}
     told = [(i, set_a[i], *rest) for i, *rest in rows] + [(3, set_a[3], 9, True, "another text of a repeated id")]
     members = spark.createDataFrame(told, "id long, set_a long, root long, asked boolean, text string")
-    for counters in (1, 1 << 18):
-        got = {(r.a, r.b) for r in neardup.prefix_pairs(members, neardup.shingle_counts(members, 1, counters), 1, hundredths).collect()}
+    for counters, exact in ((1, 1000), (1 << 18, 1000), (64, -(10**6)), (1 << 18, 3)):
+        got = {(r.a, r.b) for r in neardup.prefix_pairs(members, neardup.shingle_counts(members, 1, counters), 1, hundredths, exact).collect()}
         for i, x in enumerate(sets):
             for j, y in enumerate(sets[:i]):
                 both = len(np.intersect1d(x, y))
@@ -141,6 +141,17 @@ def test_prefix_pairs_lose_none(spark, hundredths):
         assert all(rows[a][1] != rows[b][1] and (rows[a][2] or rows[b][2]) for a, b in got)
 
 
+def test_prefix_pairs_of_a_group_are_few(spark):
+    rng = np.random.default_rng(1)
+    base, rows = rng.integers(0, 10**9, 100).tolist(), []
+    for i in range(300):  # each has a tenth of its own: alike, and below the threshold
+        t = " ".join(map(str, base[10:] + rng.integers(0, 10**9, 10).tolist()))
+        rows.append((i, np.uint64(neardup.set_ids(neardup.shingle_hashes(t, 1))[0]).view(np.int64).item(), i, True, t))
+    members = spark.createDataFrame(rows, "id long, set_a long, root long, asked boolean, text string")
+    for counters in (16, 1 << 18):
+        assert neardup.prefix_pairs(members, neardup.shingle_counts(members, 1, counters), 1, 85).count() == 0
+
+
 def test_signature_estimates(spark):
     rng = np.random.default_rng(1)
     a, b = neardup._family(neardup.MINIMA, neardup.SEED)
