@@ -6,6 +6,7 @@ the same number and over the ranges' sums, so no task ever sees all documents, w
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from frameloom.functions import frames as X
@@ -13,8 +14,8 @@ from frameloom.lineage import checkpointed
 
 #: Ranges into which documents are dealt at most; more rows make ranges longer, not more of them.
 RANGES = 1000
-#: Rows of a range at least, about, where there are fewer ranges.
-BUCKET = 4096
+#: Rows of a range at least, about, where there are fewer ranges, and offsets that the driver walks through at most.
+BUCKET, HELD = 4096, 1_000_000
 
 
 def range_bounds(df: DataFrame, value: Column, bucket: int = BUCKET, ranges: int = RANGES) -> list:
@@ -45,13 +46,16 @@ def running_offset(docs: DataFrame, order: str, size: Column, name: str = "offse
     return told.withColumn(name, F.col("_ahead") + F.col("_near")).drop("_size", "_bucket", "_of", "_ahead", "_near")
 
 
-def corpus_tokens(docs: DataFrame, order: str, tokens: Column, end: int, budget: int | None = None) -> DataFrame:
+def corpus_tokens(docs: DataFrame, order: str, tokens: Column, end: int, budget: int | None = None, size: Column | None = None) -> DataFrame:
     """(offset, tokens) of each document, followed by the end token, in a common stream; a null text is its end token alone.
 
-    With a budget the stream ends after so many tokens.
+    With a budget the stream ends after so many tokens. size is the number of a document's tokens, where it can be had without them.
     """
-    told = docs.select(order, F.concat(F.coalesce(tokens, F.array().cast("array<bigint>")), F.array(F.lit(end).cast("bigint"))).alias("tokens"))
-    told = running_offset(told, order, F.size("tokens")).select("offset", "tokens")
+    made = F.concat(F.coalesce(tokens, F.array().cast("array<bigint>")), F.array(F.lit(end).cast("bigint")))
+    if size is None:
+        told = running_offset(docs.select(order, made.alias("tokens")), order, F.size("tokens")).select("offset", "tokens")
+    else:
+        told = running_offset(docs, order, F.coalesce(size, F.lit(0)) + 1).select("offset", made.alias("tokens"))
     if budget is None:
         return told
     return told.where(F.col("offset") < budget).select("offset", F.slice("tokens", F.lit(1), F.least(F.size("tokens"), F.lit(budget) - F.col("offset")).cast("int")).alias("tokens"))
@@ -80,16 +84,20 @@ def block_sample(made: DataFrame, most: int, seed: int) -> DataFrame:
     return made.orderBy(drawn, "block").limit(most).orderBy("block")
 
 
-def buffers(docs: DataFrame, order: str, size: Column, budget: int, name: str = "buffer") -> DataFrame:
-    """docs with the number of the buffer that they fall in, and the buffer's first offset as <name>_start.
+def buffer_starts(starts: DataFrame, budget: int) -> DataFrame:
+    """(v): of the distinct offsets v those where a buffer begins: the first, and after one at p the first from p + budget on.
 
-    A buffer takes whole documents, in order, until their sizes reach the budget; the next document begins another. Where one
-    begins follows from the offsets alone: the buffer after one that starts at p starts at the first offset from p + budget on.
-    These steps are doubled round by round, and each round adds the starts that twice as many steps reach, so the rounds grow
-    with the logarithm of the buffers' number.
+    Up to HELD offsets are walked through on the driver. More are looked up by ranges, and steps are doubled round by round, each
+    round adding the starts that twice as many steps reach, so the rounds grow with the logarithm of the buffers' number.
     """
-    told = checkpointed(running_offset(docs, order, size, "_offset"))
-    starts = told.select(F.col("_offset").alias("v")).distinct()
+    starts = checkpointed(starts)
+    n = starts.count()
+    if n <= HELD:
+        offsets, out, at = np.sort(starts.toPandas()["v"].to_numpy(np.int64)), [], 0
+        while at < n:
+            out.append((int(offsets[at]),))
+            at = int(np.searchsorted(offsets, offsets[at] + budget))
+        return starts.sparkSession.createDataFrame(out, "v bigint")
     bounds = range_bounds(starts, F.col("v"))
     events = starts.select("v", F.col("v").alias("start"), F.lit(None).cast("bigint").alias("p")).unionByName(starts.select((F.col("v") + budget).alias("v"), F.lit(None).cast("bigint").alias("start"), F.col("v").alias("p")))
     events = events.withColumn("r", range_of(F.col("v"), bounds))
@@ -102,6 +110,17 @@ def buffers(docs: DataFrame, order: str, size: Column, budget: int, name: str =
         reached = checkpointed(reached.unionByName(reached.join(jump, F.col("v") == F.col("p")).select(F.col("next").alias("v"))).distinct())
         on = jump.select(F.col("p").alias("q"), F.col("next").alias("far"))
         jump = checkpointed(jump.join(on, F.col("next") == F.col("q")).select("p", F.col("far").alias("next")))
+    return reached
+
+
+def buffers(docs: DataFrame, order: str, size: Column, budget: int, name: str = "buffer") -> DataFrame:
+    """docs with the number of the buffer that they fall in, and the buffer's first offset as <name>_start.
+
+    A buffer takes whole documents, in order, until their sizes reach the budget; the next document begins another. Where one
+    begins follows from the offsets alone: the buffer after one that starts at p starts at the first offset from p + budget on.
+    """
+    told = checkpointed(running_offset(docs, order, size, "_offset"))
+    reached = buffer_starts(told.select(F.col("_offset").alias("v")).distinct(), budget)
     bounds = range_bounds(told, F.col("_offset"))
     marked = told.withColumn("_range", range_of(F.col("_offset"), bounds))
     begun = checkpointed(reached.withColumn("_range", range_of(F.col("v"), bounds)))

@@ -40,7 +40,7 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def joined(c):
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return F.array_join((F.col(c) if isinstance(c, str) else c).cast("array<string>"), ",")
 
 
 def r6(c):
@@ -531,7 +531,7 @@ p AS (SELECT CAST(coalesce(o, 0) + i AS BIGINT) AS pos, token FROM t JOIN o USIN
 
 
 def corpus(spark, d):
-    return C.corpus_tokens(read(spark, d, "documents"), "doc_id", X.points_of(F.col("text")), 0)
+    return C.corpus_tokens(read(spark, d, "documents"), "doc_id", X.points_of(F.col("text")), 0, size=F.length("text"))
 
 
 @query(f"WITH {TOK}, b AS (SELECT pos // 129 AS block, list(token ORDER BY pos) AS t FROM p GROUP BY 1) SELECT block, md5(array_to_string(t[1:128], ',')) AS input, md5(array_to_string(t[2:129], ',')) AS target FROM b WHERE len(t) = 129")
@@ -566,7 +566,7 @@ f AS (SELECT doc_id, i, n AS held, 0::BIGINT AS {name} FROM d WHERE i = 1
 
 @query(f"WITH RECURSIVE {filled_sql('length(text)', 20000, 'buffer')} SELECT doc_id, buffer FROM f")
 def char_budget_pack(spark, d):
-    return C.buffers(read(spark, d, "documents"), "doc_id", F.length("text"), 20000).select("doc_id", "buffer")
+    return C.buffers(read(spark, d, "documents").select("doc_id", F.length("text").alias("n")), "doc_id", F.col("n"), 20000).select("doc_id", "buffer")
 
 
 @query(f"""WITH RECURSIVE {filled_sql('length(text)', 20000, 'buffer')},
@@ -581,7 +581,7 @@ def stream_pack(spark, d):
 
 @query(f"WITH RECURSIVE {filled_sql('length(text) + 1', 50000, 'shard')} SELECT doc_id, shard FROM f")
 def token_shards(spark, d):
-    return C.token_shards(read(spark, d, "documents"), "doc_id", F.length("text") + 1, 50000).select("doc_id", "shard")
+    return C.token_shards(read(spark, d, "documents").select("doc_id", F.length("text").alias("n")), "doc_id", F.col("n") + 1, 50000).select("doc_id", "shard")
 
 
 def predicted(spark, d):
