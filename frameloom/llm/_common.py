@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from frameloom.workers import ship
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder; only a local session without one gets a temporary folder."""
@@ -26,6 +28,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of texts that go to a Python worker at a time, whatever their length: what bounds its memory, and Spark's beside it.
+BATCH_BYTES = 8 << 20
+
+
+def python_ready(spark: SparkSession) -> None:
+    """Workers find this package, and batches for them are small; a session that wants smaller ones yet keeps its setting."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

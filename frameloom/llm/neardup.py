@@ -21,8 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from frameloom.llm._common import broadcast_if_few, checkpointed, fresh, table
-from frameloom.workers import ship
+from frameloom.llm._common import broadcast_if_few, checkpointed, fresh, python_ready, table
 
 MINIMA, ROWS, BITS, SEED = 128, 4, 4, 20240613
 #: A pair whose estimate lies this far below the threshold is dropped: six standard errors of 128 minima at 0.85, 5.4 at 0.8.
@@ -92,7 +91,7 @@ SIGNATURES = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, band
 
 def signatures(docs: DataFrame, words: int, text: str = "text", seed: int = SEED) -> DataFrame:
     """Rows of SIGNATURES, in one pass over the texts; set_a and set_b identify the whole set."""
-    ship(docs.sparkSession)
+    python_ready(docs.sparkSession)
     a, b = _family(MINIMA, seed)
     mix, _ = _family(MINIMA, seed + 1)
     per_word = 64 // BITS

@@ -20,8 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from frameloom.llm._common import checkpointed, table
-from frameloom.workers import ship
+from frameloom.llm._common import checkpointed, python_ready, table
 
 CAPACITY, SMALLEST, END_ID = 2048, 32, 1
 #: Tokens' ids are kept for so many strings between blanks in each Python worker; then the memory is emptied.
@@ -125,7 +124,7 @@ def cuts(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[tup
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, smallest: int = SMALLEST, end_id: int = END_ID, text: str = "text") -> DataFrame:
     """Rows of PIECES: where each document is cut, and a checksum of the ids of each piece. Texts become ids once."""
-    ship(docs.sparkSession)
+    python_ready(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     end = end_id.to_bytes(4, "little")
 

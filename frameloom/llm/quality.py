@@ -16,8 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frameloom.llm._common import checkpointed, fresh, table
-from frameloom.workers import ship
+from frameloom.llm._common import checkpointed, fresh, python_ready, table
 
 #: Documents whose posteriors train the scorer at most, of each vote pattern at most, and hashed features.
 SAMPLE, PER_PATTERN, FEATURES = 6000, 400, 4096
@@ -173,7 +172,7 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, per_pattern
     The sample has the smallest hashes of each pattern's distinct texts, so copies and the order of rows do not matter, and a
     pattern with few texts has them all in it.
     """
-    ship(docs.sparkSession)
+    python_ready(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.shiftrightunsigned(F.xxhash64(body), 1).alias("h"), body.alias("t"))
 
@@ -218,7 +217,7 @@ def score_documents(docs: DataFrame, model: QualityModel | None = None, text: st
     empty table gives no rows.
     """
     model = model or train(docs, text)
-    ship(docs.sparkSession)
+    python_ready(docs.sparkSession)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +233,7 @@ def score_documents(docs: DataFrame, model: QualityModel | None = None, text: st
 def keep_good(docs: DataFrame, model: QualityModel | None = None, text: str = "text", cut: float = CUT) -> DataFrame:
     """docs without the rows that the scorer rejects, with docs' columns, whatever their types."""
     model = model or train(docs, text)
-    ship(docs.sparkSession)
+    python_ready(docs.sparkSession)
     kept, = fresh(docs, "kept")
 
     @F.pandas_udf("boolean")

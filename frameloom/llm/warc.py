@@ -16,8 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from frameloom.llm._common import broadcast_if_few, checkpointed, ensure_checkpoint_dir, remove, table, whole
-from frameloom.workers import ship
+from frameloom.llm._common import broadcast_if_few, checkpointed, ensure_checkpoint_dir, python_ready, remove, table, whole
 
 #: Characters of payload in a segment at most.
 SEGMENT = 1 << 16
@@ -128,7 +127,7 @@ def payload_digests(records: DataFrame) -> DataFrame:
     Payloads of one segment are hashed where they are read. Segments of longer ones meet in order in one task, which carries
     the digest on and never holds more than a batch of segments.
     """
-    ship(records.sparkSession)
+    python_ready(records.sparkSession)
     alone = records.where("record_type = 'response' and not segmented").select("page_id", F.sha1("payload").alias("sha1"), F.col("length").alias("payload_bytes"))
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
