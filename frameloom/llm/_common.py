@@ -2,30 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from frameloom.lineage import FEW, broadcast_if_few, checkpointed, shared_folder as ensure_checkpoint_dir
 from frameloom.workers import ship
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only a local session without one gets a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="frameloom-checkpoint-")
-    sc.setCheckpointDir(folder)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df once into the shared checkpoint folder and go on from there (survives lost executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["FEW", "broadcast_if_few", "checkpointed", "ensure_checkpoint_dir"]
 
 
 #: Bytes of texts that go to a Python worker at a time, whatever their length: what bounds its memory, and Spark's beside it.
@@ -68,15 +50,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: Rows of a few short columns that a broadcast may hold: some tens of MB.
-FEW = 200_000
-
-
-def broadcast_if_few(df: DataFrame, rows: int = FEW) -> DataFrame:
-    """df, which must be materialised and narrow, marked for a broadcast where its counted rows are few; else it is shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder on any store that Spark knows."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
