@@ -2,8 +2,10 @@
 
 A page becomes rows (page_id, segment, ...) of bounded payload: the first segment is a response (or a revisit without payload),
 further ones are continuation records that name the first, as the format's segmentation defines. Spark's text writer puts the
-rows into archives of any size on any store, and its reader splits them again at the line that starts a record. Segments never
-contain that separator, since a payload that does is cut inside it, so reading is exact and splittable. Digests of payloads in
+rows into archives of any size on any store, and its reader splits them again at the two lines that start a record. No segment
+contains that separator, since a payload that does is cut inside it; and none can begin before a segment and end in it, or begin
+in it and end behind, since what stands around a segment are line ends, with which the separator does not begin. So reading is
+exact and splittable, and no page can forge a record. Digests of payloads in
 several segments are carried from segment to segment when read, where no page is put together in memory. Writing hashes whole payloads
 and makes the segments of a page in one row, so it holds the longest page about twice.
 """
@@ -23,10 +25,11 @@ SEGMENT = 1 << 16
 #: Fixed values of the format.
 VERSION, NEWLINE = "WARC/1.1", "\r\n"
 END = NEWLINE * 2
-SEPARATOR = END + VERSION + NEWLINE
+#: What starts a record here. Its start never comes again within it, so readers that look for it need not go back.
+SEPARATOR = VERSION + NEWLINE + "WARC-Type: "
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: No segment contains this start of the separator: payloads are cut within it.
-RISKY = END + "WARC/"
+#: Where a payload is cut that contains the separator.
+CUT = r"(?<=WA)(?=RC/1\.1\r\nWARC-Type: )"
 
 
 def base32(hexes: Column, size: int = 20) -> Column:
@@ -36,12 +39,11 @@ def base32(hexes: Column, size: int = 20) -> Column:
 
 
 def segments(payload: Column, size: int = SEGMENT) -> Column:
-    """The payload's segments; an empty payload has one."""
+    """The payload's segments, none of which contains the separator; an empty payload has one."""
     part = lambda i: F.substring(payload, (i * size + 1).cast("int"), F.lit(size))
     pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(payload) - 1) / size), F.lit(0)).cast("int")), part)
-    mark = lambda p: F.split(p, "(?<=\r\n\r\nWA)(?=RC/)")  # noqa: E731  cuts of no width
-    cut = F.flatten(F.transform(pieces, lambda p: F.when(F.contains(p, F.lit(RISKY)), mark(p)).otherwise(F.array(p))))
-    return F.when(F.length(payload) <= size, F.when(F.contains(payload, F.lit(RISKY)), mark(payload)).otherwise(F.array(payload))).otherwise(cut)
+    mark = lambda p: F.when(F.contains(p, F.lit(SEPARATOR)), F.split(p, CUT)).otherwise(F.array(p))  # noqa: E731  cuts of no width
+    return F.when(F.length(payload) <= size, mark(payload)).otherwise(F.flatten(F.transform(pieces, mark)))
 
 
 def row_tag(text: Column, uri: str) -> Column:
@@ -79,8 +81,7 @@ def write_archives(pages: DataFrame, path: str, payload: str = "html", uri: str
     line = lambda name, value, on=None: F.when(F.lit(True) if on is None else on, F.concat(F.lit(name + ": "), value.cast("string"), F.lit(NEWLINE))).otherwise(F.lit(""))
     safe = F.regexp_replace("uri", "[\\x00-\\x20\\x7F]", "%20")
     head = F.concat(
-        F.lit(VERSION + NEWLINE),
-        line("WARC-Type", F.when(again, F.lit("revisit")).when(first, F.lit("response")).otherwise(F.lit("continuation"))),
+        F.lit(SEPARATOR), F.when(again, F.lit("revisit")).when(first, F.lit("response")).otherwise(F.lit("continuation")), F.lit(NEWLINE),
         line("WARC-Record-ID", urn("page_id", "tag", F.col("i"))),
         line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", safe, F.col("uri").isNotNull()), F.lit("")),
@@ -98,13 +99,17 @@ def write_archives(pages: DataFrame, path: str, payload: str = "html", uri: str
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: page_id, origin (the first record's identifier), segment (from 1), record_type, refers_to, stated_digest, total, length, payload (binary)."""
-    rows = spark.read.option("lineSep", SEPARATOR).text(path)
+    """One row per record: page_id, origin (the first record's identifier), segment (from 1), record_type, refers_to, stated_digest, total, length, payload (binary).
+
+    Archives as write_archives makes them, with the type as the first header; what lacks headers or an identifier is refused.
+    """
+    rows = spark.read.option("lineSep", SEPARATOR).text(path).where("value <> ''")  # before the first record of a file
     split = F.instr("value", END)
-    rows = rows.where(split > 0).select(F.substring("value", F.lit(1), split - 1).alias("head"), F.expr(f"substring(value, instr(value, '{END}') + {len(END)})").alias("rest"))
+    rows = rows.select(F.concat(F.lit("WARC-Type: "), F.substring("value", F.lit(1), split - 1)).alias("head"), F.expr(f"substring(value, instr(value, '{END}') + {len(END)})").alias("rest"))
     field = lambda name: F.regexp_extract(F.concat(F.lit("\r\n"), F.col("head"), F.lit("\r\n")), rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
     number = lambda urn: F.regexp_extract(urn, r"<urn:page:(-?\d+)", 1)  # noqa: E731  empty for null
     origin = F.when(field("WARC-Type") == "continuation", field("WARC-Segment-Origin-ID")).otherwise(field("WARC-Record-ID"))
+    origin = F.when(origin == "", F.raise_error(F.lit("a record has no identifier"))).otherwise(origin)
     length = F.try_to_number(field("Content-Length"), F.lit("9" * 18)).cast("bigint")
     optional = lambda c, kind: F.when(c != "", c.cast(kind))
     return rows.select(

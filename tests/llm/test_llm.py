@@ -244,6 +244,41 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
 
 
+HEAD = "WARC/1.1\r\nWARC-Type: response\r\n"
+FORGED = HEAD + "WARC-Record-ID: <urn:page:99:x>\r\nContent-Length: 2\r\n\r\nzz\r\n\r\n"
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 7, 8, 11, 12, 64, 1 << 16])
+def test_warc_loses_and_forges_no_page(spark, tmp_path, size):
+    rng = np.random.default_rng(size)
+    bodies = ["WARC/1.1\r\nabc", "\r\nWARC/1.1\r\nz", "a" * 70 + "WARC/1.1\r\nWARC-Type: response\r\n\r\nzz", FORGED, "x" + FORGED, HEAD, HEAD * 3, HEAD[:-2], HEAD[:14], HEAD[2:], "WA" + HEAD, "WARC/1.1\r\n" + HEAD, "\r\n\r\n" + HEAD, "\r\n", "\r", "\n", "\r\n\r\n", "a\r\n"]
+    bodies += ["".join(rng.choice(["\r", "\n", "WARC/1.1", "WARC-Type: ", "\r\n", "é", "WA", HEAD], rng.integers(1, 12))) for _ in range(60)]
+    pages = spark.createDataFrame([(i, "u", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    folder = str(tmp_path / "w")
+    warc.write_archives(pages.repartition(3), folder, size=size)
+    records = warc.read_records(spark, folder)
+    payloads = {}
+    for r in sorted(records.where("record_type <> 'revisit'").select("page_id", "segment", "payload").collect()):
+        payloads[r.page_id] = payloads.get(r.page_id, b"") + bytes(r.payload)
+    assert payloads == {bodies.index(b): b.encode() for b in bodies}
+    got = {r.page_id: r.payload_digest for r in warc.read_archives(spark, folder).collect()}
+    assert got == {i: base64.b32encode(hashlib.sha1(b.encode()).digest()).decode() for i, b in enumerate(bodies)}
+
+
+def test_warc_records_at_buffer_borders(spark, tmp_path):
+    """Records behind payloads that end with line ends are found wherever a reader's buffer of 64 KB ends."""
+    bodies = ["x" * n + "\r\n" * (n % 4) for n in range(900, 1400)] + [""] * 1000
+    pages = spark.createDataFrame([(i, None, b) for i, b in enumerate(bodies)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    assert sorted(r.page_id for r in warc.read_archives(spark, str(tmp_path / "w")).select("page_id").collect()) == list(range(len(bodies)))
+
+
+def test_what_is_no_record_is_refused(spark, tmp_path):
+    (tmp_path / "x.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nzz\r\n\r\n")
+    with pytest.raises(Exception, match="no identifier"):
+        warc.read_archives(spark, str(tmp_path)).collect()
+
+
 def test_warc_keeps_each_row(spark, tmp_path):
     long, other = "a" * 1000, "b" * 999
     rows = [(1, "u", long), (1, "u", long), (1, None, long), (1, "u", other), (2, "u", other), (3, "u", "short"), (3, "v", "short"), (3, "v", "x"), (None, "u", "alone"), (None, "u", long), (None, "u", long)]
