@@ -2,8 +2,8 @@
 
 A Misra-Gries sketch (Spark's frequent-items aggregate, which merges partial sketches) names digests that may be frequent;
 one map-side combined count verifies them. The verified ones, at most TRACKED rows of fixed width, are broadcast, so rows of
-hot groups meet their winner without a shuffle; all other digests are shuffled in the ordinary way, in groups that the
-sketch's guarantee keeps small.
+hot groups meet their winner without a shuffle; all other digests are shuffled in the ordinary way, their groups summed on the
+map side first and joined back.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ def split_groups(digests: DataFrame, least: int = 64) -> tuple[DataFrame, DataFr
     materialised: it is read three times."""
     heavy = heavy_digests(digests, least=least)
     hot = digests.join(F.broadcast(heavy), "digest").select("doc_id", "digest", "keep_id", "group_size")
-    group = Window.partitionBy("digest")
-    rest = digests.join(F.broadcast(heavy), "digest", "left_anti").select("doc_id", "digest", F.max("doc_id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size"))
+    others = digests.join(F.broadcast(heavy), "digest", "left_anti")
+    groups = others.groupBy(F.col("digest").alias("of")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    rest = others.join(groups, F.col("digest") == F.col("of")).select("doc_id", "digest", "keep_id", "group_size")
     return heavy, hot, rest
 
 
