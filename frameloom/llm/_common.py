@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from frameloom.lineage import FEW, broadcast_if_few, checkpointed, shared_folder as ensure_checkpoint_dir
@@ -50,6 +53,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+@contextmanager
+def own_checkpoints(spark: SparkSession) -> Iterator[None]:
+    """What is checkpointed within goes at the end: only for work whose result is written elsewhere by then."""
+    sc, shared = spark.sparkContext, ensure_checkpoint_dir(spark)
+    sc.setCheckpointDir(f"{shared}/stage")
+    try:
+        yield
+    finally:
+        own = sc.getCheckpointDir()
+        sc.setCheckpointDir(shared)
+        remove(spark, own)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder on any store that Spark knows."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,15 +1,16 @@
 """Near duplicates by b-bit MinHash.
 
 Each document becomes 128 minima of its shingles' hashes. Bands of four whole minima give bucket keys; of each minimum only
-the low four bits are kept and packed, eight 64-bit words for a document. Buckets link their members to two pivots; what the
-packed signatures say about a pair (share of equal low bits, corrected for chance collisions) drops pairs that are far below
-the threshold; the others are confirmed on their full sets. Members of one component need no further comparison, so a large
-group of copies costs a few pairs for each member.
+the low four bits are kept and packed, eight 64-bit words for a document. Buckets link their members to two pivots, the smallest
+id and the member that is nearest to most; what the packed signatures say about a pair (share of equal low bits, corrected for
+chance collisions) drops pairs that are far below the threshold; the others are confirmed on their full sets. Members of one
+component need no further comparison, so a large group of copies costs a few pairs for each member.
 
 Buckets whose members still lie in different components are open. Their members meet once more in an exact join on prefixes of
 their sets: shingles are ordered by how often open members have them, and two sets that reach the threshold share one of their
 first few shingles, at places and sizes that leave room for the overlap. What members of a group have in common stands behind
-what each has of its own, so a large group makes few rows, linked or not; no bucket has a cap and no link is lost.
+what each has of its own, and a histogram of what a set shares bounds the overlap of each pair before it becomes a row, so a
+large group makes few rows, linked or not; no bucket has a cap and no link is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from frameloom.llm._common import broadcast_if_few, checkpointed, fresh, python_ready, table
 
@@ -31,6 +32,10 @@ SLACK = 0.2
 COUNTERS, EXACT = 1 << 18, 1000
 #: Sizes of sets are classed by steps of about one in CLASSES.
 CLASSES = 50
+#: Words of a set's histogram, of eight counts each.
+HISTOGRAM = 8
+#: Pairs of one set that a task confirms at most, about.
+PER_SET = 4096
 #: Hashes of words that a Python worker keeps, some tens of MB; then the memory is emptied.
 REMEMBERED = 150_000
 _MASK = (1 << 64) - 1
@@ -171,15 +176,19 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return checkpointed(texts.mapInArrow(run, "id bigint, items array<bigint>"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
-    """Of pairs (a, b) of ids those whose full sets reach the threshold.
+def confirmed(pairs: DataFrame, sets: DataFrame, hundredths: int, per_set: int = PER_SET) -> DataFrame:
+    """Of pairs (a, b) of ids, materialised, those whose full sets reach the threshold.
 
-    b's set travels to a's, so the set of a pivot, which has many pairs, is not copied into a shuffle.
+    b's set travels to a's, so the set of a pivot, which has many pairs, is not copied into a shuffle for each of them; it is
+    copied for every per_set pairs that it has, which spreads them over tasks.
     """
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
+    many = checkpointed(pairs.groupBy(F.col("a").alias("of")).agg(F.ceil(F.count(F.lit(1)) / per_set).cast("int").alias("parts")).where("parts > 1"))
+    spread = lambda df: df.join(broadcast_if_few(many), F.col("a") == F.col("of"), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop("of")
+    left = spread(sets.select(F.col("id").alias("a"), F.col("items").alias("x"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    dealt = spread(pairs).withColumn("salt", F.pmod(F.xxhash64("b"), "parts").cast("int")).drop("parts")
     both = F.size(F.array_intersect("x", "y")).cast("bigint")
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    joined = dealt.join(right, "b").join(left, ["a", "salt"]).select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
     return checkpointed(joined.where(F.col("both") * 100 >= hundredths * (F.col("sum") - F.col("both"))).select("a", "b"))
 
 
@@ -200,6 +209,29 @@ def shingle_counts(texts: DataFrame, words: int, counters: int = COUNTERS) -> np
     return out
 
 
+def _field(hist: str, i: int) -> str:
+    """The i-th count of a histogram, in SQL."""
+    return f"(shiftrightunsigned({hist}[{i // 8}], {8 * (i % 8)}) & 255)"
+
+
+#: The sum of the smaller counts of two histograms, in SQL.
+_SMALLER = " + ".join(f"least({_field('s.hist', i)}, {_field('l.hist', i)})" for i in range(8 * HISTOGRAM))
+
+
+def histogram(shared: Column) -> Column:
+    """How many items of (often, item) fall in each class of their low bits, a byte for each; null where a count does not fit."""
+
+    def word(w: int) -> Column:
+        mine = lambda x: F.pmod(x["item"], F.lit(8 * HISTOGRAM)).between(8 * w, 8 * w + 7)
+        one = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.pmod(x["item"], F.lit(8)) * 8).cast("int"))
+        return F.aggregate(shared, F.lit(0).cast("bigint"), lambda a, x: a + F.when(mine(x), one(x)).otherwise(F.lit(0).cast("bigint")))
+
+    # A count beyond a byte runs over into the next, so that the counts no longer sum up to the items.
+    count = lambda h: sum((F.shiftrightunsigned(h[i // 8], 8 * (i % 8)).bitwiseAND(F.lit(255)) for i in range(8 * HISTOGRAM)), F.lit(0))
+    made = F.array(*[word(w) for w in range(HISTOGRAM)])
+    return F.when(F.size(shared) <= 100 * 8 * HISTOGRAM, F.try_element_at(F.filter(F.array(made), lambda h: count(h) == F.size(shared)), F.lit(1)))
+
+
 def prefix_pairs(texts: DataFrame, counts: np.ndarray, words: int, hundredths: int, exact: int = EXACT) -> DataFrame:
     """Pairs (a, b) of texts (id, set_a, root, asked, text) of different roots, one of them asked, whose sets may reach the threshold.
 
@@ -207,12 +239,20 @@ def prefix_pairs(texts: DataFrame, counts: np.ndarray, words: int, hundredths: i
     n >= t m, and in a common order of all items the first one that they share stands at places (from 0) with o items from there
     to either end. Each set offers the items that can be such a first one: as the smaller set of a pair under its own size class,
     as the larger under the classes of the sizes that its place leaves possible. The order is rarest first: items that no other
-    set has come first and are not offered. How often an item occurs is counted, in groups that the counters bound; where they
-    do not, the counter itself, which is never less, takes its place.
+    set has come first and are not offered. How often an item occurs is counted where its counter is small; elsewhere the counter
+    itself, which is never less, takes its place. Of the items that a set has in common with any other, each set also offers how
+    many fall in each of 64 classes: the sum of the smaller counts of a pair is never less than what it shares.
     """
     t, size = hundredths, len(counts)
     bound = exact + 4 * -(-int(counts.sum()) // size)
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                x = np.concatenate([np.empty(0, np.int64), *(h.view(np.int64) for _, h in _sets(batch.slice(lo, 256), words))])
+                c = counts[x % size]
+                yield pa.RecordBatch.from_arrays([pa.array(x[(c > 1) & (c <= bound)])], names=["of"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -231,13 +271,16 @@ def prefix_pairs(texts: DataFrame, counts: np.ndarray, words: int, hundredths: i
 
     made = texts.mapInArrow(run, "id bigint, set_a bigint, root bigint, asked boolean, n bigint, item array<bigint>, often array<bigint>")
     rows = made.select("id", "set_a", "root", "asked", "n", F.inline(F.arrays_zip("item", "often")))
-    same = F.when(F.col("often") == 0, F.col("item")).otherwise(F.xxhash64("item", "id", "set_a"))  # rows of very frequent items stay apart
-    counted = rows.withColumn("often", F.when(F.col("often") > 0, F.col("often")).otherwise(F.count(F.lit(1)).over(Window.partitionBy(same))))
+    some = texts.mapInArrow(found, "of bigint").groupBy("of").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    key = F.when(F.col("often") == 0, F.col("item")).otherwise(F.xxhash64("item", "id", "set_a"))  # rows of very frequent items stay apart
+    counted = rows.withColumn("key", key).join(some, (F.col("key") == F.col("of")) & (F.col("often") == 0), "left")
+    counted = counted.withColumn("often", F.when(F.col("often") > 0, F.col("often")).otherwise(F.coalesce("times", F.lit(1))))
     shared = counted.where("often > 1").groupBy("id", "set_a", "root", "asked", "n").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("shared"))
     before = F.col("n") - F.size("shared")
+    shared = shared.withColumn("hist", histogram(F.col("shared")))
     first = F.slice("shared", F.lit(1), F.greatest(F.col("n") - F.ceil(t * F.col("n") / 100) + 1 - before, F.lit(0)).cast("int"))
-    offers = shared.select("id", "root", "asked", "n", before.alias("before"), F.posexplode(first).alias("i", "x"))
-    offers = checkpointed(offers.select("id", "root", "asked", "n", F.col("x.item").alias("item"), (F.col("before") + F.col("i")).alias("at")))
+    offers = shared.select("id", "root", "asked", "n", before.alias("before"), "hist", F.posexplode(first).alias("i", "x"))
+    offers = checkpointed(offers.select("id", "root", "asked", "n", "hist", F.col("x.item").alias("item"), (F.col("before") + F.col("i")).alias("at")))
     step = lambda n: F.floor(F.log(n) * CLASSES).cast("int")
     left = F.col("n") - F.col("at")  # items from there to the end
     small = offers.where((100 + t) * left >= 2 * t * F.col("n")).withColumn("class", step(F.col("n")))
@@ -245,7 +288,8 @@ def prefix_pairs(texts: DataFrame, counts: np.ndarray, words: int, hundredths: i
     large = offers.withColumn("class", F.explode(F.sequence(step(least), step(most))))
     met = F.expr(
         "s.item = l.item and s.class = l.class and s.root <> l.root and (s.asked or l.asked) and (s.n < l.n or s.n = l.n and s.id < l.id) "
-        f"and 100 * s.n >= {t} * l.n and {100 + t} * (s.n - s.at) >= {t} * (s.n + l.n) and {100 + t} * (l.n - l.at) >= {t} * (s.n + l.n)"
+        f"and 100 * s.n >= {t} * l.n and {100 + t} * (s.n - s.at) >= {t} * (s.n + l.n) and {100 + t} * (l.n - l.at) >= {t} * (s.n + l.n) "
+        f"and (s.hist is null or l.hist is null or {100 + t} * ({_SMALLER}) >= {t} * (s.n + l.n))"
     )
     return checkpointed(small.alias("s").join(large.alias("l"), met).select(F.least("s.id", "l.id").alias("a"), F.greatest("s.id", "l.id").alias("b")).distinct())
 
@@ -274,6 +318,19 @@ def components(links: DataFrame) -> DataFrame:
     return checkpointed(edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots))
 
 
+def bucket_pivots(rows: DataFrame) -> DataFrame:
+    """(key, pivots): of each bucket (key, id) with several members the smallest id, and the member that is nearest to most.
+
+    A member that changed little has its minima in common with many others, so the sum of its buckets' sizes tells how many it is
+    likely to be linked with; the largest sum makes a pivot.
+    """
+    sizes = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("p")).where("n > 1"))
+    near = rows.join(sizes.where("n > 2").select("key", "n"), "key")  # two members are linked by the first of them
+    mass = checkpointed(near.groupBy("id").agg(F.sum("n").alias("mass")))
+    hubs = near.join(broadcast_if_few(mass), "id").groupBy("key").agg(F.max_by("id", F.struct("mass", F.xxhash64("id"))).alias("q"))
+    return checkpointed(sizes.join(hubs, "key", "left").select("key", F.array_distinct(F.array("p", F.coalesce("q", "p"))).alias("pivots")))
+
+
 def near_groups(docs: DataFrame, words: int = 5, hundredths: int = 80, text: str = "text", seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -288,8 +345,7 @@ def near_groups(docs: DataFrame, words: int = 5, hundredths: int = 80, text: str
     classes = checkpointed(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
     reps = checkpointed(some.dropDuplicates(["doc_id", "set_a", "set_b"]).join(classes.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["doc_id", "set_a", "set_b"], "left_semi").select(F.col("doc_id").alias("id"), "set_a", "bands", "packed"))
     rows = reps.select("id", F.explode("bands").alias("key"))
-    least = rows.groupBy("key").agg(F.min("id").alias("p"), F.min_by("id", F.xxhash64("id")).alias("q"), F.count(F.lit(1)).alias("n"))
-    pivots = checkpointed(least.where("n > 1").select("key", F.array_distinct(F.array("p", "q")).alias("pivots")))
+    pivots = bucket_pivots(rows)
     met = rows.join(pivots, "key").select("id", F.explode("pivots").alias("pivot")).where("id <> pivot")
     stars = met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     likely = _likely(stars, reps, hundredths)

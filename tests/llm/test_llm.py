@@ -173,6 +173,62 @@ def test_components(spark):
     assert neardup.components(links.limit(0)).count() == 0
 
 
+def loose(members, words, rate, seed=3):
+    """A group of copies of one text, each word of each copy changed with a chance of `rate`: few pairs are as near as 0.8."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(words)]
+    return [(m, " ".join(f"m{m}x{i}" if c else w for i, (w, c) in enumerate(zip(base, rng.random(words) < rate)))) for m in range(members)]
+
+
+@pytest.mark.parametrize("rate", [0.03, 0.04])
+def test_loose_groups_make_fewer_pairs_than_they_have_members(spark, rate):
+    made = {}
+    for n in (100, 200, 400):
+        rows = loose(n, 400, rate)
+        members = spark.createDataFrame([(i, np.uint64(neardup.set_ids(neardup.shingle_hashes(t, 5))[0]).view(np.int64).item(), i, True, t) for i, t in rows], "id long, set_a long, root long, asked boolean, text string")
+        made[n] = neardup.prefix_pairs(members, neardup.shingle_counts(members, 5), 5, 80).count()
+    assert all(made[n] <= n / 2 for n in made), made  # of n * (n - 1) / 2
+
+
+def test_links_of_a_group_with_near_and_far_members(spark):
+    rows = loose(120, 150, 0.02) + [(1000 + i, t) for i, t in loose(60, 150, 0.05, 3)]
+    sets = {i: set(neardup.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    got = {r.doc_id: r.component_id for r in neardup.near_groups(docs(spark, rows), 5, 80).collect()}
+    assert got == {i: find(i) for i in sets} and 1 < len(set(got.values())) < 100
+
+
+def test_confirmed_spreads_a_set_with_many_pairs(spark):
+    sets = spark.createDataFrame([(i, list(range(10)) + [100 + i // 50]) for i in range(100)], "id long, items array<long>")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 100)] + [(1, 99)], "a long, b long")
+    got = {tuple(r) for r in neardup.confirmed(pairs, sets, 90, per_set=7).collect()}
+    assert got == {(0, i) for i in range(1, 50)}
+
+
+def test_histograms_never_lose_a_count(spark):
+    rng = np.random.default_rng(2)
+    cases = [[], rng.integers(-(2**63), 2**63, 300).tolist(), [64 * i + 5 for i in range(255)], [64 * i + 5 for i in range(256)], [64 * i + 7 for i in range(-300, 300)], list(range(7000))]
+    df = spark.createDataFrame([(i, [(1, x) for x in c]) for i, c in enumerate(cases)], "i int, shared array<struct<often: bigint, item: bigint>>")
+    rows = {r.i: r.hist for r in df.select("i", neardup.histogram(F.col("shared")).alias("hist")).collect()}
+    for i, c in enumerate(cases):
+        want = np.bincount(np.array(c, np.int64) % 64, minlength=64)
+        if len(c) > 6400 or want.max() > 255:
+            assert rows[i] is None
+        else:
+            assert np.array(rows[i], np.int64).view(np.uint8).tolist() == want.tolist()
+
+
 # ---- 7 -----------------------------------------------------------------------------------------------------------------------
 def test_packing_is_exact(spark, texts):
     from tokenizers import Tokenizer
