@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm._common import ensure_checkpoint_dir, remove
+from frameloom.llm._common import ensure_checkpoint_dir, own_checkpoints, remove
 from frameloom.llm.exact import drop_exact
 from frameloom.llm.mixing import REPEAT, mix
 from frameloom.llm.neardup import drop_near
@@ -52,13 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; the last stage's table. What a stage has read goes once its own result is written."""
+    """All stages over the documents of sf_dir; the last stage's table. What a stage has read, and what it has checkpointed, goes
+    once its own result is written."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{spark.sql('select uuid()').first()[0]}"
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
+        with own_checkpoints(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         if before:
             remove(spark, before)
         before = f"{folder}/{name}"
