@@ -32,8 +32,8 @@ SLACK = 0.2
 COUNTERS, EXACT = 1 << 18, 1000
 #: Sizes of sets are classed by steps of about one in CLASSES.
 CLASSES = 50
-#: Words of a set's histogram, of eight counts each.
-HISTOGRAM = 8
+#: Classes of a set's histogram, counts in a 64-bit word (the eighth byte stays free, so that no sum leaves the word), and items at most.
+HISTOGRAM, PER_WORD, COUNTED = 63, 7, 6400
 #: Pairs of one set that a task confirms at most, about.
 PER_SET = 4096
 #: Hashes of words that a Python worker keeps, some tens of MB; then the memory is emptied.
@@ -211,25 +211,28 @@ def shingle_counts(texts: DataFrame, words: int, counters: int = COUNTERS) -> np
 
 def _field(hist: str, i: int) -> str:
     """The i-th count of a histogram, in SQL."""
-    return f"(shiftrightunsigned({hist}[{i // 8}], {8 * (i % 8)}) & 255)"
+    return f"(shiftrightunsigned({hist}[{i // PER_WORD}], {8 * (i % PER_WORD)}) & 255)"
 
 
 #: The sum of the smaller counts of two histograms, in SQL.
-_SMALLER = " + ".join(f"least({_field('s.hist', i)}, {_field('l.hist', i)})" for i in range(8 * HISTOGRAM))
+_SMALLER = " + ".join(f"least({_field('s.hist', i)}, {_field('l.hist', i)})" for i in range(HISTOGRAM))
 
 
 def histogram(shared: Column) -> Column:
-    """How many items of (often, item) fall in each class of their low bits, a byte for each; null where a count does not fit."""
+    """How many items of (often, item) fall in each class of their remainders, a byte for each; null where a count does not fit."""
 
     def word(w: int) -> Column:
-        mine = lambda x: F.pmod(x["item"], F.lit(8 * HISTOGRAM)).between(8 * w, 8 * w + 7)
-        one = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.pmod(x["item"], F.lit(8)) * 8).cast("int"))
-        return F.aggregate(shared, F.lit(0).cast("bigint"), lambda a, x: a + F.when(mine(x), one(x)).otherwise(F.lit(0).cast("bigint")))
+        def add(total: Column, x: Column) -> Column:
+            i = F.pmod(x["item"], F.lit(HISTOGRAM))
+            one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (i % PER_WORD * 8).cast("int"))
+            return total + F.when(F.floor(i / PER_WORD) == w, one).otherwise(F.lit(0).cast("bigint"))
+
+        return F.aggregate(shared, F.lit(0).cast("bigint"), add)
 
     # A count beyond a byte runs over into the next, so that the counts no longer sum up to the items.
-    count = lambda h: sum((F.shiftrightunsigned(h[i // 8], 8 * (i % 8)).bitwiseAND(F.lit(255)) for i in range(8 * HISTOGRAM)), F.lit(0))
-    made = F.array(*[word(w) for w in range(HISTOGRAM)])
-    return F.when(F.size(shared) <= 100 * 8 * HISTOGRAM, F.try_element_at(F.filter(F.array(made), lambda h: count(h) == F.size(shared)), F.lit(1)))
+    count = lambda h: sum((F.shiftrightunsigned(h[i // PER_WORD], 8 * (i % PER_WORD)).bitwiseAND(F.lit(255)) for i in range(HISTOGRAM)), F.lit(0))
+    made = F.array(F.array(*[word(w) for w in range(HISTOGRAM // PER_WORD)]))
+    return F.when(F.size(shared) <= COUNTED, F.try_element_at(F.filter(made, lambda h: count(h) == F.size(shared)), F.lit(1)))
 
 
 def prefix_pairs(texts: DataFrame, counts: np.ndarray, words: int, hundredths: int, exact: int = EXACT) -> DataFrame:
@@ -241,7 +244,7 @@ def prefix_pairs(texts: DataFrame, counts: np.ndarray, words: int, hundredths: i
     as the larger under the classes of the sizes that its place leaves possible. The order is rarest first: items that no other
     set has come first and are not offered. How often an item occurs is counted where its counter is small; elsewhere the counter
     itself, which is never less, takes its place. Of the items that a set has in common with any other, each set also offers how
-    many fall in each of 64 classes: the sum of the smaller counts of a pair is never less than what it shares.
+    many fall in each of some classes: the sum of the smaller counts of a pair is never less than what it shares.
     """
     t, size = hundredths, len(counts)
     bound = exact + 4 * -(-int(counts.sum()) // size)

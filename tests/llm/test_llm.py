@@ -218,15 +218,15 @@ def test_confirmed_spreads_a_set_with_many_pairs(spark):
 
 def test_histograms_never_lose_a_count(spark):
     rng = np.random.default_rng(2)
-    cases = [[], rng.integers(-(2**63), 2**63, 300).tolist(), [64 * i + 5 for i in range(255)], [64 * i + 5 for i in range(256)], [64 * i + 7 for i in range(-300, 300)], list(range(7000))]
+    cases = [[], rng.integers(-(2**63), 2**63, 300).tolist(), [63 * i + 5 for i in range(255)], [63 * i + 5 for i in range(256)], [63 * i + 6 for i in range(-300, 300)], [63 * i + 62 for i in range(-200, 55)], [63 * i for i in range(6400)], list(range(7000))]
     df = spark.createDataFrame([(i, [(1, x) for x in c]) for i, c in enumerate(cases)], "i int, shared array<struct<often: bigint, item: bigint>>")
     rows = {r.i: r.hist for r in df.select("i", neardup.histogram(F.col("shared")).alias("hist")).collect()}
     for i, c in enumerate(cases):
-        want = np.bincount(np.array(c, np.int64) % 64, minlength=64)
+        want = np.bincount(np.array(c, np.int64) % 63, minlength=63)
         if len(c) > 6400 or want.max() > 255:
             assert rows[i] is None
         else:
-            assert np.array(rows[i], np.int64).view(np.uint8).tolist() == want.tolist()
+            assert np.array(rows[i], np.int64).view(np.uint8).reshape(-1, 8)[:, :7].reshape(-1).tolist() == want.tolist()
 
 
 # ---- 7 -----------------------------------------------------------------------------------------------------------------------
