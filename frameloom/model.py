@@ -26,11 +26,6 @@ def sample_window(order: str = ORDER):
     return Window.partitionBy(*KEY).orderBy(order)
 
 
-def renumbered(frames: DataFrame) -> DataFrame:
-    """pos counted from 0 again, after rows went."""
-    return frames.withColumn("pos", F.row_number().over(sample_window()) - F.lit(1).cast("bigint"))
-
-
 def as_frames(df: DataFrame, sample: str | Column, order: list[str | Column], state: Column, task: str = "table", label: Column | None = None) -> DataFrame:
     """Rows of any table as frames: sample names the sample, order its total order, state its cells."""
     key = F.col(sample) if isinstance(sample, str) else sample

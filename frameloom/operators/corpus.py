@@ -6,22 +6,31 @@ the same number and over the ranges' sums, so no task ever sees all documents, w
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from frameloom.functions import frames as X
-from frameloom.lineage import checkpointed
+from frameloom.functions.permute import permuted
+from frameloom.lineage import broadcast_if_few, checkpointed
+
+#: Rows of a range at least, about. Ranges grow with the square root of the rows, as many as there are rows in one: 10**10
+#: rows are 10**5 ranges of 10**5 rows, so neither a task that sees a range nor the one that sees all ranges' sums is a bottleneck.
+BUCKET = 4096
+#: Offsets that the driver walks through at most.
+HELD = 1_000_000
 
-#: Ranges into which documents are dealt at most; more rows make ranges longer, not more of them.
-RANGES = 1000
-#: Rows of a range at least, about, where there are fewer ranges, and offsets that the driver walks through at most.
-BUCKET, HELD = 4096, 1_000_000
 
+def range_count(rows: int, bucket: int = BUCKET) -> int:
+    """Into how many ranges so many rows are cut."""
+    return -(-rows // max(bucket, isqrt(rows)))
 
-def range_bounds(df: DataFrame, value: Column, bucket: int = BUCKET, ranges: int = RANGES) -> list:
-    """Rising values that cut df's rows into ranges of about the same number of rows; at most `ranges` of them."""
+
+def range_bounds(df: DataFrame, value: Column, bucket: int = BUCKET) -> list:
+    """Rising values that cut df's rows into range_count ranges of about the same number of rows."""
     n = df.count()
-    parts = min(ranges, -(-n // bucket))
+    parts = range_count(n, bucket)
     if parts < 2:
         return []
     found = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"]
@@ -41,7 +50,7 @@ def running_offset(docs: DataFrame, order: str, size: Column, name: str = "offse
     told = docs.withColumn("_size", F.coalesce(size.cast("bigint"), F.lit(0).cast("bigint"))).withColumn("_bucket", range_of(F.col(order), range_bounds(docs, F.col(order), bucket)))
     sums = told.groupBy("_bucket").agg(F.sum("_size").alias("_sum"))
     ahead = lambda c, by: F.coalesce(F.sum(c).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    over = sums.select(F.col("_bucket").alias("_of"), ahead("_sum", Window.orderBy("_bucket")).alias("_ahead"))  # at most RANGES rows
+    over = sums.select(F.col("_bucket").alias("_of"), ahead("_sum", Window.orderBy("_bucket")).alias("_ahead"))  # a row for each range
     told = told.withColumn("_near", ahead("_size", Window.partitionBy("_bucket").orderBy(order))).join(F.broadcast(over), F.col("_bucket") == F.col("_of"))
     return told.withColumn(name, F.col("_ahead") + F.col("_near")).drop("_size", "_bucket", "_of", "_ahead", "_near")
 
@@ -84,6 +93,40 @@ def block_sample(made: DataFrame, most: int, seed: int) -> DataFrame:
     return made.orderBy(drawn, "block").limit(most).orderBy("block")
 
 
+def drawn_blocks(docs: DataFrame, order: str, tokens: Column, size: Column, end: int, block: int, most: int, seed: int) -> DataFrame:
+    """(block, tokens): `most` full blocks of the corpus's stream drawn without replacement, or all where there are no more.
+
+    size is the number of a document's tokens without the end token that follows it. Block numbers are drawn first, by a keyed
+    permutation of all blocks' numbers; then only documents that touch a drawn block are turned into tokens, and only their parts
+    within drawn blocks are moved. Offsets come from sizes, so nothing else of the other documents is read but their sizes.
+    """
+    spark = docs.sparkSession
+    told = checkpointed(running_offset(docs.select(order, (F.coalesce(size, F.lit(0)) + 1).cast("bigint").alias("_n")), order, F.col("_n"), "_offset"))
+    total = told.agg(F.max(F.col("_offset") + F.col("_n"))).first()[0] or 0
+    blocks_ = total // block
+    if not blocks_:
+        return spark.createDataFrame([], "block bigint, tokens array<bigint>")
+    draw = permuted(F.col("id"), F.lit(blocks_).cast("bigint"), F.lit(f"{seed}:blocks"))
+    drawn = checkpointed(spark.range(min(most, blocks_)).select(draw.alias("block")))
+    first, last = F.floor(F.col("_offset") / block), F.floor((F.col("_offset") + F.col("_n") - 1) / block)
+    if min(most, blocks_) <= HELD:
+        held = drawn.agg(F.array_sort(F.collect_list("block")).alias("_drawn"))  # one row of HELD numbers at most
+        upto = lambda x: X.count_at_most(F.col("_drawn"), x)
+        within = F.slice("_drawn", upto(first - 1) + 1, upto(last) - upto(first - 1))
+        met = told.crossJoin(F.broadcast(held)).select(order, "_offset", within.alias("_met")).where(F.size("_met") > 0)
+        met = met.select(order, "_offset", F.explode("_met").alias("block"))
+    else:
+        met = told.select(order, "_offset", F.explode(F.sequence(first, last)).alias("block")).join(drawn, "block")
+    touched = checkpointed(met.groupBy(F.col(order).alias("_order")).agg(F.first("_offset").alias("_offset"), F.collect_list("block").alias("_met")))
+    made = F.concat(F.coalesce(tokens, F.array().cast("array<bigint>")), F.array(F.lit(end).cast("bigint")))
+    read = docs.join(broadcast_if_few(touched), F.col(order).eqNullSafe(F.col("_order"))).select("_offset", "_met", made.alias("_tokens"))
+    begin = lambda b: F.greatest(b * block - F.col("_offset"), F.lit(0))
+    upto = lambda b: F.least((b + 1) * block - F.col("_offset"), F.size("_tokens").cast("bigint"))
+    cut = F.transform("_met", lambda b: F.struct(b.alias("block"), (F.col("_offset") + begin(b)).alias("pos"), F.slice(F.col("_tokens"), (begin(b) + 1).cast("int"), (upto(b) - begin(b)).cast("int")).alias("part")))
+    parts = read.select(F.inline(cut))
+    return parts.groupBy("block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"])).alias("tokens"))
+
+
 def buffer_starts(starts: DataFrame, budget: int) -> DataFrame:
     """(v): of the distinct offsets v those where a buffer begins: the first, and after one at p the first from p + budget on.
 
@@ -101,7 +144,7 @@ def buffer_starts(starts: DataFrame, budget: int) -> DataFrame:
     bounds = range_bounds(starts, F.col("v"))
     events = starts.select("v", F.col("v").alias("start"), F.lit(None).cast("bigint").alias("p")).unionByName(starts.select((F.col("v") + budget).alias("v"), F.lit(None).cast("bigint").alias("start"), F.col("v").alias("p")))
     events = events.withColumn("r", range_of(F.col("v"), bounds))
-    firsts = events.groupBy("r").agg(F.min("start").alias("least")).withColumn("later", F.min("least").over(Window.orderBy("r").rowsBetween(1, Window.unboundedFollowing)))  # at most RANGES rows
+    firsts = events.groupBy("r").agg(F.min("start").alias("least")).withColumn("later", F.min("least").over(Window.orderBy("r").rowsBetween(1, Window.unboundedFollowing)))  # a row for each range
     here = F.min("start").over(Window.partitionBy("r").orderBy("v").rangeBetween(Window.currentRow, Window.unboundedFollowing))
     jump = events.withColumn("here", here).join(F.broadcast(firsts.select(F.col("r").alias("of"), "later")), F.col("r") == F.col("of")).where("p is not null")
     jump = checkpointed(jump.select("p", F.coalesce("here", "later").alias("next")).where("next is not null"))
@@ -127,7 +170,7 @@ def buffers(docs: DataFrame, order: str, size: Column, budget: int, name: str =
     counts = begun.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("last"))
     grid = told.sparkSession.range(len(bounds) + 1).withColumnRenamed("id", "_of").join(counts, F.col("_of") == F.col("_range"), "left")
     ahead = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = grid.select("_of", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_before"), F.max("last").over(ahead).alias("_last"))  # at most RANGES rows
+    earlier = grid.select("_of", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_before"), F.max("last").over(ahead).alias("_last"))  # a row for each range
     both = marked.withColumn("_mark", F.lit(None).cast("bigint")).unionByName(begun.select(F.col("v").alias("_offset"), "_range", F.col("v").alias("_mark")), allowMissingColumns=True)
     near = Window.partitionBy("_range").orderBy("_offset").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     placed = both.withColumn("_near", F.count("_mark").over(near)).withColumn("_start", F.max("_mark").over(near)).where("_mark is null")
@@ -150,33 +193,59 @@ def stream_blocks(docs: DataFrame, order: str, text: str, tokens: Column, end: i
     return blocks(told, size, within=("buffer",))
 
 
-def few_shot(items: DataFrame, pool: DataFrame, key: str, shots: int, seed: int, buckets: int = 64) -> DataFrame:
-    """Each item with its `shots` prompts of a pool, itself left out; fewer only where the pool has no more others.
+def dense_positions(rows: DataFrame, key: str, by: tuple[str, ...] = (), name: str = "position", bucket: int = BUCKET) -> DataFrame:
+    """rows numbered from 0 without gaps by a whole-numbered key, within each group of `by`; null keys come first.
 
-    The pool's rows, in the order of a seeded hash, form rings by another one. An item takes the first others of its ring, and
-    goes on to the rings after it, in a circle, as far as shots + 1 rows need it to: so no item meets the whole pool, and every row
-    of the pool is in some ring. Null keys meet none but are kept.
+    Counts are taken by ranges of the key and summed over the ranges, so no task sees a whole group.
+    """
+    ranged = rows.withColumn("_range", range_of(F.col(key), range_bounds(rows, F.col(key), bucket)))
+    counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    names = [f"_by{i}" for i in range(len(by))]
+    starts = checkpointed(counts.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("_range").alias("_of"), ahead.alias("_ahead")))  # a row for each range of each group
+    met = F.col("_range") == F.col("_of")
+    for c, n in zip(by, names, strict=True):
+        met = met & F.col(c).eqNullSafe(F.col(n))
+    near = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(key)) - 1
+    return ranged.withColumn("_near", near).join(broadcast_if_few(starts), met).withColumn(name, F.col("_ahead") + F.col("_near")).drop("_range", "_of", "_ahead", "_near", *names)
+
+
+def few_shot(items: DataFrame, pool: DataFrame, key: str, shots: int | tuple[int, int], seed: int, subset: str | None = None, fixed: DataFrame | None = None) -> DataFrame:
+    """(key, shots): each item with prompts of a pool (key, prompt), drawn for it alone without replacement, itself left out.
+
+    The pool's rows have dense positions, and an item's k-th draw is where the permutation that the seed and its key name takes k:
+    every row of the pool is as likely as any other, and an item meets the rows that it draws and no more. Keys are whole
+    numbers; those of the pool are distinct. shots is a number, or the least and the most of a number drawn for each item; fewer
+    come only where the pool has no more others. With `subset` an item draws from its subset's rows alone, and where `fixed`
+    (subset, prompts) has that subset, it takes all of these prompts and draws none. A null key or subset draws nothing but is kept.
     """
-    draw = lambda c, salt: F.md5(F.concat_ws(":", F.lit(f"{seed}{salt}"), c.cast("string")))
-    ring = lambda c: F.conv(F.substring(draw(c, "r"), 1, 8), 16, 10).cast("bigint") % buckets
-    rows = pool.where(F.col(key).isNotNull()).select(F.col(key).alias("shot"), F.col("prompt"), draw(F.col(key), "o").alias("o"), ring(F.col(key)).alias("ring"))
-    rank = F.row_number().over(Window.partitionBy("ring").orderBy("o", "shot"))
-    heads = rows.withColumn("n", rank).where(F.col("n") <= shots + 1)  # no item can use more of a ring
-    counts = heads.groupBy("ring").agg(F.count(F.lit(1)).alias("size")).orderBy("ring").collect()  # a row for each ring
-    plan, held = [], {r["ring"]: r["size"] for r in counts}
-    for start in range(buckets):
-        got = 0
-        for step in range(buckets):
-            if got > shots:
-                break
-            if (start + step) % buckets in held:
-                plan.append((start, (start + step) % buckets, step))
-                got += held[(start + step) % buckets]
-    plan = items.sparkSession.createDataFrame(plan, "start bigint, ring bigint, step int")
-    offered = heads.join(F.broadcast(plan), "ring").groupBy("start").agg(F.slice(F.array_sort(F.collect_list(F.struct("step", "o", "shot", "prompt"))), 1, shots + 1).alias("offered"))
-    met = items.withColumn("_ring", ring(F.col(key))).join(F.broadcast(offered), F.col("_ring") == F.col("start"), "left")  # buckets x (shots + 1) prompts
-    others = F.filter(F.coalesce("offered", F.array()), lambda s: s["shot"] != F.col(key))
-    return met.select(key, F.transform(F.slice(others, 1, shots), lambda s: s["prompt"]).alias("shots"))
+    low, high = (shots, shots) if isinstance(shots, int) else shots
+    if not 0 <= low <= high:
+        raise ValueError(f"shots must rise from 0 on, not {shots}")
+    group = F.coalesce(F.col(subset).cast("string"), F.lit("")) if subset else F.lit("")
+    known = F.col(key).isNotNull() & (F.col(subset).isNotNull() if subset else F.lit(True))
+    rows = checkpointed(dense_positions(pool.where(known).select(group.alias("_group"), F.col(key).alias("_shot"), "prompt"), "_shot", ("_group",), "_at"))
+    sizes = broadcast_if_few(checkpointed(rows.groupBy(F.col("_group").alias("_g")).agg(F.count(F.lit(1)).alias("_size"))))
+    asked = items.where(known).select(F.col(key).alias("_key"), group.alias("_group")).distinct()
+    if fixed is not None:
+        given = checkpointed(fixed.select(F.col(subset).cast("string").alias("_subset"), F.col("prompts")))
+        asked = asked.join(broadcast_if_few(given.select("_subset")), F.col("_group") == F.col("_subset"), "left_anti")
+    name = F.concat_ws(":", F.lit(str(seed)), F.col("_key").cast("string"))
+    wanted = F.lit(low) + F.conv(F.substring(F.md5(F.concat_ws(":", name, F.lit("shots"))), 1, 15), 16, 10).cast("bigint") % (high - low + 1)
+    asked = asked.join(sizes, F.col("_group") == F.col("_g")).select("_key", "_group", "_size", wanted.cast("int").alias("_wanted"))
+    ks = F.sequence(F.lit(0).cast("bigint"), F.least(F.col("_wanted").cast("bigint"), F.col("_size") - 1))
+    drawn = asked.select("_key", "_group", "_wanted", "_size", F.explode(ks).alias("_k"))  # one draw more than wanted: it may be the item itself
+    drawn = drawn.select("_key", "_group", "_wanted", "_k", permuted(F.col("_k"), F.col("_size"), name).alias("_draw"))
+    met = drawn.join(rows.select(F.col("_group").alias("_g"), "_at", "_shot", "prompt"), (F.col("_group") == F.col("_g")) & (F.col("_draw") == F.col("_at")))
+    others = F.array_sort(F.collect_list(F.struct("_k", "prompt")))
+    taken = met.where("_shot <> _key").groupBy("_key").agg(others.alias("_others"), F.first("_wanted").alias("_wanted"))
+    taken = taken.select("_key", F.transform(F.slice("_others", F.lit(1), F.col("_wanted")), lambda x: x["prompt"]).alias("_drawn"))
+    out = items.join(taken, F.when(known, F.col(key)) == F.col("_key"), "left")
+    none = F.array().cast("array<string>")
+    if fixed is None:
+        return out.select(key, *([subset] if subset else []), F.coalesce("_drawn", none).alias("shots"))
+    out = out.join(broadcast_if_few(given), F.col(subset).cast("string") == F.col("_subset"), "left")
+    return out.select(key, subset, F.coalesce(F.when(F.col(key).isNotNull(), F.col("prompts")), "_drawn", none).alias("shots"))
 
 
 def masked_prompts(items: DataFrame, key: str, context: Column, question: Column, answer: Column, end: int, size: int, pad: int = 0, masked: int = -100) -> DataFrame:
@@ -210,9 +279,29 @@ def sized(rows: DataFrame, group: str, least: int = 0, most: int | None = None,
     return kept.withColumn("_k", F.row_number().over(drawn)).where(F.col("_k") <= most).drop("_k")
 
 
+def drawn_order(seed: int, *key: str) -> list[Column]:
+    """What rows are ordered by: a digest of the seed and their key, then the key."""
+    return [F.md5(F.concat_ws(":", F.lit(str(seed)), *key)), *map(F.col, key)]
+
+
 def shuffled(rows: DataFrame, seed: int, *key: str) -> DataFrame:
     """rows in an order that a seed and their key settle."""
-    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *key)), *key)
+    return rows.orderBy(*drawn_order(seed, *key))
+
+
+def shuffled_places(rows: DataFrame, seed: int, *key: str, name: str = "place", bucket: int = BUCKET) -> DataFrame:
+    """rows with the place, from 1, that each has in the order of `shuffled`.
+
+    The digest's first bits deal rows into ranges of about the same size; places are numbered within a range and follow on from
+    range to range.
+    """
+    order = drawn_order(seed, *key)
+    parts = range_count(rows.count(), bucket)
+    dealt = rows.withColumn("_range", F.floor(F.conv(F.substring(order[0], 1, 8), 16, 10).cast("bigint") * parts / F.lit(1 << 32)).cast("int"))
+    counts = dealt.groupBy(F.col("_range").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_of", F.coalesce(F.sum("_n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))  # a row for each range
+    near = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_near", near).join(F.broadcast(starts), F.col("_range") == F.col("_of")).withColumn(name, F.col("_ahead") + F.col("_near")).drop("_range", "_of", "_ahead", "_near")
 
 
 def hash_split(df: DataFrame, key: str, parts: dict[str, int]) -> DataFrame:

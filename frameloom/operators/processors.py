@@ -1,6 +1,7 @@
 """Processors: (frames, config) -> frames, each sample in the order of pos.
 
 Stateful ones are window functions over one partitioning, so a chain of them costs one exchange. Arrays are never exploded.
+With per_range in their config samples may be endless: they are split by ranges of pos, whatever their number (see ranged).
 """
 
 from __future__ import annotations
@@ -8,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from frameloom.errors import InvalidParams, PipelineError
 from frameloom.functions import frames as X
-from frameloom.model import KEY, kind_of, renumbered, sample_window
+from frameloom.model import KEY, kind_of
+from frameloom.operators import ranged
 from frameloom.registry import Registry
 
 Processor = Callable[[DataFrame, dict], DataFrame]
@@ -46,8 +48,7 @@ def normalizer(frames: DataFrame, config: dict) -> DataFrame:
     if low is not None and high is not None:
         lo, hi = F.lit(float(low)), F.lit(float(high if high != low else low + 1))
         return frames.withColumn("state", F.transform("state", lambda v: X.scaled(v, lo, hi, most, method)))
-    sample = Window.partitionBy(*KEY)
-    bounded = frames.withColumn("_low", F.min(F.array_min("state")).over(sample)).withColumn("_most", F.max(F.array_max("state")).over(sample))
+    bounded = ranged.with_bounds(frames, F.array_min("state"), F.array_max("state"), ("_low", "_most"), config.get("per_range"))
     bounded = bounded.withColumn("_high", F.when(F.col("_most") == F.col("_low"), F.col("_low") + 1).otherwise(F.col("_most")))
     return bounded.withColumn("state", F.transform("state", lambda v: X.scaled(v, F.col("_low"), F.col("_high"), most, method))).drop("_low", "_most", "_high")
 
@@ -64,15 +65,14 @@ def dedup(frames: DataFrame, config: dict) -> DataFrame:
     if least > 0:
         frames = frames.where(X.histogram_entropy(F.col("state"), kind) >= least)
     if config.get("remove_consecutive_duplicates", True):
-        frames = frames.withColumn("_before", F.lag("state").over(sample_window())).where(~F.col("state").eqNullSafe(F.col("_before"))).drop("_before")
+        frames = ranged.with_before(frames, "_before", config.get("per_range")).where(~F.col("state").eqNullSafe(F.col("_before"))).drop("_before")
     return frames
 
 
 @PROCESSORS.named("diff_encoder")
 def diff_encoder(frames: DataFrame, config: dict) -> DataFrame:
     """Each frame less the one before it; the first as it is, with or without prepend_zero_frame."""
-    before = F.lag("state").over(sample_window())
-    told = frames.withColumn("_before", before)
+    told = ranged.with_before(frames, "_before", config.get("per_range"))
     return told.withColumn("state", F.when(F.col("_before").isNull(), F.col("state")).otherwise(X.difference(F.col("state"), F.col("_before"), kind_of(frames)))).drop("_before")
 
 
@@ -94,7 +94,7 @@ def clip_stitcher(frames: DataFrame, config: dict) -> DataFrame:
     if not config.get("insert_separator") or config.get("max_len") is None:
         return frames
     n = whole_number(config, "max_len", 1)
-    ordered = frames.withColumn("_n", F.row_number().over(sample_window())).withColumn("_more", F.lead("pos").over(sample_window()).isNotNull())
+    ordered = ranged.with_more(ranged.numbered(frames, "_n", config.get("per_range")), "_more", config.get("per_range")).withColumn("_n", F.col("_n") + 1)
     copies = ordered.withColumn("_sep", F.explode(F.when((F.col("_n") % n == 0) & F.col("_more"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     gone = F.floor((F.col("_n") - 1) / n)  # separators ahead of this frame
     kind = frames.schema["state"].dataType
@@ -111,18 +111,18 @@ def patch_tokenizer(frames: DataFrame, config: dict) -> DataFrame:
     return frames.withColumn("state", X.patch_tokens(state, p, rows, cols, whole_number(config, "num_colors", 2, 10), whole_number(config, "n_groups", 1, 1), config.get("stride")))
 
 
-def _chunks(frames: DataFrame, size: int) -> DataFrame:
+def _chunks(frames: DataFrame, size: int, per_range: int | None) -> DataFrame:
     """Runs of `size` frames, each as one row with the arrays in order: groups are bounded by size."""
-    at = F.floor((F.row_number().over(sample_window()) - 1) / size).cast("bigint")
     parts = F.array_sort(F.collect_list(F.struct("pos", "state")))
     first = F.min(F.struct("pos", "step_index", "label"))
-    return frames.withColumn("_chunk", at).groupBy(*KEY, "_chunk").agg(F.flatten(F.transform(parts, lambda x: x["state"])).alias("state"), first.alias("_first"))
+    told = ranged.numbered(frames, "_n", per_range).withColumn("_chunk", F.floor(F.col("_n") / size).cast("bigint"))
+    return told.groupBy(*KEY, "_chunk").agg(F.flatten(F.transform(parts, lambda x: x["state"])).alias("state"), first.alias("_first"))
 
 
 @PROCESSORS.named("sequence_stitcher")
 def sequence_stitcher(frames: DataFrame, config: dict) -> DataFrame:
     """Every frames_per_sequence frames as one, with start and end tokens if wanted; a shorter rest is kept."""
-    made = _chunks(frames, whole_number(config, "frames_per_sequence", 1))
+    made = _chunks(frames, whole_number(config, "frames_per_sequence", 1), config.get("per_range"))
     state = F.col("state")
     for flag, name in (("add_start_token", "start_token"), ("add_end_token", "end_token")):
         if config.get(flag):
@@ -134,7 +134,7 @@ def sequence_stitcher(frames: DataFrame, config: dict) -> DataFrame:
 @PROCESSORS.named("batch_collector")
 def batch_collector(frames: DataFrame, config: dict) -> DataFrame:
     """Every batch_size * num_frames frames as one flat frame of step 0; a shorter rest is kept."""
-    made = _chunks(frames, whole_number(config, "batch_size", 1) * whole_number(config, "num_frames", 1))
+    made = _chunks(frames, whole_number(config, "batch_size", 1) * whole_number(config, "num_frames", 1), config.get("per_range"))
     return made.select(*KEY, F.col("_chunk").alias("pos"), F.lit(0).cast("bigint").alias("step_index"), "state", F.lit(BATCH).alias("label"))
 
 
@@ -148,11 +148,17 @@ def rewritten(steps: list[tuple[str, dict]]) -> list[tuple[str, dict]]:
     return [(name, c) for name, c in steps if not idle(name, c)]
 
 
-def chain(frames: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:
-    """The processors one after another; pos is counted anew at the end only if rows went."""
+def chain(frames: DataFrame, steps: list[tuple[str, dict]], per_range: int | None = None) -> DataFrame:
+    """The processors one after another; pos is counted anew at the end only if rows went.
+
+    per_range, for frames with samples of many millions of frames, goes to every step that has none of its own.
+    """
     missing = [c for c in (*KEY, "pos", "step_index", "state", "label") if c not in frames.columns]
     if missing:
         raise PipelineError(f"frames lack {', '.join(missing)}")
-    steps = rewritten([(name, config or {}) for name, config in steps])
+    shared = {} if per_range is None else {"per_range": per_range}
+    steps = rewritten([(name, shared | (config or {})) for name, config in steps])
     out = reduce(lambda df, step: PROCESSORS.get(step[0])(df, step[1]), steps, frames)
-    return renumbered(out) if any(name in DROPPING for name, _ in steps) else out
+    if not any(name in DROPPING for name, _ in steps):
+        return out
+    return ranged.numbered(out, "_n", per_range).withColumn("pos", F.col("_n")).drop("_n")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from frameloom.errors import InvalidParams
 from frameloom.functions import frames as X
+from frameloom.lineage import broadcast_if_few, checkpointed
 from frameloom.model import KEY, sample_window
 
 
@@ -51,6 +52,21 @@ def pattern_diversity(frames: DataFrame, by: list[str]) -> DataFrame:
     return final_states(frames, *by).groupBy(*by).agg(F.count_distinct("state").alias("patterns"), (F.count_distinct("state") / F.count(F.lit(1))).alias("diversity"))
 
 
+def state_sketches(frames: DataFrame, by: list[str], lg: int = 12) -> DataFrame:
+    """(by..., shard_id, samples, sketch): a mergeable sketch of the last frames of each shard's samples.
+
+    Only hashes of states are moved; sketches have a fixed size, can be stored, and those of new shards join them later.
+    """
+    last = frames.groupBy(*KEY, *by).agg(F.max_by(F.xxhash64("state"), "pos").alias("h"))
+    return last.groupBy(*by, "shard_id").agg(F.count(F.lit(1)).alias("samples"), F.hll_sketch_agg("h", lg).alias("sketch"))
+
+
+def sketched_diversity(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """About how many distinct last frames, and their share of the samples; the standard error is 1.04 / sqrt(2**lg) of them."""
+    united = sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("patterns"), F.sum("samples").alias("samples"))
+    return united.select(*by, "patterns", (F.col("patterns") / F.col("samples")).alias("diversity"))
+
+
 @F.pandas_udf(T.DoubleType())
 def compressed_share(data: pd.Series) -> pd.Series:
     """The size of the compressed bytes over that of the bytes; 0 for none."""
@@ -63,12 +79,29 @@ def rollup(values: DataFrame, sample: list[str], by: list[str], value: str) -> D
     return means.groupBy(*by).agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"))
 
 
-def pairwise(rows: DataFrame, system: list[str], body: str) -> DataFrame:
-    """Ordered pairs (a, b) of different rows of a system, under the aliases a and b: the work is quadratic in a system by definition."""
-    same = F.lit(True)
+#: Bodies of a system in a block of pairs, about.
+BODIES = 1024
+
+
+def pairwise(rows: DataFrame, system: list[str], body: str, per_block: int = BODIES) -> DataFrame:
+    """Ordered pairs (a, b) of different rows of a system, under the aliases a and b: the work is quadratic in a system by definition.
+
+    A system of more than per_block bodies becomes a grid of blocks: a body goes to one row of the grid as a and to one column as
+    b, so its system's pairs spread over as many tasks as the grid has fields, and each field holds about per_block ** 2 pairs.
+    """
+    names = [f"_s{i}" for i in range(len(system))]
+    large = rows.groupBy(*[F.col(c).alias(n) for c, n in zip(system, names, strict=True)]).agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias("_grid")).where("_grid > 1")
+    large = checkpointed(large)
+    of = F.lit(True)
+    for c, n in zip(system, names, strict=True):
+        of = of & (F.col(c) == F.col(n))
+    dealt = rows.join(broadcast_if_few(large), of, "left").drop(*names).withColumn("_grid", F.coalesce("_grid", F.lit(1)))
+    own, every = F.pmod(F.xxhash64(body), "_grid").cast("int"), F.explode(F.sequence(F.lit(0), F.col("_grid") - 1))
+    left, right = dealt.withColumn("_row", own).withColumn("_column", every), dealt.withColumn("_column", own).withColumn("_row", every)
+    same = (F.col("a._row") == F.col("b._row")) & (F.col("a._column") == F.col("b._column"))
     for c in system:
         same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    return rows.alias("a").join(rows.alias("b"), same & (F.col(f"a.{body}") != F.col(f"b.{body}")))
+    return left.alias("a").join(right.alias("b"), same & (F.col(f"a.{body}") != F.col(f"b.{body}")))
 
 
 def compared(values: DataFrame, reference: DataFrame, name: str) -> DataFrame:
