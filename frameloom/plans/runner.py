@@ -7,6 +7,8 @@ import json
 import logging
 import sys
 import time
+from collections.abc import Callable
+from contextlib import nullcontext
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -18,6 +20,7 @@ from frameloom.functions.seeds import shard_seed
 from frameloom.lineage import checkpointed
 from frameloom.operators.processors import chain
 from frameloom.plans.manifest import Manifest, Task, load
+from frameloom.plans.progress import State, watching
 from frameloom.sinks import files
 from frameloom.sources.generate import generate
 
@@ -40,14 +43,8 @@ def run_task(spark: SparkSession, manifest: Manifest, task: Task, threads: int)
     fmt, size = manifest.format_of(task), task.shards(threads)
     shards = -(-task.count // size)
     frames, failed = task_frames(spark, task, threads)
-    folder = f"{manifest.output_dir}/{task.name}"
     errors = {r["shard_id"]: r["error"] for r in failed.collect()}
-    if fmt in files.SHARDS:
-        results = {r["shard_id"]: r.asDict() for r in files.write_shards(frames, manifest.output_dir, fmt, task.seed, task.extensions.get("sink_config")).collect()}
-    else:
-        (files.write_parquet if fmt == "Parquet" else files.write_text)(frames, folder)
-        told = frames.groupBy("shard_id").agg(F.count_distinct("sample_id").alias("samples"), F.count(F.lit(1)).alias("frames"))
-        results = {r["shard_id"]: r.asDict() | {"filename": f"{task.name}/", "bytes": 0, "sha256": None, "error": None} for r in told.collect()}
+    results = {r["shard_id"]: r.asDict() for r in files.write_shards(frames, manifest.output_dir, fmt, task.seed, task.extensions.get("sink_config")).collect()}
     rows = []
     for shard in range(shards):
         row = results.get(shard, {"samples": min(size, task.count - shard * size), "frames": 0, "bytes": 0, "filename": None, "sha256": None, "error": None})
@@ -57,15 +54,16 @@ def run_task(spark: SparkSession, manifest: Manifest, task: Task, threads: int)
     return rows
 
 
-def run(spark: SparkSession, manifest: Manifest) -> dict:
-    """Run all tasks and write metadata.json; returns what it holds."""
+def run(spark: SparkSession, manifest: Manifest, tell: Callable[[str, State], None] | None = None) -> dict:
+    """Run all tasks and write metadata.json; returns what it holds. tell gets a task's name and how far it is, while it runs."""
     manifest.validate()
     threads = manifest.num_threads or spark.sparkContext.defaultParallelism
     began, clock, tasks = datetime.now(UTC), time.monotonic(), []
     for task in manifest.tasks:
         start = time.monotonic()
         try:
-            rows = run_task(spark, manifest, task, threads)
+            with watching(spark, lambda state, name=task.name: tell(name, state)) if tell else nullcontext():
+                rows = run_task(spark, manifest, task, threads)
         except (FrameloomError, pyspark.errors.PySparkException, ValueError, OSError) as e:
             LOG.error("task %s failed: %s", task.name, e)
             size = task.shards(threads)
@@ -165,7 +163,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         manifest = load(Path(given.manifest).read_text(encoding="utf-8")).with_overrides(output_dir=given.output_dir, default_format=given.format, num_threads=given.threads, log_level=given.log_level, stream_write=given.stream_write)
         init_logging(manifest.log_level, given.log_file)
         manifest.validate()
-        report = run(spark or SparkSession.builder.appName("frameloom").getOrCreate(), manifest)
+        show = None if given.no_progress else lambda name, state: print(f"\r{name}: {state.line()}", end="", file=sys.stderr, flush=True)
+        report = run(spark or SparkSession.builder.appName("frameloom").getOrCreate(), manifest, show)
+        if show:
+            print(file=sys.stderr)
     except (FrameloomError, OSError, json.JSONDecodeError) as e:
         print(f"error: {e}", file=sys.stderr)
         return NONE

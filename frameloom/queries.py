@@ -14,11 +14,12 @@ from frameloom.functions.seeds import hex16, sample_seed_udf, shard_seed_udf
 from frameloom.functions.tokenizers import FlatTokenizer
 from frameloom.lineage import through_files
 from frameloom.model import as_frames
-from frameloom.operators import corpus as C, stats as S
+from frameloom.operators import brackets as B, corpus as C, stats as S
 from frameloom.operators.processors import chain
 from frameloom.sinks import files
 from frameloom.sources import readers, rules
 from frameloom.sources.generate import generate
+from frameloom.streaming import stateful as ST
 from frameloom.workers import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,6 +227,15 @@ def rule_score_band(spark, d):
     return S.in_band(S.rule_score(event_codes(spark, d)), 0.7, 0.85).select("sample_id", r6("score").alias("score"))
 
 
+@query(f"WITH {GRID} SELECT CAST(label AS VARCHAR) AS label, count(DISTINCT s) AS patterns, true AS within FROM g GROUP BY label")
+def pattern_diversity_sketched(spark, d):
+    """Sketches of four shards, united by label, against the exact count: within three standard errors."""
+    frames = grids(spark, d).withColumn("shard_id", (F.col("sample_id") % 4).cast("int"))
+    about = S.sketched_diversity(S.state_sketches(frames, ["label"]), ["label"]).select("label", F.col("patterns").alias("about"))
+    exact = S.pattern_diversity(frames, ["label"]).join(about, "label")
+    return exact.select("label", "patterns", (F.abs(F.col("about") - F.col("patterns")) <= F.ceil(3 * 1.04 / 64 * F.col("patterns"))).alias("within"))
+
+
 @query(f"WITH {GRID} SELECT CAST(label AS VARCHAR) AS label, count(DISTINCT s) AS patterns, round(count(DISTINCT s) / count(*), 6) AS diversity FROM g GROUP BY label")
 def pattern_diversity_embeddings(spark, d):
     return S.pattern_diversity(grids(spark, d), ["label"]).select("label", "patterns", r6("diversity").alias("diversity"))
@@ -391,6 +401,14 @@ def pairwise_theta_supplier(spark, d):
     return met.groupBy(F.col("a.s_suppkey").alias("a")).agg(r6(F.sum(apart / F.pow(apart * apart + 1, F.lit(1.5)))).alias("pull"))
 
 
+@query("SELECT a.s_suppkey AS a, round(sum((b.s_acctbal - a.s_acctbal) / pow(pow(b.s_acctbal - a.s_acctbal, 2) + 1, 1.5)), 6) AS pull FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey GROUP BY 1")
+def pairwise_one_system(spark, d):
+    """All suppliers as one system, in blocks of 32 bodies."""
+    bodies = read(spark, d, "supplier").select(F.lit(0).alias("system"), "s_suppkey", F.col("s_acctbal").cast("double").alias("at"))
+    apart = F.col("b.at") - F.col("a.at")
+    return S.pairwise(bodies, ["system"], "s_suppkey", 32).groupBy(F.col("a.s_suppkey").alias("a")).agg(r6(F.sum(apart / F.pow(apart * apart + 1, F.lit(1.5)))).alias("pull"))
+
+
 @query("""WITH r AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS k FROM (SELECT DISTINCT p_brand FROM part)), n AS (SELECT count(*) AS n FROM r)
 SELECT s_suppkey, p_brand FROM supplier, n JOIN r ON s_suppkey % n = k""")
 def round_robin_join(spark, d):
@@ -406,12 +424,23 @@ def fewshot_anti_join(spark, d):
     return read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
 
 
-def shots_sql(shots: int, seed: int, rings: int) -> str:
-    """c: the prompts that each item of the benchmark takes, in order."""
-    draw = lambda salt: f"md5('{seed}{salt}:' || CAST(item_id AS VARCHAR))"
-    return f"""k AS (SELECT item_id, text, {draw("o")} AS o, CAST('0x' || substr({draw("r")}, 1, 8) AS BIGINT) % {rings} AS ring FROM benchmark),
-m AS (SELECT a.item_id, b.text, row_number() OVER (PARTITION BY a.item_id ORDER BY (b.ring - a.ring + {rings}) % {rings}, b.o, b.item_id) AS n FROM k a JOIN k b ON a.item_id <> b.item_id),
-c AS (SELECT item_id, list(text ORDER BY n) AS shots FROM m WHERE n <= {shots} GROUP BY item_id)"""
+def walked_sql(name: str, start: str, key: str) -> str:
+    """CTEs that take x of `start` (..., x, n, key text) to `name` (..., x as y): the keyed permutation of 0 .. n-1, round by round."""
+    draw = lambda i, v, m: f"CAST('0x' || substr(md5({key} || ':{i}:' || CAST({v} AS VARCHAR)), 1, 15) AS BIGINT) % {m}"
+    rounds = ", ".join(f"(l{i} + {draw(i, f'r{i}', 'a')}) % a AS l{i + 1}, r{i} AS r{i + 1}" if i % 2 == 0 else f"l{i} AS l{i + 1}, (r{i} + {draw(i, f'l{i}', 'b')}) % b AS r{i + 1}" for i in range(6))
+    return f"""{name}0 AS (SELECT *, greatest(CAST(ceil(sqrt(n::DOUBLE)) AS BIGINT), 1) AS a FROM {start}),
+{name}1 AS (SELECT *, greatest(CAST(ceil(n::DOUBLE / a) AS BIGINT), 1) AS b, x AS y, true AS moves FROM {name}0
+  UNION ALL SELECT * EXCLUDE (y2), y2 >= n AS moves FROM (SELECT * EXCLUDE (y, moves, l0, r0, l1, r1, l2, r2, l3, r3, l4, r4, l5, r5, l6, r6), l6 + a * r6 AS y2, y2 AS y FROM (SELECT *, y % a AS l0, y // a AS r0, {rounds} FROM {name}1 WHERE moves))),
+{name} AS (SELECT * FROM {name}1 WHERE NOT moves)"""
+
+
+def shots_sql(shots: int, seed: int) -> str:
+    """c: the prompts that each item of the benchmark draws, in order."""
+    return f"""q AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS place FROM benchmark),
+s AS (SELECT item_id, k AS x, (SELECT count(*) FROM q) AS n, '{seed}:' || CAST(item_id AS VARCHAR) AS key FROM q, (SELECT unnest(range(0, {shots + 1})) AS k)),
+{walked_sql("w", "s", "key")},
+m AS (SELECT w.item_id, q.text, row_number() OVER (PARTITION BY w.item_id ORDER BY x) AS i FROM w JOIN q ON y = place WHERE w.item_id <> q.item_id),
+c AS (SELECT item_id, list(text ORDER BY i) AS shots FROM m WHERE i <= {shots} GROUP BY item_id)"""
 
 
 def few_shots(spark, d, shots, seed):
@@ -419,13 +448,13 @@ def few_shots(spark, d, shots, seed):
     return C.few_shot(items, items.withColumnRenamed("text", "prompt"), "item_id", shots, seed)
 
 
-@query(f"WITH {shots_sql(2, 7, 64)} SELECT item_id, CAST(len(shots) AS INT) AS n, sha256(array_to_string(shots, chr(10))) AS digest FROM c")
+@query(f"WITH RECURSIVE {shots_sql(2, 7)} SELECT item_id, CAST(len(shots) AS INT) AS n, sha256(array_to_string(shots, chr(10))) AS digest FROM c")
 def few_shot_prompts(spark, d):
     return few_shots(spark, d, 2, 7).select("item_id", F.size("shots").alias("n"), F.sha2(F.array_join("shots", "\n"), 256).alias("digest"))
 
 
-@query(f"""WITH {shots_sql(3, 5, 64)}, w AS (SELECT item_id, array_to_string(shots, chr(10)) || chr(10) || text || chr(10) AS q, CAST(item_id AS VARCHAR) AS a FROM c JOIN benchmark USING (item_id)),
-t AS (SELECT item_id, list_transform(string_split(q, ''), lambda x: ord(x)::BIGINT) AS q, list_transform(string_split(a, ''), lambda x: ord(x)::BIGINT) || [3] AS a FROM w),
+@query(f"""WITH RECURSIVE {shots_sql(3, 5)}, v AS (SELECT item_id, array_to_string(shots, chr(10)) || chr(10) || text || chr(10) AS q, CAST(item_id AS VARCHAR) AS a FROM c JOIN benchmark USING (item_id)),
+t AS (SELECT item_id, list_transform(string_split(q, ''), lambda x: ord(x)::BIGINT) AS q, list_transform(string_split(a, ''), lambda x: ord(x)::BIGINT) || [3] AS a FROM v),
 u AS (SELECT item_id, q || a AS s, (list_transform(q, lambda x: -100::BIGINT) || a)[2:] AS t FROM t)
 SELECT item_id, md5(array_to_string(list_transform(range(1, 1025), lambda i: coalesce(s[i], 0)), ',')) AS input, md5(array_to_string(list_transform(range(1, 1025), lambda i: coalesce(t[i], -100)), ',')) AS target FROM u""")
 def few_shot_masked(spark, d):
@@ -436,6 +465,21 @@ def few_shot_masked(spark, d):
     return made.select("item_id", F.md5(joined("input")).alias("input"), F.md5(joined("target")).alias("target"))
 
 
+@query(f"""WITH RECURSIVE o AS (SELECT doc_id, lang, md5(text) AS prompt, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n,
+  1 + CAST('0x' || substr(md5('9:' || CAST(doc_id AS VARCHAR) || ':shots'), 1, 15) AS BIGINT) % 4 AS wanted FROM documents),
+s AS (SELECT doc_id, lang, wanted, k AS x, n, '9:' || CAST(doc_id AS VARCHAR) AS key FROM o, LATERAL (SELECT unnest(range(0, least(wanted, n - 1) + 1)) AS k) WHERE lang <> 'es'),
+{walked_sql("w", "s", "key")},
+m AS (SELECT w.doc_id, w.wanted, o.prompt, row_number() OVER (PARTITION BY w.doc_id ORDER BY x) AS i FROM w JOIN o ON y = place AND w.lang = o.lang WHERE w.doc_id <> o.doc_id),
+c AS (SELECT doc_id, list(prompt ORDER BY i) AS shots FROM m WHERE i <= wanted GROUP BY doc_id),
+f AS (SELECT list(prompt ORDER BY doc_id) AS prompts FROM (SELECT doc_id, prompt FROM o WHERE lang = 'es' ORDER BY doc_id LIMIT 2))
+SELECT doc_id, lang, CAST(len(s2) AS INT) AS n, array_to_string(s2, ',') AS shots FROM (SELECT doc_id, lang, CASE WHEN lang = 'es' THEN prompts ELSE coalesce(shots, []) END AS s2 FROM o LEFT JOIN c USING (doc_id), f)""")
+def few_shot_by_subset(spark, d):
+    """Every document draws one to four of its language; Spanish has two fixed prompts, its first two documents."""
+    docs = read(spark, d, "documents").select("doc_id", "lang", F.md5("text").alias("prompt"))
+    fixed = docs.where("lang = 'es'").orderBy("doc_id").limit(2).groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "prompt"))), lambda x: x["prompt"]).alias("prompts"))
+    return C.few_shot(docs, docs, "doc_id", (1, 4), 9, "lang", fixed).select("doc_id", "lang", F.size("shots").alias("n"), F.array_join("shots", ",").alias("shots"))
+
+
 @query("SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM conversations")
 def next_turn_pairs(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", "text", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("target"))
@@ -453,6 +497,18 @@ def vocab_offsets(spark, d):
     return C.vocabulary_offsets(sets, "lang", "size")
 
 
+@query("""WITH n AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, CAST(round((value - lo) / (hi - lo) * 100) AS BIGINT) AS x FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events)),
+k AS (SELECT pos, x, lag(x) OVER (ORDER BY pos) AS b FROM n WHERE x <> 0), u AS (SELECT pos, x, row_number() OVER (ORDER BY pos) - 1 AS i FROM k WHERE b IS NULL OR x <> b),
+f AS (SELECT i, pos, x - coalesce(lag(x) OVER (ORDER BY i), 0) AS v FROM u)
+SELECT i // 10 AS pos, min(pos) AS step_index, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS state FROM f GROUP BY 1""")
+def long_sample_events(spark, d):
+    """All events as one sample, split by ranges of 500 frames."""
+    placed = C.dense_positions(read(spark, d, "events").select("event_id", "value"), "event_id", name="pos")
+    frames = placed.select(F.lit("table").alias("task"), F.lit(0).alias("shard_id"), F.lit(0).cast("bigint").alias("sample_id"), "pos", F.col("pos").alias("step_index"), F.array("value").alias("state"), F.lit(None).cast("string").alias("label"))
+    steps = [("normalizer", {"max_val": 100}), ("dedup", {}), ("diff_encoder", {}), ("sequence_stitcher", {"frames_per_sequence": 10})]
+    return chain(frames, steps, per_range=500).select("pos", "step_index", joined("state").alias("state"))
+
+
 @query(f"WITH {EV} SELECT sample_id, pos, round(avg(value) OVER (PARTITION BY sample_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean, min(pos) OVER (PARTITION BY sample_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS base FROM ev")
 def sliding_last_n(spark, d):
     last = Window.partitionBy("sample_id").orderBy("pos").rowsBetween(-4, 0)
@@ -474,8 +530,7 @@ def curriculum_order(spark, d):
 @query("SELECT item_id, row_number() OVER (ORDER BY md5('11:' || CAST(item_id AS VARCHAR)), item_id) AS place FROM benchmark")
 def curriculum_shuffle(spark, d):
     """The places of the seeded order in which mixed data are read."""
-    ordered = C.shuffled(read(spark, d, "benchmark").select("item_id"), 11, "item_id")
-    return C.running_offset(ordered.select("item_id", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("11"), "item_id")), 1, 15), 16, 10).cast("bigint").alias("draw")), "draw", F.lit(1), "place").select("item_id", (F.col("place") + 1).alias("place"))
+    return C.shuffled_places(read(spark, d, "benchmark").select("item_id"), 11, "item_id").select("item_id", "place")
 
 
 @query("SELECT user_id, lowest, event FROM (SELECT user_id, min(value) AS lowest, arg_min(event_id, (value, event_id)) AS event FROM events GROUP BY user_id) t ORDER BY lowest, user_id LIMIT 10")
@@ -550,6 +605,14 @@ def block_sample(spark, d):
     return C.block_sample(C.blocks(corpus(spark, d), 128), 50, 3).select("block", F.md5(joined("input")).alias("input"))
 
 
+@query(f"""WITH RECURSIVE {TOK}, s AS (SELECT k AS x, (SELECT (max(pos) + 1) // 128 FROM p) AS n, '5:blocks' AS key FROM (SELECT unnest(range(0, 40)) AS k)), {walked_sql("w", "s", "key")},
+b AS (SELECT pos // 128 AS block, list(token ORDER BY pos) AS t FROM p GROUP BY 1) SELECT block, CAST(len(t) AS INT) AS n, md5(array_to_string(t, ',')) AS tokens FROM b JOIN w ON y = block""")
+def drawn_blocks(spark, d):
+    """Forty blocks of the corpus, drawn before a text is turned into tokens."""
+    made = C.drawn_blocks(read(spark, d, "documents"), "doc_id", X.points_of(F.col("text")), F.length("text"), 0, 128, 40, 5)
+    return made.select("block", F.size("tokens").alias("n"), F.md5(joined("tokens")).alias("tokens"))
+
+
 @query(f"WITH {TOK} SELECT min(pos) AS \"offset\", count(*) AS n, md5(string_agg(CAST(token AS VARCHAR), ',' ORDER BY pos)) AS digest FROM (SELECT pos, token, doc_id FROM t JOIN o USING (doc_id), LATERAL (SELECT CAST(coalesce(o, 0) + i AS BIGINT) AS pos)) WHERE pos < 100000 GROUP BY doc_id")
 def corpus_budget(spark, d):
     """The stream up to its budget of tokens, cut within a document."""
@@ -704,6 +767,86 @@ def files_token_words(spark, d):
     return back.groupBy("filename").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.transform(told, lambda x: x["token"].cast("string")), ",")).alias("digest"))
 
 
+SHARD_NAMES = "CASE fmt WHEN 'Parquet' THEN 'parquet' WHEN 'Text' THEN 'txt' WHEN 'Binary' THEN 'bin' ELSE 'npy' END"
+
+
+@query(f"""WITH {GRID}, k AS (SELECT vec_id % 3 AS shard, count(*) AS frames, sum(CASE WHEN label IS NULL THEN 0 ELSE length(CAST(label AS VARCHAR)) END) AS letters, max(len(s)) AS cells FROM g GROUP BY 1)
+SELECT fmt, 'table_' || lpad(CAST(shard AS VARCHAR), 5, '0') || '.' || {SHARD_NAMES} AS name, frames, true AS told, CAST(CASE fmt WHEN 'Text' THEN frames * (cells + 2) + letters WHEN 'Binary' THEN 20 + frames * (21 + 9 * cells) + letters WHEN 'Npy' THEN 128 + 8 * frames * cells END AS BIGINT) AS size
+FROM k, (SELECT unnest(['Parquet', 'Text', 'Binary', 'Npy']) AS fmt)""")
+def files_of_shards(spark, d):
+    """Files of three shards in four formats, written twice: their names, their frames, and whether sizes and digests are what was told."""
+    frames = chain(grids(spark, d).withColumn("shard_id", (F.col("sample_id") % 3).cast("int")), [("token_mapper", {"start_codepoint": 65})])
+    told = []
+
+    def write(folder):
+        for fmt in ("Parquet", "Text", "Binary", "Npy"):
+            files.write_shards(frames, f"{folder}/{fmt}", fmt)
+            told.append(files.write_shards(frames, f"{folder}/{fmt}", fmt).collect())
+
+    def back(folder):
+        there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.element_at(F.split("path", "/"), -2).alias("fmt"), F.col("length").alias("size"), F.sha2("content", 256).alias("found"))
+        said = spark.createDataFrame([r for rows in told for r in rows], files.RESULT)
+        return there.join(said, ["filename"], "full").select(there["fmt"], "filename", "frames", ((F.col("size") == F.col("bytes")) & (F.col("found") == F.col("sha256"))).alias("told"), F.when(there["fmt"] != "Parquet", F.col("size")).alias("size"))
+
+    return through_files(spark, write, back).select("fmt", F.regexp_replace("filename", "_[0-9a-f]{16}", "").alias("name"), "frames", "told", "size")
+
+
+# ---- streams -----------------------------------------------------------------------------------------------------------------
+CODES = "list_position(['view', 'signup', 'purchase', 'click', 'error'], event_type)"
+
+
+def event_frames(spark, d):
+    code = F.array_position(F.array(*map(F.lit, TYPES)), F.col("event_type"))
+    named = read(spark, d, "events").select(F.lit("table").alias("task"), F.lit(0).alias("shard_id"), F.col("user_id").cast("bigint").alias("sample_id"), F.col("event_id").cast("bigint").alias("pos"), F.array(code.cast("bigint")).alias("state"))
+    return named.select("task", "shard_id", "sample_id", "pos", F.col("pos").alias("step_index"), "state", F.lit(None).cast("string").alias("label"))
+
+
+def through_stream(spark, rows, order, run, mode="append"):
+    """rows replayed in four micro-batches through a stream, and what it has written."""
+    per = -(-rows.count() // 4)
+
+    def write(folder):
+        ST.replay_files(rows, order, max(1, per), f"{folder}/in")
+        ST.run_through(run(ST.replayed(spark, f"{folder}/in")), f"{folder}/out", f"{folder}/checkpoint", mode)
+
+    return through_files(spark, write, lambda folder: spark.read.parquet(f"{folder}/out"))
+
+
+@query(f"SELECT user_id AS sample_id, event_id AS step_index, CAST({CODES} AS VARCHAR) AS state FROM events QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type")
+def stream_dedup_events(spark, d):
+    return through_stream(spark, event_frames(spark, d), "pos", ST.stream_dedup).select("sample_id", "step_index", joined("state").alias("state"))
+
+
+@query(f"SELECT user_id AS sample_id, event_id AS step_index, CAST({CODES} - coalesce(lag({CODES}) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS VARCHAR) AS state FROM events")
+def stream_diff_events(spark, d):
+    return through_stream(spark, event_frames(spark, d), "pos", ST.stream_diff).select("sample_id", "step_index", joined("state").alias("state"))
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, {CODES} AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events)
+SELECT user_id AS sample_id, i // 4 AS pos, min(event_id) AS step_index, string_agg(CAST(c AS VARCHAR), ',' ORDER BY i) AS state FROM e GROUP BY ALL HAVING count(*) = 4""")
+def stream_stitch_events(spark, d):
+    return through_stream(spark, event_frames(spark, d), "pos", lambda f: ST.stream_stitch(f, 4)).select("sample_id", "pos", "step_index", joined("state").alias("state"))
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, {CODES} AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id AS sample_id, event_id AS step_index, CAST(c AS VARCHAR) AS state, greatest(n - 3, 0) AS base, i - greatest(n - 3, 0) AS place FROM e WHERE i >= n - 3""")
+def stream_last_events(spark, d):
+    """The last three events of each user, as the last micro-batch with the user has left them."""
+    told = through_stream(spark, event_frames(spark, d), "pos", lambda f: ST.stream_last(f, 3), "update")
+    newest = told.groupBy("sample_id").agg(F.max("_epoch").alias("_epoch"))
+    return told.join(newest, ["sample_id", "_epoch"]).select("sample_id", "step_index", joined("state").alias("state"), "base", "place")
+
+
+@query("""WITH RECURSIVE d AS (SELECT lang, doc_id, length(text) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents),
+f AS (SELECT lang, doc_id, i, n, n AS held, 0::BIGINT AS buffer FROM d WHERE i = 1
+  UNION ALL SELECT d.lang, d.doc_id, d.i, d.n, CASE WHEN f.held >= 20000 THEN 0 ELSE f.held END + d.n, f.buffer + CASE WHEN f.held >= 20000 THEN 1 ELSE 0 END FROM f JOIN d ON d.i = f.i + 1 AND d.lang = f.lang)
+SELECT lang, buffer, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY i) AS items, CAST(sum(n) AS BIGINT) AS total FROM f GROUP BY ALL HAVING sum(n) >= 20000""")
+def stream_fill_documents(spark, d):
+    """Documents of a language, in order, fill buffers of 20,000 characters; what is not full waits."""
+    rows = read(spark, d, "documents").select("lang", "doc_id", F.length("text").alias("n"))
+    return through_stream(spark, rows, "doc_id", lambda f: ST.stream_fill(f, "lang", "doc_id", "n", 20_000)).select("lang", "buffer", joined("items").alias("items"), "total")
+
+
 # ---- strings and formats -----------------------------------------------------------------------------------------------------
 @query("SELECT conv_id, turn, nullif(trim(replace(string_split(text || '#### 1,234', '####')[-1], ',', '')), '') AS answer FROM conversations")
 def extract_answer(spark, d):
@@ -868,6 +1011,27 @@ def dyck_validity(spark, d):
     return read(spark, d, "part").select("p_partkey", X.dyck_valid(word, 2).alias("valid"))
 
 
+@query("""WITH RECURSIVE t AS (SELECT conv_id, list(CASE WHEN lower(role) = 'user' THEN 0 ELSE 1 END ORDER BY turn) AS s FROM conversations GROUP BY conv_id),
+f AS (SELECT conv_id, s, 0 AS i, 0 AS opens, 0 AS closes FROM t
+  UNION ALL SELECT conv_id, s, i + 1, CASE WHEN s[i + 1] = 0 THEN opens + 1 WHEN opens > 0 THEN opens - 1 ELSE 0 END, closes + CASE WHEN s[i + 1] = 1 AND opens = 0 THEN 1 ELSE 0 END FROM f WHERE i < len(s))
+SELECT conv_id, len(s) AS n, opens = 0 AND closes = 0 AS valid, CAST(closes AS BIGINT) AS unopened, CAST(opens AS BIGINT) AS unclosed FROM f WHERE i = len(s)""")
+def brackets_of_turns(spark, d):
+    """A user's turn opens and another one closes; a row for each turn, in ranges of two."""
+    turns = read(spark, d, "conversations").select("conv_id", "turn", F.when(F.lower("role") == "user", 0).otherwise(1).alias("token"))
+    return B.nested_validity(turns, "conv_id", "turn", "token", 1, 2, 2)
+
+
+@query("""WITH RECURSIVE c AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[^a-d]', '', 'g'), ''), lambda x: x <> '') AS s FROM documents),
+t AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS x FROM c),
+e AS (SELECT doc_id, k, i, sum(CASE WHEN x = o THEN 1 WHEN x = z THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id, k ORDER BY i) AS sum FROM t, (VALUES (0, 'a', 'c'), (1, 'b', 'd')) b(k, o, z)),
+v AS (SELECT doc_id, k, min(sum) AS least, arg_max(sum, i) AS total FROM e GROUP BY ALL)
+SELECT doc_id, (SELECT len(s) FROM c WHERE c.doc_id = v.doc_id) AS n, bool_and(least >= 0 AND total = 0) AS valid FROM v GROUP BY doc_id""")
+def brackets_of_letters(spark, d):
+    """The letters a to d of whole texts as two kinds of brackets, counted on their own; a row for each letter."""
+    letters = read(spark, d, "documents").select("doc_id", F.posexplode(F.filter(F.split(F.regexp_replace("text", "[^a-d]", ""), ""), lambda x: x != "")).alias("i", "x"))
+    return B.counted_validity(letters.withColumn("token", F.ascii("x") - F.ascii(F.lit("a"))), "doc_id", "i", "token", 2, 64, 4)
+
+
 @query("""WITH c AS (SELECT p_partkey, list_transform(range(0, 6), lambda i: (p_partkey // CAST(pow(4, i) AS BIGINT)) % 4) AS s FROM part),
 r AS (SELECT p_partkey, k, list_transform(range(1, 7), lambda j: list_sum(list_transform(s[1:j], lambda v: CASE WHEN v = k THEN 1 WHEN v = k + 2 THEN -1 ELSE 0 END))) AS t FROM c, (SELECT unnest([0, 1]) AS k))
 SELECT p_partkey, bool_and(list_min(t) >= 0 AND t[6] = 0) AS valid FROM r GROUP BY p_partkey""")

@@ -1,32 +1,39 @@
 """File sinks: one file for each shard, on any store that all executors reach.
 
-Parquet and text go through Spark's own writers. The binary and array formats are byte layouts of their own; a task writes one
-shard, and frames stream through it in order, with the header first. Each attempt of a task writes a file of its own in a folder of the
-job's; only files that the job's rows name, those of the attempts that counted, are moved to their names, by the driver. So a
-lost executor or a second attempt leaves nothing half written under a shard's name.
+A task writes whole shards, and frames stream through it in order, with the header first. Each attempt of a task writes a file of
+its own in a folder of the job's; only files that the job's rows name, those of the attempts that counted, are moved to their
+names, by the driver. So a lost executor or a second attempt leaves nothing half written under a shard's name, and a job that
+runs again puts the same files in the places of the first. The same files can be had from `df.write.format("frameloom")`, see
+FrameWriter. Folders of Parquet and text without shards go through Spark's own writers, which replace a task's folder as a whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
 from frameloom.errors import InvalidParams, SerializationError, SinkError
 from frameloom.functions import frames as X
 from frameloom.functions.seeds import shard_seed
+from frameloom.lineage import broadcast_if_few, checkpointed
 from frameloom.model import kind_of
 from frameloom.registry import Registry
 from frameloom.workers import ship
 
-FORMATS = {"Parquet": "parquet", "Text": "txt"}
+#: File extensions by format.
+FORMATS: dict[str, str] = {}
 #: The binary format's magic and version, and the tags of its cells.
 MAGIC, VERSION = b"SGEN", 2
 TAGS = {"int": 1, "float": 2, "bool": 3}
@@ -166,6 +173,75 @@ class BatchArrayShard(ArrayShard):
         return (self.frames // per, per, *cells)
 
 
+class _Out:
+    """What a library that wants a file writes to."""
+
+    closed = False
+
+    def __init__(self, write):
+        self.out, self.at = write, 0
+
+    def write(self, data) -> int:
+        data = bytes(data)
+        self.out(data)
+        self.at += len(data)
+        return len(data)
+
+    def tell(self) -> int:
+        return self.at
+
+    def flush(self) -> None:
+        pass
+
+    def close(self) -> None:
+        self.closed = True
+
+
+@register_sink("Parquet", "parquet")
+class ParquetShard(Shard):
+    """The five columns with tagged cells as bytes, in row groups of bounded size; option compression (snappy by default)."""
+
+    SCHEMA = pa.schema([("sample_id", pa.int64()), pa.field("step_index", pa.int64(), False), pa.field("state_dim", pa.int32(), False), pa.field("state_values", pa.binary(), False), ("label", pa.string())])
+    ROWS = 4096
+
+    def __init__(self, write, kind: str, options: dict, frames: int):
+        super().__init__(write, kind, options, frames)
+        self.rows: list[tuple] = []
+        self.file = pq.ParquetWriter(pa.PythonFile(_Out(write), "w"), self.SCHEMA, compression=options.get("compression", "snappy"))
+
+    def write(self, sample, step, cells, label) -> None:
+        self.rows.append((sample, step, len(cells), encode_cells(np.asarray(cells), self.kind), label))
+        self.done += 1
+        if len(self.rows) >= self.ROWS:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.rows:
+            self.file.write_table(pa.table([pa.array(c, t) for c, t in zip(zip(*self.rows, strict=True), self.SCHEMA.types, strict=True)], schema=self.SCHEMA))
+            self.rows = []
+
+    def close(self) -> None:
+        self.flush()
+        self.file.close()
+        super().close()
+
+
+@register_sink("Text", "txt")
+class TextShard(Shard):
+    """A line for each frame: its characters, behind the sample's number where the option with_sample is set, before its label."""
+
+    def write(self, sample, step, cells, label) -> None:
+        head = f"{sample}:" if self.options.get("with_sample") and sample is not None else ""
+        self.out(f"{head}{self.characters(cells)}{'' if label is None else ' ' + label}\n".encode())
+        self.done += 1
+
+    def characters(self, cells) -> str:
+        if self.kind == "bool":
+            return "".join("1" if c else "0" for c in cells)
+        points = [int(min(max(c, 0.0), 255.0)) if c == c else 0 for c in cells] if self.kind == "float" else [int(c) for c in cells]
+        return "".join(chr(p) if 0 <= p <= X.LAST_CODEPOINT and not 0xD800 <= p <= 0xDFFF else chr(X.REPLACEMENT) for p in points)
+
+
 class Attempt:
     """A file of one attempt of a task, in the job's folder, with its size and digest."""
 
@@ -200,66 +276,153 @@ def committed(folder: str, job: str, made: DataFrame, name: str, final: str) ->
             where.delete_dir(f"{root}/{job}")
 
 
-def write_shards(frames: DataFrame, folder: str, fmt: str, base_seed: int = 0, options: dict | None = None) -> DataFrame:
-    """Write a file for each (task, shard) in a format of SHARDS; a row of RESULT for each, with its error if it failed.
+#: A row for each file of a job: RESULT, and the file that its attempt wrote.
+FILE = RESULT + ", attempt string"
+FILE_NAMES = [f.split()[0] for f in FILE.split(", ")]
+FILE_TYPES = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
-    frames are read twice, once to count each shard's: materialise what is costly to make.
-    """
-    if fmt not in SHARDS:
-        raise InvalidParams(f"no sink {fmt!r} here")
-    spark, folder = frames.sparkSession, rooted(folder)
-    ship(spark)
-    kind, options, made, extension, job = kind_of(frames), options or {}, SHARDS.get(fmt), FORMATS[fmt], f"_job-{uuid4().hex}"
 
-    def finish(task, shard, state) -> tuple:
-        shard_, file, name, samples, error = state
+@dataclass
+class ShardFiles:
+    """How the frames of a partition, whole shards one after another, become files. The sink is looked up here, on the driver: what a
+    user registers there, workers need not know."""
+
+    folder: str
+    fmt: str
+    kind: str
+    base_seed: int = 0
+    options: dict = field(default_factory=dict)
+    job: str = field(default_factory=lambda: f"_job-{uuid4().hex}")
+
+    def __post_init__(self) -> None:
+        self.sink, self.extension = SHARDS.get(self.fmt), FORMATS[self.fmt]
+
+    def finish(self, task, shard, state) -> tuple:
+        made, file, name, samples, error = state
         if error is None:
             try:
-                shard_.close()
-            except (SinkError, ValueError, OSError) as e:
+                made.close()
+            except (SinkError, ValueError, OSError, pa.ArrowInvalid) as e:
                 error = f"{type(e).__name__}: {e}"
-        seed = int(np.uint64(shard_seed(base_seed, shard)).view(np.int64))
+        seed = int(np.uint64(shard_seed(self.base_seed, shard)).view(np.int64))
         if error is not None:
             file.drop()
-            return task, shard, seed, None, fmt, samples, 0, 0, None, error, None
+            return task, shard, seed, None, self.fmt, samples, 0, 0, None, error, None
         file.stream.close()
-        return task, shard, seed, name, fmt, samples, shard_.done, file.size, file.digest.hexdigest(), None, file.name
+        return task, shard, seed, name, self.fmt, samples, made.done, file.size, file.digest.hexdigest(), None, file.name
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """A row of FILE for each shard of batches (task, shard_id, sample_id, step_index, state, label, frames of the shard)."""
         key, state, last = None, None, None
-        out = []
         for batch in batches:
             for task, shard, sample, step, cells, label, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (task, shard) != key:
                     if key is not None:
-                        out.append(finish(*key, state))
+                        yield self.finish(*key, state)
                     key, last = (task, shard), None
-                    name = file_name(task, shard, int(shard_seed(base_seed, shard)), extension)
-                    file = Attempt(folder, job, name)
-                    state = [made(file.write, kind, options, n), file, name, 0, None]
+                    name = file_name(task, shard, int(shard_seed(self.base_seed, shard)), self.extension)
+                    file = Attempt(self.folder, self.job, name)
+                    state = [self.sink(file.write, self.kind, self.options, n), file, name, 0, None]
                 if state[4] is None:
                     try:
                         state[0].write(sample, step, cells, label)
-                    except (SinkError, ValueError, OSError) as e:
+                    except (SinkError, ValueError, OSError, pa.ArrowInvalid) as e:
                         state[4] = f"{type(e).__name__}: {e}"
                 state[3] += sample != last
                 last = sample
         if key is not None:
-            out.append(finish(*key, state))
-        if out:
-            types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[*(f.split()[0] for f in RESULT.split(", ")), "attempt"])
+            yield self.finish(*key, state)
+
+
+def by_shards(frames: DataFrame) -> DataFrame:
+    """frames as the sinks take them: each shard whole in one partition and in order, with how many frames it has.
+
+    frames are read twice, once to count each shard's: materialise what is costly to make.
+    """
+    counts = checkpointed(frames.groupBy(F.col("task").alias("_task"), F.col("shard_id").alias("_shard")).agg(F.count(F.lit(1)).alias("shard_frames")))
+    told = frames.join(broadcast_if_few(counts), F.col("task").eqNullSafe(F.col("_task")) & (F.col("shard_id") == F.col("_shard")))
+    ordered = told.repartition("task", "shard_id").sortWithinPartitions("task", "shard_id", "sample_id", "pos")
+    return ordered.select("task", "shard_id", "sample_id", "step_index", "state", "label", "shard_frames")
+
+
+def write_shards(frames: DataFrame, folder: str, fmt: str, base_seed: int = 0, options: dict | None = None) -> DataFrame:
+    """Write a file for each (task, shard) in a format of SHARDS; a row of RESULT for each, with its error if it failed.
+
+    A shard has the same name each time, so a job that runs again replaces its files. frames are read twice (see by_shards).
+    """
+    if fmt not in SHARDS:
+        raise InvalidParams(f"no sink {fmt!r} here")
+    spark, folder = frames.sparkSession, rooted(folder)
+    ship(spark)
+    made = ShardFiles(folder, fmt, kind_of(frames), base_seed, options or {})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(made(batches))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FILE_TYPES, strict=True)], names=FILE_NAMES)
+
+    rows = committed(folder, made.job, by_shards(frames).mapInArrow(run, FILE), "attempt", "filename")
+    return spark.createDataFrame([tuple(r[n] for n in FILE_NAMES[:-1]) for r in rows], RESULT)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """What a task of FrameWriter has written: rows of FILE."""
+
+    rows: list
+
+
+class FrameWriter(DataSourceArrowWriter):
+    """`by_shards(frames).write.format("frameloom").mode("append").option("sink", "Npy").save(folder)`: a file for each shard.
+
+    Options: sink (a name of SHARDS, Parquet by default), seed, and what the sink knows. A shard's file takes the place of one of the
+    same name. mode("overwrite") also deletes the other files of the tasks that were written, and of no other task. An aborted
+    job, and one with a shard that fails, leaves nothing.
+    """
 
-    counts = frames.groupBy(F.col("task").alias("_task"), F.col("shard_id").alias("_shard")).agg(F.count(F.lit(1)).alias("_n"))
-    ordered = frames.join(counts, F.col("task").eqNullSafe(F.col("_task")) & (F.col("shard_id") == F.col("_shard"))).repartition("task", "shard_id").sortWithinPartitions("task", "shard_id", "sample_id", "pos")
-    told = ordered.select("task", "shard_id", "sample_id", "step_index", "state", "label", "_n").mapInArrow(run, RESULT + ", attempt string")
-    rows = committed(folder, job, told, "attempt", "filename")
-    return spark.createDataFrame([tuple(r[f.split()[0]] for f in RESULT.split(", ")) for r in rows], RESULT)
+    def __init__(self, options: dict, kind: str, overwrite: bool):
+        given = dict(options)
+        if "path" not in given:
+            raise SinkError("a folder to save to is missing")
+        fmt = given.get("sink", "Parquet")
+        if fmt not in SHARDS:
+            raise InvalidParams(f"no sink {fmt!r} here")
+        self.files = ShardFiles(rooted(given["path"]), fmt, kind, int(given.get("seed", 0)), {k: v for k, v in given.items() if k not in ("path", "sink", "seed")})
+        self.overwrite = overwrite
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        return Written(list(self.files(iterator)))
+
+    def _end(self) -> None:
+        where, root = store(self.files.folder)
+        if where.get_file_info(f"{root}/{self.files.job}").type == fs.FileType.Directory:
+            where.delete_dir(f"{root}/{self.files.job}")
+
+    def commit(self, messages: list) -> None:
+        where, root = store(self.files.folder)
+        rows = [dict(zip(FILE_NAMES, r, strict=True)) for m in messages if m is not None for r in m.rows]  # a row for each file
+        failed = [f"{r['task']} {r['shard_id']}: {r['error']}" for r in rows if r["error"] is not None]
+        if failed:
+            self._end()
+            raise SinkError(f"{len(failed)} shards failed, nothing is written: {'; '.join(failed[:5])}")
+        where.create_dir(root, recursive=True)
+        for r in rows:
+            where.move(f"{root}/{r['attempt']}", f"{root}/{r['filename']}")
+        if self.overwrite:
+            names, tasks = {r["filename"] for r in rows}, {r["task"] for r in rows}
+            for f in where.get_file_info(fs.FileSelector(root)):
+                shard = re.fullmatch(r"(.*)_\d{5,}_[0-9a-f]{16}\.\w+", f.base_name)
+                if f.type == fs.FileType.File and shard and shard[1] in tasks and f.base_name not in names:
+                    where.delete_file(f.path)
+        self._end()
+
+    def abort(self, messages: list) -> None:
+        self._end()
 
 
 def write_parquet(frames: DataFrame, folder: str, compression: str = "snappy") -> None:
-    """Native arrays in a folder for each task."""
-    frames.write.mode("append").option("compression", compression).partitionBy("task").parquet(folder)
+    """Native arrays in a folder for each task; the folders of the tasks that are written are replaced."""
+    frames.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).partitionBy("task").parquet(folder)
 
 
 def write_compatible_parquet(frames: DataFrame, folder: str) -> None:
@@ -274,7 +437,7 @@ def write_compatible_parquet(frames: DataFrame, folder: str) -> None:
             yield pa.RecordBatch.from_arrays([sample, step, pa.array([len(c) // CELL.itemsize for c in cells], pa.int32()), pa.array(cells, pa.binary()), label], names=["sample_id", "step_index", "state_dim", "state_values", "label"])
 
     rows = frames.select("sample_id", "step_index", "state", "label")
-    rows.mapInArrow(run, "sample_id bigint, step_index bigint, state_dim int, state_values binary, label string").write.mode("append").parquet(folder)
+    rows.mapInArrow(run, "sample_id bigint, step_index bigint, state_dim int, state_values binary, label string").write.mode("overwrite").parquet(folder)
 
 
 def text_lines(frames: DataFrame, with_sample: bool = False):
@@ -285,8 +448,9 @@ def text_lines(frames: DataFrame, with_sample: bool = False):
 
 
 def write_text(frames: DataFrame, folder: str, with_sample: bool = False) -> None:
+    """Lines in a folder for each task; the folders of the tasks that are written are replaced."""
     lines = text_lines(frames, with_sample).repartition("task", "shard_id").sortWithinPartitions("task", "shard_id", "sample_id", "pos")
-    lines.select("task", "value").write.mode("append").partitionBy("task").text(folder)
+    lines.select("task", "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task").text(folder)
 
 
 def write_token_words(tokens: DataFrame, folder: str, per_file: int = 1 << 24, shard: str | None = None) -> int:

@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from frameloom.errors import GenerationError, InvalidParams
 from frameloom.functions.seeds import sample_seed, shard_seed
 from frameloom.model import schema
+from frameloom.sinks.files import FrameWriter
 from frameloom.sources.kernels import GENERATORS, sample_frames
 from frameloom.workers import ship
 
@@ -100,7 +101,8 @@ def generate(spark: SparkSession, generator: str, config: dict | None = None, co
 
 
 class FrameSource(DataSource):
-    """format("frameloom"): options generator, config (JSON), count, seq_length, seed, task, shard_size, frames_per_batch."""
+    """format("frameloom"): options generator, config (JSON), count, seq_length, seed, task, shard_size, frames_per_batch to read;
+    sink, seed and those of a sink to write (see FrameWriter)."""
 
     @classmethod
     def name(cls) -> str:
@@ -117,6 +119,10 @@ class FrameSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return ShardReader(self._plan())
 
+    def writer(self, schema, overwrite: bool) -> FrameWriter:
+        cell = schema["state"].dataType.elementType.typeName()
+        return FrameWriter(self.options, {"double": "float", "float": "float", "boolean": "bool"}.get(cell, "int"), overwrite)
+
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return EndlessReader(self._plan(), int(self.options.get("frames_per_batch", 16)))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import struct
 from collections.abc import Iterator
 
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from frameloom.errors import InvalidParams, SerializationError
 from frameloom.model import KINDS
 from frameloom.sinks.files import CELL, MAGIC, VERSION, cells_as
+from frameloom.sources.ranges import ArrayFiles, TokenFiles, read_ranges
 from frameloom.workers import ship
 
 
@@ -83,31 +83,14 @@ def read_binary(spark: SparkSession, path: str, kind: str = "float") -> DataFram
     return _binary_files(spark, path).mapInPandas(run, f"filename string, sample_id bigint, step_index bigint, state array<{KINDS[kind]}>, label string")
 
 
-def read_npy(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+def read_npy(spark: SparkSession, path: str, most: int | None = None, partition_bytes: int | None = None) -> DataFrame:
     """(filename, row, shape, values) for each first-axis row of arrays; `most` rows of the lowest file names and rows, if given."""
+    return read_ranges(spark, ArrayFiles, path, most=most, partition_bytes=partition_bytes)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, data in zip(part["path"], part["content"], strict=True):
-                array = np.load(io.BytesIO(data), allow_pickle=False)
-                for lo in range(0, len(array), 1024):
-                    rows = array[lo : lo + 1024]
-                    yield pd.DataFrame({"filename": name.rsplit("/", 1)[-1], "row": np.arange(lo, lo + len(rows)), "shape": [list(array.shape[1:])] * len(rows), "values": [r.reshape(-1).astype(float).tolist() for r in rows]})
-
-    out = _binary_files(spark, path).mapInPandas(run, "filename string, row bigint, shape array<int>, values array<double>")
-    return out if most is None else out.orderBy("filename", "row").limit(most)
-
-
-def read_token_words(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, pos, token) of files of 16-bit tokens."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, data in zip(part["path"], part["content"], strict=True):
-                tokens = np.frombuffer(data, "<u2").astype(np.int64)
-                yield pd.DataFrame({"filename": name.rsplit("/", 1)[-1], "pos": np.arange(len(tokens)), "token": tokens})
 
-    return _binary_files(spark, path).mapInPandas(run, "filename string, pos bigint, token bigint")
+def read_token_words(spark: SparkSession, path: str, most: int | None = None, partition_bytes: int | None = None) -> DataFrame:
+    """(filename, pos, token) of files of 16-bit tokens; `most` of them, if given."""
+    return read_ranges(spark, TokenFiles, path, most=most, partition_bytes=partition_bytes)
 
 
 def read_brackets(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,9 @@
-"""Processors over endless frames: what a batch does with a window is state of a sample here.
+"""Processors over endless frames: what a batch does with a window is keyed state here.
 
-Frames of a sample must arrive in the order of step_index; those of one micro-batch are sorted. State is one frame or the rest
-of a chunk, so it stays small however long a sample runs.
+Processors run on transformWithState: value, list and map state of a sample in the state store, with an expiry where a sample may
+end without notice, and timers that hand out what waits. Frames of a sample must arrive in the order of pos; those of one
+micro-batch are sorted. State is one frame, the rest of a chunk or the last n frames, so it stays small however long a sample
+runs, and a query that starts again from its checkpoint goes on where it was.
 """
 
 from __future__ import annotations
@@ -9,15 +11,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from frameloom.model import KEY, kind_of, schema
+from frameloom.errors import InvalidParams
+from frameloom.model import KEY, KINDS, kind_of, schema
+from frameloom.operators.corpus import dense_positions
 from frameloom.workers import ship
 
+#: The store that keyed state of this kind needs.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _frames(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    made = pd.concat(list(parts))
-    return made.sort_values("pos", kind="stable")
+#: Stands for a null sample while it is a key.
+UNNAMED = -(1 << 63)
+
+
+def ready(spark: SparkSession) -> None:
+    """Workers find this package, and keyed state has the store that it needs."""
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
 def _plain(cells) -> list:
@@ -25,63 +37,186 @@ def _plain(cells) -> list:
     return cells.tolist() if hasattr(cells, "tolist") else list(cells)
 
 
-def _grouped(frames: DataFrame, run, state: str) -> DataFrame:
-    ship(frames.sparkSession)
-    kind = kind_of(frames)
-    return frames.groupBy(*KEY).applyInPandasWithState(run, schema(kind), state.replace("CELLS", {"int": "array<bigint>", "float": "array<double>", "bool": "array<boolean>"}[kind]), "append", "NoTimeout")
+class FrameProcessor(StatefulProcessor):
+    """Frames of a sample, sorted, batch by batch; `expiry` is how long (ms) state outlives its last frame, None for ever."""
 
+    def __init__(self, kind: str, expiry: int | None = None):
+        self.kind, self.cells, self.expiry = kind, f"array<{KINDS[kind]}>", expiry
 
-def stream_dedup(frames: DataFrame, remove_all_zeros: bool = True) -> DataFrame:
-    """Frames that are not all zero and differ from the last one kept."""
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        made = pd.concat(list(rows)).sort_values("pos", kind="stable")
+        yield self.frames(key, made, timerValues)
+
+    def frames(self, key, made: pd.DataFrame, timers) -> pd.DataFrame:
+        raise NotImplementedError
+
+
+class Dedup(FrameProcessor):
+    """Frames that are not all zero and differ from the last one kept, which is the state."""
+
+    def __init__(self, kind: str, remove_all_zeros: bool, expiry: int | None):
+        super().__init__(kind, expiry)
+        self.remove_all_zeros = remove_all_zeros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", f"cells {self.cells}", self.expiry)
+
+    def frames(self, key, made, timers):
+        last, keep = _plain(self.last.get()[0]) if self.last.exists() else None, []
+        for cells in map(_plain, made["state"]):
+            keep.append(not (self.remove_all_zeros and not any(cells)) and cells != last)
+            last = cells if keep[-1] else last
+        if any(keep):
+            self.last.update((last,))
+        return made[keep]
+
+
+class Difference(FrameProcessor):
+    """Each frame less the one before it, which is the state."""
 
-    def run(key, parts, state):
-        last = _plain(state.get[0]) if state.exists else None
-        keep = []
-        for cells in (made := _frames(parts))["state"]:
-            cells = _plain(cells)
-            ok = not (remove_all_zeros and not any(cells)) and cells != last
-            keep.append(ok)
-            last = cells if ok else last
-        if last is not None:
-            state.update((last,))
-        yield made[keep]
-
-    return _grouped(frames, run, "last CELLS")
-
-
-def stream_diff(frames: DataFrame) -> DataFrame:
-    """Each frame less the one before it; the first as it is."""
-    truth = kind_of(frames) == "bool"
-
-    def run(key, parts, state):
-        before = _plain(state.get[0]) if state.exists else None
-        out = []
-        for cells in (made := _frames(parts))["state"]:
-            cells = _plain(cells)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.before = handle.getValueState("before", f"cells {self.cells}", self.expiry)
+
+    def frames(self, key, made, timers):
+        before, out, truth = _plain(self.before.get()[0]) if self.before.exists() else None, [], self.kind == "bool"
+        for cells in map(_plain, made["state"]):
             out.append(cells if before is None else [a != b if truth else a - b for a, b in zip(cells, before, strict=False)])
             before = cells
-        state.update((before,))
-        yield made.assign(state=out)
+        self.before.update((before,))
+        return made.assign(state=out)
+
+
+class Stitch(FrameProcessor):
+    """Every so many frames as one. What waits is a list of frames; with `idle` a timer (processing time) hands a shorter rest out."""
+
+    def __init__(self, kind: str, per: int, idle: int | None):
+        super().__init__(kind)
+        self.per, self.idle = per, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"step bigint, cells {self.cells}")
+        self.made = handle.getValueState("made", "n bigint, timer bigint")
+
+    def joined(self, key, n: int, frames: list[tuple]) -> tuple:
+        return (*key, n, frames[0][0], [c for _, cells in frames for c in cells], None)
+
+    def frames(self, key, made, timers):
+        held = [(step, _plain(cells)) for step, cells in self.waiting.get()]
+        n, timer = self.made.get() if self.made.exists() else (0, -1)
+        held += [(int(step), _plain(cells)) for step, cells in zip(made["step_index"], made["state"], strict=True)]
+        out = [self.joined(key, n + i, held[i * self.per : (i + 1) * self.per]) for i in range(len(held) // self.per)]
+        n, held = n + len(out), held[len(out) * self.per :]
+        self.waiting.put(held) if held else self.waiting.clear()
+        if self.idle is not None:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            timer = timers.getCurrentProcessingTimeInMs() + self.idle if held else -1
+            if held:
+                self.handle.registerTimer(timer)
+        self.made.update((n, timer))
+        return pd.DataFrame(out, columns=list(made.columns)) if out else made.iloc[:0]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = [(step, _plain(cells)) for step, cells in self.waiting.get()]
+        n, _ = self.made.get()
+        self.waiting.clear()
+        self.made.update((n + 1, -1))
+        if held:
+            yield pd.DataFrame([self.joined(key, n, held)], columns=[*KEY, "pos", "step_index", "state", "label"])
+
+
+class Retain(FrameProcessor):
+    """The last n frames, as a map from pos modulo n: a new frame takes the place of the one that it evicts."""
+
+    def __init__(self, kind: str, n: int, expiry: int | None):
+        super().__init__(kind, expiry)
+        self.n = n
 
-    return _grouped(frames, run, "last CELLS")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getMapState("ring", "slot bigint", f"number bigint, pos bigint, step bigint, cells {self.cells}, label string", self.expiry)
+        self.seen = handle.getValueState("seen", "n bigint", self.expiry)
 
+    def frames(self, key, made, timers):
+        seen = self.seen.get()[0] if self.seen.exists() else 0
+        last = made[["pos", "step_index", "state", "label"]].tail(self.n)
+        for number, (pos, step, cells, label) in enumerate(last.itertuples(index=False), seen + len(made) - len(last)):
+            self.ring.updateValue((number % self.n,), (number, int(pos), int(step), _plain(cells), label))
+        seen += len(made)
+        self.seen.update((seen,))
+        base = max(0, seen - self.n)
+        rows = sorted(value for _, value in self.ring.iterator())
+        out = [(*key, pos, step, _plain(cells), label, base, number - base) for number, pos, step, cells, label in rows]
+        return pd.DataFrame(out, columns=[*KEY, "pos", "step_index", "state", "label", "base", "place"])
 
-def stream_stitch(frames: DataFrame, frames_per_sequence: int) -> DataFrame:
-    """Every so many frames as one; a shorter rest waits in the state, since an endless sample has no end."""
 
-    def run(key, parts, state):
-        cells, held, made_so_far, first = (_plain(state.get[0]), *state.get[1:]) if state.exists else ([], 0, 0, 0)
-        out = []
-        for step, state_ in (made := _frames(parts))[["step_index", "state"]].itertuples(index=False):
-            first = int(step) if held == 0 else first
-            cells, held = cells + _plain(state_), held + 1
-            if held == frames_per_sequence:
-                out.append((*key, made_so_far, first, cells, None))
-                cells, held, made_so_far = [], 0, made_so_far + 1
-        state.update((cells, held, made_so_far, first))
-        yield pd.DataFrame(out, columns=list(made.columns)) if out else made.iloc[:0]
+class Fill(StatefulProcessor):
+    """Rows of a group fill buffers of a budget: a buffer goes out once its sizes reach it. What waits is a list of (item, size)."""
 
-    return _grouped(frames, run, "cells CELLS, held int, made bigint, first bigint")
+    def __init__(self, key: str, budget: int):
+        self.key, self.budget = key, budget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getListState("waiting", "item bigint, size bigint")
+        self.made = handle.getValueState("made", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        made = pd.concat(list(rows)).sort_values("item", kind="stable")
+        held, out = [(int(i), int(s)) for i, s in self.waiting.get()], []
+        n, total = self.made.get()[0] if self.made.exists() else 0, sum(s for _, s in held)
+        for item, size in zip(made["item"], made["size"], strict=True):
+            held.append((int(item), int(size)))
+            total += int(size)
+            if total >= self.budget:
+                out.append((key[0], n, [i for i, _ in held], total))
+                held, total, n = [], 0, n + 1
+        self.waiting.put(held) if held else self.waiting.clear()
+        self.made.update((n,))
+        yield pd.DataFrame(out, columns=[self.key, "buffer", "items", "total"])
+
+
+def _grouped(frames: DataFrame, processor: FrameProcessor, extra: str = "", mode: str = "append", timed: bool = False) -> DataFrame:
+    """A timed stream, one with an expiry or with timers, has batches for its clock alone and never ends by itself: it wants a
+    trigger of its own, not run_through."""
+    ready(frames.sparkSession)
+    timed = timed or processor.expiry is not None
+    known = frames.withColumn("sample_id", F.coalesce("sample_id", F.lit(UNNAMED)))  # workers do not see that two nulls are one key
+    made = known.groupBy(*KEY).transformWithStateInPandas(processor, schema(processor.kind) + extra, mode, "ProcessingTime" if timed else "None")
+    return made.withColumn("sample_id", F.when(F.col("sample_id") != UNNAMED, F.col("sample_id")))
+
+
+def stream_dedup(frames: DataFrame, remove_all_zeros: bool = True, expiry: int | None = None) -> DataFrame:
+    """Frames that are not all zero and differ from the last one kept."""
+    return _grouped(frames, Dedup(kind_of(frames), remove_all_zeros, expiry))
+
+
+def stream_diff(frames: DataFrame, expiry: int | None = None) -> DataFrame:
+    """Each frame less the one before it; the first, and the first after an expiry, as it is."""
+    return _grouped(frames, Difference(kind_of(frames), expiry))
+
+
+def stream_stitch(frames: DataFrame, frames_per_sequence: int, idle: int | None = None) -> DataFrame:
+    """Every so many frames as one; a shorter rest waits, or goes out once its sample has been idle for so many milliseconds."""
+    if frames_per_sequence < 1:
+        raise InvalidParams("frames_per_sequence must be 1 or more")
+    return _grouped(frames, Stitch(kind_of(frames), frames_per_sequence, idle), timed=idle is not None)
+
+
+def stream_last(frames: DataFrame, n: int, expiry: int | None = None) -> DataFrame:
+    """After each micro-batch the last n frames of the samples that it has touched: base is the number of frames evicted so far,
+    place a frame's number less base. A retention buffer, to be written in update mode."""
+    if n < 1:
+        raise InvalidParams("a buffer holds one frame or more")
+    return _grouped(frames, Retain(kind_of(frames), n, expiry), ", base bigint, place bigint", "update")
+
+
+def stream_fill(rows: DataFrame, group: str, item: str, size: str, budget: int) -> DataFrame:
+    """(group, buffer, items, total): whole items, a group's in order, fill a buffer until their sizes reach the budget. Rows without
+    a group are left out."""
+    ready(rows.sparkSession)
+    kind = rows.schema[group].dataType.simpleString()
+    told = rows.where(F.col(group).isNotNull()).select(group, F.col(item).cast("bigint").alias("item"), F.col(size).cast("bigint").alias("size"))
+    return told.groupBy(group).transformWithStateInPandas(Fill(group, budget), f"{group} {kind}, buffer bigint, items array<bigint>, total bigint", "append", "None")
 
 
 def last_frames(frames: DataFrame, n: int) -> DataFrame:
@@ -92,6 +227,38 @@ def last_frames(frames: DataFrame, n: int) -> DataFrame:
     return kept.withColumn("place", (size - F.col("_back")).cast("bigint")).drop("_back")
 
 
+def replay_files(rows: DataFrame, order: str, per_batch: int, folder: str) -> None:
+    """Write rows, in the order of a distinct whole-numbered column, as a file for each per_batch of them, dated in that order."""
+    if per_batch < 1:
+        raise InvalidParams("a batch has one row or more")
+    spark = rows.sparkSession
+    placed = dense_positions(rows, order, name="_at").withColumn("_batch", F.floor(F.col("_at") / per_batch).cast("bigint")).drop("_at")
+    placed.repartition("_batch").sortWithinPartitions("_batch", order).write.partitionBy("_batch").parquet(folder)
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [p for p in store.listStatus(where) if p.isDirectory()]
+    for part in parts:  # a file for each batch
+        number = int(part.getPath().getName().rpartition("=")[2])
+        for file in store.listStatus(part.getPath()):
+            store.setTimes(file.getPath(), 1_000_000_000_000 + 1000 * number, -1)
+
+
+def replayed(spark: SparkSession, folder: str, batches: int = 1) -> DataFrame:
+    """What replay_files has written as a stream, so many of its batches at a time: the oldest first, read by the executors."""
+    columns = spark.read.parquet(folder).drop("_batch").schema
+    return spark.readStream.schema(columns).option("maxFilesPerTrigger", batches).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def run_through(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> None:
+    """Run a stream over all that is there now into Parquet files, batch by batch, and end; in update mode with the batch's number."""
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", folder).start()
+    else:
+        query = writer.outputMode(mode).foreachBatch(lambda df, n: df.withColumn("_epoch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/epoch={n}")).start()
+    query.awaitTermination()
+
+
 def windowed_counts(events: DataFrame, width: str = "10 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Events by type in tumbling or sliding time windows, late ones up to the watermark."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)

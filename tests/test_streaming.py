@@ -32,6 +32,65 @@ def test_streams_agree_with_batch(spark, tmp_path, name, run, steps):
     assert streamed(spark, tmp_path, rows, run, f"out_{name}") == expected
 
 
+def frames_of(spark, rows):
+    return spark.createDataFrame(rows, schema("int"))
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    rows = [("t", 0, s, i, i, [i // 3], None) for i in range(40) for s in (0, 1)]
+    for i in range(4):
+        part = frames_of(spark, rows[20 * i : 20 * i + 20])
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(schema("int")).parquet(str(tmp_path / "in"))
+        stateful.run_through(stateful.stream_dedup(source, False), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = sorted((r.sample_id, r.pos) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(s, i) for s in (0, 1) for i in range(0, 40, 3)]
+
+
+def test_a_shorter_rest_goes_out_when_its_sample_is_idle(spark, tmp_path):
+    frames_of(spark, [("t", 0, 0, i, i, [i], None) for i in range(5)]).coalesce(1).write.parquet(str(tmp_path / "in/0"))
+    source = spark.readStream.schema(schema("int")).parquet(str(tmp_path / "in/*"))
+    q = stateful.stream_stitch(source, 2, idle=500).writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for i in range(1, 30):
+            if spark.table("idle").count() >= 3:
+                break
+            q.awaitTermination(2)
+            frames_of(spark, [("t", 0, 9, i, i, [0], None)]).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))  # a batch of another sample
+    finally:
+        q.stop()
+    got = sorted((r.pos, list(r.state)) for r in spark.table("idle").where("sample_id = 0").collect())
+    assert got == [(0, [0, 1]), (1, [2, 3]), (2, [4])]
+
+
+@pytest.mark.parametrize("per_batch", [1, 7, 100])
+def test_retained_frames_are_the_last_ones(spark, tmp_path, per_batch):
+    rows = [("t", 0, i % 3 if i % 3 else None, i, i, [i], f"l{i}") for i in range(20)]
+    frames = frames_of(spark, rows)
+    stateful.replay_files(frames, "pos", per_batch, str(tmp_path / "in"))
+    stateful.run_through(stateful.stream_last(stateful.replayed(spark, str(tmp_path / "in"), 2), 4), str(tmp_path / "out"), str(tmp_path / "cp"), "update")
+    told = spark.read.parquet(str(tmp_path / "out"))
+    newest = {}
+    for r in told.collect():
+        newest.setdefault(r.sample_id, {}).setdefault(r._epoch, []).append(r)
+    want = stateful.last_frames(frames, 4).collect()
+    for sample, epochs in newest.items():
+        got = sorted((r.place, r.pos, list(r.state), r.label) for r in epochs[max(epochs)])
+        assert got == sorted((r.place, r.pos, list(r.state), r.label) for r in want if r.sample_id == sample)
+        n = sum(r[2] == sample for r in rows)
+        assert {r.base for r in epochs[max(epochs)]} == {max(0, n - 4)}
+
+
+def test_replay_keeps_order_and_limits_batches(spark, tmp_path):
+    rows = spark.range(100).select((F.col("id") * 37 % 1009).alias("k"), F.col("id").alias("v"))
+    stateful.replay_files(rows, "k", 9, str(tmp_path / "in"))
+    seen = []
+    stream = stateful.replayed(spark, str(tmp_path / "in"), 2)
+    q = stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(lambda df, n: seen.append(sorted(r.k for r in df.collect()))).start()
+    q.awaitTermination()
+    assert [len(b) for b in seen] == [18] * 5 + [10] and sum(seen, []) == sorted(r.k for r in rows.collect())
+
+
 def test_endless_source(spark, tmp_path):
     register_sources(spark)
     stream = spark.readStream.format("frameloom").options(generator="ca", config='{"width": 4}', count="2", seq_length="20", frames_per_batch="8").load()
