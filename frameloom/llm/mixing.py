@@ -178,6 +178,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", **options)
 
     Rows are range-partitioned and sorted by it, so what is written has the target weights in every stretch. Texts are joined
     without a shuffle where few rows say how often, and move once for the order.
+
+    A null text is empty and has no tokens; a null source is a source of its own; a null id is read like others. Rows that repeat
+    id, text and source go together, each as often as the others. Other columns are carried along under any name. No row gives none.
     """
     h, doc, of, hash_, copy, order = fresh(docs, "h", "mix_doc", "mix_source", "mix_hash", "copy", "mix_order")
     told = copies(docs, text=text, source=source, **options).where("copies > 0")

@@ -231,7 +231,11 @@ def score_documents(docs: DataFrame, model: QualityModel | None = None, text: st
 
 
 def keep_good(docs: DataFrame, model: QualityModel | None = None, text: str = "text", cut: float = CUT) -> DataFrame:
-    """docs without the rows that the scorer rejects, with docs' columns, whatever their types."""
+    """docs without the rows that the scorer rejects, with docs' columns, whatever their types and names.
+
+    A null text is scored as the empty one, a long text whole; rows that repeat a text share its fate, whatever their ids, and null
+    ids count like others. An empty table gives no rows.
+    """
     model = model or train(docs, text)
     python_ready(docs.sparkSession)
     kept, = fresh(docs, "kept")

@@ -79,7 +79,8 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "te
 
     Folders are named shard=..., with underscores behind `shard` where docs has such a column. A row finds its shard by its hash
     of id and text, so rows that repeat an id are neither lost nor multiplied. A shard's rows meet in one task, which its limit
-    bounds but for what no split can part.
+    bounds but for what no split can part. A null text weighs nothing and stays null; null ids are written; an empty table
+    writes no shard.
     """
     shard, h, of = fresh(docs, "shard", "h", "of")
     where = checkpointed(hashed_shards(docs, limit, text).select(F.col("h").alias(of), F.col("shard").alias(shard)).distinct())

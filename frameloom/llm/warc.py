@@ -158,7 +158,9 @@ def payload_digests(records: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per row written: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    What a revisit says of its payload comes from the response that it names. No archive holds no rows.
+    What a revisit says of its payload comes from the response that it names; one whose response is not there has the digest that it
+    states and null bytes. A page that was written without an id is read with a null one, an empty payload has 0 bytes, and rows
+    that repeat an id are rows of their own. Payloads of many segments are never put together. Archives without records give no rows.
     """
     records = read_records(spark, path)
     found = checkpointed(payload_digests(records).select("page_id", base32(F.col("sha1")).alias("payload_digest"), "payload_bytes"))
