@@ -7,6 +7,8 @@ from frameloom.functions import frames as X
 from frameloom.model import KINDS, schema
 from frameloom.operators.processors import PROCESSORS, chain, rewritten
 
+# The cells, steps and tokens below are literal vectors that every implementation must give.
+
 
 def frames(spark, kind, *states):
     return spark.createDataFrame([("t", 0, 0, i, i, s, None) for i, s in enumerate(states)], schema(kind))
