@@ -33,7 +33,8 @@ def range_bounds(df: DataFrame, value: Column, bucket: int = BUCKET) -> list:
     parts = range_count(n, bucket)
     if parts < 2:
         return []
-    found = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"]
+    exact = min(20 * parts, max(20_000, 2 * parts))  # many ranges may differ by half in size: a finer summary would be large
+    found = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], exact).alias("q")).first()["q"]
     return sorted(set(found or []))
 
 
@@ -224,8 +225,9 @@ def few_shot(items: DataFrame, pool: DataFrame, key: str, shots: int | tuple[int
         raise ValueError(f"shots must rise from 0 on, not {shots}")
     group = F.coalesce(F.col(subset).cast("string"), F.lit("")) if subset else F.lit("")
     known = F.col(key).isNotNull() & (F.col(subset).isNotNull() if subset else F.lit(True))
-    rows = checkpointed(dense_positions(pool.where(known).select(group.alias("_group"), F.col(key).alias("_shot"), "prompt"), "_shot", ("_group",), "_at"))
-    sizes = broadcast_if_few(checkpointed(rows.groupBy(F.col("_group").alias("_g")).agg(F.count(F.lit(1)).alias("_size"))))
+    prompts = pool.where(known).select(group.alias("_group"), F.col(key).alias("_shot"), "prompt")
+    rows = dense_positions(prompts, "_shot", ("_group",), "_at")
+    sizes = broadcast_if_few(checkpointed(prompts.groupBy(F.col("_group").alias("_g")).agg(F.count(F.lit(1)).alias("_size"))))
     asked = items.where(known).select(F.col(key).alias("_key"), group.alias("_group")).distinct()
     if fixed is not None:
         given = checkpointed(fixed.select(F.col(subset).cast("string").alias("_subset"), F.col("prompts")))
