@@ -175,6 +175,11 @@ def decimal_digits(numbers: Column) -> Column:
     return F.transform(F.split(F.array_join(F.transform(numbers, lambda n: n.cast("string")), ""), ""), lambda d: d.cast("bigint"))
 
 
+def counted_digits(first: Column, numbers: int) -> Column:
+    """The digits of so many numbers in a row, from `first` on."""
+    return decimal_digits(F.sequence(first, first + numbers - 1))
+
+
 def text_of(state: Column, kind: str = "int") -> Column:
     """Cells as characters: truth as 0 and 1, floats as code points up to 255, what no text can hold as U+FFFD."""
     if kind == "bool":

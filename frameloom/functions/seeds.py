@@ -1,10 +1,11 @@
-"""Seeds and the generator's random numbers, vectorised over samples with 64-bit unsigned NumPy arithmetic."""
+"""Seeds and the generator's random numbers, vectorised over samples with 64-bit unsigned NumPy arithmetic; seeds also as columns."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
+
+from frameloom.functions.frames import let
 
 #: The finaliser's multipliers and the two stream increments.
 MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -82,14 +83,46 @@ class Draws:
         return size * np.cos(angle)
 
 
-@F.pandas_udf(T.LongType())
-def shard_seed_udf(base: pd.Series, shard: pd.Series) -> pd.Series:
-    return pd.Series(shard_seed(base.to_numpy(np.int64).view(np.uint64), shard.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+# ---- the same as columns: a bigint holds the 64 bits, and nothing overflows, since products are taken of parts of 32 and 16 bits ----
+LOW, LOWER = (1 << 32) - 1, (1 << 16) - 1
+
+
+def added(a: Column, b: Column) -> Column:
+    """a + b modulo 2**64."""
+    low = a.bitwiseAND(LOW) + b.bitwiseAND(LOW)
+    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32)
+    return let(low, lambda x: F.shiftleft(high + F.shiftrightunsigned(x, 32), 32).bitwiseOR(x.bitwiseAND(LOW)))
+
+
+def times(a: Column, factor: int) -> Column:
+    """a * factor modulo 2**64."""
+    part = [F.lit(factor >> 16 * i & LOWER).cast("bigint") for i in range(4)]
+
+    def both(x: Column) -> Column:
+        low, high = x.bitwiseAND(LOW), F.shiftrightunsigned(x, 32)
+        shifted = lambda y: F.shiftleft(y.bitwiseAND(LOWER), 16)
+        below = low * part[0] + shifted(low * part[1])
+        carried = F.shiftrightunsigned(below, 32) + F.shiftrightunsigned(low * part[1], 16)
+        above = carried + low * part[2] + shifted(low * part[3]) + high * part[0] + shifted(high * part[1])
+        return F.shiftleft(above, 32).bitwiseOR(below.bitwiseAND(LOW))
+
+    return let(a, both)
+
+
+def mixed(z: Column) -> Column:
+    """The finaliser of mix."""
+    turned = lambda x, bits: let(x, lambda y: y.bitwiseXOR(F.shiftrightunsigned(y, bits)))
+    return turned(times(turned(times(turned(z, 30), MIX_A), 27), MIX_B), 31)
+
+
+def shard_seed_of(base: Column, shard: Column) -> Column:
+    """shard_seed as a column of whole numbers; null where one of them is null."""
+    return mixed(base.cast("bigint").bitwiseXOR(times(shard.cast("bigint"), SHARD_STEP)))
 
 
-@F.pandas_udf(T.LongType())
-def sample_seed_udf(seed: pd.Series, sample: pd.Series) -> pd.Series:
-    return pd.Series(sample_seed(seed.to_numpy(np.int64).view(np.uint64), sample.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+def sample_seed_of(seed: Column, sample: Column) -> Column:
+    """sample_seed as a column of whole numbers; null where one of them is null."""
+    return mixed(added(seed.cast("bigint"), times(sample.cast("bigint"), SAMPLE_STEP)))
 
 
 def hex16(c: Column) -> Column:

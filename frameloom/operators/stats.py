@@ -166,7 +166,7 @@ def masked_sum(rows: DataFrame, by: list[str], value: Column, counted: Column, n
 def progress(done: Column, total: Column, seconds: Column) -> dict[str, Column]:
     """Per cent, rate and time left."""
     rate = F.when(seconds > 0, done / seconds)
-    return {"percent": F.when(total > 0, done * 100.0 / total).otherwise(F.lit(0.0)), "rate": rate, "eta": F.when(rate > 0, X.clock((total - done) / rate))}
+    return {"percent": F.when(total > 0, done * 100.0 / total).otherwise(F.lit(0.0)), "rate": rate, "eta": F.when(rate > 0, X.clock(F.greatest(total - done, F.lit(0)) / rate))}
 
 
 def bracket_metrics(rows: DataFrame, conditional, symbols: int, max_depth: int) -> DataFrame:

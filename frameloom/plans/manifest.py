@@ -8,6 +8,7 @@ from frameloom.errors import ManifestError
 from frameloom.operators.processors import PROCESSORS
 from frameloom.sinks.files import FORMATS
 from frameloom.sources.kernels import GENERATORS
+from frameloom.sources.tables import TABLE, problems as table_problems
 
 #: Shards for each worker thread where a task does not say.
 SHARDS_PER_THREAD = 4
@@ -34,9 +35,20 @@ class Task:
         configs = self.extensions.get("pipeline_config") or {}
         return [(name, dict(configs.get(name) or {})) for name in self.pipeline]
 
-    def shards(self, threads: int) -> int:
+    def samples_per_shard(self, threads: int) -> int:
         return self.shard_size or max(1, -(-self.count // (SHARDS_PER_THREAD * max(1, threads))))
 
+    def shard_count(self, threads: int) -> int:
+        """A table's shards are told or follow from the threads; a generator's from the samples."""
+        if self.generator == TABLE:
+            return self.generator_config().get("shards", SHARDS_PER_THREAD * max(1, threads))
+        return -(-self.count // self.samples_per_shard(threads))
+
+    def samples_of(self, shard: int, threads: int) -> int:
+        """How many samples a generator's shard has; a table's are known when it is read."""
+        size = self.samples_per_shard(threads)
+        return 0 if self.generator == TABLE else min(size, self.count - shard * size)
+
 
 @dataclass(frozen=True)
 class Manifest:
@@ -71,11 +83,13 @@ class Manifest:
         for t in self.tasks:
             if not t.name:
                 problems.append("a task has no name")
-            if t.count <= 0:
+            if t.generator == TABLE:
+                problems += [f"{t.name}: {p}" for p in table_problems(t.generator_config())]
+            elif t.count <= 0:
                 problems.append(f"{t.name}: count must be positive")
             if t.shard_size is not None and t.shard_size <= 0:
                 problems.append(f"{t.name}: shard_size must be positive")
-            if t.generator not in GENERATORS:
+            if t.generator != TABLE and t.generator not in GENERATORS:
                 problems.append(f"{t.name}: no generator {t.generator!r}")
             if t.output_format is not None and t.output_format not in FORMATS:
                 problems.append(f"{t.name}: no format {t.output_format!r}")
@@ -97,7 +111,7 @@ def parse(data: dict) -> Manifest:
     top = _is(_is(data, dict, "a manifest").get("global", {}), dict, "global")
     for i, t in enumerate(_is(data.get("tasks"), list, "tasks")):
         _is(t, dict, f"task {i}")
-        missing = [k for k in ("name", "generator", "count", "seed") if k not in t]
+        missing = [k for k in ("name", "generator", "count", "seed") if k not in t and not (k == "count" and t.get("generator") == TABLE)]
         if missing:
             raise ManifestError(f"task {i} lacks {', '.join(missing)}")
         params = _is(t.get("params") or {}, dict, f"task {i}: params")
@@ -111,7 +125,7 @@ def parse(data: dict) -> Manifest:
                 names.append(_is(p, str, f"task {i}: a pipeline entry"))
         if configs:
             extensions["pipeline_config"] = configs
-        made.append(Task(_is(t["name"], str, "name"), _is(t["generator"], str, "generator"), _is(t["count"], int, "count"), _is(t["seed"], int, "seed"), _is(params.get("seq_length", 0), int, "seq_length"), extensions, tuple(names), t.get("output_format"), t.get("shard_size")))
+        made.append(Task(_is(t["name"], str, "name"), _is(t["generator"], str, "generator"), _is(t.get("count", 0), int, "count"), _is(t["seed"], int, "seed"), _is(params.get("seq_length", 0), int, "seq_length"), extensions, tuple(names), t.get("output_format"), t.get("shard_size")))
     keys = ("default_format", "num_threads", "log_level", "shard_max_sequences", "stream_write")
     return Manifest(_is(top.get("output_dir", ""), str, "output_dir"), tuple(made), **{k: top[k] for k in keys if top.get(k) is not None})
 

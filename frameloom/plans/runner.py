@@ -23,6 +23,7 @@ from frameloom.plans.manifest import Manifest, Task, load
 from frameloom.plans.progress import State, watching
 from frameloom.sinks import files
 from frameloom.sources.generate import generate
+from frameloom.sources.tables import TABLE, table_frames
 
 LOG = logging.getLogger("frameloom")
 #: Exit codes: all went well, some shards failed, all failed or nothing could run.
@@ -32,25 +33,37 @@ LEVELS = {"trace": 5, "debug": logging.DEBUG, "info": logging.INFO, "warn": logg
 
 def task_frames(spark: SparkSession, task: Task, threads: int) -> tuple[DataFrame, DataFrame]:
     """The processed frames of the shards that went well, and (task, shard_id, error) of the others. Generation runs once."""
-    made = checkpointed(generate(spark, task.generator, task.generator_config(), task.count, task.seq_length, task.seed, task.name, task.shards(threads), isolate=True))
+    if task.generator == TABLE:
+        none = spark.createDataFrame([], "task string, shard_id int, error string")
+        return checkpointed(chain(table_frames(spark, task.generator_config(), task.name, task.shard_count(threads)), task.steps())), none
+    made = checkpointed(generate(spark, task.generator, task.generator_config(), task.count, task.seq_length, task.seed, task.name, task.samples_per_shard(threads), isolate=True))
     failed = made.where("error is not null").groupBy("task", "shard_id").agg(F.min("error").alias("error"))
     good = made.where("error is null").drop("error").join(failed, ["task", "shard_id"], "left_anti")
     return chain(good, task.steps()), failed
 
 
+def shard_rows(task: Task, results: DataFrame, failed: DataFrame, shards: int) -> DataFrame:
+    """A row for each shard of a task, those without a file included: what was written, joined with what failed before."""
+    known = results.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard_id"))
+    why = failed.select("shard_id", F.col("error").alias("_why"))
+    told = known.join(results.drop("task", "seed", "format"), "shard_id", "left").join(why, "shard_id", "left")
+    numbers = [F.coalesce(n, F.lit(0)).alias(n) for n in ("frames", "bytes")]
+    return told.select(F.lit(task.name).alias("task"), "shard_id", "samples", *numbers, "filename", "sha256", F.coalesce("_why", "error").alias("error")).orderBy("shard_id")
+
+
 def run_task(spark: SparkSession, manifest: Manifest, task: Task, threads: int) -> list[dict]:
     """Rows of the report, one for each shard."""
-    fmt, size = manifest.format_of(task), task.shards(threads)
-    shards = -(-task.count // size)
+    fmt = manifest.format_of(task)
     frames, failed = task_frames(spark, task, threads)
-    errors = {r["shard_id"]: r["error"] for r in failed.collect()}
-    results = {r["shard_id"]: r.asDict() for r in files.write_shards(frames, manifest.output_dir, fmt, task.seed, task.extensions.get("sink_config")).collect()}
+    results = files.write_shards(frames, manifest.output_dir, fmt, task.seed, task.extensions.get("sink_config"))
     rows = []
-    for shard in range(shards):
-        row = results.get(shard, {"samples": min(size, task.count - shard * size), "frames": 0, "bytes": 0, "filename": None, "sha256": None, "error": None})
-        rows.append(row | {"task": task.name, "shard_id": shard, "seed": int(shard_seed(task.seed, shard)), "format": fmt, "error": errors.get(shard, row["error"])})
-        LOG.debug("task %s shard %s: %s frames", task.name, shard, rows[-1]["frames"])
-    LOG.info("task %s: %s of %s shards", task.name, sum(r["error"] is None for r in rows), shards)
+    for r in shard_rows(task, results, failed, task.shard_count(threads)).toLocalIterator():  # a row for each file
+        row = r.asDict()
+        if row["samples"] is None:
+            row["samples"] = task.samples_of(r["shard_id"], threads)
+        rows.append(row | {"seed": int(shard_seed(task.seed, r["shard_id"])), "format": fmt})
+        LOG.debug("task %s shard %s: %s frames", task.name, r["shard_id"], row["frames"])
+    LOG.info("task %s: %s of %s shards", task.name, sum(r["error"] is None for r in rows), len(rows))
     return rows
 
 
@@ -66,12 +79,11 @@ def run(spark: SparkSession, manifest: Manifest, tell: Callable[[str, State], No
                 rows = run_task(spark, manifest, task, threads)
         except (FrameloomError, pyspark.errors.PySparkException, ValueError, OSError) as e:
             LOG.error("task %s failed: %s", task.name, e)
-            size = task.shards(threads)
-            rows = [{"task": task.name, "shard_id": s, "seed": int(shard_seed(task.seed, s)), "samples": 0, "frames": 0, "bytes": 0, "filename": None, "sha256": None, "format": manifest.format_of(task), "error": f"{type(e).__name__}: {str(e)[:500]}"} for s in range(-(-task.count // size))]
+            rows = [{"task": task.name, "shard_id": s, "seed": int(shard_seed(task.seed, s)), "samples": 0, "frames": 0, "bytes": 0, "filename": None, "sha256": None, "format": manifest.format_of(task), "error": f"{type(e).__name__}: {str(e)[:500]}"} for s in range(task.shard_count(threads))]
         good = [r for r in rows if r["error"] is None]
         total = lambda k, rows=good: sum(r[k] or 0 for r in rows)
         tasks.append({
-            "task_name": task.name, "generator": task.generator, "params_snapshot": {"seq_length": task.seq_length, "extensions": task.extensions}, "base_seed": task.seed, "sample_count": task.count, "shard_count": len(rows),
+            "task_name": task.name, "generator": task.generator, "params_snapshot": {"seq_length": task.seq_length, "extensions": task.extensions}, "base_seed": task.seed, "sample_count": total("samples", rows) if task.generator == TABLE else task.count, "shard_count": len(rows),
             "total_frames": total("frames"), "total_bytes": total("bytes"), "avg_frames_per_sample": total("frames") / total("samples") if total("samples") else 0.0,
             "output_files": [{"filename": r["filename"], "format": r["format"], "shard_id": r["shard_id"], "seed": r["seed"], "frames": r["frames"], "file_size": r["bytes"], "sha256": r["sha256"]} for r in good if r["filename"]],
             "elapsed_ms": int(1000 * (time.monotonic() - start)), "failed_shards": [{"shard_id": r["shard_id"], "seed": r["seed"], "error_message": r["error"]} for r in rows if r["error"] is not None],

@@ -10,12 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from frameloom.functions import automata as A, frames as X
-from frameloom.functions.seeds import hex16, sample_seed_udf, shard_seed_udf
+from frameloom.functions.seeds import SHARD_STEP, hex16, sample_seed_of, shard_seed_of, times
 from frameloom.functions.tokenizers import FlatTokenizer
 from frameloom.lineage import through_files
 from frameloom.model import as_frames
 from frameloom.operators import brackets as B, corpus as C, stats as S
 from frameloom.operators.processors import chain
+from frameloom.plans.manifest import parse
+from frameloom.plans.runner import run as run_manifest
 from frameloom.sinks import files
 from frameloom.sources import readers, rules
 from frameloom.sources.generate import generate
@@ -325,11 +327,13 @@ def grid_accuracy_embeddings(spark, d):
     return out.select("label", r6("cell_accuracy").alias("cell_accuracy"), r6("grid_accuracy").alias("grid_accuracy"))
 
 
-@query("SELECT user_id, count(*) AS done, round(count(*) * 100.0 / 200, 6) AS percent, round(count(*) / 60.0, 6) AS rate FROM events GROUP BY user_id")
+@query("""SELECT user_id, done, round(done * 100.0 / 200, 6) AS percent, round(done / 60.0, 6) AS rate, printf('%02d:%02d:%02d', rest // 3600, rest // 60 % 60, rest % 60) AS eta
+FROM (SELECT user_id, count(*) AS done, greatest(200 - count(*), 0) * 60 // count(*) AS rest FROM events GROUP BY user_id)""")
 def run_progress(spark, d):
+    """Each user's events as a task of 200 that has run for a minute: per cent, rate, and the time that is left."""
     told = read(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("done"))
     p = S.progress(F.col("done"), F.lit(200), F.lit(60.0))
-    return told.select("user_id", "done", r6(p["percent"]).alias("percent"), r6(p["rate"]).alias("rate"))
+    return told.select("user_id", "done", r6(p["percent"]).alias("percent"), r6(p["rate"]).alias("rate"), p["eta"].alias("eta"))
 
 
 @query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS at FROM embeddings")
@@ -379,6 +383,21 @@ def state_colours(spark, d):
     return signs(spark, d).select("vec_id", F.array_join(F.transform("s", lambda v: X.hue(v, 2)), ",").alias("colours"))
 
 
+#: One channel of the wheel: full for two of six parts, gone for two, and a slope between them.
+CHANNEL = "lpad(lower(to_hex(CAST(round(255 * (1 - greatest(least(({k} + h) % 6, 4 - ({k} + h) % 6, 1), 0))) AS BIGINT))), 2, '0')"
+
+
+@query(f"""WITH {GRID}, c AS (SELECT vec_id, n, i, s[i] + CASE n WHEN 4 THEN 0 ELSE (i - 1) % 5 END AS x FROM g, (SELECT unnest([4, 7]) AS n), (SELECT unnest(range(1, 65)) AS i)),
+h AS (SELECT *, x * (6.0::DOUBLE / n) AS h FROM c)
+SELECT vec_id, CAST(n AS INT) AS n, string_agg(CASE WHEN x >= n THEN 'ff00ff' ELSE {CHANNEL.format(k="5::DOUBLE")} || {CHANNEL.format(k="3::DOUBLE")} || {CHANNEL.format(k="1::DOUBLE")} END, ',' ORDER BY i) AS colours FROM h GROUP BY ALL""")
+def state_colours_wheel(spark, d):
+    """Grids of four states, and of seven of which some cells are beyond the last, as colours of a wheel."""
+    grid = grids(spark, d).select(F.col("sample_id").alias("vec_id"), "state")
+    seven = F.transform("state", lambda v, i: X.hue(v + i % 5, 7))
+    made = F.array(F.struct(F.lit(4).alias("n"), F.transform("state", lambda v: X.hue(v, 4)).alias("c")), F.struct(F.lit(7).alias("n"), seven.alias("c")))
+    return grid.select("vec_id", F.inline(made)).select("vec_id", "n", F.array_join("c", ",").alias("colours"))
+
+
 # ---- joins, windows, sorts, sets ---------------------------------------------------------------------------------------------
 @query("""WITH c AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding) > 0 AS x FROM embeddings), p AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, x FROM c),
 o AS (SELECT * FROM (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(dr, dc))
@@ -876,22 +895,23 @@ def human_bytes(spark, d):
     return read(spark, d, "orders").select("o_orderkey", X.human_bytes(b).alias("size"), X.clock(b).alias("clock"))
 
 
-@query("""WITH a AS (SELECT n_nationkey AS k, xor(42::UHUGEINT, (n_nationkey::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT) AS z FROM nation),
-b AS (SELECT k, (xor(z, z >> 30) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM a),
-c AS (SELECT k, (xor(z, z >> 27) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM b)
-SELECT k AS n_nationkey, lpad(lower(to_hex(xor(z, z >> 31))), 16, '0') AS seed FROM c""")
+SEED_OF = """{made},
+b AS (SELECT *, (xor(z, z >> 30) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS y FROM a),
+c AS (SELECT *, (xor(y, y >> 27) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM b)
+SELECT o_orderkey, lpad(lower(to_hex(xor(x, x >> 31))), 16, '0') AS seed FROM c"""
+
+
+@query(SEED_OF.format(made="WITH a AS (SELECT o_orderkey, xor(o_custkey::UHUGEINT, (o_orderkey::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT) AS z FROM orders)"))
 def derive_seeds(spark, d):
-    ship(spark)
-    return read(spark, d, "nation").select("n_nationkey", hex16(shard_seed_udf(F.lit(42).cast("bigint"), F.col("n_nationkey").cast("bigint"))).alias("seed"))
+    """The seed of each order as a shard of its customer."""
+    return read(spark, d, "orders").select("o_orderkey", hex16(shard_seed_of(F.col("o_custkey"), F.col("o_orderkey"))).alias("seed"))
 
 
-@query("""WITH a AS (SELECT n_nationkey AS k, (42::UHUGEINT + (n_nationkey::UHUGEINT * 5871781006564002453::UHUGEINT)) % 18446744073709551616::UHUGEINT AS z FROM nation),
-b AS (SELECT k, (xor(z, z >> 30) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM a),
-c AS (SELECT k, (xor(z, z >> 27) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM b)
-SELECT k AS n_nationkey, lpad(lower(to_hex(xor(z, z >> 31))), 16, '0') AS seed FROM c""")
+@query(SEED_OF.format(made="""WITH d AS (SELECT o_orderkey, o_custkey, (o_custkey::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS s FROM orders),
+a AS (SELECT o_orderkey, (s + (o_orderkey::UHUGEINT * 5871781006564002453::UHUGEINT) % 18446744073709551616::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM d)"""))
 def derive_sample_seeds(spark, d):
-    ship(spark)
-    return read(spark, d, "nation").select("n_nationkey", hex16(sample_seed_udf(F.lit(42).cast("bigint"), F.col("n_nationkey").cast("bigint"))).alias("seed"))
+    """The seed of each order as a sample of a shard whose seed has all 64 bits."""
+    return read(spark, d, "orders").select("o_orderkey", hex16(sample_seed_of(times(F.col("o_custkey").cast("bigint"), SHARD_STEP), F.col("o_orderkey"))).alias("seed"))
 
 
 # ---- generators --------------------------------------------------------------------------------------------------------------
@@ -996,10 +1016,10 @@ def gen_lsystem(spark, d):
     return told.select("n_nationkey", "step", "text")
 
 
-@query("SELECT n_nationkey, array_to_string(list_transform(string_split(array_to_string(range(n_nationkey, n_nationkey + 12), ''), ''), lambda c: CAST(c AS BIGINT)), ',') AS digits FROM nation")
+@query("SELECT o_orderkey, array_to_string(list_transform(string_split(array_to_string(range(o_orderkey * 7 + o_custkey, o_orderkey * 7 + o_custkey + 12), ''), ''), lambda c: CAST(c AS BIGINT)), ',') AS digits FROM orders")
 def champernowne(spark, d):
-    numbers = F.sequence(F.col("n_nationkey"), F.col("n_nationkey") + 11)
-    return read(spark, d, "nation").select("n_nationkey", joined(X.decimal_digits(numbers)).alias("digits"))
+    """Twelve numbers in a row as digits, from a number that each order settles."""
+    return read(spark, d, "orders").select("o_orderkey", joined(X.counted_digits(F.col("o_orderkey") * 7 + F.col("o_custkey"), 12)).alias("digits"))
 
 
 @query("""WITH RECURSIVE c AS (SELECT p_partkey, list_transform(range(0, 6), lambda i: (p_partkey // CAST(pow(4, i) AS BIGINT)) % 4) AS s FROM part),
@@ -1168,5 +1188,37 @@ def nca_training_sequences(spark, d):
     return tokens.select("sample_id", joined("state").alias("seq"), joined(X.next_targets(F.col("state"), masked=18)).alias("target"))
 
 
+# ---- manifests over tables -----------------------------------------------------------------------------------------------------
+SHARD = "(('0x' || substr(md5(CAST(sample_id AS VARCHAR)), 1, 8))::BIGINT)"
+_SEEDS = mixed_sql("SELECT k, xor(7::UHUGEINT, (k::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT) AS z FROM (SELECT unnest(range(97)) AS k)", "k")
+
+
+@query(f"""WITH {EV}, a AS (SELECT sample_id, pos, chr(CAST(65 + {NORM} AS INT)) || coalesce(' ' || event_type, '') || chr(10) AS line FROM ev WINDOW s AS (PARTITION BY sample_id)),
+b AS (SELECT sample_id, pos // 2 AS pair, count(*) AS width, arg_min(event_type, pos) AS label FROM ev GROUP BY ALL),
+f AS (SELECT 'values' AS task, {SHARD} % 7 AS shard, 'txt' AS extension, count(*) AS frames, sum(strlen(line)) AS size, sha256(string_agg(line, '' ORDER BY sample_id, pos)) AS digest, false AS failed FROM a GROUP BY ALL
+  UNION ALL SELECT 'pairs', {SHARD} % 97 AS shard, 'bin', count(*), 20 + sum(21 + 9 * width + coalesce(strlen(label), 0)), NULL, count(DISTINCT width) > 1 FROM b GROUP BY shard)
+SELECT task, CAST(shard AS INT) AS shard_id, CASE WHEN NOT failed THEN task || '_' || lpad(CAST(shard AS VARCHAR), 5, '0') || '_' || lpad(lower(to_hex(z)), 16, '0') || '.' || extension END AS filename,
+CASE WHEN NOT failed THEN frames END AS frames, CASE WHEN NOT failed THEN CAST(size AS BIGINT) END AS size, digest, failed FROM f JOIN ({_SEEDS}) ON k = shard""")
+def manifest_of_tables(spark, d):
+    """What metadata.json says of two tasks over events: lines of characters, and pairs of values, whose shards fail where a user's last pair is short."""
+    events = {"path": f"{d}/events.parquet", "sample": "user_id", "order": ["ts", "event_id"], "cells": ["value"], "label": "event_type"}
+    task = lambda name, shards, fmt, pipeline: {"name": name, "generator": "table", "seed": 7, "output_format": fmt, "pipeline": pipeline, "params": {"extensions": {"table": events | {"shards": shards}}}}
+    letters = ["normalizer", {"name": "token_mapper", "config": {"start_codepoint": 65}}]
+    pairs = [{"name": "sequence_stitcher", "config": {"frames_per_sequence": 2}}]
+    file = "filename string, shard_id int, frames bigint, file_size bigint, sha256 string"
+    told = f"tasks array<struct<task_name string, output_files array<struct<{file}>>, failed_shards array<struct<shard_id int, error_message string>>>>"
+
+    def write(folder):
+        run_manifest(spark, parse({"global": {"output_dir": folder}, "tasks": [task("values", 7, "Text", letters), task("pairs", 97, "Binary", pairs)]}))
+
+    def back(folder):
+        tasks = spark.read.schema(told).option("multiLine", True).json(f"{folder}/metadata.json").select(F.inline("tasks"))
+        written = tasks.select(F.col("task_name").alias("task"), F.inline("output_files"), F.lit(False).alias("failed"))
+        failed = tasks.select(F.col("task_name").alias("task"), F.inline("failed_shards"), F.lit(True).alias("failed")).drop("error_message")
+        return written.unionByName(failed, allowMissingColumns=True)
+
+    return through_files(spark, write, back).select("task", "shard_id", "filename", "frames", F.col("file_size").alias("size"), F.when(F.col("task") == "values", F.col("sha256")).alias("digest"), "failed")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline_full_events(spark, sf_dir)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from frameloom.errors import InvalidParams, SerializationError
+from frameloom.functions.frames import counted_digits
 from frameloom.model import KINDS
 from frameloom.sinks.files import CELL, MAGIC, VERSION, cells_as
 from frameloom.sources.ranges import ArrayFiles, TokenFiles, read_ranges
@@ -108,10 +109,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def champernowne(spark: SparkSession, count: int, start: int, numbers: int) -> DataFrame:
     """(sample_id, state): the digits of `numbers` numbers in a row from start + sample on."""
-    from frameloom.functions.frames import decimal_digits
-
-    first = F.col("id") + start
-    return spark.range(count).select(F.col("id").alias("sample_id"), decimal_digits(F.sequence(first, first + numbers - 1)).alias("state"))
+    return spark.range(count).select(F.col("id").alias("sample_id"), counted_digits(F.col("id") + start, numbers).alias("state"))
 
 
 def brackets(spark: SparkSession, count: int, symbols: int, length: int, seed: int, shuffled: bool = False, p_open: float = 0.5, min_depth: int = 1, max_depth: int | None = None, early_end: bool = False) -> DataFrame:

@@ -146,3 +146,18 @@ def test_tiled_start_shares_its_chances():
     first = {m: next(GENERATORS.get("nca2d")({"rows": 10, "cols": 10, "n_groups": 2, "d_state": 5, "init_mode": m}).run(seeds)) for m in ("cells", "tiled")}
     top = lambda cells: np.array([[np.bincount(row[g::2], minlength=5).max() for g in (0, 1)] for row in cells])
     assert top(first["tiled"]).mean() > top(first["cells"]).mean() + 10  # one colour leads in each group
+
+
+def test_seeds_as_columns_are_those_of_numpy(spark):
+    from frameloom.functions.seeds import sample_seed_of, shard_seed_of
+
+    edges = [0, 1, -1, 2**63 - 1, -(2**63), 2**32, 2**32 - 1, 2**31, 42]
+    drawn = [int(x) for x in np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 60)]
+    rows = [(a, b) for a in edges for b in edges] + list(zip(drawn, reversed(drawn), strict=True)) + [(None, 1), (1, None)]
+    out = spark.createDataFrame(rows, "a long, b long").select("a", "b", shard_seed_of(F.col("a"), F.col("b")).alias("shard"), sample_seed_of(F.col("a"), F.col("b")).alias("sample")).collect()
+    for r in out:
+        if r.a is None or r.b is None:
+            assert r.shard is None and r.sample is None
+            continue
+        a, b = r.a % (1 << 64), r.b % (1 << 64)
+        assert (r.shard % (1 << 64), r.sample % (1 << 64)) == (int(shard_seed(a, b)), int(sample_seed(a, b)))
