@@ -7,6 +7,7 @@ A shard that fails gives one row with its error instead of failing the job.
 from __future__ import annotations
 
 import json
+from collections import OrderedDict
 from collections.abc import Iterator
 from itertools import islice
 
@@ -100,6 +101,89 @@ def generate(spark: SparkSession, generator: str, config: dict | None = None, co
     return spark.range(0, count, 1, partitions or spark.sparkContext.defaultParallelism).mapInArrow(run, columns)
 
 
+#: Blocks of samples whose generators a worker keeps between micro-batches, at most.
+KEPT = 32
+_LIVE: OrderedDict[tuple[str, int], tuple[int, Iterator]] = OrderedDict()
+
+
+def block_steps(plan: dict, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each step the numbers of the samples that go on, their cells one after another, and how many each has."""
+    kernel = GENERATORS.get(plan["generator"])(plan["config"])
+    shards = ids // plan["size"]
+    seeds = sample_seed(shard_seed(plan["seed"], shards), ids - shards * plan["size"])
+    if not kernel.ragged:
+        for grid in kernel.run(seeds):
+            yield ids, grid.reshape(-1), np.full(len(ids), grid.shape[1])
+        return
+    alive = [(i, sample_frames(kernel, int(seed), plan["steps"])) for i, seed in zip(ids, seeds, strict=True)]
+    while alive:
+        made = [(i, frames, state) for i, frames in alive if (state := next(frames, None)) is not None]
+        alive = [(i, frames) for i, frames, _ in made]
+        yield np.array([i for i, _, _ in made], np.int64), np.array([c for _, _, s in made for c in s]), np.array([len(s) for _, _, s in made], np.int64)
+
+
+def endless_batches(key: str, block: int, start: int, stop: int) -> Iterator[pa.RecordBatch]:
+    """The steps start .. stop - 1 of a block of samples, in batches of bounded size; key is the plan as JSON.
+
+    A worker that made the steps before goes on from there; any other runs the block anew up to `start`, with the same frames.
+    """
+    plan = json.loads(key)
+    at, steps = _LIVE.pop((key, block), (-1, None))
+    if at != start:
+        lo, hi = (plan["count"] * b // plan["blocks"] for b in (block, block + 1))
+        steps = block_steps(plan, np.arange(lo, hi))
+        next(islice(steps, start, start), None)
+    kind, held, cells = GENERATORS.get(plan["generator"])(plan["config"]).kind, [], 0
+
+    def batch() -> pa.RecordBatch:
+        ids = np.concatenate([i for _, (i, _, _) in held])
+        at = np.concatenate([np.full(len(i), step) for step, (i, _, _) in held])
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate([n for _, (_, _, n) in held]))])
+        shards = ids // plan["size"]
+        return _batch(plan["task"], shards, ids - shards * plan["size"], at, np.concatenate([c for _, (_, c, _) in held]), offsets, kind)
+
+    for step in range(start, min(stop, plan["steps"]) if plan["steps"] else stop):
+        made = next(steps, None)
+        if made is None:
+            break
+        if len(made[0]):
+            held.append((step, made))
+            cells += len(made[1])
+        if cells >= CELLS:
+            yield batch()
+            held, cells = [], 0
+    if held:
+        yield batch()
+    _LIVE[(key, block)] = (stop, steps)
+    while len(_LIVE) > KEPT:
+        _LIVE.popitem(last=False)
+
+
+def generate_stream(spark: SparkSession, generator: str, config: dict | None = None, count: int = 1, frames_per_batch: int = 16, seq_length: int = 0, seed: int = 0, task: str = "task", shard_size: int | None = None, blocks: int | None = None) -> DataFrame:
+    """Frames of endless samples as a stream whose rows the executors make: each micro-batch goes on by frames_per_batch steps.
+
+    Spark's own source numbers the micro-batches, so what a batch holds follows from its number alone: a stream that is started
+    again from its checkpoint goes on where it was, and a batch that is read again has the same frames. Samples are dealt to
+    `blocks`, a task each. A trigger sets the pace, and a batch's size is fixed: count * frames_per_batch frames at most. Samples
+    that end, and all of them after seq_length steps, give no more frames.
+    """
+    ship(spark)
+    kernel = GENERATORS.get(generator)(config or {})
+    if count < 1 or seq_length < 0 or frames_per_batch < 1:
+        raise InvalidParams("count and frames_per_batch must be positive, and seq_length not negative")
+    parts = max(1, min(count, blocks or spark.sparkContext.defaultParallelism))
+    key = json.dumps({"generator": generator, "config": config or {}, "count": count, "steps": seq_length, "seed": seed, "task": task, "size": shard_size or count, "blocks": parts})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                turn, block = divmod(value, parts)
+                yield from endless_batches(key, block, turn * frames_per_batch, (turn + 1) * frames_per_batch)
+
+    turns = spark.readStream.format("rate-micro-batch").options(rowsPerBatch=str(parts), numPartitions=str(parts)).load()
+    return turns.select("value").mapInArrow(run, schema(kernel.kind))
+
+
 class FrameSource(DataSource):
     """format("frameloom"): options generator, config (JSON), count, seq_length, seed, task, shard_size, frames_per_batch to read;
     sink, seed and those of a sink to write (see FrameWriter)."""
@@ -145,7 +229,8 @@ class ShardReader(DataSourceReader):
 
 
 class EndlessReader(SimpleDataSourceStreamReader):
-    """Frames of endless samples, so many steps a batch; the offset is the next step, so a replay gives the same frames.
+    """Frames of a few endless samples, so many steps a batch; the offset is the next step, so a replay gives the same frames. The
+    rows are made where the stream is planned: generate_stream has the executors make them.
 
     The samples' generators live on between batches, so a batch costs its own steps alone. Only after a restart, or where a batch
     is read again, are they run anew up to where it begins.
@@ -197,4 +282,4 @@ def register_sources(spark: SparkSession) -> None:
     spark.dataSource.register(FrameSource)
 
 
-__all__ = ["FrameSource", "generate", "register_sources", "shard_batches"]
+__all__ = ["FrameSource", "generate", "generate_stream", "register_sources", "shard_batches"]

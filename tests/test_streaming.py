@@ -127,3 +127,29 @@ def test_endless_batches_go_on_where_they_were():
     anew = list(G.EndlessReader(plan, 4).readBetweenOffsets({"step": 0}, {"step": 12}))
     assert sorted(got, key=lambda r: r[2:4]) == sorted(anew, key=lambda r: r[2:4])
     assert list(reader.readBetweenOffsets({"step": 4}, {"step": 8})) == [r for r in got if 4 <= r[3] < 8]
+
+
+@pytest.mark.parametrize(("generator", "config"), [("lorenz", {}), ("lsystem", {}), ("ca", {"width": 8})])
+def test_endless_samples_are_made_by_executors_and_go_on_after_a_restart(spark, tmp_path, generator, config):
+    from frameloom.sources.generate import generate, generate_stream
+
+    stream = lambda: generate_stream(spark, generator, config, count=7, frames_per_batch=3, seq_length=8, seed=5, shard_size=4, blocks=3)
+    assert stream().isStreaming
+    for _ in range(4):  # each run is a new query on the old checkpoint
+        stateful.run_through(stream(), str(tmp_path / "out"), str(tmp_path / "cp"))
+    key = ["task", "shard_id", "sample_id", "pos", "step_index", "state"]
+    expected = generate(spark, generator, config, count=7, seq_length=8, seed=5, shard_size=4)
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(key).collect())) == sorted(map(str, expected.select(key).collect()))
+
+
+def test_a_block_of_samples_goes_on_or_runs_anew():
+    import json
+
+    from frameloom.sources import generate as G
+
+    plan = {"generator": "logistic", "config": {}, "count": 5, "steps": 0, "seed": 9, "task": "t", "size": 5, "blocks": 2}
+    made = lambda a, b: [r for x in G.endless_batches(json.dumps(plan), 1, a, b) for r in x.select(["sample_id", "pos", "state"]).to_pylist()]
+    whole = made(0, 9)
+    assert {r["sample_id"] for r in whole} == {2, 3, 4} and len(whole) == 27
+    assert made(0, 4) + made(4, 9) == whole  # the second goes on
+    assert made(4, 9) == whole[12:]  # nothing is kept for step 4 any more

@@ -1,5 +1,6 @@
 import hashlib
 import json
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ def test_a_manifest_over_a_table_is_reported_shard_by_shard(spark, tmp_path):
 
 
 def test_cells_of_columns_and_arrays(spark, tmp_path):
-    rows = spark.createDataFrame([([1.5, None], True, 2, 0.5), (None, None, None, None)], "a array<float>, b boolean, c int, d decimal(3, 1)")
+    rows = spark.createDataFrame([([1.5, None], True, 2, Decimal("0.5")), (None, None, None, None)], "a array<float>, b boolean, c int, d decimal(3, 1)")
     out = rows.select(cells_of(rows, ["a"]).alias("a"), cells_of(rows, ["b"]).alias("b"), cells_of(rows, ["c", "c"]).alias("c"), cells_of(rows, ["c", "d"]).alias("d")).collect()
     assert [list(v) for v in out[0]] == [[1.5, 0.0], [True], [2, 2], [2.0, 0.5]] and [list(v) for v in out[1]] == [[], [False], [0, 0], [0.0, 0.0]]
     for names in (["s"], ["b", "c"]):
