@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, functions as F
-
-from frameloom.functions.frames import let
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: The finaliser's multipliers and the two stream increments.
 MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -90,39 +88,38 @@ LOW, LOWER = (1 << 32) - 1, (1 << 16) - 1
 def added(a: Column, b: Column) -> Column:
     """a + b modulo 2**64."""
     low = a.bitwiseAND(LOW) + b.bitwiseAND(LOW)
-    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32)
-    return let(low, lambda x: F.shiftleft(high + F.shiftrightunsigned(x, 32), 32).bitwiseOR(x.bitwiseAND(LOW)))
+    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(LOW))
 
 
 def times(a: Column, factor: int) -> Column:
     """a * factor modulo 2**64."""
     part = [F.lit(factor >> 16 * i & LOWER).cast("bigint") for i in range(4)]
-
-    def both(x: Column) -> Column:
-        low, high = x.bitwiseAND(LOW), F.shiftrightunsigned(x, 32)
-        shifted = lambda y: F.shiftleft(y.bitwiseAND(LOWER), 16)
-        below = low * part[0] + shifted(low * part[1])
-        carried = F.shiftrightunsigned(below, 32) + F.shiftrightunsigned(low * part[1], 16)
-        above = carried + low * part[2] + shifted(low * part[3]) + high * part[0] + shifted(high * part[1])
-        return F.shiftleft(above, 32).bitwiseOR(below.bitwiseAND(LOW))
-
-    return let(a, both)
+    low, high = a.bitwiseAND(LOW), F.shiftrightunsigned(a, 32)
+    shifted = lambda y: F.shiftleft(y.bitwiseAND(LOWER), 16)
+    below = low * part[0] + shifted(low * part[1])
+    carried = F.shiftrightunsigned(below, 32) + F.shiftrightunsigned(low * part[1], 16)
+    above = carried + low * part[2] + shifted(low * part[3]) + high * part[0] + shifted(high * part[1])
+    return F.shiftleft(above, 32).bitwiseOR(below.bitwiseAND(LOW))
 
 
-def mixed(z: Column) -> Column:
-    """The finaliser of mix."""
-    turned = lambda x, bits: let(x, lambda y: y.bitwiseXOR(F.shiftrightunsigned(y, bits)))
-    return turned(times(turned(times(turned(z, 30), MIX_A), 27), MIX_B), 31)
+def _mixed(df: DataFrame, name: str, first: Column) -> DataFrame:
+    """df with the finaliser of `first`, in projections one on another: each names the one before several times, and generated code
+    computes it once."""
+    turned = lambda bits: F.col(name).bitwiseXOR(F.shiftrightunsigned(name, bits))
+    for step in (first, turned(30), times(F.col(name), MIX_A), turned(27), times(F.col(name), MIX_B), turned(31)):
+        df = df.withColumn(name, step)
+    return df
 
 
-def shard_seed_of(base: Column, shard: Column) -> Column:
-    """shard_seed as a column of whole numbers; null where one of them is null."""
-    return mixed(base.cast("bigint").bitwiseXOR(times(shard.cast("bigint"), SHARD_STEP)))
+def with_shard_seed(df: DataFrame, name: str, base: Column, shard: Column) -> DataFrame:
+    """df with shard_seed of whole numbers as a bigint; null where one of them is null."""
+    return _mixed(df, name, base.cast("bigint").bitwiseXOR(times(shard.cast("bigint"), SHARD_STEP)))
 
 
-def sample_seed_of(seed: Column, sample: Column) -> Column:
-    """sample_seed as a column of whole numbers; null where one of them is null."""
-    return mixed(added(seed.cast("bigint"), times(sample.cast("bigint"), SAMPLE_STEP)))
+def with_sample_seed(df: DataFrame, name: str, seed: Column, sample: Column) -> DataFrame:
+    """df with sample_seed of whole numbers as a bigint; null where one of them is null."""
+    return _mixed(df, name, added(seed.cast("bigint"), times(sample.cast("bigint"), SAMPLE_STEP)))
 
 
 def hex16(c: Column) -> Column:

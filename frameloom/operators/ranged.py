@@ -3,6 +3,9 @@
 By sample these are windows. With `per_range` a sample is split by ranges of so many places of pos, so that one endless sample
 spreads over as many tasks as it has ranges: windows run within a range, and what a range needs of those before it is a row for
 each range (its last frame, its number of frames, its smallest and largest cell), joined back. Both ways give the same rows.
+
+Frames are read twice for that, so they are written into the shared folder first: a chain costs as many writes as it has such steps,
+and no step runs those before it again.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ def with_before(frames: DataFrame, name: str = "before", per_range: int | None =
     """frames with the state of the frame before in its sample; null for the first."""
     if per_range is None:
         return frames.withColumn(name, F.lag("state").over(sample_window()))
-    told = split(frames, per_range)
+    told = checkpointed(split(frames, per_range))
     last = told.groupBy(*KEY, "_range").agg(F.max_by("state", "pos").alias("_last"))
     edges = last.select(*KEY, "_range", F.lag("_last").over(_ranges_ahead()).alias("_edge")).where("_edge is not null")
     inner = told.withColumn(name, F.lag("state").over(_within())).withColumn("_first", F.row_number().over(_within()) == 1)
@@ -59,7 +62,7 @@ def numbered(frames: DataFrame, name: str, per_range: int | None = None) -> Data
     """frames with their number in their sample, from 0, in the order of pos."""
     if per_range is None:
         return frames.withColumn(name, F.row_number().over(sample_window()) - F.lit(1).cast("bigint"))
-    told = split(frames, per_range)
+    told = checkpointed(split(frames, per_range))
     counts = told.groupBy(*KEY, "_range").agg(F.count(F.lit(1)).alias("_n"))
     ahead = F.coalesce(F.sum("_n").over(_ranges_ahead().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = _with_ranges(told, counts.select(*KEY, "_range", ahead.cast("bigint").alias("_ahead")), *KEY, "_range")
@@ -70,6 +73,7 @@ def with_more(frames: DataFrame, name: str, per_range: int | None = None) -> Dat
     """frames with whether another one follows in their sample."""
     if per_range is None:
         return frames.withColumn(name, F.lead("pos").over(sample_window()).isNotNull())
+    frames = checkpointed(frames)
     last = frames.groupBy(*KEY).agg(F.max("pos").alias("_last"))
     return _with_ranges(frames, last, *KEY).withColumn(name, F.col("pos") < F.col("_last")).select(*frames.columns, name)
 
@@ -79,5 +83,6 @@ def with_bounds(frames: DataFrame, low: Column, high: Column, names: tuple[str,
     if per_range is None:
         sample = Window.partitionBy(*KEY)
         return frames.withColumn(names[0], F.min(low).over(sample)).withColumn(names[1], F.max(high).over(sample))
+    frames = checkpointed(frames)
     bounds = frames.groupBy(*KEY).agg(F.min(low).alias(names[0]), F.max(high).alias(names[1]))
     return _with_ranges(frames, bounds, *KEY).select(*frames.columns, *names)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from frameloom.functions import automata as A, frames as X
-from frameloom.functions.seeds import SHARD_STEP, hex16, sample_seed_of, shard_seed_of, times
+from frameloom.functions.seeds import SHARD_STEP, hex16, times, with_sample_seed, with_shard_seed
 from frameloom.functions.tokenizers import FlatTokenizer
 from frameloom.lineage import through_files
 from frameloom.model import as_frames
@@ -904,14 +904,15 @@ SELECT o_orderkey, lpad(lower(to_hex(xor(x, x >> 31))), 16, '0') AS seed FROM c"
 @query(SEED_OF.format(made="WITH a AS (SELECT o_orderkey, xor(o_custkey::UHUGEINT, (o_orderkey::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT) AS z FROM orders)"))
 def derive_seeds(spark, d):
     """The seed of each order as a shard of its customer."""
-    return read(spark, d, "orders").select("o_orderkey", hex16(shard_seed_of(F.col("o_custkey"), F.col("o_orderkey"))).alias("seed"))
+    return with_shard_seed(read(spark, d, "orders"), "seed", F.col("o_custkey"), F.col("o_orderkey")).select("o_orderkey", hex16(F.col("seed")).alias("seed"))
 
 
 @query(SEED_OF.format(made="""WITH d AS (SELECT o_orderkey, o_custkey, (o_custkey::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS s FROM orders),
 a AS (SELECT o_orderkey, (s + (o_orderkey::UHUGEINT * 5871781006564002453::UHUGEINT) % 18446744073709551616::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM d)"""))
 def derive_sample_seeds(spark, d):
     """The seed of each order as a sample of a shard whose seed has all 64 bits."""
-    return read(spark, d, "orders").select("o_orderkey", hex16(sample_seed_of(times(F.col("o_custkey").cast("bigint"), SHARD_STEP), F.col("o_orderkey"))).alias("seed"))
+    shards = read(spark, d, "orders").select("o_orderkey", times(F.col("o_custkey").cast("bigint"), SHARD_STEP).alias("shard"))
+    return with_sample_seed(shards, "seed", F.col("shard"), F.col("o_orderkey")).select("o_orderkey", hex16(F.col("seed")).alias("seed"))
 
 
 # ---- generators --------------------------------------------------------------------------------------------------------------

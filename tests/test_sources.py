@@ -149,12 +149,13 @@ def test_tiled_start_shares_its_chances():
 
 
 def test_seeds_as_columns_are_those_of_numpy(spark):
-    from frameloom.functions.seeds import sample_seed_of, shard_seed_of
+    from frameloom.functions.seeds import with_sample_seed, with_shard_seed
 
     edges = [0, 1, -1, 2**63 - 1, -(2**63), 2**32, 2**32 - 1, 2**31, 42]
     drawn = [int(x) for x in np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 60)]
     rows = [(a, b) for a in edges for b in edges] + list(zip(drawn, reversed(drawn), strict=True)) + [(None, 1), (1, None)]
-    out = spark.createDataFrame(rows, "a long, b long").select("a", "b", shard_seed_of(F.col("a"), F.col("b")).alias("shard"), sample_seed_of(F.col("a"), F.col("b")).alias("sample")).collect()
+    made = with_shard_seed(spark.createDataFrame(rows, "a long, b long"), "shard", F.col("a"), F.col("b"))
+    out = with_sample_seed(made, "sample", F.col("a"), F.col("b")).collect()
     for r in out:
         if r.a is None or r.b is None:
             assert r.shard is None and r.sample is None
