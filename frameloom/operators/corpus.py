@@ -20,6 +20,8 @@ from frameloom.lineage import broadcast_if_few, checkpointed
 BUCKET = 4096
 #: Offsets that the driver walks through at most.
 HELD = 1_000_000
+#: Buffers whose starts go to every task at most: below 1 MB.
+SENT = 100_000
 
 
 def range_count(rows: int, bucket: int = BUCKET) -> int:
@@ -162,9 +164,14 @@ def buffers(docs: DataFrame, order: str, size: Column, budget: int, name: str =
 
     A buffer takes whole documents, in order, until their sizes reach the budget; the next document begins another. Where one
     begins follows from the offsets alone: the buffer after one that starts at p starts at the first offset from p + budget on.
+    Few starts are looked up by halving; many are counted by ranges of offsets.
     """
     told = checkpointed(running_offset(docs, order, size, "_offset"))
     reached = buffer_starts(told.select(F.col("_offset").alias("v")).distinct(), budget)
+    if reached.count() <= SENT:
+        starts = reached.agg(F.array_sort(F.collect_list("v")).alias("_starts"))  # one row of SENT numbers at most
+        placed = told.crossJoin(F.broadcast(starts)).withColumn("_at", X.count_at_most(F.col("_starts"), F.col("_offset")))
+        return placed.select(*docs.columns, (F.col("_at") - 1).cast("bigint").alias(name), F.element_at("_starts", F.col("_at")).alias(f"{name}_start"))
     bounds = range_bounds(told, F.col("_offset"))
     marked = told.withColumn("_range", range_of(F.col("_offset"), bounds))
     begun = checkpointed(reached.withColumn("_range", range_of(F.col("v"), bounds)))
