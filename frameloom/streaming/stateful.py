@@ -1,15 +1,17 @@
 """Processors over endless frames: what a batch does with a window is keyed state here.
 
-Processors run on transformWithState: value, list and map state of a sample in the state store, with an expiry where a sample may
-end without notice, and timers that hand out what waits. Frames of a sample must arrive in the order of pos; those of one
-micro-batch are sorted. State is one frame, the rest of a chunk or the last n frames, so it stays small however long a sample
-runs, and a query that starts again from its checkpoint goes on where it was.
+Processors run on transformWithState: samples share lanes, and a lane's map state has an entry for each of its samples, with an expiry
+where a sample may end without notice, and timers that hand out what waits. A micro-batch reads and writes the entries of the
+samples that it has. Frames of a sample must arrive in the order of pos; those of one micro-batch are sorted. An entry is one frame,
+the rest of a chunk or the last n frames, so it stays small however long a sample runs, and a query that starts again from its
+checkpoint goes on where it was.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -25,6 +27,10 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 #: Stands for a null sample while it is a key.
 UNNAMED = -(1 << 63)
 
+#: Lanes that samples share: a call of a processor costs some milliseconds, however few rows it has. A checkpoint is bound to them.
+LANES = 2048
+LANE = "lane_of_samples"
+
 
 def ready(spark: SparkSession) -> None:
     """Workers find this package, and keyed state has the store that it needs."""
@@ -38,16 +44,31 @@ def _plain(cells) -> list:
 
 
 class FrameProcessor(StatefulProcessor):
-    """Frames of a sample, sorted, batch by batch; `expiry` is how long (ms) state outlives its last frame, None for ever."""
+    """Frames of a lane's samples, by sample and sorted, batch by batch; `expiry` is how long (ms) a sample's state outlives its last
+    frame, None for ever. State is a map from a sample to what is kept of it, `kept` its schema."""
 
     def __init__(self, kind: str, expiry: int | None = None):
         self.kind, self.cells, self.expiry = kind, f"array<{KINDS[kind]}>", expiry
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        made = pd.concat(list(rows)).sort_values("pos", kind="stable")
-        yield self.frames(key, made, timerValues)
+    @property
+    def kept(self) -> str:
+        return f"cells {self.cells}"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "task string, shard_id int, sample_id bigint", self.kept, self.expiry)
 
-    def frames(self, key, made: pd.DataFrame, timers) -> pd.DataFrame:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        made = pd.concat(list(rows), ignore_index=True)
+        number = made.groupby(list(KEY), dropna=False, sort=False).ngroup().to_numpy()
+        order = np.lexsort((made["pos"], number))
+        made, cuts = made.iloc[order], (np.flatnonzero(np.diff(number[order])) + 1).tolist()
+        starts = [0, *cuts]
+        samples = zip(*[[None if pd.isna(v) else kind(v) for v in made[c].iloc[starts]] for c, kind in zip(KEY, (str, int, int), strict=True)], strict=True)
+        yield self.frames(made.drop(columns=LANE, errors="ignore"), list(zip(samples, starts, [*cuts, len(made)], strict=True)), timerValues)
+
+    def frames(self, made: pd.DataFrame, spans: list[tuple], timers) -> pd.DataFrame:
+        """What the sorted frames give; spans are (sample, first row, row after its last)."""
         raise NotImplementedError
 
 
@@ -58,95 +79,93 @@ class Dedup(FrameProcessor):
         super().__init__(kind, expiry)
         self.remove_all_zeros = remove_all_zeros
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", f"cells {self.cells}", self.expiry)
-
-    def frames(self, key, made, timers):
-        last, keep = _plain(self.last.get()[0]) if self.last.exists() else None, []
-        for cells in map(_plain, made["state"]):
-            keep.append(not (self.remove_all_zeros and not any(cells)) and cells != last)
-            last = cells if keep[-1] else last
-        if any(keep):
-            self.last.update((last,))
+    def frames(self, made, spans, timers):
+        keep, states = np.zeros(len(made), bool), list(map(_plain, made["state"]))
+        for sample, i, j in spans:
+            last = _plain(held[0]) if (held := self.held.getValue(sample)) else None
+            for k in range(i, j):
+                if states[k] != last and not (self.remove_all_zeros and not any(states[k])):
+                    keep[k], last = True, states[k]
+            if keep[i:j].any():
+                self.held.updateValue(sample, (last,))
         return made[keep]
 
 
 class Difference(FrameProcessor):
     """Each frame less the one before it, which is the state."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.before = handle.getValueState("before", f"cells {self.cells}", self.expiry)
-
-    def frames(self, key, made, timers):
-        before, out, truth = _plain(self.before.get()[0]) if self.before.exists() else None, [], self.kind == "bool"
-        for cells in map(_plain, made["state"]):
-            out.append(cells if before is None else [a != b if truth else a - b for a, b in zip(cells, before, strict=False)])
-            before = cells
-        self.before.update((before,))
+    def frames(self, made, spans, timers):
+        out, states, truth = [], list(map(_plain, made["state"])), self.kind == "bool"
+        for sample, i, j in spans:
+            before = _plain(held[0]) if (held := self.held.getValue(sample)) else None
+            for cells in states[i:j]:
+                out.append(cells if before is None else [a != b if truth else a - b for a, b in zip(cells, before, strict=False)])
+                before = cells
+            self.held.updateValue(sample, (before,))
         return made.assign(state=out)
 
 
 class Stitch(FrameProcessor):
-    """Every so many frames as one. What waits is a list of frames; with `idle` a timer (processing time) hands a shorter rest out."""
+    """Every so many frames as one. What waits is an array of frames; with `idle` a timer (processing time) hands a shorter rest out.
+    Timers are those of a lane, so that with `idle` each sample is a lane of its own."""
 
     def __init__(self, kind: str, per: int, idle: int | None):
         super().__init__(kind)
         self.per, self.idle = per, idle
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", f"step bigint, cells {self.cells}")
-        self.made = handle.getValueState("made", "n bigint, timer bigint")
-
-    def joined(self, key, n: int, frames: list[tuple]) -> tuple:
-        return (*key, n, frames[0][0], [c for _, cells in frames for c in cells], None)
-
-    def frames(self, key, made, timers):
-        held = [(step, _plain(cells)) for step, cells in self.waiting.get()]
-        n, timer = self.made.get() if self.made.exists() else (0, -1)
-        held += [(int(step), _plain(cells)) for step, cells in zip(made["step_index"], made["state"], strict=True)]
-        out = [self.joined(key, n + i, held[i * self.per : (i + 1) * self.per]) for i in range(len(held) // self.per)]
-        n, held = n + len(out), held[len(out) * self.per :]
-        self.waiting.put(held) if held else self.waiting.clear()
-        if self.idle is not None:
-            if timer >= 0:
-                self.handle.deleteTimer(timer)
-            timer = timers.getCurrentProcessingTimeInMs() + self.idle if held else -1
-            if held:
-                self.handle.registerTimer(timer)
-        self.made.update((n, timer))
+    @property
+    def kept(self) -> str:
+        return f"n bigint, timer bigint, waiting array<struct<step: bigint, cells: {self.cells}>>"
+
+    def joined(self, sample, n: int, frames: list[tuple]) -> tuple:
+        return (*sample, n, frames[0][0], [c for _, cells in frames for c in cells], None)
+
+    def frames(self, made, spans, timers):
+        out, steps, states = [], made["step_index"].tolist(), list(map(_plain, made["state"]))
+        for sample, i, j in spans:
+            n, timer, waiting = self.held.getValue(sample) or (0, -1, [])
+            waiting = [(step, _plain(cells)) for step, cells in waiting] + list(zip(steps[i:j], states[i:j], strict=True))
+            full = len(waiting) // self.per
+            out += [self.joined(sample, n + k, waiting[k * self.per : (k + 1) * self.per]) for k in range(full)]
+            n, waiting = n + full, waiting[full * self.per :]
+            if self.idle is not None:
+                if timer >= 0:
+                    self.handle.deleteTimer(timer)
+                timer = timers.getCurrentProcessingTimeInMs() + self.idle if waiting else -1
+                if waiting:
+                    self.handle.registerTimer(timer)
+            self.held.updateValue(sample, (n, timer, waiting))
         return pd.DataFrame(out, columns=list(made.columns)) if out else made.iloc[:0]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        held = [(step, _plain(cells)) for step, cells in self.waiting.get()]
-        n, _ = self.made.get()
-        self.waiting.clear()
-        self.made.update((n + 1, -1))
-        if held:
-            yield pd.DataFrame([self.joined(key, n, held)], columns=[*KEY, "pos", "step_index", "state", "label"])
+        for sample, (n, _, waiting) in list(self.held.iterator()):
+            self.held.updateValue(sample, (n + 1, -1, []))
+            if waiting:
+                yield pd.DataFrame([self.joined(sample, n, [(step, _plain(cells)) for step, cells in waiting])], columns=[*KEY, "pos", "step_index", "state", "label"])
 
 
 class Retain(FrameProcessor):
-    """The last n frames, as a map from pos modulo n: a new frame takes the place of the one that it evicts."""
+    """The last n frames of a sample, the oldest first, and how many there have been."""
 
     def __init__(self, kind: str, n: int, expiry: int | None):
         super().__init__(kind, expiry)
         self.n = n
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getMapState("ring", "slot bigint", f"number bigint, pos bigint, step bigint, cells {self.cells}, label string", self.expiry)
-        self.seen = handle.getValueState("seen", "n bigint", self.expiry)
-
-    def frames(self, key, made, timers):
-        seen = self.seen.get()[0] if self.seen.exists() else 0
-        last = made[["pos", "step_index", "state", "label"]].tail(self.n)
-        for number, (pos, step, cells, label) in enumerate(last.itertuples(index=False), seen + len(made) - len(last)):
-            self.ring.updateValue((number % self.n,), (number, int(pos), int(step), _plain(cells), label))
-        seen += len(made)
-        self.seen.update((seen,))
-        base = max(0, seen - self.n)
-        rows = sorted(value for _, value in self.ring.iterator())
-        out = [(*key, pos, step, _plain(cells), label, base, number - base) for number, pos, step, cells, label in rows]
+    @property
+    def kept(self) -> str:
+        return f"seen bigint, ring array<struct<pos: bigint, step: bigint, cells: {self.cells}, label: string>>"
+
+    def frames(self, made, spans, timers):
+        out, states = [], made["state"].to_numpy()
+        pos, steps, labels = made["pos"].tolist(), made["step_index"].tolist(), made["label"].tolist()
+        for sample, i, j in spans:
+            seen, ring = self.held.getValue(sample) or (0, [])
+            ring = [(p, step, _plain(cells), label) for p, step, cells, label in ring]
+            ring = (ring + [(pos[k], steps[k], _plain(states[k]), labels[k]) for k in range(max(i, j - self.n), j)])[-self.n :]
+            seen += j - i
+            self.held.updateValue(sample, (seen, ring))
+            base = seen - len(ring)
+            out += [(*sample, *frame, base, place) for place, frame in enumerate(ring)]
         return pd.DataFrame(out, columns=[*KEY, "pos", "step_index", "state", "label", "base", "place"])
 
 
@@ -175,13 +194,15 @@ class Fill(StatefulProcessor):
         yield pd.DataFrame(out, columns=[self.key, "buffer", "items", "total"])
 
 
-def _grouped(frames: DataFrame, processor: FrameProcessor, extra: str = "", mode: str = "append", timed: bool = False) -> DataFrame:
-    """A timed stream, one with an expiry or with timers, has batches for its clock alone and never ends by itself: it wants a
+def _grouped(frames: DataFrame, processor: FrameProcessor, extra: str = "", mode: str = "append", timed: bool = False, alone: bool = False) -> DataFrame:
+    """Samples go to LANES lanes by a digest, and a processor is called once a lane and micro-batch, or once a sample if they are to be
+    `alone`. A timed stream, one with an expiry or with timers, has batches for its clock alone and never ends by itself: it wants a
     trigger of its own, not run_through."""
     ready(frames.sparkSession)
     timed = timed or processor.expiry is not None
     known = frames.withColumn("sample_id", F.coalesce("sample_id", F.lit(UNNAMED)))  # workers do not see that two nulls are one key
-    made = known.groupBy(*KEY).transformWithStateInPandas(processor, schema(processor.kind) + extra, mode, "ProcessingTime" if timed else "None")
+    dealt = known.groupBy(*KEY) if alone else known.withColumn(LANE, F.pmod(F.xxhash64(*KEY), F.lit(LANES)).cast("int")).groupBy(LANE)
+    made = dealt.transformWithStateInPandas(processor, schema(processor.kind) + extra, mode, "ProcessingTime" if timed else "None")
     return made.withColumn("sample_id", F.when(F.col("sample_id") != UNNAMED, F.col("sample_id")))
 
 
@@ -199,7 +220,7 @@ def stream_stitch(frames: DataFrame, frames_per_sequence: int, idle: int | None
     """Every so many frames as one; a shorter rest waits, or goes out once its sample has been idle for so many milliseconds."""
     if frames_per_sequence < 1:
         raise InvalidParams("frames_per_sequence must be 1 or more")
-    return _grouped(frames, Stitch(kind_of(frames), frames_per_sequence, idle), timed=idle is not None)
+    return _grouped(frames, Stitch(kind_of(frames), frames_per_sequence, idle), timed=idle is not None, alone=idle is not None)
 
 
 def stream_last(frames: DataFrame, n: int, expiry: int | None = None) -> DataFrame:

@@ -153,3 +153,28 @@ def test_a_block_of_samples_goes_on_or_runs_anew():
     assert {r["sample_id"] for r in whole} == {2, 3, 4} and len(whole) == 27
     assert made(0, 4) + made(4, 9) == whole  # the second goes on
     assert made(4, 9) == whole[12:]  # nothing is kept for step 4 any more
+
+
+def test_a_processor_is_called_for_a_lane_of_samples(spark, tmp_path):
+    class Counted(stateful.FrameProcessor):
+        def frames(self, made, spans, timers):
+            return made.assign(label=[f"{len(spans)}"] * len(made)).iloc[[i for _, i, _ in spans]]
+
+    n = 20_000
+    spark.range(n).selectExpr("'t' AS task", "0 AS shard_id", "id AS sample_id", "0L AS pos", "0L AS step_index", "array(id) AS state", "CAST(NULL AS STRING) AS label").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema("int")).parquet(str(tmp_path / "in"))
+    stateful.run_through(stateful._grouped(source, Counted("int")), str(tmp_path / "out"), str(tmp_path / "cp"))
+    told = [int(r.label) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(told) == n and round(sum(1 / k for k in told)) <= stateful.LANES  # calls
+
+
+def test_samples_without_a_part_of_their_name(spark, tmp_path):
+    names = [("t", 0, None), (None, 0, 1), ("t", None, 1), ("t", 0, 1), (None, None, None)]
+    rows = [(*name, i, i, [i // 3 + k], None) for k, name in enumerate(names) for i in range(12)]
+    frames = frames_of(spark, rows)
+    stateful.replay_files(frames.withColumn("order", F.col("pos") * 100 + F.xxhash64("task", "shard_id", "sample_id") % 50), "order", 20, str(tmp_path / "in"))
+    source = stateful.replayed(spark, str(tmp_path / "in")).drop("order")
+    stateful.run_through(stateful.stream_diff(source), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = [(r.task, r.shard_id, r.sample_id, r.pos, r.state[0]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    want = [(*name, i, k if i == 0 else int(i % 3 == 0)) for k, name in enumerate(names) for i in range(12)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
